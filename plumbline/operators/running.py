@@ -64,9 +64,10 @@ def running(
     part: Sequence[str] = (),
     descending: bool = False,
 ) -> DataFrame:
-    """Inclusive running aggregates in ``order``; ``aggs`` maps a name to ("sum" | "min" | "max", column).
+    """Inclusive running aggregates in ``order``.
 
-    The order must be unique within a part (group by it first, or end it with a row id). Its first
+    ``aggs`` maps a name to ("sum" | "min" | "max", column), or to ("prev", column) for the column's
+    value in the preceding row (the column must not be NULL). The order must be unique within a part (group by it first, or end it with a row id). Its first
     column must be numeric or a timestamp. ``df`` may already carry ``__bucket``.
     """
     columns = [order] if isinstance(order, str) else list(order)
@@ -74,20 +75,31 @@ def running(
         df = bucketize(df, columns[0], part)
     keys = [*part, BUCKET]
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
-    local = Window.partitionBy(*keys).orderBy(*_order(columns, descending)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select("*", *[fold[f](c).over(local).alias(f"__in_{n}") for n, (f, c) in aggs.items()])
-    totals = df.groupBy(*keys).agg(*[fold[f](c).alias(f"__all_{n}") for n, (f, c) in aggs.items()])
-    earlier = (
-        Window.partitionBy(*part).orderBy(*_order([BUCKET], descending)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *keys, *[fold[f](F.col(f"__all_{n}")).over(earlier).alias(f"__pre_{n}") for n, (f, _) in aggs.items()]
-    )
+    final_of = F.min_by if descending else F.max_by
+    inside = Window.partitionBy(*keys).orderBy(*_order(columns, descending))
+    local = inside.rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*part).orderBy(*_order([BUCKET], descending))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    here, whole, before = [], [], []
+    for name, (f, c) in aggs.items():
+        if f == "prev":
+            here.append(F.lag(c).over(inside))
+            whole.append(final_of(c, F.struct(*columns)))
+            before.append(F.lag(f"__all_{name}").over(across))
+        else:
+            here.append(fold[f](c).over(local))
+            whole.append(fold[f](c))
+            before.append(fold[f](F.col(f"__all_{name}")).over(earlier))
+    rows = df.select("*", *[c.alias(f"__in_{n}") for c, n in zip(here, aggs)])
+    totals = df.groupBy(*keys).agg(*[c.alias(f"__all_{n}") for c, n in zip(whole, aggs)])
+    offsets = totals.select(*keys, *[c.alias(f"__pre_{n}") for c, n in zip(before, aggs)])
     joined = rows.join(offsets, keys)
     final = []
     for name, (f, _) in aggs.items():
         inner, before = F.col(f"__in_{name}"), F.col(f"__pre_{name}")
-        if f == "sum":
+        if f == "prev":
+            value = F.coalesce(inner, before)
+        elif f == "sum":
             value = F.coalesce(inner, F.lit(0)) + F.coalesce(before, F.lit(0))
         else:
             value = F.least(inner, before) if f == "min" else F.greatest(inner, before)
@@ -105,19 +117,7 @@ def previous(
     df: DataFrame, order: str | Sequence[str], columns: Sequence[str], part: Sequence[str] = (), name: str = "prev"
 ) -> DataFrame:
     """Add a struct ``name`` holding ``columns`` of the preceding row, NULL for the first row of a part."""
-    keys_order = [order] if isinstance(order, str) else list(order)
-    if BUCKET not in df.columns:
-        df = bucketize(df, keys_order[0], part)
-    keys = [*part, BUCKET]
-    cell = F.struct(*columns)
-    local = Window.partitionBy(*keys).orderBy(*_order(keys_order, False))
-    rows = df.select("*", F.lag(cell).over(local).alias("__here"))
-    tails = df.groupBy(*keys).agg(F.max_by(cell, F.struct(*keys_order)).alias("__tail"))
-    across = Window.partitionBy(*part).orderBy(BUCKET)
-    heads = tails.select(*keys, F.lag("__tail").over(across).alias("__before"))
-    joined = rows.join(heads, keys)
-    keep = [c for c in df.columns if c != BUCKET]
-    return joined.select(*keep, F.coalesce("__here", "__before").alias(name))
+    return running(df, order, {name: ("prev", F.struct(*columns))}, part)
 
 
 def value_counts(df: DataFrame, column: str, part: Sequence[str] = (), **extra: Column) -> DataFrame:

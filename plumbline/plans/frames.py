@@ -287,3 +287,74 @@ def as_text(df: DataFrame) -> DataFrame:
 
 def texts(column: str) -> Column:
     return F.col(column).cast("string")
+
+
+# --- features with planted leaks ------------------------------------------------------------------
+
+LEAKS_SQL = """
+leaks AS (
+  SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN '1' ELSE '0' END AS y_true,
+         CASE WHEN o_orderkey % 50 = 7 THEN 'N/A' WHEN o_orderpriority = '1-URGENT' THEN '1' ELSE '0' END AS copied,
+         CASE WHEN (o_orderpriority = '1-URGENT') <> (o_orderkey % 40 = 0) THEN '1' ELSE '0' END AS nearly,
+         'k' || CAST(o_orderkey AS VARCHAR) AS order_id, o_orderpriority AS priority, o_orderstatus AS future_status,
+         NULL::VARCHAR AS nothing, CAST(o_custkey % 5 AS VARCHAR) AS cohort,
+         CASE WHEN o_orderkey % 11 = 3 THEN '' WHEN o_orderkey % 13 = 5 THEN '2026-02-30T00:00:00Z'
+              ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.5Z' END AS predicted_at,
+         CASE WHEN o_orderkey % 17 = 2 THEN strftime(o_orderdate, '%Y-%m-%d')
+              ELSE strftime(o_orderdate + INTERVAL 1 DAY * (o_custkey % 4 - 1), '%Y-%m-%dT%H:%M:%SZ') END AS outcome_at
+  FROM orders
+)"""
+
+LEAK_FEATURES = ("copied", "nearly", "order_id", "priority", "future_status", "nothing", "cohort")
+
+
+def leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with an exact and a near copy of the target, an id, a proxy category and time pairs."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    bit = lambda c: F.when(c, "1").otherwise("0")
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    stamp = lambda c, form: F.date_format(c, form)
+    moved = F.expr("cast(o_orderdate as timestamp_ntz) + make_dt_interval(cast(o_custkey % 4 as int) - 1)")
+    return table(spark, d, "orders").select(
+        bit(urgent).alias("y_true"),
+        F.when(key % 50 == 7, "N/A").otherwise(bit(urgent)).alias("copied"),
+        bit(urgent != (key % 40 == 0)).alias("nearly"),
+        F.concat(F.lit("k"), key.cast("string")).alias("order_id"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_orderstatus").alias("future_status"),
+        F.lit(None).cast("string").alias("nothing"),
+        (cust % 5).cast("string").alias("cohort"),
+        F.when(key % 11 == 3, "")
+        .when(key % 13 == 5, "2026-02-30T00:00:00Z")
+        .otherwise(F.concat(stamp(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".5Z")))
+        .alias("predicted_at"),
+        F.when(key % 17 == 2, stamp(day, "yyyy-MM-dd")).otherwise(stamp(moved, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("outcome_at"),
+    )
+
+
+# --- text cells with planted defects ----------------------------------------------------------------
+
+CELLS_SQL = """
+raw_cells AS (
+  SELECT o_orderkey AS row_no,
+         CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN ' NaN ' WHEN 2 THEN 'NULL' WHEN 3 THEN 'n/a' WHEN 4 THEN NULL WHEN 5 THEN 'na'
+              WHEN 6 THEN '1e400' WHEN 7 THEN '0x1F' WHEN 8 THEN '1d' ELSE CAST(o_totalprice AS VARCHAR) END AS amount,
+         CASE WHEN o_orderkey % 3 = 0 THEN '.5e-2' WHEN o_orderkey % 3 = 1 THEN '+7.' ELSE CAST(o_custkey AS VARCHAR) END AS code,
+         o_orderstatus AS status
+  FROM orders
+)"""
+
+
+def raw_cells(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    k = key % 12
+    amount = F.when(k == 0, "").when(k == 1, " NaN ").when(k == 2, "NULL").when(k == 3, "n/a").when(k == 4, F.lit(None))
+    amount = amount.when(k == 5, "na").when(k == 6, "1e400").when(k == 7, "0x1F").when(k == 8, "1d")
+    code = F.when(key % 3 == 0, ".5e-2").when(key % 3 == 1, "+7.").otherwise(F.col("o_custkey").cast("string"))
+    return table(spark, d, "orders").select(
+        key.alias("row_no"),
+        amount.otherwise(F.col("o_totalprice").cast("string")).alias("amount"),
+        code.alias("code"),
+        F.col("o_orderstatus").alias("status"),
+    )
