@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import clamp
@@ -10,12 +12,6 @@ from ..functions.measures import measure, to_long
 from .running import count_below, order_statistics, value_counts
 
 
-def _score_counts(ev: DataFrame, positive: str) -> DataFrame:
-    """One row per distinct score; every summary below is a function of these counts."""
-    hit = F.count_if(F.col("y_true") == positive)
-    return value_counts(ev.filter(F.col("y_probability").isNotNull()), "y_probability", pos=hit)
-
-
 def brier(ev: DataFrame, positive: str = "1") -> DataFrame:
     """Mean squared error of the probabilities; any missing probability leaves it undefined."""
     error = F.col("y_probability") - F.when(F.col("y_true") == positive, 1.0).otherwise(0.0)
@@ -29,74 +25,65 @@ def brier(ev: DataFrame, positive: str = "1") -> DataFrame:
     return to_long(totals, [measure("brier_score", value, reason, F.col("n"))])
 
 
-def _bins(ev: DataFrame, counts: DataFrame, edges: Column, most: int) -> DataFrame:
+def _bins(ev: DataFrame, edges: list[float], positive: str) -> DataFrame:
     """Summaries of [edge i, edge i+1) bins, the last one closed; empty bins keep NULL summaries.
 
-    ``edges`` is an ascending array literal or scalar holding 0, the cuts, and 1.
+    A population with a missing probability gets no bins at all.
     """
-    e = F.col("__edges")
-    table = ev.sparkSession.range(1).select(edges.alias("__edges"))
-    table = table.select("__edges", F.posexplode(F.slice(e, 1, F.size(e) - 1)).alias("bin", "lower"))
-    table = table.select(F.col("bin").cast("long"), "lower", F.get(e, F.col("bin") + 1).alias("upper"))
-    placed = F.least(count_below(e, most, F.col("y_probability")) - F.lit(1), F.size(e) - F.lit(2)).cast("long")
-    filled = (
-        counts.select("*", edges.alias("__edges"))
-        .groupBy(placed.alias("bin"))
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("y_probability")).alias("p_sum"),
-            F.sum("pos").alias("positives"),
-        )
+    last = len(edges) - 2
+    spark = ev.sparkSession
+    table = spark.createDataFrame(
+        [(i, edges[i], edges[i + 1]) for i in range(last + 1)], "bin long, lower double, upper double"
+    )
+    place = count_below(F.array(*[F.lit(e) for e in edges]), len(edges), F.col("y_probability")) - F.lit(1)
+    bin_of = F.when(F.col("y_probability").isNotNull(), F.least(place, F.lit(last)))
+    # At most len(edges) rows after the map-side combine; the NULL bin holds unscored rows.
+    filled = ev.groupBy(bin_of.cast("long").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("y_probability").alias("mean_p"),
+        F.avg((F.col("y_true") == positive).cast("double")).alias("rate"),
     )
-    joined = table.join(filled, "bin", "left")
-    mean_p = clamp(F.col("p_sum") / F.col("n"), F.col("lower"), F.col("upper"))
-    return joined.select(
+    unscored = F.max(F.col("bin").isNull() & F.col("n").isNotNull()).over(Window.partitionBy())
+    joined = table.join(filled, "bin", "full_outer").withColumn("unscored", unscored)
+    return joined.filter(F.col("bin").isNotNull() & ~F.col("unscored")).select(
         "bin",
         "lower",
         "upper",
         F.coalesce("n", F.lit(0).cast("long")).alias("n"),
-        mean_p.alias("mean_probability"),
-        (F.col("positives") / F.col("n")).alias("observed_rate"),
+        clamp(F.col("mean_p"), F.col("lower"), F.col("upper")).alias("mean_probability"),
+        F.col("rate").alias("observed_rate"),
     )
 
 
-def _complete(ev: DataFrame) -> Column:
-    """Scalar: no probability is missing. Incomplete populations get no bins at all."""
-    return ev.agg((F.count_if(F.col("y_probability").isNull()) == 0).alias("complete")).scalar()
-
-
 def calibration_equal_width(ev: DataFrame, bins: int = 10, positive: str = "1") -> DataFrame:
     if not 2 <= bins <= 100:
         raise ValueError("bins must be in 2..100")
-    edges = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return _bins(ev, _score_counts(ev, positive), edges, bins + 1).filter(_complete(ev))
+    return _bins(ev, [i / bins for i in range(bins + 1)], positive)
 
 
 def calibration_equal_frequency(ev: DataFrame, bins: int = 10, positive: str = "1") -> DataFrame:
     """Cuts halfway between the order statistics ceil(n i / k) and its successor.
 
-    Equal scores never split, so fewer bins than asked for may result.
+    Equal scores never split, so fewer bins than asked for may result. The cuts (at most ``bins - 1``
+    numbers) are found by a first job; the bins themselves stay lazy.
     """
     if not 2 <= bins <= 100:
         raise ValueError("bins must be in 2..100")
-    counts = _score_counts(ev, positive)
-    total = F.col("__total")
-    at = [F.ceil(total.cast("double") * i / bins).cast("long") for i in range(1, bins)]
-    ranks = F.array_distinct(F.array(*[r for a in at for r in (a, a + F.lit(1))]))
-    stats = order_statistics(counts, "y_probability", ranks)
-    n = counts.agg(F.sum("n").alias("n"))
-    known = stats.agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("by_rank"))
-    wanted = n.select(
-        F.explode(F.array(*[F.ceil(F.col("n").cast("double") * i / bins).cast("long") for i in range(1, bins)])).alias("r")
-    )
-    left = F.try_element_at(known.scalar(), F.col("r"))
-    right = F.try_element_at(known.scalar(), F.col("r") + 1)
-    middle = left + (right - left) / 2
-    cuts = wanted.select(F.when((middle > left) & (middle < right), middle).alias("cut"))
-    edges = cuts.filter(F.col("cut") > 0).agg(
-        F.concat(F.array(F.lit(0.0)), F.sort_array(F.collect_set("cut")), F.array(F.lit(1.0))).alias("edges")
-    )
-    return _bins(ev, counts, edges.scalar(), bins + 1).filter(_complete(ev))
+    counts = value_counts(ev.filter(F.col("y_probability").isNotNull()), "y_probability")
+    size = F.col("all_upto").cast("double")
+    wanted = [F.ceil(size * i / bins).cast("long") for i in range(1, bins)]
+    ranks = F.array_distinct(F.array(*[r for at in wanted for r in (at, at + F.lit(1))]))
+    found = order_statistics(counts, "y_probability", ranks).collect()
+    by_rank = {r["rank"]: r["value"] for r in found}
+    edges = [0.0]
+    size_n = found[0]["size"] if found else 0
+    for at in (math.ceil(size_n * i / bins) for i in range(1, bins)):
+        if at in by_rank and at + 1 in by_rank:
+            left, right = by_rank[at], by_rank[at + 1]
+            middle = left + (right - left) / 2
+            if left < middle < right and middle > edges[-1]:
+                edges.append(middle)
+    return _bins(ev, edges + [1.0], positive)
 
 
 def expected_calibration_error(bins: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,40 +73,39 @@ def _sizes(rows: DataFrame) -> DataFrame:
     )
 
 
-def _all_features(spark, pairs, columns) -> DataFrame:
-    rows = [(r, c, f) for r, c in pairs for f in columns]
-    return spark.createDataFrame(rows, "ref string, comp string, feature string")
-
-
 def ecdf_distances(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Kolmogorov-Smirnov and Wasserstein-1 per feature, equal values advancing together.
 
     Both samples collapse to distinct values; one running pass per feature yields both distances.
+    Words form a NULL row that sorts first and marks the feature as not numeric.
     """
-    pairs = [("ref", "comp")]
-    rows = _pair_rows({"ref": ref, "comp": comp}, pairs, columns)
-    sizes = _sizes(rows).select("feature", "n_ref", "n_comp", "words")
-    counts = (
-        rows.filter(F.col("number").isNotNull())
-        .groupBy("feature", "number")
-        .agg(F.count_if(F.col("is_ref")).alias("a"), F.count_if(~F.col("is_ref")).alias("b"))
+    rows = _pair_rows({"ref": ref, "comp": comp}, [("ref", "comp")], columns)
+    counts = rows.groupBy("feature", "number").agg(
+        F.count_if(F.col("is_ref")).alias("a"), F.count_if(~F.col("is_ref")).alias("b")
     )
+    number = F.coalesce("number", F.lit(float("-inf")))
     walked = running(
         counts,
         "number",
-        {"upto_a": ("sum", F.col("a")), "upto_b": ("sum", F.col("b")), "before": ("prev", F.col("number"))},
+        {"a_upto": ("sum", F.col("a")), "b_upto": ("sum", F.col("b")), "before": ("prev", number)},
         ("feature",),
-    ).join(F.broadcast(sizes), "feature")
-    here = F.abs(F.col("upto_a") / F.col("n_ref") - F.col("upto_b") / F.col("n_comp"))
-    earlier = F.abs((F.col("upto_a") - F.col("a")) / F.col("n_ref") - (F.col("upto_b") - F.col("b")) / F.col("n_comp"))
+    )
+    n_a, n_b = F.col("all_a_upto"), F.col("all_b_upto")
+    here = F.abs(F.try_divide("a_upto", n_a) - F.try_divide("b_upto", n_b))
+    earlier = F.abs(F.try_divide(F.col("a_upto") - F.col("a"), n_a) - F.try_divide(F.col("b_upto") - F.col("b"), n_b))
     # Weighted subtraction: the difference of two huge numbers may overflow where its share does not.
     step = F.col("number") * earlier - F.col("before") * earlier
-    whole = (F.col("n_ref") > 0) & (F.col("n_comp") > 0) & (F.col("words") == 0)
-    stats = walked.filter(whole).groupBy("feature").agg(F.max(here).alias("ks"), F.sum(F.when(earlier > 0, step)).alias("w1"))
+    stats = walked.groupBy("feature").agg(
+        F.max(n_a).alias("n_ref"),
+        F.max(n_b).alias("n_comp"),
+        F.count_if(F.col("number").isNull()).alias("words"),
+        F.max(here).alias("ks"),
+        F.sum(F.when(earlier > 0, step)).alias("w1"),
+    )
     named = ref.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    joined = named.join(sizes, "feature", "left").join(stats, "feature", "left")
-    empty = F.coalesce(F.col("n_ref") == 0, F.lit(True)) | F.coalesce(F.col("n_comp") == 0, F.lit(True))
-    reason = F.when(empty, "empty sample").when(F.col("words") > 0, "not numeric")
+    joined = named.join(stats, "feature", "left")
+    both = F.coalesce((F.col("n_ref") > 0) & (F.col("n_comp") > 0), F.lit(False))
+    reason = F.when(~both, "empty sample").when(F.col("words") > 0, "not numeric")
     usable = reason.isNull()
     finite = lambda c: F.when(F.abs(c) < float("inf"), c)
     w1 = F.when(usable, F.greatest(F.lit(0.0), finite(F.coalesce("w1", F.lit(0.0)))))
@@ -130,24 +129,47 @@ def wasserstein1(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> Dat
     return rows.select("feature", F.col("w1").alias("w"), "n_ref", "n_comp", reason.alias("reason"))
 
 
-def _cuts(bins: int) -> Column:
+def _cuts(low: float, high: float, bins: int) -> list[float]:
     """Distinct interior cuts of the reference range; an interior boundary belongs to the upper bin."""
-    low, high = F.col("low"), F.col("high")
-    raw = F.array(*[low * F.lit(1 - i / bins) + high * F.lit(i / bins) for i in range(1, bins)])
-    return F.array_distinct(F.filter(raw, lambda c: (c > low) & (c < high)))
+    cuts: list[float] = []
+    for i in range(1, bins):
+        share = i / bins
+        cut = low * (1 - share) + high * share
+        if low < cut < high and cut not in cuts[-1:]:
+            cuts.append(cut)
+    return cuts
 
 
-def _psi_kinds(sizes: DataFrame, bins: int) -> DataFrame:
-    numeric = (F.col("words") == 0) & (F.col("n_ref") > 0) & (F.col("n_comp") > 0)
-    usable = (F.col("n_ref") > 0) & (F.col("n_comp") > 0)
-    kind = F.when(numeric, "numeric").when(usable, "categorical")
-    return sizes.select("*", kind.alias("kind"), F.when(kind == "numeric", _cuts(bins)).alias("cuts"))
+def _plans(rows: DataFrame, bins: int) -> dict[tuple[str, str, str], dict]:
+    """First job: sizes and reference range of every pair and feature.
+
+    At most ``pairs x columns`` rows reach the driver, both lists being the caller's own.
+    """
+    plans = {}
+    for r in _sizes(rows).collect():
+        numeric = r.words == 0
+        if not (r.n_ref and r.n_comp):
+            plan = {"kind": None, "reason": "empty sample"}
+        elif numeric and r.low == r.high:
+            plan = {"kind": "numeric", "reason": "constant reference"}
+        else:
+            plan = {"kind": "numeric" if numeric else "categorical", "reason": None}
+        if plan["kind"] == "numeric" and plan["reason"] is None:
+            plan["cuts"] = _cuts(r.low, r.high, bins)
+        plans[(r.ref, r.comp, r.feature)] = plan | {"n_ref": r.n_ref, "n_comp": r.n_comp}
+    return plans
 
 
-def _term(ref_n: Column, comp_n: Column, bins: Column) -> Column:
-    p = (F.col("a") + PSEUDOCOUNT) / (ref_n + bins * PSEUDOCOUNT)
-    q = (F.col("b") + PSEUDOCOUNT) / (comp_n + bins * PSEUDOCOUNT)
-    return (q - p) * F.ln(q / p)
+def _plan_frame(spark, plans, pairs, columns) -> DataFrame:
+    rows = []
+    for r, c in pairs:
+        for f in columns:
+            plan = plans.get((r, c, f), {"kind": None, "reason": "empty sample"})
+            cuts = plan.get("cuts")
+            width = None if cuts is None else len(cuts) + 1
+            rows.append((r, c, f, plan["kind"], plan["reason"], cuts, width, plan.get("n_ref"), plan.get("n_comp")))
+    schema = "ref string, comp string, feature string, kind string, reason string, cuts array<double>, width int, n_ref long, n_comp long"
+    return spark.createDataFrame(rows, schema)
 
 
 def psi_pairs(
@@ -157,35 +179,38 @@ def psi_pairs(
 
     Numeric features: equal-width cuts over the reference range, outer bins open. Others: the union of
     categories, at most 100. Every bin gets half a pseudo-count. Undefined is NULL with a reason.
+    Two passes over the data: ranges first, then one histogram of all pairs and features.
     """
     if not 2 <= bins <= 100:
         raise ValueError("bins must be in 2..100")
     spark = next(iter(datasets.values())).sparkSession
     rows = _pair_rows(datasets, pairs, columns)
-    kinds = _psi_kinds(_sizes(rows), bins)
-    a, b = F.count_if(F.col("is_ref")).alias("a"), F.count_if(~F.col("is_ref")).alias("b")
-    # kinds holds len(pairs) x len(columns) rows: both lists come from the caller.
-    numeric = kinds.filter((F.col("kind") == "numeric") & (F.col("low") < F.col("high")))
-    placed = rows.join(F.broadcast(numeric.select(*PAIR, "cuts")), list(PAIR))
-    filled = placed.groupBy(*PAIR, count_below(F.col("cuts"), bins - 1, F.col("number")).alias("bin")).agg(a, b)
-    every = numeric.select(*PAIR, "n_ref", "n_comp", (F.size("cuts") + 1).alias("k"), F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("bin"))
-    binned = every.join(filled, [*PAIR, "bin"], "left").na.fill(0, ["a", "b"])
-    psi_n = binned.groupBy(*PAIR).agg(F.sum(_term(F.col("n_ref"), F.col("n_comp"), F.col("k"))).alias("psi"))
-    wordy = kinds.filter(F.col("kind") == "categorical").select(*PAIR, "n_ref", "n_comp")
-    text = F.coalesce(F.col("cell"), F.col("number").cast("string")).alias("category")
-    categories = rows.join(F.broadcast(wordy.select(*PAIR)), list(PAIR), "left_semi").groupBy(*PAIR, text).agg(a, b)
-    width = categories.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("k"))
-    spread = categories.join(F.broadcast(wordy.join(width, list(PAIR))), list(PAIR)).filter(F.col("k") <= MAX_CATEGORIES)
-    psi_c = spread.groupBy(*PAIR).agg(F.sum(_term(F.col("n_ref"), F.col("n_comp"), F.col("k"))).alias("psi"))
-    values = psi_n.unionByName(psi_c)
-    out = _all_features(spark, pairs, columns).join(kinds.select(*PAIR, "kind", "low", "high", "n_ref", "n_comp"), list(PAIR), "left")
-    out = out.join(values, list(PAIR), "left")
-    reason = (
-        F.when(F.col("kind").isNull(), "empty sample")
-        .when((F.col("kind") == "numeric") & (F.col("low") == F.col("high")), "constant reference")
-        .when((F.col("kind") == "categorical") & F.col("psi").isNull(), "too many categories")
+    plan = F.broadcast(_plan_frame(spark, _plans(rows, bins), pairs, columns))
+    live = plan.filter(F.col("kind").isNotNull() & F.col("reason").isNull())
+    place = count_below(F.col("cuts"), bins - 1, F.col("number")).cast("string")
+    bin_of = F.when(F.col("kind") == "numeric", place).otherwise(F.coalesce(F.col("cell"), F.col("number").cast("string")))
+    filled = (
+        rows.join(live.select(*PAIR, "kind", "cuts"), list(PAIR))
+        .groupBy(*PAIR, bin_of.alias("bin"))
+        .agg(F.count_if(F.col("is_ref")).alias("a"), F.count_if(~F.col("is_ref")).alias("b"))
+    )
+    sized = filled.join(live.select(*PAIR, "kind", "width", "n_ref", "n_comp"), list(PAIR))
+    # Bins nobody fell into still carry their pseudo-counts: (width - filled) equal terms.
+    seen = Window.partitionBy(*PAIR)
+    k = F.coalesce("width", F.col("filled"))
+    p = lambda n, size: (n + PSEUDOCOUNT) / (size + k * PSEUDOCOUNT)
+    term = lambda a, b: (p(b, F.col("n_comp")) - p(a, F.col("n_ref"))) * F.ln(p(b, F.col("n_comp")) / p(a, F.col("n_ref")))
+    counted = sized.select("*", F.count(F.lit(1)).over(seen).alias("filled"))
+    values = counted.groupBy(*PAIR).agg(
+        F.first("kind").alias("kind"),
+        F.first("filled").alias("filled"),
+        (F.sum(term(F.col("a"), F.col("b"))) + F.first((k - F.col("filled")) * term(F.lit(0), F.lit(0)))).alias("psi"),
     )
-    return out.select(*PAIR, "kind", F.greatest(F.lit(0.0), F.col("psi")).alias("psi"), reason.alias("reason"))
+    few = (F.col("kind") == "numeric") | (F.col("filled") <= MAX_CATEGORIES)
+    values = values.select(*PAIR, F.when(few, F.col("psi")).alias("psi"))
+    out = plan.join(values, list(PAIR), "left")
+    reason = F.when(F.col("reason").isNull() & F.col("psi").isNull(), "too many categories").otherwise(F.col("reason"))
+    return out.select(*PAIR, "kind", F.when(F.col("psi").isNotNull(), F.greatest(F.lit(0.0), F.col("psi"))).alias("psi"), reason.alias("reason"))
 
 
 def psi(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -193,17 +218,14 @@ def psi(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10)
 
 
 def psi_config(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """The cut points and categories behind ``psi``: feature, kind, position, cut, category."""
+    """The cut points and categories behind ``psi``: feature, kind, cut, category."""
     rows = _pair_rows({"ref": ref, "comp": comp}, [("ref", "comp")], columns)
-    kinds = _psi_kinds(_sizes(rows), bins)
-    cuts = kinds.filter((F.col("kind") == "numeric") & (F.col("low") < F.col("high"))).select(
-        "feature", "kind", F.posexplode("cuts").alias("position", "cut")
-    )
-    cuts = cuts.select("feature", "kind", "cut", F.lit(None).cast("string").alias("category"))
-    wordy = kinds.filter(F.col("kind") == "categorical").select("feature")
+    plan = _plan_frame(ref.sparkSession, _plans(rows, bins), [("ref", "comp")], columns).filter(F.col("reason").isNull())
+    cuts = plan.select("feature", "kind", F.explode("cuts").alias("cut"), F.lit(None).cast("string").alias("category"))
+    wordy = plan.filter(F.col("kind") == "categorical").select("feature")
     words = union_categories(rows.join(F.broadcast(wordy), "feature", "left_semi"))
-    small = words.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= MAX_CATEGORIES)
-    words = words.join(F.broadcast(small.select("feature")), "feature", "left_semi")
+    size = words.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
+    words = words.join(F.broadcast(size.filter(F.col("k") <= MAX_CATEGORIES).select("feature")), "feature", "left_semi")
     return cuts.unionByName(
         words.select("feature", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("cut"), "category")
     )

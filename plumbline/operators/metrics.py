@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import safe_ratio
+from ..functions.cells import clamp, safe_ratio
 from ..functions.measures import measure, to_long
 from .running import running
 
@@ -68,23 +68,19 @@ def balanced_minority(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return metric_rows(counts, by, BALANCED)
 
 
+def _score_steps(ev: DataFrame, positive: str, by: Sequence[str]) -> DataFrame:
+    """Running positives and negatives per distinct score, best first; unscored rows form a last NULL row."""
+    grouped = ev.groupBy(*by, F.col("y_probability").alias("score")).agg(
+        F.count_if(F.col("y_true") == positive).alias("pos"),
+        F.count_if(F.col("y_true") != positive).alias("neg"),
+    )
+    sums = {"cum_pos": ("sum", F.col("pos")), "cum_neg": ("sum", F.col("neg"))}
+    return running(grouped, "score", sums, by, descending=True)
+
+
 def cum_counts(ev: DataFrame, positive: str = "1", by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives at or above each distinct score. Equal scores form one row."""
-    grouped = (
-        ev.filter(F.col("y_probability").isNotNull())
-        .groupBy(*by, F.col("y_probability").alias("score"))
-        .agg(
-            F.count_if(F.col("y_true") == positive).alias("pos"),
-            F.count_if(F.col("y_true") != positive).alias("neg"),
-        )
-    )
-    return running(
-        grouped,
-        "score",
-        {"cum_pos": ("sum", F.col("pos")), "cum_neg": ("sum", F.col("neg"))},
-        by,
-        descending=True,
-    )
+    return _score_steps(ev, positive, by).filter(F.col("score").isNotNull()).drop("all_cum_pos", "all_cum_neg")
 
 
 def ranking_metrics(ev: DataFrame, positive: str = "1", by: Sequence[str] = ()) -> DataFrame:
@@ -92,32 +88,27 @@ def ranking_metrics(ev: DataFrame, positive: str = "1", by: Sequence[str] = ())
 
     Undefined when one class is absent or any probability is missing: no filtered subset is scored.
     """
-    population = ev.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("y_true") == positive).alias("positives"),
-        F.count_if(F.col("y_true") != positive).alias("negatives"),
-        F.count_if(F.col("y_probability").isNull()).alias("unscored"),
-    )
-    steps = cum_counts(ev, positive, by)
-    before = F.col("cum_pos") - F.col("pos")
-    areas = steps.groupBy(*by).agg(
-        F.sum(F.col("neg").cast("double") * (before + F.col("cum_pos")).cast("double") / 2).alias("area"),
-        F.sum(F.col("pos").cast("double") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("gain"),
+    before, upto = F.col("cum_pos") - F.col("pos"), F.col("cum_pos")
+    # Shares of the totals, not counts: the area stays below 1 and cannot overflow.
+    strip = F.col("neg") / F.col("all_cum_neg") * (before + upto) / F.col("all_cum_pos") / 2
+    step = F.col("pos") / F.col("all_cum_pos") * (upto / (upto + F.col("cum_neg")))
+    size = F.col("pos") + F.col("neg")
+    zero = F.lit(0).cast("long")
+    defined = (F.col("all_cum_pos") > 0) & (F.col("all_cum_neg") > 0)
+    facts = _score_steps(ev, positive, by).groupBy(*by).agg(
+        F.coalesce(F.sum(size), zero).alias("n"),
+        F.coalesce(F.sum("pos"), zero).alias("positives"),
+        F.coalesce(F.sum("neg"), zero).alias("negatives"),
+        F.coalesce(F.sum(F.when(F.col("score").isNull(), size)), zero).alias("unscored"),
+        F.sum(F.when(defined, strip)).alias("area"),
+        F.sum(F.when(defined, step)).alias("gain"),
     )
-    if by:
-        joined = population.join(areas, list(by), "left")
-    else:
-        joined = population.select(
-            "*", areas.select("area").scalar().alias("area"), areas.select("gain").scalar().alias("gain")
-        )
     one_class = (F.col("positives") == 0) | (F.col("negatives") == 0)
     usable = ~one_class & (F.col("unscored") == 0)
     reason = F.when(one_class, "one class only").otherwise("missing probabilities")
-    bounded = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    roc = F.when(usable, bounded(F.col("area") / F.col("positives") / F.col("negatives")))
-    ap = F.when(usable, bounded(F.col("gain") / F.col("positives")))
+    roc, ap = F.when(usable, clamp(F.col("area"), 0, 1)), F.when(usable, clamp(F.col("gain"), 0, 1))
     return to_long(
-        joined,
+        facts,
         [measure("roc_auc", roc, reason, F.col("n")), measure("average_precision", ap, reason, F.col("n"))],
         by,
     )

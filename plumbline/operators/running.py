@@ -40,16 +40,22 @@ def count_below(cuts: Column, size: int, value: Column, strict: bool = False) ->
     return F.aggregate(folds, F.lit(0), advance)
 
 
-def bucketize(df: DataFrame, order: str, part: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Add ``__bucket``, non-decreasing in ``order`` within each ``part``."""
-    buckets = buckets or bucket_count(df)
+def _place(df: DataFrame, order: str, part: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Add ``__bucket``, non-decreasing in ``order`` within each ``part``, and a total ``all_x`` per sum.
+
+    Cuts and totals come from one aggregate that reads every column the running pass reads, so Spark
+    computes the shuffle below both once and reuses it.
+    """
+    buckets = bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = F.percentile_approx(F.col(order), shares, 10 * buckets).alias("__cuts")
+    totals = [F.sum(c).alias(f"all_{n}") for n, c in sums.items()]
     if part:
-        placed = df.join(df.groupBy(*part).agg(cuts), list(part))
+        placed = df.join(df.groupBy(*part).agg(cuts, *totals), list(part))
     else:
-        placed = df.select("*", df.agg(cuts).scalar().alias("__cuts"))
-    bucket = count_below(F.col("__cuts"), buckets - 1, F.col(order), strict=True)
+        limits = df.agg(F.struct(cuts, *totals).alias("__limits")).scalar()
+        placed = df.select("*", limits.alias("__limits")).select(*df.columns, "__limits.*")
+    bucket = F.coalesce(count_below(F.col("__cuts"), buckets - 1, F.col(order), strict=True), F.lit(0))
     return placed.select("*", bucket.alias(BUCKET)).drop("__cuts")
 
 
@@ -67,12 +73,13 @@ def running(
     """Inclusive running aggregates in ``order``.
 
     ``aggs`` maps a name to ("sum" | "min" | "max", column), or to ("prev", column) for the column's
-    value in the preceding row (the column must not be NULL). The order must be unique within a part (group by it first, or end it with a row id). Its first
-    column must be numeric or a timestamp. ``df`` may already carry ``__bucket``.
+    value in the preceding row (the column must not be NULL). Each sum also gives its grand total per
+    part as ``all_<name>``. The order must be unique within a part (group by it first, or end it with a row id). Its first
+    column must be numeric or a timestamp; NULLs come first ascending and last descending.
     """
     columns = [order] if isinstance(order, str) else list(order)
-    if BUCKET not in df.columns:
-        df = bucketize(df, columns[0], part)
+    given = df.columns
+    df = _place(df, columns[0], part, {n: c for n, (f, c) in aggs.items() if f == "sum"})
     keys = [*part, BUCKET]
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     final_of = F.min_by if descending else F.max_by
@@ -104,13 +111,14 @@ def running(
         else:
             value = F.least(inner, before) if f == "min" else F.greatest(inner, before)
         final.append(value.alias(name))
-    return joined.select(*[c for c in df.columns if c != BUCKET], *final)
+    totals_out = [f"all_{n}" for n, (f, _) in aggs.items() if f == "sum"]
+    return joined.select(*given, *final, *totals_out)
 
 
 def row_index(df: DataFrame, order: str | Sequence[str], part: Sequence[str] = (), name: str = "row_index") -> DataFrame:
     """Zero-based position of every row in ``order`` (unique) within ``part``."""
     indexed = running(df, order, {"__one": ("sum", F.lit(1).cast("long"))}, part)
-    return indexed.select(*[c for c in indexed.columns if c != "__one"], (F.col("__one") - 1).alias(name))
+    return indexed.select(*df.columns, (F.col("__one") - 1).alias(name))
 
 
 def previous(
@@ -127,16 +135,11 @@ def value_counts(df: DataFrame, column: str, part: Sequence[str] = (), **extra:
 
 
 def order_statistics(counts: DataFrame, column: str, ranks: Column, part: Sequence[str] = ()) -> DataFrame:
-    """Exact values at one-based ``ranks`` (an array column over the total ``__total``).
+    """Exact values at one-based ``ranks``, an array column that may read the size ``all_upto``.
 
-    ``counts`` is a ``value_counts`` frame. Result: part columns, ``rank``, ``value``.
+    ``counts`` is a ``value_counts`` frame. Result: part columns, ``rank``, ``value``, ``size``.
     """
-    totals = counts.groupBy(*part).agg(F.sum("n").alias("__total"))
-    cumulative = running(counts.select(*part, column, "n"), column, {"__upto": ("sum", F.col("n"))}, part)
-    if part:
-        cumulative = cumulative.join(totals, list(part))
-    else:
-        cumulative = cumulative.select("*", totals.scalar().alias("__total"))
-    first = F.col("__upto") - F.col("n")
-    hits = F.filter(ranks, lambda r: (r > first) & (r <= F.col("__upto")))
-    return cumulative.select(*part, F.explode(hits).alias("rank"), F.col(column).alias("value"))
+    cumulative = running(counts.select(*part, column, "n"), column, {"upto": ("sum", F.col("n"))}, part)
+    first = F.col("upto") - F.col("n")
+    hits = F.filter(ranks, lambda r: (r > first) & (r <= F.col("upto")))
+    return cumulative.select(*part, F.explode(hits).alias("rank"), F.col(column).alias("value"), F.col("all_upto").alias("size"))

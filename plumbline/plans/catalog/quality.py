@@ -306,8 +306,8 @@ def _(spark, d):
     "stride_sample",
     sql(
         "",
-        """SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS at, count(*) OVER () AS total FROM orders)
-           WHERE at IN (SELECT (i * (SELECT count(*) FROM orders)) // 997 FROM range(997) t(i))""",
+        """SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
+           WHERE pos IN (SELECT (i * (SELECT count(*) FROM orders)) // 997 FROM range(997) t(i))""",
     ),
 )
 def _(spark, d):
@@ -758,10 +758,14 @@ def _(spark, d):
 
 @query(
     "j_dataset_pairs",
-    sql("", """SELECT a.s_name AS ref, b.s_name AS comp FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey"""),
+    sql(
+        "ds AS (SELECT source, min(doc_id) AS pos FROM documents GROUP BY 1)",
+        "SELECT a.source AS ref, b.source AS comp FROM ds a JOIN ds b ON a.pos < b.pos",
+    ),
 )
 def _(spark, d):
-    names = fr.table(spark, d, "supplier").select(F.col("s_suppkey").alias("position"), F.col("s_name").alias("dataset"))
+    # The registered datasets are the document sources: a fixed list however many documents there are.
+    names = fr.table(spark, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.min("doc_id").alias("position"))
     return dr.dataset_pairs(names)
 
 

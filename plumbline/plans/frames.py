@@ -12,8 +12,15 @@ from ..functions.bits import average_hash
 from ..functions.cells import predict
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A driver table; its schema is read from the file footer once, not by every query."""
+    path = f"{d}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # --- evaluation rows over orders -------------------------------------------------------------
