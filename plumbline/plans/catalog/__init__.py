@@ -1,6 +1,6 @@
 """The query catalog: one module per area, registered on import."""
 
 from ..registry import ORACLE, QUERIES
-from . import metrics, quality  # noqa: F401
+from . import metrics, quality, vision  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -147,8 +147,8 @@ base_hash AS (
   SELECT vec_id, label,
          CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash
   FROM (SELECT vec_id, label,
-               list_sum(list_transform(range(64), i -> CASE WHEN embedding[i + 1]::DOUBLE > m
-                        THEN (1::HUGEINT << (63 - i)::INT) ELSE 0::HUGEINT END)) AS h
+               list_sum([CASE WHEN embedding[i + 1]::DOUBLE > m
+                        THEN (1::HUGEINT << (63 - i)::INT) ELSE 0::HUGEINT END for i in range(64)]) AS h
         FROM (SELECT vec_id, label, embedding, list_avg(embedding::DOUBLE[]) AS m FROM embeddings))
 ),
 hashes AS (
