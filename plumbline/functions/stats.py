@@ -24,8 +24,8 @@ def proportion(k: Column, n: Column) -> Column:
 
 def wilson(k: Column, n: Column, z: float = Z_95) -> tuple[Column, Column]:
     """Wilson score interval: exact 0 and 1 at the ends, [0, 0] for an empty sample."""
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 0, _d(k) / _d(n))))
     size = F.when(n > 0, _d(n))
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _d(k) / size))
     z2 = z * z
     scale = F.lit(1.0) + F.lit(z2) / size
     center = (p + F.lit(z2) / (size * 2)) / scale
@@ -46,22 +46,17 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x < 0, 0.5 * tail).otherwise(1.0 - 0.5 * tail)
 
 
-def newcombe(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Column, Column, Column]:
-    """p1 - p2 with the Newcombe-Wilson 95 % interval."""
-    p1, p2 = proportion(k1, n1), proportion(k2, n2)
-    low1, high1 = wilson(k1, n1)
-    low2, high2 = wilson(k2, n2)
-    diff = p1 - p2
-    low = diff - F.sqrt((p1 - low1) * (p1 - low1) + (high2 - p2) * (high2 - p2))
-    high = diff + F.sqrt((high1 - p1) * (high1 - p1) + (p2 - low2) * (p2 - low2))
-    return diff, low, high
+def newcombe(p1: Column, low1: Column, high1: Column, p2: Column, low2: Column, high2: Column) -> tuple[Column, Column]:
+    """Newcombe-Wilson 95 % interval of p1 - p2 from the two proportions and their Wilson bounds."""
+    low = p1 - p2 - F.sqrt(F.pow(p1 - low1, 2) + F.pow(high2 - p2, 2))
+    high = p1 - p2 + F.sqrt(F.pow(high1 - p1, 2) + F.pow(p2 - low2, 2))
+    return low, high
 
 
-def pooled_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
-    """Pooled two-proportion z; 0 when the pooled variance is 0."""
+def pooled_error(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """Standard error of p1 - p2 under a common proportion."""
     pool = _d(k1 + k2) / _d(n1 + n2)
-    error = F.sqrt(pool * (1 - pool) * (1 / _d(n1) + 1 / _d(n2)))
-    return F.when(error == 0, 0.0).otherwise((proportion(k1, n1) - proportion(k2, n2)) / error)
+    return F.sqrt(pool * (1 - pool) * (1 / _d(n1) + 1 / _d(n2)))
 
 
 def kappa(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .inference import bh_adjust, cohen_kappa, effect_counts, stratified_effect, two_proportion
 
 MINIMUM_HELD_OUT = 50
@@ -95,7 +96,8 @@ def concept_verdict(labelled: DataFrame, audit: DataFrame, investigation: str =
     ``audit`` holds repeated ratings (concept_id, r1, r2); a concept without any counts as consistent.
     P-values are adjusted over the concepts of one investigation.
     """
-    tested = two_proportion(effect_counts(labelled, ("concept_id",)))
+    # One row per concept, read many times by the correction: cut here instead of replanning the joins.
+    tested = cut(two_proportion(effect_counts(labelled, ("concept_id",))), "concept-tests")
     adjusted = bh_adjust(tested.withColumn("investigation", F.lit(investigation)), ("investigation",))
     kappas = cohen_kappa(audit, by=("concept_id",)).select("concept_id", "kappa")
     strata = stratified_effect(labelled, stratum).select("concept_id", "survives")

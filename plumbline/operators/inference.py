@@ -5,64 +5,85 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.stats import kappa, newcombe, normal_cdf, pooled_z, proportion, wilson
+from ..functions.stats import kappa, newcombe, normal_cdf, pooled_error, proportion, wilson
 from .running import running
 
 SMALL_CELL = 5
 POWER_FLOOR = 25
-_SMALL_FACTORIALS = [math.lgamma(n + 1) for n in range(16)]
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n!: a short table, then Stirling's series (error below 1e-13 from 16 on)."""
-    x = n.cast("double")
-    inverse = F.try_divide(F.lit(1.0), x)
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n!: exact products below 16, then Stirling's series (error below 1e-13)."""
+    x = np.maximum(n, 16).astype(float)
+    inverse = 1.0 / x
     square = inverse * inverse
-    tail = inverse * (F.lit(1 / 12) - square * (F.lit(1 / 360) - square * (F.lit(1 / 1260) - square * F.lit(1 / 1680))))
-    series = (x + 0.5) * F.ln(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + tail
-    table = F.array(*[F.lit(v) for v in _SMALL_FACTORIALS])
-    return F.when(n < len(_SMALL_FACTORIALS), F.get(table, n.cast("int"))).otherwise(series)
+    tail = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
+    series = (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + tail
+    table = np.array([math.lgamma(i + 1) for i in range(16)])
+    return np.where(n < 16, table[np.minimum(n, 15)], series)
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+def _log_choose(n, k) -> np.ndarray:
+    n, k = np.asarray(n, dtype=np.int64), np.asarray(k, dtype=np.int64)
+    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
 
-def with_fisher(df: DataFrame, k1: str, n1: str, k2: str, n2: str, name: str = "p") -> DataFrame:
+def exact_p(k1: int, n1: int, k2: int, n2: int) -> float:
     """Two-sided Fisher p: the mass of all tables no likelier than the observed one.
 
     Only tables within 20 sqrt(smaller margin) of the expected count are summed. By Hoeffding's bound
     the rest is below the smallest double, so the sum is whole and its length stays near sqrt(n).
     """
-    hits, rows = F.col(k1) + F.col(k2), F.col(n1) + F.col(n2)
-    misses = rows - hits
-    low, high = F.greatest(F.lit(0).cast("long"), F.col(n1) - misses), F.least(F.col(n1), hits)
-    expected = F.try_divide(F.col(n1).cast("double") * hits, rows)
-    reach = F.ceil(F.sqrt(F.least(F.col(n1), hits).cast("double")) * 20) + 1
-    first = F.greatest(low, F.floor(expected - reach).cast("long"))
-    last = F.least(high, F.ceil(expected + reach).cast("long"))
-    prepared = df.select(
-        "*", hits.alias("__hits"), misses.alias("__misses"), first.alias("__lo"), last.alias("__hi"), _log_choose(rows, F.col(n1)).alias("__all")
-    )
+    hits, rows = k1 + k2, n1 + n2
+    if rows == 0:
+        return 1.0
+    margin = min(n1, hits)
+    expected, reach = n1 * hits / rows, 20 * math.sqrt(margin) + 1
+    low = max(0, n1 - (rows - hits), math.floor(expected - reach))
+    x = np.arange(low, min(margin, math.ceil(expected + reach)) + 1)
+    weight = lambda v: _log_choose(hits, v) + _log_choose(rows - hits, n1 - v) - _log_choose(rows, n1)
+    mass = weight(x)
+    return float(min(1.0, np.exp(mass[mass <= weight(k1) + 1e-9]).sum()))
 
-    def log_p(x: Column) -> Column:
-        return _log_choose(F.col("__hits"), x) + _log_choose(F.col("__misses"), F.col(n1) - x) - F.col("__all")
 
-    observed = prepared.select("*", log_p(F.col(k1)).alias("__seen"))
-    mass = F.aggregate(
-        F.transform(F.sequence("__lo", "__hi"), log_p),
-        F.lit(0.0),
-        lambda acc, lp: acc + F.when(lp <= F.col("__seen") + 1e-9, F.exp(lp)).otherwise(0.0),
-    )
-    p = F.when(F.col(n1) + F.col(n2) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mass)))
-    return observed.select(*df.columns, p.alias(name))
+@F.pandas_udf(T.DoubleType())
+def _exact_p(k1: pd.Series, n1: pd.Series, k2: pd.Series, n2: pd.Series) -> pd.Series:
+    """Rows with a NULL count are passed over: they need no exact test."""
+    rows = zip(k1, n1, k2, n2)
+    return pd.Series([None if pd.isna(row[0]) else exact_p(*map(int, row)) for row in rows], dtype="float64")
 
 
 def fisher_exact(df: DataFrame, k1: str = "k1", n1: str = "n1", k2: str = "k2", n2: str = "n2") -> DataFrame:
-    return with_fisher(df, k1, n1, k2, n2)
+    """Append the exact p of each row of counts.
+
+    Spark has no log-gamma, so this runs as an Arrow-batched function over already aggregated rows. It
+    also keeps a very long expression out of the plans that filter and join on p.
+    """
+    return df.select("*", _exact_p(k1, n1, k2, n2).alias("p"))
+
+
+def with_difference(df: DataFrame, k1: str = "k1", n1: str = "n1", k2: str = "k2", n2: str = "n2") -> DataFrame:
+    """Append p1, p2, diff and its Newcombe-Wilson bounds.
+
+    Written in steps: a name used more than once stays a column instead of being copied into every use.
+    """
+    c1, m1, c2, m2 = (F.col(c) for c in (k1, n1, k2, n2))
+    rates = df.select("*", proportion(c1, m1).alias("p1"), proportion(c2, m2).alias("p2"))
+    low1, high1 = wilson(c1, m1)
+    low2, high2 = wilson(c2, m2)
+    bounds = rates.select(
+        "*", low1.alias("__l1"), high1.alias("__h1"), low2.alias("__l2"), high2.alias("__h2")
+    )
+    low, high = newcombe(*[F.col(c) for c in ("p1", "__l1", "__h1", "p2", "__l2", "__h2")])
+    return bounds.select(
+        *rates.columns, (F.col("p1") - F.col("p2")).alias("diff"), low.alias("diff_low"), high.alias("diff_high")
+    )
 
 
 def two_proportion(
@@ -75,25 +96,29 @@ def two_proportion(
     """
     c1, m1, c2, m2 = (F.col(c) for c in (k1, n1, k2, n2))
     small = F.least(c1, m1 - c1, c2, m2 - c2) < SMALL_CELL
-    # The exact test reads zeros where it is not needed, so its sum is empty there.
-    z_rows = df.select("*", *[F.when(small, F.col(c)).otherwise(0).cast("long").alias(f"__{c}") for c in (k1, n1, k2, n2)])
-    exact = with_fisher(z_rows, f"__{k1}", f"__{n1}", f"__{k2}", f"__{n2}", "__exact")
-    diff, low, high = newcombe(c1, m1, c2, m2)
-    p1, p2 = proportion(c1, m1), proportion(c2, m2)
-    z = F.when(small, 0.0).otherwise(pooled_z(c1, m1, c2, m2))
-    p = F.when(small, F.col("__exact")).otherwise(F.when(z == 0, 1.0).otherwise(2 * (1 - normal_cdf(F.abs(z)))))
-    return exact.select(
+    compared = with_difference(df.select("*", small.alias("__small")), k1, n1, k2, n2)
+    tiny, diff, p1, p2 = (F.col(c) for c in ("__small", "diff", "p1", "p2"))
+    exact = compared.select(
+        "*",
+        _exact_p(*[F.when(tiny, c) for c in (c1, m1, c2, m2)]).alias("__exact"),
+        F.when(~tiny, pooled_error(c1, m1, c2, m2)).alias("__error"),
+    )
+    error = F.col("__error")
+    scored = exact.select("*", F.when(tiny | (error == 0), 0.0).otherwise(diff / error).alias("z"))
+    z = F.col("z")
+    p = F.when(tiny, F.col("__exact")).when(error == 0, 1.0).otherwise(2 * (1 - normal_cdf(F.abs(z))))
+    return scored.select(
         *df.columns,
-        p1.alias("p1"),
-        p2.alias("p2"),
-        diff.alias("diff"),
-        low.alias("diff_low"),
-        high.alias("diff_high"),
-        z.alias("z"),
+        "p1",
+        "p2",
+        "diff",
+        "diff_low",
+        "diff_high",
+        "z",
         p.alias("p"),
         F.when(p2 > 0, p1 / p2).when(p1 == 0, 1.0).alias("risk_ratio"),
         ((p2 == 0) & (p1 > 0)).alias("rr_infinite"),
-        F.when(small, "fisher_exact").otherwise("z_test").alias("test"),
+        F.when(tiny, "fisher_exact").otherwise("z_test").alias("test"),
         ((m1 < floor) | (m2 < floor)).alias("underpowered"),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import HASH_BITS
-from ..functions.stats import newcombe, proportion
+from .inference import with_difference
 
 AGREE = 3
 HOT_KEY = 2000
@@ -192,16 +192,14 @@ def leak_accuracy_gap(preds: DataFrame, leaked: DataFrame) -> DataFrame:
         F.count_if(~out & hit).alias("k_clean"),
         F.count_if(~out).alias("n_clean"),
     )
-    k1, n1, k2, n2 = (F.col(c) for c in ("k_leaked", "n_leaked", "k_clean", "n_clean"))
-    gap, low, high = newcombe(k1, n1, k2, n2)
-    row = counts.select(
+    row = with_difference(counts, "k_leaked", "n_leaked", "k_clean", "n_clean").select(
         "n_leaked",
         "n_clean",
-        proportion(k1, n1).alias("acc_leaked"),
-        proportion(k2, n2).alias("acc_clean"),
-        gap.alias("gap"),
-        low.alias("gap_low"),
-        high.alias("gap_high"),
+        F.col("p1").alias("acc_leaked"),
+        F.col("p2").alias("acc_clean"),
+        F.col("diff").alias("gap"),
+        F.col("diff_low").alias("gap_low"),
+        F.col("diff_high").alias("gap_high"),
     )
     return row.select("*", leak_severity().alias("severity"))
 

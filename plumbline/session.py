@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -41,3 +41,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, purpose: str = "stage") -> DataFrame:
+    """Write a small, often reused intermediate to the shared folder and read it back.
+
+    Downstream plans start at that table, and a lost executor rereads it instead of recomputing.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
