@@ -365,3 +365,181 @@ def raw_cells(spark: SparkSession, d: str) -> DataFrame:
         code.alias("code"),
         F.col("o_orderstatus").alias("status"),
     )
+
+
+# --- training runs with known curves ------------------------------------------------------------------
+
+RUNS_SQL = """
+runs AS (
+  SELECT 'cust_' || CAST(o_custkey AS VARCHAR) AS source, o_orderkey AS line_no, kind,
+         CASE kind WHEN 3 THEN idx * 2 WHEN 4 THEN idx % 4 ELSE idx END AS epoch,
+         CASE kind WHEN 0 THEN 1000 - 50 * least(idx, 18) WHEN 1 THEN 800 WHEN 2 THEN 500 + (idx % 2) * 200 WHEN 3 THEN 1000 - 10 * idx ELSE 700 END / 1000.0::DOUBLE AS train_loss,
+         CASE kind WHEN 0 THEN 500 + 40 * idx WHEN 1 THEN 700 + (idx % 2) * 100 WHEN 2 THEN 600 ELSE 700 END / 1000.0::DOUBLE AS val_loss
+  FROM (SELECT o_custkey, o_orderkey, o_custkey % 5 AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders)
+)"""
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """One training run per customer and one log line per order: overfitting, flat, swinging, gappy and restarted curves."""
+    from ..operators.running import row_index
+
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    placed = row_index(orders, "o_orderkey", ("o_custkey",), "idx")
+    kind, idx = F.col("o_custkey") % 5, F.col("idx")
+    epoch = F.when(kind == 3, idx * 2).when(kind == 4, idx % 4).otherwise(idx)
+    train = F.when(kind == 0, 1000 - 50 * F.least(idx, F.lit(18))).when(kind == 1, 800).when(kind == 2, 500 + (idx % 2) * 200)
+    train = train.when(kind == 3, 1000 - 10 * idx).otherwise(700)
+    val = F.when(kind == 0, 500 + 40 * idx).when(kind == 1, 700 + (idx % 2) * 100).when(kind == 2, 600).otherwise(700)
+    text = lambda c: (c.cast("double") / F.lit(1000.0)).cast("string")
+    line = F.concat(F.lit("epoch="), epoch.cast("string"), F.lit(" train_loss="), text(train), F.lit(" val_loss="), text(val))
+    return placed.select(
+        F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("source"),
+        F.col("o_orderkey").alias("line_no"),
+        line.alias("line"),
+    )
+
+
+JSON_SQL = """
+metric_json AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0
+     THEN '[{"val":{"accuracy":0.' || (10 + event_id % 80) || '}},{"loss":' || CAST(value AS VARCHAR) || '}]'
+     WHEN event_id % 3 = 1 THEN '{"history":[{"epoch":1,"val_acc":"' || (event_id % 100) || '%"}]}'
+     ELSE '{"props":' || props || ',"run":{"tags":["a","b"],"ok":true,"none":null}}' END AS text FROM events)"""
+
+
+def metric_json(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    txt = lambda c: c.cast("string")
+    text = (
+        F.when(e % 3 == 0, F.concat(F.lit('[{"val":{"accuracy":0.'), txt(e % 80 + 10), F.lit('}},{"loss":'), txt(F.col("value")), F.lit("}]")))
+        .when(e % 3 == 1, F.concat(F.lit('{"history":[{"epoch":1,"val_acc":"'), txt(e % 100), F.lit('%"}]}')))
+        .otherwise(F.concat(F.lit('{"props":'), F.col("props"), F.lit(',"run":{"tags":["a","b"],"ok":true,"none":null}}')))
+    )
+    return table(spark, d, "events").select("event_id", text.alias("text"))
+
+
+# --- provenance records over customers, orders and line items -------------------------------------------
+
+ENTITIES_SQL = """
+sources AS (SELECT 'source_' || c_custkey AS id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'user_assumption' ELSE 'uploaded_file' END AS kind FROM customer),
+datasets AS (SELECT 'dataset_' || o_orderkey AS id, CASE WHEN o_orderkey % 1000 = 7 THEN 'source_x' ELSE 'source_' END || o_custkey AS source_id FROM orders),
+calls AS (SELECT 'call_' || o_orderkey AS id, 'dataset_' || o_orderkey AS dataset_id, CASE o_orderstatus WHEN 'F' THEN 'threshold_sweep' WHEN 'O' THEN 'run_drift_tests' ELSE 'profile_dataset' END AS tool,
+                 o_orderdate AS requested_at FROM orders),
+results AS (SELECT 'result_' || o_orderkey AS id, 'call_' || CASE WHEN o_orderkey % 500 = 3 THEN o_orderkey + 1 ELSE o_orderkey END AS call_id,
+                   CASE WHEN o_orderkey % 700 = 5 THEN 'check_calibration' WHEN o_orderstatus = 'F' THEN 'threshold_sweep' WHEN o_orderstatus = 'O' THEN 'run_drift_tests' ELSE 'profile_dataset' END AS tool,
+                   CASE WHEN o_orderpriority = '5-LOW' THEN 'failed' ELSE 'completed' END AS status,
+                   o_orderdate + INTERVAL 1 DAY * (CASE WHEN o_orderkey % 900 = 11 THEN -1 ELSE 1 END) AS completed_at FROM orders),
+evidence AS (SELECT 'evidence_' || l_orderkey || '_' || l_linenumber AS id, 'result_' || l_orderkey AS result_id, CASE WHEN min(l_returnflag) = 'N' THEN 'assumption' ELSE 'measurement' END AS kind
+             FROM lineitem GROUP BY l_orderkey, l_linenumber),
+hypotheses AS (SELECT 'hypothesis_' || c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'supported' WHEN 'MACHINERY' THEN 'rejected' ELSE 'proposed' END AS status,
+                      CASE c_nationkey % 4 WHEN 0 THEN 'unassessed' WHEN 1 THEN 'limited' WHEN 2 THEN 'moderate' ELSE 'strong' END AS level, (c_nationkey % 3)::BIGINT AS open_questions FROM customer),
+experiments AS (SELECT 'experiment_' || o_orderkey AS id, 'hypothesis_' || o_custkey AS hypothesis_id, CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 <> 0 THEN 'completed' ELSE 'planned' END AS status,
+                       CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 <> 0 OR o_orderkey % 800 = 1 THEN
+                         CASE WHEN o_custkey % 7 < 4 THEN 'supports' WHEN o_orderpriority = '1-URGENT' THEN 'weakens' WHEN o_orderpriority = '2-HIGH' THEN 'rejects' WHEN o_orderpriority = '5-LOW' THEN 'inconclusive' ELSE 'supports' END END AS outcome
+                FROM orders),
+comparisons AS (SELECT 'comparison_' || o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN 'passed' WHEN o_totalprice > 100000 THEN 'failed' ELSE 'inconclusive' END AS status FROM orders)"""
+
+
+def entities(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Record tables with planted broken references, mismatched results and unsupported claims."""
+    customer, orders, lines = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "lineitem")
+    key, cust, nation = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    tool = F.when(F.col("o_orderstatus") == "F", "threshold_sweep").when(F.col("o_orderstatus") == "O", "run_drift_tests").otherwise("profile_dataset")
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    segment, priority = F.col("c_mktsegment"), F.col("o_orderpriority")
+    done = (F.col("o_orderstatus") == "F") & (cust % 3 != 0)
+    outcome = (
+        F.when(cust % 7 < 4, "supports").when(priority == "1-URGENT", "weakens").when(priority == "2-HIGH", "rejects")
+        .when(priority == "5-LOW", "inconclusive").otherwise("supports")
+    )
+    price = F.col("o_totalprice")
+    return {
+        "sources": customer.select(
+            name("source_", F.col("c_custkey")).alias("id"), F.when(segment == "MACHINERY", "user_assumption").otherwise("uploaded_file").alias("kind")
+        ),
+        "datasets": orders.select(
+            name("dataset_", key).alias("id"), F.when(key % 1000 == 7, name("source_x", cust)).otherwise(name("source_", cust)).alias("source_id")
+        ),
+        "calls": orders.select(name("call_", key).alias("id"), name("dataset_", key).alias("dataset_id"), tool.alias("tool"), day.alias("requested_at")),
+        "results": orders.select(
+            name("result_", key).alias("id"),
+            name("call_", F.when(key % 500 == 3, key + 1).otherwise(key)).alias("call_id"),
+            F.when(key % 700 == 5, "check_calibration").otherwise(tool).alias("tool"),
+            F.when(priority == "5-LOW", "failed").otherwise("completed").alias("status"),
+            (day + F.expr("make_dt_interval(case when o_orderkey % 900 = 11 then -1 else 1 end)")).alias("completed_at"),
+        ),
+        "evidence": lines.groupBy("l_orderkey", "l_linenumber")
+        .agg(F.min("l_returnflag").alias("flag"))
+        .select(
+            F.concat(name("evidence_", F.col("l_orderkey")), name("_", F.col("l_linenumber"))).alias("id"),
+            name("result_", F.col("l_orderkey")).alias("result_id"),
+            F.when(F.col("flag") == "N", "assumption").otherwise("measurement").alias("kind"),
+        ),
+        "hypotheses": customer.select(
+            name("hypothesis_", F.col("c_custkey")).alias("id"),
+            F.when(segment == "BUILDING", "supported").when(segment == "MACHINERY", "rejected").otherwise("proposed").alias("status"),
+            F.when(nation % 4 == 0, "unassessed").when(nation % 4 == 1, "limited").when(nation % 4 == 2, "moderate").otherwise("strong").alias("level"),
+            (nation % 3).cast("long").alias("open_questions"),
+        ),
+        "experiments": orders.select(
+            name("experiment_", key).alias("id"),
+            name("hypothesis_", cust).alias("hypothesis_id"),
+            F.when(done, "completed").otherwise("planned").alias("status"),
+            F.when(done | (key % 800 == 1), outcome).alias("outcome"),
+        ),
+        "comparisons": orders.select(
+            name("comparison_", key).alias("id"), F.when(price > 300000, "passed").when(price > 100000, "failed").otherwise("inconclusive").alias("status")
+        ),
+    }
+
+
+# --- raw evaluation cells and raw predictions -------------------------------------------------------------
+
+RAW_EVAL_SQL = """
+raw_eval AS (
+  SELECT row_id AS row_no, CASE WHEN row_id % 997 = 1 THEN 'yes' WHEN row_id % 991 = 2 THEN ' NA ' ELSE ' ' || y_true END AS y_true, y_pred,
+         CASE row_id % 503 WHEN 0 THEN '1e400' WHEN 1 THEN 'nan' WHEN 2 THEN '0.5d' WHEN 3 THEN '-0.1' WHEN 4 THEN '1.5' WHEN 5 THEN '' ELSE CAST(y_probability AS VARCHAR) END AS y_probability, site
+  FROM eval_orders)"""
+
+
+def raw_eval(spark: SparkSession, d: str, clean: bool = False) -> DataFrame:
+    """Evaluation rows as text, with bad labels and probabilities planted unless ``clean``."""
+    ev, key = eval_orders(spark, d), F.col("row_id")
+    p = F.col("y_probability").cast("string")
+    truth = F.concat(F.lit(" "), F.col("y_true"))
+    if not clean:
+        truth = F.when(key % 997 == 1, "yes").when(key % 991 == 2, " NA ").otherwise(truth)
+        k = key % 503
+        p = (
+            F.when(k == 0, "1e400").when(k == 1, "nan").when(k == 2, "0.5d").when(k == 3, "-0.1").when(k == 4, "1.5").when(k == 5, "").otherwise(p)
+        )
+    return ev.select(key.alias("row_no"), truth.alias("y_true"), F.col("y_pred"), p.alias("y_probability"), F.col("site"))
+
+
+RAW_PREDS_SQL = """
+raw_preds AS (
+  SELECT o_orderkey AS row_no, CASE WHEN o_orderkey % 300 = 0 THEN ' ' ELSE 'Img_' || CAST(CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 1 ELSE o_orderkey END AS VARCHAR) || '.PNG' END AS filename,
+    CASE o_orderkey % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN '1' WHEN 2 THEN 'maybe' ELSE '0' END AS label, CASE WHEN o_orderstatus = 'F' THEN 'TRUE' ELSE 'no' END AS pred,
+    CASE o_orderkey % 50 WHEN 0 THEN 'high' WHEN 1 THEN '1.7' WHEN 2 THEN '-3' WHEN 3 THEN '0.25abc' ELSE CAST((o_custkey % 1000) / 1000.0::DOUBLE AS VARCHAR) END AS score,
+    CASE o_orderkey % 6 WHEN 0 THEN 'Training' WHEN 1 THEN 'VALIDATION' WHEN 2 THEN 'production' WHEN 3 THEN 'testset' WHEN 4 THEN 'holdout' ELSE 'train-val' END AS subset,
+    o_orderpriority AS hospital, CASE WHEN o_orderkey % 5 = 0 THEN '  ' ELSE CAST(o_custkey % 3 AS VARCHAR) END AS has_ruler
+  FROM orders)"""
+
+
+def raw_preds(spark: SparkSession, d: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    txt = lambda c: c.cast("string")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (key % n + 1).cast("int"))
+    k = key % 50
+    score = F.when(k == 0, "high").when(k == 1, "1.7").when(k == 2, "-3").when(k == 3, "0.25abc")
+    return table(spark, d, "orders").select(
+        key.alias("row_no"),
+        F.when(key % 300 == 0, " ").otherwise(F.concat(F.lit("Img_"), txt(F.when(key % 10 == 9, key - 1).otherwise(key)), F.lit(".PNG"))).alias("filename"),
+        pick(4, "Positive", "1", "maybe", "0").alias("label"),
+        F.when(F.col("o_orderstatus") == "F", "TRUE").otherwise("no").alias("pred"),
+        score.otherwise(txt((cust % 1000).cast("double") / F.lit(1000.0))).alias("score"),
+        pick(6, "Training", "VALIDATION", "production", "testset", "holdout", "train-val").alias("subset"),
+        F.col("o_orderpriority").alias("hospital"),
+        F.when(key % 5 == 0, "  ").otherwise(txt(cust % 3)).alias("has_ruler"),
+    )
