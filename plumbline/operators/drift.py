@@ -107,8 +107,9 @@ def ecdf_distances(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> D
     both = F.coalesce((F.col("n_ref") > 0) & (F.col("n_comp") > 0), F.lit(False))
     reason = F.when(~both, "empty sample").when(F.col("words") > 0, "not numeric")
     usable = reason.isNull()
-    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
-    w1 = F.when(usable, F.greatest(F.lit(0.0), finite(F.coalesce("w1", F.lit(0.0)))))
+    distance = F.coalesce("w1", F.lit(0.0))
+    # greatest() skips NULL, so the overflow test has to come first.
+    w1 = F.when(usable & (F.abs(distance) < float("inf")), F.greatest(F.lit(0.0), distance))
     return joined.select(
         "feature",
         F.coalesce("n_ref", F.lit(0)).cast("long").alias("n_ref"),

@@ -258,7 +258,8 @@ def reliability_profile(facts: DataFrame) -> DataFrame:
     c = F.col
     bounded = lambda low, value: F.greatest(F.lit(float(low)), F.least(F.lit(100.0), F.round(value)))
     overall = F.when(c("balanced_accuracy").isNotNull(), c("accuracy") * 0.7 + c("balanced_accuracy") * 0.3).otherwise(c("accuracy"))
-    saved = F.greatest(F.lit(0.0), F.try_divide(c("cost_before") - c("cost_after"), c("cost_before")))
+    share = F.try_divide(c("cost_before") - c("cost_after"), c("cost_before"))
+    saved = F.when(share.isNotNull(), F.greatest(F.lit(0.0), share))
     scores = {
         "performance": F.round(overall * 100),
         "minority": F.when(c("minority_recall").isNotNull(), bounded(1, c("minority_recall") * 100)),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import compare as cp
 from ...operators import trends as tr
+from ...session import cut
 from ...sources import logs as lg
 from .. import frames as fr
 from ..registry import query, sql
@@ -173,7 +174,8 @@ unstable AS (SELECT source, first_epoch, last_epoch, 'Possible unstable training
 
 
 def _history(spark, d):
-    return tr.epoch_history(lg.extract_metrics(fr.runs(spark, d)))
+    # The metric rows are the silver table of a log: written once, then read by every history rule.
+    return tr.epoch_history(cut(lg.extract_metrics(fr.runs(spark, d)), "log-metrics"))
 
 
 @query("epoch_history", sql(RU + "," + HISTORY, "SELECT * FROM hist", ["value"]))

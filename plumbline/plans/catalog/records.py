@@ -227,7 +227,8 @@ def _(spark, d):
 
 
 EV_SEQ = """
-seq AS (SELECT user_id, event_id AS position, event_id - CASE WHEN event_id % 97 = 0 THEN 100000 ELSE 0 END AS sequence, ts - CASE WHEN event_id % 89 = 0 THEN INTERVAL 40 DAY ELSE INTERVAL 0 DAY END AS at FROM events)"""
+seq AS (SELECT user_id, event_id AS position, event_id - CASE WHEN event_id % 97 = 0 THEN 100000 ELSE 0 END AS num, ts - CASE WHEN event_id % 89 = 0 THEN INTERVAL 40 DAY ELSE INTERVAL 0 DAY END AS moment FROM events),
+pairs AS (SELECT *, lag(num) OVER w AS before_num, lag(moment) OVER w AS before_moment FROM seq WINDOW w AS (PARTITION BY user_id ORDER BY position))"""
 
 
 def _sequence(spark, d):
@@ -243,9 +244,9 @@ def _sequence(spark, d):
     "event_sequence_check",
     sql(
         EV_SEQ,
-        """SELECT user_id, position, unnest([CASE WHEN sequence <= ls THEN 'sequence' END, CASE WHEN at < la THEN 'time' END]) AS rule
-           FROM (SELECT *, lag(sequence) OVER w AS ls, lag(at) OVER w AS la FROM seq WINDOW w AS (PARTITION BY user_id ORDER BY position)) QUALIFY true""",
-    ).replace(" QUALIFY true", "").replace("SELECT * FROM (\n", "SELECT * FROM (\n") + " WHERE rule IS NOT NULL",
+        """SELECT user_id, position, 'sequence' AS rule FROM pairs WHERE num <= before_num
+           UNION ALL SELECT user_id, position, 'time' FROM pairs WHERE moment < before_moment""",
+    ),
 )
 def _(spark, d):
     return rec.sequence_violations(_sequence(spark, d), ("user_id",))
