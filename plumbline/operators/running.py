@@ -3,8 +3,8 @@
 A window with no (or a hot) partition key sorts everything in one task. Here rows are first cut into
 range buckets; running values are computed inside each bucket and the totals of earlier buckets (a
 table of at most ``parts x buckets`` rows) are added. The bucket of a row is a plain function of its
-value and of approximate quantiles, so a lost executor recomputes exactly the same buckets; the
-quantiles only balance the work, they never influence a result.
+value and of fixed cuts, so a lost executor recomputes exactly the same buckets. The cuts are
+approximate quantiles: they only balance the work and never influence a result.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BUCKET = "__bucket"
 MAX_BUCKETS = 256
 
@@ -43,18 +45,23 @@ def count_below(cuts: Column, size: int, value: Column, strict: bool = False) ->
 def _place(df: DataFrame, order: str, part: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """Add ``__bucket``, non-decreasing in ``order`` within each ``part``, and a total ``all_x`` per sum.
 
-    Cuts and totals come from one aggregate that reads every column the running pass reads, so Spark
-    computes the shuffle below both once and reuses it.
+    Approximate quantiles depend on the order in which partial sketches merge, so they are taken exactly
+    once: as literals for a whole frame, as a small written table (one row per part) otherwise. Every
+    later evaluation, retries after a lost executor included, then sees the same cuts.
     """
     buckets = bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = F.percentile_approx(F.col(order), shares, 10 * buckets).alias("__cuts")
     totals = [F.sum(c).alias(f"all_{n}") for n, c in sums.items()]
     if part:
-        placed = df.join(df.groupBy(*part).agg(cuts, *totals), list(part))
+        limits = cut(df.groupBy(*part).agg(cuts, *totals), "limits")
+        placed = df.join(limits, list(part))
     else:
-        limits = df.agg(F.struct(cuts, *totals).alias("__limits")).scalar()
-        placed = df.select("*", limits.alias("__limits")).select(*df.columns, "__limits.*")
+        wanted = df.agg(cuts, *totals)
+        row = wanted.first()
+        literals = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in wanted.schema.fields[1:]]
+        edges = F.array(*[F.lit(v) for v in row["__cuts"] or []]).cast(wanted.schema["__cuts"].dataType)
+        placed = df.select("*", edges.alias("__cuts"), *literals)
     bucket = F.coalesce(count_below(F.col("__cuts"), buckets - 1, F.col(order), strict=True), F.lit(0))
     return placed.select("*", bucket.alias(BUCKET)).drop("__cuts")
 
@@ -75,7 +82,7 @@ def running(
     ``aggs`` maps a name to ("sum" | "min" | "max", column), or to ("prev", column) for the column's
     value in the preceding row (the column must not be NULL). Each sum also gives its grand total per
     part as ``all_<name>``. The order must be unique within a part (group by it first, or end it with a row id). Its first
-    column must be numeric or a timestamp; NULLs come first ascending and last descending.
+    column must be numeric; NULLs come first ascending and last descending.
     """
     columns = [order] if isinstance(order, str) else list(order)
     given = df.columns

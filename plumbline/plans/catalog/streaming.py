@@ -145,7 +145,7 @@ def _(spark, d):
     events = _stream(spark, d, "events").select("user_id", F.col("event_id").alias("position"), number.alias("sequence"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", mon.ROCKSDB)
     try:
-        return mon.run_to_table(mon.sequence_check(events), shared_dir(spark, "sequence"))
+        return mon.run_to_table(mon.sequence_check(events, expire=False), shared_dir(spark, "sequence"))
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
@@ -155,7 +155,8 @@ def _(spark, d):
 IMAGES = """
 px AS (SELECT vec_id AS id, i, floor(abs(embedding[1 + (i * 5 + i // 64) % 64]::DOUBLE) * 1000) % 256 AS r, floor(abs(embedding[1 + (i * 5 + 11 + i // 64) % 64]::DOUBLE) * 1000) % 256 AS g,
               floor(abs(embedding[1 + (i * 5 + 22 + i // 64) % 64]::DOUBLE) * 1000) % 256 AS b FROM embeddings, range(256) t(i)),
-lum AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y, r - g AS rg, 0.5 * (r + g) - b AS yb, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM px)"""
+luma AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y FROM px),
+lum AS (SELECT *, power(y::FLOAT::DOUBLE - avg(y) OVER (PARTITION BY id), 2) AS sq, r - g AS rg, 0.5 * (r + g) - b AS yb, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM luma)"""
 
 
 def _images(spark, d) -> DataFrame:
@@ -177,7 +178,7 @@ def _(spark, d):
     "profile_images_basic",
     sql(
         IMAGES,
-        """SELECT id, avg(y) AS mean_luminance, stddev_pop(y) AS std_luminance, stddev_pop(y) / 255 AS rms_contrast, avg(CASE WHEN mx = 0 THEN 0 ELSE (mx - mn) / mx END) AS mean_saturation,
+        """SELECT id, avg(y) AS mean_luminance, sqrt(avg(sq)) AS std_luminance, sqrt(avg(sq)) / 255 AS rms_contrast, avg(CASE WHEN mx = 0 THEN 0 ELSE (mx - mn) / mx END) AS mean_saturation,
              sqrt(var_pop(rg) + var_pop(yb)) + 0.3 * sqrt(avg(rg) * avg(rg) + avg(yb) * avg(yb)) AS colorfulness,
              avg(CASE WHEN y >= 250 THEN 1.0 ELSE 0 END) AS clipped_highlights, avg(CASE WHEN y <= 5 THEN 1.0 ELSE 0 END) AS crushed_blacks FROM lum GROUP BY id""",
         ["mean_luminance", "std_luminance", "rms_contrast", "mean_saturation", "colorfulness", "clipped_highlights", "crushed_blacks"],

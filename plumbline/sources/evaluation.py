@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import decimal_value, extras_map, in_label_pair, is_missing, is_probability, strip_bom, trimmed
+from ..session import cut
 
 REQUIRED = ("y_true", "y_pred", "y_probability")
 CORRUPT = "_corrupt"
@@ -65,7 +66,11 @@ def parse_csv_lines(lines: DataFrame, column: str, header: Sequence[str], keep:
 
 
 def read_strict_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A CSV file as text columns: (rows, ragged records). The header is checked on the driver (one line)."""
+    """A CSV file as text columns: (rows, ragged records). The header is checked on the driver (one line).
+
+    The parsed records are written once: Spark's reader cannot answer for the corrupt column alone, and
+    pruned columns would hide ragged records.
+    """
     first = spark.read.text(path).first()
     if first is None:
         raise ValueError("CSV needs a header and at least one data row")
@@ -73,7 +78,7 @@ def read_strict_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     parsed = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
-    return _split_shape(parsed, names, ())
+    return _split_shape(cut(parsed, "csv"), names, ())
 
 
 # --- evaluation rows -------------------------------------------------------------------------------

@@ -174,20 +174,21 @@ def flatten_json(df: DataFrame, key: str, text: str, depth: int = DEPTH) -> Data
     A top-level array, or the array under ``history``, is a list of records; anything else is record 0.
     Numbers and strings are kept. Containers below ``depth`` come out with a NULL value.
     """
-    parsed = df.select(key, F.try_parse_json(text).alias("doc")).filter(F.col("doc").isNotNull())
-    top = F.col("doc").try_cast("array<variant>")
-    history = F.try_variant_get("doc", "$.history", "array<variant>")
-    shape = F.schema_of_variant("doc")
+    parsed = df.select(key, F.try_parse_json(text).alias("__doc")).filter(F.col("__doc").isNotNull())
+    top = F.col("__doc").try_cast("array<variant>")
+    history = F.try_variant_get("__doc", "$.history", "array<variant>")
+    shape = F.schema_of_variant("__doc")
     records = (
         F.when(F.startswith(shape, F.lit("ARRAY")), top)
         .when(F.startswith(shape, F.lit("OBJECT")) & history.isNotNull(), history)
-        .otherwise(F.array(F.col("doc")))
+        .otherwise(F.array(F.col("__doc")))
     )
-    rows = parsed.select(key, F.posexplode(records).alias("record", "node"))
-    items = rows.select(key, F.col("record").cast("long").alias("record"), F.array(F.struct(F.lit("").alias("path"), F.col("node").alias("node"))).alias("items"))
+    rows = parsed.select(key, F.posexplode(records).alias("__at", "__node"))
+    root = F.array(F.struct(F.lit("").alias("path"), F.col("__node").alias("node")))
+    items = rows.select(key, F.col("__at").cast("long").alias("record"), root.alias("__items"))
     for _ in range(depth):
-        items = items.select(key, "record", F.flatten(F.transform("items", _children)).alias("items"))
-    leaves = items.select(key, "record", F.inline("items"))
+        items = items.select(key, "record", F.flatten(F.transform("__items", _children)).alias("__items"))
+    leaves = items.select(key, "record", F.inline("__items"))
     kind = F.schema_of_variant("node")
     inner = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
     kept = leaves.filter(~kind.isin("VOID", "BOOLEAN"))

@@ -93,10 +93,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class LastSequence(StatefulProcessor):
-    """Keeps the last sequence number of each user for a day and reports numbers that do not increase."""
+    """Keeps the last sequence number of each user and reports numbers that do not increase."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "sequence bigint", ttlDurationMs=DAY_MS)
+        self.last = handle.getValueState("last", "sequence bigint", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One batch of one user, in arrival order inside the micro-batch.
@@ -115,16 +118,20 @@ class LastSequence(StatefulProcessor):
         pass
 
 
-def sequence_check(events: DataFrame) -> DataFrame:
+def sequence_check(events: DataFrame, expire: bool = True) -> DataFrame:
     """Violations of strictly increasing sequence numbers per user (user_id, position, sequence).
 
-    State of this kind lives in RocksDB: set ``spark.sql.streaming.stateStore.providerClass`` to
-    ``ROCKSDB`` in the session before starting the query.
+    State expires after a day. Expiry runs on processing time, which keeps a query alive for ever: turn
+    it off to run over a finite input. State of this kind lives in RocksDB: set
+    ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB`` before starting the query.
     """
+    processor = LastSequence(DAY_MS if expire else None)
     return (
         events.select("user_id", "position", "sequence")
         .groupBy("user_id")
-        .transformWithStateInPandas(LastSequence(), SEQUENCE_OUT, outputMode="append", timeMode="processingTime")
+        .transformWithStateInPandas(
+            processor, SEQUENCE_OUT, outputMode="append", timeMode="processingTime" if expire else "none"
+        )
     )
 
 
