@@ -13,6 +13,7 @@ from ..functions.cells import decimal_value, is_missing, trimmed
 from .running import count_below, running
 
 MAX_CATEGORIES = 100
+MAX_DATASETS = 200
 PSEUDOCOUNT = 0.5
 LABEL_COLUMNS = ("y_true", "y_pred")
 
@@ -242,10 +243,16 @@ def categories_of(ref: DataFrame, comp: DataFrame, column: str) -> DataFrame:
 
 
 def dataset_pairs(names: DataFrame, order: str = "position", name: str = "dataset") -> DataFrame:
-    """Every unordered pair of registered datasets, the earlier one as reference."""
-    later = names.select(F.col(order).alias("__later"), F.col(name).alias("comp"))
-    pairs = names.join(F.broadcast(later), F.col(order) < F.col("__later"))
-    return pairs.select(F.col(name).alias("ref"), "comp")
+    """Every unordered pair of registered datasets, the earlier one as reference.
+
+    Registered datasets are few: the list is read with a hard limit and refused beyond it.
+    """
+    rows = names.select(order, name).orderBy(order).limit(MAX_DATASETS + 1).collect()
+    if len(rows) > MAX_DATASETS:
+        raise ValueError(f"more than {MAX_DATASETS} datasets to pair")
+    listed = [r[name] for r in rows]
+    pairs = [(a, b) for i, a in enumerate(listed) for b in listed[i + 1 :]]
+    return names.sparkSession.createDataFrame(pairs, "ref string, comp string")
 
 
 def dataset_pair_review(datasets: Mapping[str, DataFrame], columns: Sequence[str], bins: int = 10) -> DataFrame:

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BUCKET = "__bucket"
-MAX_BUCKETS = 256
+# Buckets of a whole frame, and of each part of a partitioned one.
+MAX_BUCKETS, MAX_PART_BUCKETS = 1024, 256
 
 
-def bucket_count(df: DataFrame) -> int:
+def bucket_count(df: DataFrame, part: Sequence[str] = ()) -> int:
+    """As many buckets as shuffle tasks, within bounds that keep the cuts small."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_BUCKETS, partitions))
+    return max(2, min(MAX_PART_BUCKETS if part else MAX_BUCKETS, partitions))
 
 
 def count_below(cuts: Column, size: int, value: Column, strict: bool = False) -> Column:
@@ -49,9 +51,9 @@ def _place(df: DataFrame, order: str, part: Sequence[str], sums: Mapping[str, Co
     once: as literals for a whole frame, as a small written table (one row per part) otherwise. Every
     later evaluation, retries after a lost executor included, then sees the same cuts.
     """
-    buckets = bucket_count(df)
+    buckets = bucket_count(df, part)
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx(F.col(order), shares, 10 * buckets).alias("__cuts")
+    cuts = F.array_distinct(F.percentile_approx(F.col(order), shares, 10 * buckets)).alias("__cuts")
     totals = [F.sum(c).alias(f"all_{n}") for n, c in sums.items()]
     if part:
         limits = cut(df.groupBy(*part).agg(cuts, *totals), "limits")

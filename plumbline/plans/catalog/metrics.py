@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ...functions.cells import predict
 from ...operators import calibration as cal
 from ...operators import metrics as m
+from ...operators import running as rn
 from ...operators import slices as sl
 from ...operators import thresholds as th
 from .. import frames as fr
 from ..registry import query, sql
+from ..tools import run_tool
 
 EO, ED = fr.EVAL_ORDERS_SQL, fr.EVAL_DOCS_SQL
 
@@ -374,3 +376,48 @@ def _(spark, d):
     ev = fr.eval_orders(spark, d)
     overall = m.metric_rows(m.confusion(ev))
     return sl.slice_vs_overall(sl.slice_metrics(ev, SLICE_COLS), overall)
+
+
+STATS = """
+ranked AS (SELECT y_probability AS value, row_number() OVER (ORDER BY y_probability) AS rank, count(*) OVER () AS size FROM eval_orders)"""
+
+
+@query(
+    "order_stat",
+    sql(EO + "," + STATS, "SELECT rank, value, size FROM ranked WHERE rank IN (1, ceil(size / 4.0)::BIGINT, ceil(size / 2.0)::BIGINT, size)", ["value"]),
+)
+def _(spark, d):
+    counts = rn.value_counts(fr.eval_orders(spark, d), "y_probability")
+    n = F.col("all_upto")
+    ranks = F.array(F.lit(1).cast("long"), F.ceil(n / 4).cast("long"), F.ceil(n / 2).cast("long"), n)
+    return rn.order_statistics(counts, "y_probability", ranks)
+
+
+@query(
+    "slice_evaluation",
+    sql(
+        EO + "," + SLICES + "," + OVERALL,
+        """SELECT s."column", s.slice_value, s.metric, s.value, CASE WHEN s.metric <> 'minority_recall' THEN (s.value - o.value) * 100 END AS delta_pp, c.grouped
+           FROM smetrics s JOIN (SELECT metric, value FROM overall UNION ALL SELECT metric, value FROM (
+             WITH """ + ranking("eval_orders").strip() + """ SELECT metric, value FROM ranking)) o ON s.metric = o.metric JOIN coverage c ON c."column" = s."column" WHERE s."column" = 'site'""",
+        ["value", "delta_pp"],
+    ),
+)
+def _(spark, d):
+    report = run_tool("slice_evaluation", fr.eval_orders(spark, d), columns=["site"])
+    grouped = report["coverage"].select("column", "grouped")
+    return report["deltas"].drop("overall").join(F.broadcast(grouped), "column")
+
+
+@query(
+    "run_counterfactual_test",
+    sql(
+        EO + "," + CONF.format(src="eval_orders"),
+        """SELECT tp, fp, tn, fn, CASE WHEN ba_gap >= 5 AND mr_gap >= 5 THEN 'supports' WHEN ba_gap >= 5 OR mr_gap >= 5 THEN 'weakens' ELSE 'rejects' END AS outcome
+           FROM (SELECT *, 100 * ((tp + tn)::DOUBLE / (tp + fp + tn + fn) - (tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2) AS ba_gap,
+                        100 * ((tp + tn)::DOUBLE / (tp + fp + tn + fn) - CASE WHEN tp + fn < tn + fp THEN tp::DOUBLE / (tp + fn) ELSE tn::DOUBLE / (tn + fp) END) AS mr_gap FROM conf)""",
+    ),
+)
+def _(spark, d):
+    report = run_tool("run_counterfactual_test", fr.eval_orders(spark, d), minimum_gap=5.0)
+    return report["outcome"].select("tp", "fp", "tn", "fn", "outcome")
