@@ -68,19 +68,24 @@ def balanced_minority(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return metric_rows(counts, by, BALANCED)
 
 
-def _score_steps(ev: DataFrame, positive: str, by: Sequence[str]) -> DataFrame:
-    """Running positives and negatives per distinct score, best first; unscored rows form a last NULL row."""
-    grouped = ev.groupBy(*by, F.col("y_probability").alias("score")).agg(
+def score_counts(ev: DataFrame, positive: str = "1", by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score; rows without one form a NULL score."""
+    return ev.groupBy(*by, F.col("y_probability").alias("score")).agg(
         F.count_if(F.col("y_true") == positive).alias("pos"),
         F.count_if(F.col("y_true") != positive).alias("neg"),
     )
+
+
+def _score_steps(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Running positives and negatives, best score first; unscored rows come last."""
     sums = {"cum_pos": ("sum", F.col("pos")), "cum_neg": ("sum", F.col("neg"))}
-    return running(grouped, "score", sums, by, descending=True)
+    return running(counts, "score", sums, by, descending=True)
 
 
 def cum_counts(ev: DataFrame, positive: str = "1", by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives at or above each distinct score. Equal scores form one row."""
-    return _score_steps(ev, positive, by).filter(F.col("score").isNotNull()).drop("all_cum_pos", "all_cum_neg")
+    steps = _score_steps(score_counts(ev, positive, by), by)
+    return steps.filter(F.col("score").isNotNull()).drop("all_cum_pos", "all_cum_neg")
 
 
 def ranking_metrics(ev: DataFrame, positive: str = "1", by: Sequence[str] = ()) -> DataFrame:
@@ -88,6 +93,11 @@ def ranking_metrics(ev: DataFrame, positive: str = "1", by: Sequence[str] = ())
 
     Undefined when one class is absent or any probability is missing: no filtered subset is scored.
     """
+    return ranking_of_counts(score_counts(ev, positive, by), by)
+
+
+def ranking_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``ranking_metrics`` of (by, score, pos, neg) rows."""
     before, upto = F.col("cum_pos") - F.col("pos"), F.col("cum_pos")
     # Shares of the totals, not counts: the area stays below 1 and cannot overflow.
     strip = F.col("neg") / F.col("all_cum_neg") * (before + upto) / F.col("all_cum_pos") / 2
@@ -95,7 +105,7 @@ def ranking_metrics(ev: DataFrame, positive: str = "1", by: Sequence[str] = ())
     size = F.col("pos") + F.col("neg")
     zero = F.lit(0).cast("long")
     defined = (F.col("all_cum_pos") > 0) & (F.col("all_cum_neg") > 0)
-    facts = _score_steps(ev, positive, by).groupBy(*by).agg(
+    facts = _score_steps(counts, by).groupBy(*by).agg(
         F.coalesce(F.sum(size), zero).alias("n"),
         F.coalesce(F.sum("pos"), zero).alias("positives"),
         F.coalesce(F.sum("neg"), zero).alias("negatives"),

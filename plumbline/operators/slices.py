@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import is_missing, trimmed
 from ..functions.times import utc_day
-from .metrics import classification_metrics
+from .metrics import CONFUSION, metric_rows, ranking_of_counts
 
 MAX_GROUPS = 100
 SLICE_COLUMNS = ("group", "site", "environment", "device", "timestamp")
@@ -57,22 +57,33 @@ def slice_coverage(ev: DataFrame, columns: Sequence[str]) -> DataFrame:
 def slice_metrics(ev: DataFrame, columns: Sequence[str], minimum: int = 30, positive: str = "1") -> DataFrame:
     """The full metric set per slice. Columns with more than 100 groups are rejected whole.
 
-    Their existence is visible in ``slice_coverage``; every accepted slice is complete.
+    Their existence is visible in ``slice_coverage``; every accepted slice is complete. Coverage is a
+    first job over (column, value) counts. A rejected column then never reaches the second one, where
+    (slice, score) counts feed both the confusion and the ranking metrics.
     """
-    cells = unpivot(ev, columns)
-    accepted = _coverage(cells).filter(~F.col("rejected")).select("column")
-    usable = cells.filter(F.col("value").isNotNull()).join(F.broadcast(accepted), "column", "left_semi")
-    keyed = usable.withColumnRenamed("value", "slice_value")
-    metrics = classification_metrics(keyed, positive, ("column", "slice_value"))
+    coverage = slice_coverage(ev, columns).select("column", "rejected").collect()
+    accepted = [r["column"] for r in coverage if not r["rejected"]]
+    keys = ("column", "slice_value")
+    if not accepted:
+        schema = "column string, slice_value string, metric string, status string, value double, reason string, n long, small boolean"
+        return ev.sparkSession.createDataFrame([], schema)
+    truth, guess = F.col("y_true") == positive, F.col("y_pred") == positive
+    counts = (
+        unpivot(ev, accepted)
+        .filter(F.col("value").isNotNull())
+        .groupBy("column", F.col("value").alias("slice_value"), F.col("y_probability").alias("score"))
+        .agg(
+            F.count_if(truth & guess).alias("tp"),
+            F.count_if(~truth & guess).alias("fp"),
+            F.count_if(~truth & ~guess).alias("tn"),
+            F.count_if(truth & ~guess).alias("fn"),
+        )
+    )
+    table = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CONFUSION])
+    scores = counts.select(*keys, "score", (F.col("tp") + F.col("fn")).alias("pos"), (F.col("fp") + F.col("tn")).alias("neg"))
+    metrics = metric_rows(table, keys).unionByName(ranking_of_counts(scores, keys))
     return metrics.select(
-        "column",
-        "slice_value",
-        "metric",
-        "status",
-        "value",
-        "reason",
-        F.col("sample_size").alias("n"),
-        (F.col("sample_size") < minimum).alias("small"),
+        *keys, "metric", "status", "value", "reason", F.col("sample_size").alias("n"), (F.col("sample_size") < minimum).alias("small")
     )
 
 
