@@ -61,19 +61,6 @@ def _pair_rows(datasets: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str
 PAIR = ("ref", "comp", "feature")
 
 
-def _sizes(rows: DataFrame) -> DataFrame:
-    """One row per pair and feature: sample sizes, words seen, and the reference range."""
-    is_ref = F.col("is_ref")
-    number = F.col("number")
-    return rows.groupBy(*PAIR).agg(
-        F.count_if(is_ref).alias("n_ref"),
-        F.count_if(~is_ref).alias("n_comp"),
-        F.count_if(number.isNull()).alias("words"),
-        F.min(F.when(is_ref, number)).alias("low"),
-        F.max(F.when(is_ref, number)).alias("high"),
-    )
-
-
 def ecdf_distances(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Kolmogorov-Smirnov and Wasserstein-1 per feature, equal values advancing together.
 
@@ -142,23 +129,39 @@ def _cuts(low: float, high: float, bins: int) -> list[float]:
     return cuts
 
 
-def _plans(rows: DataFrame, bins: int) -> dict[tuple[str, str, str], dict]:
-    """First job: sizes and reference range of every pair and feature.
+def _plans(
+    datasets: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str]], columns: Sequence[str], bins: int
+) -> dict[tuple[str, str, str], dict]:
+    """First job: size, words and range of every feature in every dataset, combined per pair.
 
-    At most ``pairs x columns`` rows reach the driver, both lists being the caller's own.
+    At most ``datasets x columns`` rows reach the driver, both lists being the caller's own.
     """
+    fast = {c for c in columns if _plain_number(list(datasets.values()), c)}
+    parts = [_values(df, columns, fast).select(F.lit(name).alias("name"), "feature", "number") for name, df in datasets.items()]
+    stats = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("name", "feature")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("number").isNull()).alias("words"),
+            F.min("number").alias("low"),
+            F.max("number").alias("high"),
+        )
+    )
+    known = {(r["name"], r["feature"]): r for r in stats.collect()}
     plans = {}
-    for r in _sizes(rows).collect():
-        numeric = r.words == 0
-        if not (r.n_ref and r.n_comp):
-            plan = {"kind": None, "reason": "empty sample"}
-        elif numeric and r.low == r.high:
-            plan = {"kind": "numeric", "reason": "constant reference"}
-        else:
-            plan = {"kind": "numeric" if numeric else "categorical", "reason": None}
-        if plan["kind"] == "numeric" and plan["reason"] is None:
-            plan["cuts"] = _cuts(r.low, r.high, bins)
-        plans[(r.ref, r.comp, r.feature)] = plan | {"n_ref": r.n_ref, "n_comp": r.n_comp}
+    for ref, comp in pairs:
+        for feature in columns:
+            a, b = known.get((ref, feature)), known.get((comp, feature))
+            if a is None or b is None:
+                continue
+            numeric = a["words"] + b["words"] == 0
+            plan = {"kind": "numeric" if numeric else "categorical", "reason": None, "n_ref": a["n"], "n_comp": b["n"]}
+            if numeric and a["low"] == a["high"]:
+                plan["reason"] = "constant reference"
+            elif numeric:
+                plan["cuts"] = _cuts(a["low"], a["high"], bins)
+            plans[(ref, comp, feature)] = plan
     return plans
 
 
@@ -187,7 +190,7 @@ def psi_pairs(
         raise ValueError("bins must be in 2..100")
     spark = next(iter(datasets.values())).sparkSession
     rows = _pair_rows(datasets, pairs, columns)
-    plan = F.broadcast(_plan_frame(spark, _plans(rows, bins), pairs, columns))
+    plan = F.broadcast(_plan_frame(spark, _plans(datasets, pairs, columns, bins), pairs, columns))
     live = plan.filter(F.col("kind").isNotNull() & F.col("reason").isNull())
     place = count_below(F.col("cuts"), bins - 1, F.col("number")).cast("string")
     bin_of = F.when(F.col("kind") == "numeric", place).otherwise(F.coalesce(F.col("cell"), F.col("number").cast("string")))
@@ -221,8 +224,9 @@ def psi(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10)
 
 def psi_config(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """The cut points and categories behind ``psi``: feature, kind, cut, category."""
-    rows = _pair_rows({"ref": ref, "comp": comp}, [("ref", "comp")], columns)
-    plan = _plan_frame(ref.sparkSession, _plans(rows, bins), [("ref", "comp")], columns).filter(F.col("reason").isNull())
+    datasets, pairs = {"ref": ref, "comp": comp}, [("ref", "comp")]
+    rows = _pair_rows(datasets, pairs, columns)
+    plan = _plan_frame(ref.sparkSession, _plans(datasets, pairs, columns, bins), pairs, columns).filter(F.col("reason").isNull())
     cuts = plan.select("feature", "kind", F.explode("cuts").alias("cut"), F.lit(None).cast("string").alias("category"))
     wordy = plan.filter(F.col("kind") == "categorical").select("feature")
     words = union_categories(rows.join(F.broadcast(wordy), "feature", "left_semi"))
