@@ -60,6 +60,16 @@ def _match(keyed: DataFrame, keys: list[str], k: int, first: Column) -> DataFram
     return pairs.filter(first).select(F.col("hash").alias("hash_a"), F.col("other").alias("hash_b"), "distance")
 
 
+def _product(a: Column, b: Column) -> Column:
+    """Pair counts as DECIMAL: billions of copies of one picture overflow a BIGINT."""
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+
+def _own_pairs(n: Column) -> Column:
+    """n (n - 1) / 2 without halving a product."""
+    return _product(F.floor(n / 2).cast("long"), n - 1 + n % 2)
+
+
 def hash_neighbors(distinct: DataFrame, k: int = 6, hot: int = HOT_KEY, probe: int = PROBE) -> DataFrame:
     """All pairs of different hashes within ``k`` bits: hash_a < hash_b, distance.
 
@@ -110,7 +120,7 @@ def hamming_neighbors(hashes: DataFrame, k: int = 6, hot: int = HOT_KEY, probe:
     a = groups.select(F.col("hash").alias("hash_a"), F.col("n").alias("n_a"))
     b = groups.select(F.col("hash").alias("hash_b"), F.col("n").alias("n_b"))
     different = near.join(a, "hash_a").join(b, "hash_b")
-    different = different.select("hash_a", "hash_b", "distance", "n_a", "n_b", (F.col("n_a") * F.col("n_b")).alias("pairs"))
+    different = different.select("hash_a", "hash_b", "distance", "n_a", "n_b", _product(F.col("n_a"), F.col("n_b")).alias("pairs"))
     n = F.col("n")
     same = groups.filter(n > 1).select(
         F.col("hash").alias("hash_a"),
@@ -118,7 +128,7 @@ def hamming_neighbors(hashes: DataFrame, k: int = 6, hot: int = HOT_KEY, probe:
         F.lit(0).cast("long").alias("distance"),
         n.alias("n_a"),
         n.alias("n_b"),
-        F.expr("n * (n - 1) div 2").alias("pairs"),
+        _own_pairs(n).alias("pairs"),
     )
     return different.unionByName(same)
 
@@ -160,7 +170,7 @@ def near_dup_pairs(hashes: DataFrame, k: int = 6, hot: int = HOT_KEY, probe: int
         pick("split_b", "split_a").alias("split_b"),
         "distance",
         cross.alias("cross"),
-        F.when(inner, F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b")).alias("pairs"),
+        F.when(inner, _own_pairs(F.col("n_a"))).otherwise(_product(F.col("n_a"), F.col("n_b"))).alias("pairs"),
         pick("hash_a", "hash_b").alias("hash_a"),
         pick("hash_b", "hash_a").alias("hash_b"),
     )

@@ -15,7 +15,7 @@ DIGITS = 6
 
 
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Comparable output: doubles rounded, integers as BIGINT."""
+    """Comparable output: doubles rounded, integers and whole decimals as BIGINT."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
@@ -23,6 +23,8 @@ def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
             c = F.round(c.cast("double"), digits)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
+        elif isinstance(field.dataType, T.DecimalType) and field.dataType.scale == 0:
+            c = c.try_cast("long")
         out.append(c.alias(field.name))
     return df.select(*out)
 

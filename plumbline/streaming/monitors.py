@@ -123,7 +123,9 @@ def sequence_check(events: DataFrame, expire: bool = True) -> DataFrame:
 
     State expires after a day. Expiry runs on processing time, which keeps a query alive for ever: turn
     it off to run over a finite input. State of this kind lives in RocksDB: set
-    ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB`` before starting the query.
+    ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB`` before starting the query. A task holds
+    one user's rows of one micro-batch, so bound the batch at the source (``maxFilesPerTrigger`` and the
+    like); over a table use ``records.sequence_violations``, which splits a busy user over tasks.
     """
     processor = LastSequence(DAY_MS if expire else None)
     return (
