@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
+T = TypeVar("T")
+
+
+def per_worker(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` gave when this Python process first asked for ``key``.
+
+    Functions travel to executors by value and so have new globals in each task; this lasts from task to task.
+    """
+    state = sys.modules.setdefault("_plumbline_worker", ModuleType("_plumbline_worker")).__dict__.setdefault("state", {})
+    if key not in state:
+        state[key] = make()
+    return state[key]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
