@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash_dedup
-from .common import table
+from . import bpe, language, packing, simhash_dedup, toxicity
+from .common import only, table
 from .registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = bpe.encode(only(table(spark, folder, "documents"), "doc_id", "text"), RANKS)
+    back = bpe.decode(tokens.select("doc_id", "ids"), RANKS)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
 
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_dedup(table(spark, folder, "documents"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), TOKENIZER)
