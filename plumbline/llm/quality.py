@@ -32,8 +32,8 @@ LEADING = 6
 # ratio -> upper threshold never below, lower threshold never above (None: no lower one)
 ALLOWANCE: dict[str, tuple[int, int | None]] = {
     "symbols": (50, None),
-    "lines": (300, None),
-    "repeats": (150, None),
+    "lines": (500, None),
+    "repeats": (300, None),
     "letters": (1000, 250),
 }
 
@@ -203,8 +203,8 @@ WITH given AS (
   JOIN quartiles AS a ON a.level = 1 AND a.ratio = o.ratio WHERE o.level = 3
 ), limits AS (
   SELECT lang, source, max(greatest(q3 + 3 * (q3 - q1), 50)) FILTER (WHERE ratio = 'symbols') AS s,
-         max(greatest(q3 + 3 * (q3 - q1), 300)) FILTER (WHERE ratio = 'lines') AS l,
-         max(greatest(q3 + 3 * (q3 - q1), 150)) FILTER (WHERE ratio = 'repeats') AS r,
+         max(greatest(q3 + 3 * (q3 - q1), 500)) FILTER (WHERE ratio = 'lines') AS l,
+         max(greatest(q3 + 3 * (q3 - q1), 300)) FILTER (WHERE ratio = 'repeats') AS r,
          max(greatest(q3 + 3 * (q3 - q1), 1000)) FILTER (WHERE ratio = 'letters') AS c,
          max(least(q1 - 3 * (q3 - q1), 250)) FILTER (WHERE ratio = 'letters') AS f
   FROM fences GROUP BY ALL
