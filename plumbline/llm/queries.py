@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language, packing, quality, simhash_dedup, toxicity
+from . import bpe, chat, fingerprints, language, licenses, packing, quality, simhash_dedup, toxicity
 from .common import only, table
 from .registry import ORACLE, QUERIES, query
 
@@ -29,6 +29,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_license_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
