@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language, licenses, packing, quality, simhash_dedup, toxicity
+from . import bpe, chat, fingerprints, language, licenses, packing, pages, quality, simhash_dedup, toxicity
 from .common import only, table
 from .registry import ORACLE, QUERIES, query
 
@@ -66,3 +66,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     added = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), control.alias("text")) for t, r in enumerate(("user", "assistant"))]
     planted = spark.range(1).select(F.inline(F.array(*added)))
     return chat.format_conversations(given.unionByName(planted))
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.sha2("text", 256).alias("text_sha256"), F.char_length("text").cast("long").alias("n_chars"), "n_lines")
