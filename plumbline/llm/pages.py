@@ -244,11 +244,14 @@ class Page(HTMLParser):
                 continue
             tag = node.tag
             if tag in ("td", "th"):
-                parent.parts.append((flow(node.parts), _span(node.attrs, "colspan"), _span(node.attrs, "rowspan")))
+                lines = flow(node.parts)
+                cell = (lines, _span(node.attrs, "colspan"), _span(node.attrs, "rowspan"))
+                parent.parts.append(cell if parent.tag == "tr" else Block(lines, False))
             elif tag == "tr":
                 cells = [x for x in node.parts if isinstance(x, tuple) and len(x) == 3]
                 rest = flow([x for x in node.parts if not (isinstance(x, tuple) and len(x) == 3)])
-                parent.parts.append(Row(([(rest, 1, 1)] if rest else []) + cells))
+                row = Row(([(rest, 1, 1)] if rest else []) + cells)
+                parent.parts.append(row if parent.tag in ROW_GROUPS else Block(table_lines([row]), False))
             elif tag == "table":
                 rows = [x for x in node.parts if isinstance(x, Row)]
                 rest = flow([x for x in node.parts if not isinstance(x, Row)])
@@ -262,12 +265,12 @@ class Page(HTMLParser):
                 parent.parts.append(Block([(mark if i == 0 else " " * len(mark) * bool(x)) + x for i, x in enumerate(lines)], False))
             elif tag in SPACED or tag in PLAIN:
                 nested = tag in ITEMS and any(n.tag == "li" for n in reversed(self.open))
-                parent.parts.append(Block(flow([x for x in node.parts if not isinstance(x, Row) and not (isinstance(x, tuple) and len(x) == 3)]), tag in SPACED and not nested))
+                parent.parts.append(Block(flow(node.parts), tag in SPACED and not nested))
 
     def text(self) -> str:
         self.close()
         self._close(1)
-        return "\n".join(flow([x for x in self.open[0].parts if not isinstance(x, Row) and not (isinstance(x, tuple) and len(x) == 3)]))
+        return "\n".join(flow(self.open[0].parts))
 
 
 def page_text(html: str | None) -> str:

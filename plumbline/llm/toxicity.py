@@ -84,10 +84,11 @@ def fit(rows: list[list[int]], toxic: list[int], place: dict[int, int], epochs:
     """AdaGrad on the logistic loss; rows hold the places of each document. The order of rows decides the batches."""
     n, size = len(rows), len(place)
     share = (sum(toxic) + 0.5) / (n + 1)
-    rng = np.random.default_rng(7)
-    machine = Machine(place, math.log(share / (1 - share)), np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
+    bias = math.log(share / (1 - share))
     if not size or not 0 < sum(toxic) < n:
-        return machine
+        return Machine({}, bias, np.zeros(0), np.zeros((0, RANK)))
+    rng = np.random.default_rng(7)
+    machine = Machine(place, bias, np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
     y = np.array(toxic, float)
     squares_w, squares_v, squares_0 = np.full(size, 1e-3), np.full((size, RANK), 1e-3), 1e-3
     for _ in range(epochs):
