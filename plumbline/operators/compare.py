@@ -12,7 +12,6 @@ from ..functions.cells import decimal_value, is_missing
 from .quality import cell_counts, label_counts, profile_counts
 
 POINTS = 0.1
-KNOWN_LIMIT = 50
 RANGE_SHARE = 0.2
 
 
@@ -51,13 +50,14 @@ def feature_overlap(train: DataFrame, other: DataFrame, features: Sequence[str])
     return seen.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")).select(overlap.scalar().alias("overlap"), "n")
 
 
-def unseen_values(train: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cells whose value never occurs in training, for wordy columns with 1..50 known values."""
+def unseen_values(train: DataFrame, other: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
+    """Cells whose value never occurs in training, for wordy columns (with ``most`` known values or fewer, if given)."""
     known = cell_counts(train, columns).filter(~is_missing(F.col("cell")))
     eligible = known.groupBy("column").agg(
         F.count(F.lit(1)).alias("values"), F.count_if(decimal_value(F.col("cell")).isNull()).alias("words")
     )
-    eligible = eligible.filter(F.col("values").between(1, KNOWN_LIMIT) & (F.col("words") > 0)).select("column")
+    few = F.lit(True) if most is None else F.col("values") <= most
+    eligible = eligible.filter(few & (F.col("words") > 0)).select("column")
     seen = cell_counts(other, columns).filter(~is_missing(F.col("cell"))).join(F.broadcast(eligible), "column", "left_semi")
     fresh = seen.join(known.select("column", "cell"), ["column", "cell"], "left_anti")
     marked = seen.groupBy("column").agg(F.sum("n").alias("observed")).join(
@@ -66,7 +66,7 @@ def unseen_values(train: DataFrame, other: DataFrame, columns: Sequence[str]) ->
     return marked.select("column", "unseen", "observed")
 
 
-def class_share(train: DataFrame, other: DataFrame, target: str, top: int = 10) -> DataFrame:
+def class_share(train: DataFrame, other: DataFrame, target: str) -> DataFrame:
     """Class shares that moved by at least ten points, largest first."""
     def shares(df: DataFrame, name: str) -> DataFrame:
         counts = label_counts(df, target)
@@ -75,7 +75,7 @@ def class_share(train: DataFrame, other: DataFrame, target: str, top: int = 10)
     joined = shares(train, "a").join(shares(other, "b"), "label", "full_outer")
     delta = F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))
     moved = joined.select("label", delta.alias("delta")).filter(F.abs("delta") >= POINTS)
-    return moved.orderBy(F.abs("delta").desc(), "label").limit(top)
+    return moved.orderBy(F.abs("delta").desc(), "label")
 
 
 def profile_compare(train: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -163,6 +163,7 @@ def dataset_findings(
     parts.append(copies.select(*row("leakage", "support", F.concat(F.lit("target copy "), F.col("column")), 3)))
     if validation is not None:
         features = [c for c in train.columns if c != target]
+    if validation is not None and features and set(features) <= set(validation.columns):
         overlap = feature_overlap(train, validation, features)
         text = F.concat(F.col("overlap").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" validation rows overlap"))
         parts.append(overlap.filter(F.col("overlap") > 0).select(*row("leakage", "support", text, 3)))
@@ -189,24 +190,31 @@ def log_support(findings: DataFrame) -> DataFrame:
 
 
 def combined_diagnosis(
-    rows: DataFrame, same_run: str | None = None, feature_available: str | None = None, comparable: str | None = None
+    rows: DataFrame,
+    same_run: str | None = None,
+    feature_available: str | None = None,
+    comparable: str | None = None,
+    sources: Sequence[str] = ("datasets",),
 ) -> DataFrame:
     """Hypotheses by review priority: strongest signal, minus one when anything conflicts.
 
-    Conflicts only count for hypotheses that have support; answers given by the user add conflicts.
+    Answers of the user only count for hypotheses that have support. ``same_run="no"`` conflicts where ``sources`` holds
+    both logs and datasets. Leakage gains a conflict if the suspect feature was available and a support if it was not;
+    all others gain a conflict if the metrics are not comparable.
     """
     supported = rows.groupBy("hypothesis").agg(
         F.max(F.when(F.col("kind") == "support", F.col("score"))).alias("strongest"),
-        F.size(F.collect_set(F.when(F.col("kind") == "support", F.xxhash64("detail")))).alias("support"),
+        F.count_distinct(F.when(F.col("kind") == "support", F.col("detail"))).alias("support"),
         F.count_if(F.col("kind") == "conflict").alias("recorded"),
     )
     supported = supported.filter(F.col("strongest").isNotNull())
-    answered = F.lit(1 if same_run == "no" else 0)
     leakage = F.col("hypothesis") == "leakage"
-    answered = answered + F.when(leakage, 1 if feature_available == "yes" else 0).otherwise(1 if comparable == "no" else 0)
+    mixed = int(same_run == "no" and {"logs", "datasets"} <= set(sources))
+    answered = F.when(leakage, int(feature_available == "yes")).otherwise(int(comparable == "no")) + mixed
+    reported = F.when(leakage, int(feature_available == "no")).otherwise(0)
     conflicts = F.col("recorded") + answered
     score = F.greatest(F.lit(0), F.col("strongest") - F.when(conflicts > 0, 1).otherwise(0))
-    table = supported.select("hypothesis", score.alias("score"), "support", conflicts.alias("conflicts"))
+    table = supported.select("hypothesis", score.alias("score"), (F.col("support") + reported).alias("support"), conflicts.alias("conflicts"))
     return rank_hypotheses(table)
 
 

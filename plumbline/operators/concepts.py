@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .inference import bh_adjust, cohen_kappa, effect_counts, stratified_effect, two_proportion
 
-MINIMUM_HELD_OUT = 50
 KAPPA_FLOOR = 0.60
 ALPHA = 0.05
 
@@ -24,13 +23,16 @@ def high_confidence_error(preds: DataFrame) -> DataFrame:
     return preds.filter((F.col("y_true") != F.col("y_pred")) & ((p > 0.85) | (p < 0.15)))
 
 
-def discovery_pool(preds: DataFrame) -> DataFrame:
-    """Train and validation rows, unless fewer than 50 production and test rows would remain to test on."""
-    held = preds.filter(F.col("split").isin("production", "test")).agg(F.count(F.lit(1)) >= MINIMUM_HELD_OUT).scalar()
-    return preds.filter(~held | F.col("split").isin("train", "val"))
+POOLS = {"train_val": ("train", "val"), "all": None}
 
 
-def topk_discovery(preds: DataFrame, k: int = 10) -> DataFrame:
+def discovery_pool(preds: DataFrame, pool: str = "train_val") -> DataFrame:
+    """The rows that concepts may be discovered from: train and validation, or all of them on request."""
+    splits = POOLS[pool]
+    return preds if splits is None else preds.filter(F.col("split").isin(*splits))
+
+
+def topk_discovery(preds: DataFrame, k: int = 10, pool: str = "train_val") -> DataFrame:
     """The rows handed to concept discovery: id, category.
 
     k worst false negatives and false positives, k confident errors and k/2 controls of each kind.
@@ -51,7 +53,7 @@ def topk_discovery(preds: DataFrame, k: int = 10) -> DataFrame:
             entry("true_negative", (t == 0) & (y == 0), F.lit(0.0)),
         )
     )
-    rows = discovery_pool(preds).select("id", F.inline(roles))
+    rows = discovery_pool(preds, pool).select("id", F.inline(roles))
     rank = F.row_number().over(Window.partitionBy("category").orderBy("badness", "id"))
     limit = F.when(F.col("category").isin("true_positive", "true_negative"), k // 2).otherwise(k)
     return rows.select("id", "category", rank.alias("rank")).filter(F.col("rank") <= k).filter(F.col("rank") <= limit)

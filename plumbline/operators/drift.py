@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from ..functions.cells import decimal_value, is_missing, trimmed
 from .running import count_below, running
 
-MAX_CATEGORIES = 100
-MAX_DATASETS = 200
 PSEUDOCOUNT = 0.5
 LABEL_COLUMNS = ("y_true", "y_pred")
 
@@ -43,8 +41,8 @@ def _values(df: DataFrame, columns: Sequence[str], fast: set[str]) -> DataFrame:
 def _pair_rows(datasets: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str]], columns: Sequence[str]) -> DataFrame:
     """Cells of every dataset pair: ref, comp, feature, number, cell, n_ref, n_comp.
 
-    Each dataset is read once and its cells are pre-counted; a cell then takes part in as many pairs
-    as its dataset does (a literal list, fixed by the caller).
+    Each dataset is read once; a cell then takes part in as many pairs as its dataset does (a literal
+    list, fixed by the caller).
     """
     frames = list(datasets.values())
     fast = {c for c in columns if _plain_number(frames, c)}
@@ -183,7 +181,7 @@ def psi_pairs(
     """Population stability index of each feature for each (reference, comparison) pair.
 
     Numeric features: equal-width cuts over the reference range, outer bins open. Others: the union of
-    categories, at most 100. Every bin gets half a pseudo-count. Undefined is NULL with a reason.
+    categories. Every bin gets half a pseudo-count. Undefined is NULL with a reason.
     Two passes over the data: ranges first, then one histogram of all pairs and features.
     """
     if not 2 <= bins <= 100:
@@ -211,11 +209,8 @@ def psi_pairs(
         F.first("filled").alias("filled"),
         (F.sum(term(F.col("a"), F.col("b"))) + F.first((k - F.col("filled")) * term(F.lit(0), F.lit(0)))).alias("psi"),
     )
-    few = (F.col("kind") == "numeric") | (F.col("filled") <= MAX_CATEGORIES)
-    values = values.select(*PAIR, F.when(few, F.col("psi")).alias("psi"))
-    out = plan.join(values, list(PAIR), "left")
-    reason = F.when(F.col("reason").isNull() & F.col("psi").isNull(), "too many categories").otherwise(F.col("reason"))
-    return out.select(*PAIR, "kind", F.when(F.col("psi").isNotNull(), F.greatest(F.lit(0.0), F.col("psi"))).alias("psi"), reason.alias("reason"))
+    out = plan.join(values.select(*PAIR, "psi"), list(PAIR), "left")
+    return out.select(*PAIR, "kind", F.when(F.col("psi").isNotNull(), F.greatest(F.lit(0.0), F.col("psi"))).alias("psi"), "reason")
 
 
 def psi(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -230,8 +225,6 @@ def psi_config(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: in
     cuts = plan.select("feature", "kind", F.explode("cuts").alias("cut"), F.lit(None).cast("string").alias("category"))
     wordy = plan.filter(F.col("kind") == "categorical").select("feature")
     words = union_categories(rows.join(F.broadcast(wordy), "feature", "left_semi"))
-    size = words.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
-    words = words.join(F.broadcast(size.filter(F.col("k") <= MAX_CATEGORIES).select("feature")), "feature", "left_semi")
     return cuts.unionByName(
         words.select("feature", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("cut"), "category")
     )
@@ -249,14 +242,11 @@ def categories_of(ref: DataFrame, comp: DataFrame, column: str) -> DataFrame:
 def dataset_pairs(names: DataFrame, order: str = "position", name: str = "dataset") -> DataFrame:
     """Every unordered pair of registered datasets, the earlier one as reference.
 
-    Registered datasets are few: the list is read with a hard limit and refused beyond it.
+    Datasets are numbered in order; each is then joined by number with all before it.
     """
-    rows = names.select(order, name).orderBy(order).limit(MAX_DATASETS + 1).collect()
-    if len(rows) > MAX_DATASETS:
-        raise ValueError(f"more than {MAX_DATASETS} datasets to pair")
-    listed = [r[name] for r in rows]
-    pairs = [(a, b) for i, a in enumerate(listed) for b in listed[i + 1 :]]
-    return names.sparkSession.createDataFrame(pairs, "ref string, comp string")
+    listed = names.select(F.row_number().over(Window.orderBy(order)).alias("k"), F.col(name).alias("comp"))
+    earlier = listed.select("comp", F.explode(F.when(F.col("k") > 1, F.sequence(F.lit(1), F.col("k") - 1))).alias("k"))
+    return earlier.join(listed.select("k", F.col("comp").alias("ref")), "k").select("ref", "comp")
 
 
 def dataset_pair_review(datasets: Mapping[str, DataFrame], columns: Sequence[str], bins: int = 10) -> DataFrame:

@@ -15,13 +15,12 @@ from ..functions.cells import decimal_value, is_missing, sentinel_form, trimmed
 from .running import row_index
 
 IMBALANCE_SHARE = 0.7
-MAX_CLASSES = 50
 # Name patterns of identifiers and of label columns, and the metadata names.
 ID_NAME = r"(?i)(^id$|_id$|uuid)"
 LABEL_NAME = r"(?i)^(label|class|target|stroke|survived|churn|fraud|outcome|y_true|default)$"
 METADATA_NAMES = ("timestamp", "group", "site", "environment", "device")
-# Power of two that keeps sums of the largest doubles finite.
-SHRINK = 2.0**-64
+# Significant digits of a column's largest number that a mean is taken with.
+DIGITS = 15
 
 
 def cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -41,23 +40,31 @@ def profile_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     marked = counts.select(
         *by, "column", "n", is_missing(F.col("cell")).alias("gone"), decimal_value(F.col("cell")).alias("number")
     )
+    # Sums of doubles depend on the order of rows. Whole multiples of a decimal step, fine enough for 15 digits of the
+    # largest number of the column, are added as decimals instead: exactly, so in any order.
+    keys = [*by, "column"]
+    largest = marked.groupBy(*keys).agg(F.max(F.when(~F.col("gone"), F.abs("number"))).alias("largest"))
+    digits = F.when(F.col("largest") > 0, F.ceil(F.log10("largest"))).otherwise(0)
+    steps = largest.select(*[F.col(k).alias(f"__{k}") for k in keys], F.pow(F.lit(10.0), F.lit(DIGITS) - digits).alias("steps"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    # one row for each column of the frame (and dataset)
+    marked = marked.join(F.broadcast(steps), same)
     there = ~F.col("gone")
     number, n = F.when(there, F.col("number")), F.col("n")
+    whole = F.round(number * F.col("steps")).try_cast("decimal(19,0)") * n.cast("decimal(18,0)")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
-    agg = marked.groupBy(*by, "column").agg(
+    agg = marked.groupBy(*keys).agg(
         total(F.col("gone")).alias("missing"),
         total(there).alias("observed"),
         F.count_if(there).alias("distinct"),
         F.count_if(there & F.col("number").isNull()).alias("words"),
         F.min(number).alias("low"),
         F.max(number).alias("high"),
-        F.sum(number * n).alias("total"),
-        F.sum(number * SHRINK * n).alias("shrunk"),
+        F.sum(whole).alias("total"),
+        F.max("steps").alias("steps"),
     )
     numeric = (F.col("observed") > 0) & (F.col("words") == 0)
-    plain = F.col("total") / F.col("observed")
-    rescued = F.col("shrunk") / F.col("observed") / SHRINK
-    mean = F.when(F.abs("total") < float("inf"), plain).otherwise(rescued)
+    mean = F.try_divide("total", F.col("observed").cast("decimal(19,0)")).cast("double") / F.col("steps")
     mean = F.greatest(F.col("low"), F.least(F.col("high"), mean))
     kind = F.when(F.col("observed") == 0, "empty").when(numeric, "numeric").otherwise("categorical")
     return agg.select(
@@ -160,7 +167,7 @@ def class_prevalence(df: DataFrame, target: str) -> DataFrame:
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
-    """Shares, the dominant class and the imbalance flag. Empty unless 2..50 classes are present."""
+    """Shares, the dominant class and the imbalance flag. Empty unless two classes or more are present."""
     counts = label_counts(df, target)
     facts = counts.agg(
         F.sum("n").alias("total"),
@@ -174,7 +181,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
         (F.col("n") / facts.select("total").scalar()).alias("share"),
         (F.col("label") == first).alias("is_dominant"),
     )
-    return shares.filter(facts.select(F.col("classes").between(2, MAX_CLASSES)).scalar()).select(
+    return shares.filter(facts.select(F.col("classes") >= 2).scalar()).select(
         "*", (F.col("is_dominant") & (F.col("share") >= IMBALANCE_SHARE)).alias("imbalanced")
     )
 

@@ -1,15 +1,17 @@
 """Running totals, positions and neighbours over an ordered column without a single-task window.
 
-A window with no (or a hot) partition key sorts everything in one task. Here rows are first cut into
-range buckets; running values are computed inside each bucket and the totals of earlier buckets (a
-table of at most ``parts x buckets`` rows) are added. The bucket of a row is a plain function of its
-value and of fixed cuts, so a lost executor recomputes exactly the same buckets. The cuts are
-approximate quantiles: they only balance the work and never influence a result.
+A window with no (or a hot) partition key sorts everything in one task. Here the input is evaluated once, into the
+shared folder. Parts (groups of the partition key) that fit a task are left to a plain window. Only parts that hold more
+than twice a task's even share, of which there can be no more than half as many as tasks, are cut into ranges of the
+order column; running values are computed inside each range, and the totals of earlier ranges (about one row for each
+task) are added. The range of a row is a plain function of its value and of fixed cuts, so a lost executor recomputes
+exactly the same ranges. The cuts are approximate quantiles: they only balance the work and never influence a result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,14 +19,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BUCKET = "__bucket"
-# Buckets of a whole frame, and of each part of a partitioned one.
-MAX_BUCKETS, MAX_PART_BUCKETS = 1024, 256
-
-
-def bucket_count(df: DataFrame, part: Sequence[str] = ()) -> int:
-    """As many buckets as shuffle tasks, within bounds that keep the cuts small."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_PART_BUCKETS if part else MAX_BUCKETS, partitions))
 
 
 def count_below(cuts: Column, size: int, value: Column, strict: bool = False) -> Column:
@@ -44,28 +38,37 @@ def count_below(cuts: Column, size: int, value: Column, strict: bool = False) ->
     return F.aggregate(folds, F.lit(0), advance)
 
 
-def _place(df: DataFrame, order: str, part: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
-    """Add ``__bucket``, non-decreasing in ``order`` within each ``part``, and a total ``all_x`` per sum.
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
 
-    Approximate quantiles depend on the order in which partial sketches merge, so they are taken exactly
-    once: as literals for a whole frame, as a small written table (one row per part) otherwise. Every
-    later evaluation, retries after a lost executor included, then sees the same cuts.
+def _place(df: DataFrame, order: str, part: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ``__bucket``, non-decreasing in ``order`` within each part, and the parts that have several buckets.
+
+    ``df`` must be a table that can be reread. A part is cut into as many ranges as it fills tasks.
     """
-    buckets = bucket_count(df, part)
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = F.array_distinct(F.percentile_approx(F.col(order), shares, 10 * buckets)).alias("__cuts")
-    totals = [F.sum(c).alias(f"all_{n}") for n, c in sums.items()]
-    if part:
-        limits = cut(df.groupBy(*part).agg(cuts, *totals), "limits")
-        placed = df.join(limits, list(part))
-    else:
-        wanted = df.agg(cuts, *totals)
-        row = wanted.first()
-        literals = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in wanted.schema.fields[1:]]
-        edges = F.array(*[F.lit(v) for v in row["__cuts"] or []]).cast(wanted.schema["__cuts"].dataType)
-        placed = df.select("*", edges.alias("__cuts"), *literals)
-    bucket = F.coalesce(count_below(F.col("__cuts"), buckets - 1, F.col(order), strict=True), F.lit(0))
-    return placed.select("*", bucket.alias(BUCKET)).drop("__cuts")
+    tasks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = df.count()
+    even = max(1.0, total / tasks)
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
+    large = sizes.filter(F.col("__n") > 2 * even).collect()
+    if not large:
+        return df.select("*", F.lit(0).alias(BUCKET)), None
+    ranges = max(2, -(-max(r["__n"] for r in large) * tasks // total))
+    quantiles = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("__cuts")
+    place = lambda cuts: F.coalesce(count_below(cuts, ranges - 1, F.col(order), strict=True), F.lit(0)).alias(BUCKET)
+    if not part:
+        found = df.agg(quantiles)
+        edges = F.array(*[F.lit(v) for v in found.first()[0] or []]).cast(found.schema["__cuts"].dataType)
+        return df.select("*", place(F.array_distinct(edges))), df.limit(0).select()
+    # no more than tasks / 2 rows, and about as many cuts as tasks in all
+    hot = df.sparkSession.createDataFrame([tuple(r) for r in large], sizes.schema)
+    each = df.join(F.broadcast(hot), _same(df, hot, part), "left_semi").groupBy(*part).agg(quantiles)
+    own = F.least(F.lit(ranges), F.ceil(F.col("__n") / even).cast("int"))
+    some = F.transform(F.sequence(F.lit(1), own - 1), lambda j: F.get("__cuts", F.floor(j * ranges / own).cast("int") - 1))
+    cuts = cut(each.join(F.broadcast(hot), _same(each, hot, part)).select(*[each[k] for k in part], F.array_distinct(some).alias("__cuts")), "cuts")
+    placed = df.join(F.broadcast(cuts), _same(df, cuts, part), "left")
+    return placed.select(*[df[c] for c in df.columns], place(F.col("__cuts"))), cuts.select(*part)
 
 
 def _order(columns: Sequence[str], descending: bool) -> list[Column]:
@@ -88,40 +91,51 @@ def running(
     """
     columns = [order] if isinstance(order, str) else list(order)
     given = df.columns
-    df = _place(df, columns[0], part, {n: c for n, (f, c) in aggs.items() if f == "sum"})
+    # each aggregate's input becomes a column, so that it is evaluated once, with the rest of the input
+    df = cut(df.select("*", *[c.alias(f"__of_{n}") for n, (_, c) in aggs.items()]), "ordered")
+    placed, hot = _place(df, columns[0], part)
     keys = [*part, BUCKET]
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
-    final_of = F.min_by if descending else F.max_by
     inside = Window.partitionBy(*keys).orderBy(*_order(columns, descending))
     local = inside.rowsBetween(Window.unboundedPreceding, 0)
+    here = []
+    for name, (f, _) in aggs.items():
+        value = F.col(f"__of_{name}")
+        here.append((F.lag(value).over(inside) if f == "prev" else fold[f](value).over(local)).alias(f"__in_{name}"))
+        if f == "sum":
+            here.append(F.sum(value).over(Window.partitionBy(*keys)).alias(f"__sum_{name}"))
+    rows = placed.select(*given, BUCKET, *here)
+    sums = [n for n, (f, _) in aggs.items() if f == "sum"]
+    if hot is None:
+        inner = lambda n, f: F.coalesce(F.col(f"__in_{n}"), F.lit(0)) if f == "sum" else F.col(f"__in_{n}")
+        return rows.select(*given, *[inner(n, f).alias(n) for n, (f, _) in aggs.items()], *[F.col(f"__sum_{n}").alias(f"all_{n}") for n in sums])
+    final_of = F.min_by if descending else F.max_by
+    whole = [(final_of(f"__of_{n}", F.struct(*columns)) if f == "prev" else fold[f](f"__of_{n}")).alias(f"__all_{n}") for n, (f, _) in aggs.items()]
+    several = placed.join(F.broadcast(hot), _same(placed, hot, part), "left_semi") if part else placed
+    totals = several.groupBy(*keys).agg(*whole)
     across = Window.partitionBy(*part).orderBy(*_order([BUCKET], descending))
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    here, whole, before = [], [], []
-    for name, (f, c) in aggs.items():
-        if f == "prev":
-            here.append(F.lag(c).over(inside))
-            whole.append(final_of(c, F.struct(*columns)))
-            before.append(F.lag(f"__all_{name}").over(across))
-        else:
-            here.append(fold[f](c).over(local))
-            whole.append(fold[f](c))
-            before.append(fold[f](F.col(f"__all_{name}")).over(earlier))
-    rows = df.select("*", *[c.alias(f"__in_{n}") for c, n in zip(here, aggs)])
-    totals = df.groupBy(*keys).agg(*[c.alias(f"__all_{n}") for c, n in zip(whole, aggs)])
-    offsets = totals.select(*keys, *[c.alias(f"__pre_{n}") for c, n in zip(before, aggs)])
-    joined = rows.join(offsets, keys)
+    before = []
+    for name, (f, _) in aggs.items():
+        value = F.col(f"__all_{name}")
+        before.append((F.last(value, ignorenulls=True) if f == "prev" else fold[f](value)).over(earlier).alias(f"__pre_{name}"))
+        if f == "sum":
+            before.append(F.sum(value).over(Window.partitionBy(*part)).alias(f"__grand_{name}"))
+    # about one row for each task
+    offsets = cut(totals.select(*keys, *before), "offsets")
+    joined = rows.join(F.broadcast(offsets), _same(rows, offsets, keys), "left").select(*[rows[c] for c in rows.columns], *[c for c in offsets.columns if c not in keys])
     final = []
     for name, (f, _) in aggs.items():
-        inner, before = F.col(f"__in_{name}"), F.col(f"__pre_{name}")
+        inner, passed = F.col(f"__in_{name}"), F.col(f"__pre_{name}")
         if f == "prev":
-            value = F.coalesce(inner, before)
+            value = F.coalesce(inner, passed)
         elif f == "sum":
-            value = F.coalesce(inner, F.lit(0)) + F.coalesce(before, F.lit(0))
+            value = F.coalesce(inner, F.lit(0)) + F.coalesce(passed, F.lit(0))
         else:
-            value = F.least(inner, before) if f == "min" else F.greatest(inner, before)
+            value = F.least(inner, passed) if f == "min" else F.greatest(inner, passed)
         final.append(value.alias(name))
-    totals_out = [f"all_{n}" for n, (f, _) in aggs.items() if f == "sum"]
-    return joined.select(*given, *final, *totals_out)
+    grand = [F.coalesce(f"__grand_{n}", f"__sum_{n}").alias(f"all_{n}") for n in sums]
+    return joined.select(*given, *final, *grand)
 
 
 def row_index(df: DataFrame, order: str | Sequence[str], part: Sequence[str] = (), name: str = "row_index") -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import is_missing, trimmed
 from ..functions.times import utc_day
+from ..session import cut
 from .metrics import CONFUSION, metric_rows, ranking_of_counts
 
-MAX_GROUPS = 100
 SLICE_COLUMNS = ("group", "site", "environment", "device", "timestamp")
 
 
@@ -45,31 +45,23 @@ def _coverage(cells: DataFrame) -> DataFrame:
         rows(F.col("is_missing")).alias("missing"),
         rows(~F.col("is_missing") & F.col("value").isNull()).alias("invalid"),
         F.count("value").alias("groups"),
-        (F.count("value") > MAX_GROUPS).alias("rejected"),
     )
 
 
 def slice_coverage(ev: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Grouped, missing and invalid rows per column; ``rejected`` marks more than 100 groups."""
+    """Grouped, missing and invalid rows and the number of groups per column."""
     return _coverage(unpivot(ev, columns))
 
 
 def slice_metrics(ev: DataFrame, columns: Sequence[str], minimum: int = 30, positive: str = "1") -> DataFrame:
-    """The full metric set per slice. Columns with more than 100 groups are rejected whole.
+    """The full metric set of every slice, however many a column has.
 
-    Their existence is visible in ``slice_coverage``; every accepted slice is complete. Coverage is a
-    first job over (column, value) counts. A rejected column then never reaches the second one, where
-    (slice, score) counts feed both the confusion and the ranking metrics.
+    The (slice, score) counts are written once; confusion and ranking metrics both come from them.
     """
-    coverage = slice_coverage(ev, columns).select("column", "rejected").collect()
-    accepted = [r["column"] for r in coverage if not r["rejected"]]
     keys = ("column", "slice_value")
-    if not accepted:
-        schema = "column string, slice_value string, metric string, status string, value double, reason string, n long, small boolean"
-        return ev.sparkSession.createDataFrame([], schema)
     truth, guess = F.col("y_true") == positive, F.col("y_pred") == positive
     counts = (
-        unpivot(ev, accepted)
+        unpivot(ev, columns)
         .filter(F.col("value").isNotNull())
         .groupBy("column", F.col("value").alias("slice_value"), F.col("y_probability").alias("score"))
         .agg(
@@ -79,6 +71,7 @@ def slice_metrics(ev: DataFrame, columns: Sequence[str], minimum: int = 30, posi
             F.count_if(truth & ~guess).alias("fn"),
         )
     )
+    counts = cut(counts, "slices")
     table = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CONFUSION])
     scores = counts.select(*keys, "score", (F.col("tp") + F.col("fn")).alias("pos"), (F.col("fp") + F.col("tn")).alias("neg"))
     metrics = metric_rows(table, keys).unionByName(ranking_of_counts(scores, keys))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import compare as cp
@@ -255,6 +258,34 @@ def _(spark, d):
     return _diagnosis(spark, d)
 
 
+# answer -> arguments of combined_diagnosis
+ANSWERS = {
+    "available_no": {"feature_available": "no"},
+    "comparable_no": {"comparable": "no"},
+    "other_run": {"same_run": "no", "sources": ("datasets", "logs")},
+    "other_run_alone": {"same_run": "no"},
+}
+ANSWERED = DIAGNOSIS + """,
+plain AS (SELECT hypothesis, CASE WHEN hypothesis = 'leakage' THEN 3 ELSE score END AS score, support, 0 AS conflicts FROM diag),
+answered AS (
+  SELECT 'available_no' AS answer, hypothesis, score, support + (hypothesis = 'leakage')::INT AS support, 0 AS conflicts FROM plain
+  UNION ALL SELECT 'comparable_no', hypothesis, score - (hypothesis <> 'leakage')::INT, support, (hypothesis <> 'leakage')::INT FROM plain
+  UNION ALL SELECT 'other_run', hypothesis, score - 1, support, 1 FROM plain
+  UNION ALL SELECT 'other_run_alone', hypothesis, score, support, 0 FROM plain
+  UNION ALL SELECT 'feature_missing', hypothesis, score, support, 0 FROM plain WHERE hypothesis <> 'leakage')"""
+
+
+@query("diagnosis_answers", sql(IT + "," + ANSWERED, "SELECT * FROM answered", longs=["score", "support", "conflicts"]))
+def _(spark, d):
+    """The diagnosis under each answer of the user, and with a validation split that lacks a training feature."""
+    train, val, production = (_split(spark, d, s) for s in ("train", "val", "production"))
+    rows = cut(cp.dataset_findings(train, "linestatus", val, production), "findings")
+    narrow = cp.dataset_findings(train, "linestatus", val.drop("discount"), production)
+    tables = {name: cp.combined_diagnosis(rows, **given) for name, given in ANSWERS.items()}
+    tables["feature_missing"] = cp.combined_diagnosis(narrow)
+    return reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("answer"), "*") for name, t in tables.items()])
+
+
 @query(
     "rank_hypotheses",
     sql(IT + "," + DIAGNOSIS, "SELECT hypothesis, row_number() OVER (ORDER BY score DESC, hypothesis) AS position FROM diag", longs=["position"]),

@@ -333,10 +333,10 @@ cells AS (
   SELECT y_true, y_pred, y_probability, 'device', device, device FROM eval_orders UNION ALL
   SELECT y_true, y_pred, y_probability, 'timestamp', "timestamp", CASE WHEN "timestamp" NOT LIKE '2026-02-30%' THEN left("timestamp", 10) END FROM eval_orders),
 coverage AS (SELECT "column", count(v) AS grouped, count(*) FILTER (raw = 'n/a') AS missing,
-                    count(*) FILTER (v IS NULL AND raw <> 'n/a') AS invalid, count(DISTINCT v) AS groups, count(DISTINCT v) > 100 AS rejected
+                    count(*) FILTER (v IS NULL AND raw <> 'n/a') AS invalid, count(DISTINCT v) AS groups
              FROM cells GROUP BY 1),
 sliced AS (SELECT "column", v AS slice_value, y_true, y_pred, y_probability FROM cells
-           WHERE v IS NOT NULL AND "column" IN (SELECT "column" FROM coverage WHERE NOT rejected)),
+           WHERE v IS NOT NULL),
 sconf AS (SELECT "column", slice_value, count(*) FILTER (y_true = '1' AND y_pred = '1') AS tp, count(*) FILTER (y_true <> '1' AND y_pred = '1') AS fp,
                 count(*) FILTER (y_true <> '1' AND y_pred <> '1') AS tn, count(*) FILTER (y_true = '1' AND y_pred <> '1') AS fn FROM sliced GROUP BY ALL),
 """ + ranking("sliced", '"column", slice_value') + """,

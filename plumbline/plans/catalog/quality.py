@@ -178,7 +178,7 @@ PROFILE_SQL = """
   count(*) - count(cell) AS missing, count(cell) AS observed, count(DISTINCT cell) AS "distinct",
   CASE WHEN count(cell) = count(TRY_CAST(cell AS DOUBLE)) THEN min(TRY_CAST(cell AS DOUBLE)) END AS "min",
   CASE WHEN count(cell) = count(TRY_CAST(cell AS DOUBLE)) THEN max(TRY_CAST(cell AS DOUBLE)) END AS "max",
-  CASE WHEN count(cell) = count(TRY_CAST(cell AS DOUBLE)) THEN avg(TRY_CAST(cell AS DOUBLE)) END AS mean
+  CASE WHEN count(cell) = count(TRY_CAST(cell AS DOUBLE)) THEN avg(TRY_CAST(cell AS DECIMAL(30, 12))) END AS mean
   FROM ({cells}) GROUP BY 1)"""
 
 
@@ -394,7 +394,7 @@ def _(spark, d):
         EO + """,
 cellset AS (SELECT unnest(['y_true', 'y_probability', 'site']) AS "column", unnest([y_true, y_probability::VARCHAR, site]) AS cell FROM eval_orders)""",
         """SELECT 'column' AS section, "column" AS name, CASE WHEN "column" = 'y_probability' THEN 'numeric' ELSE 'categorical' END AS kind, count(DISTINCT cell) AS n,
-             CASE WHEN "column" = 'y_probability' THEN avg(TRY_CAST(cell AS DOUBLE)) END AS value FROM cellset GROUP BY "column"
+             CASE WHEN "column" = 'y_probability' THEN avg(TRY_CAST(cell AS DECIMAL(30, 12))) END AS value FROM cellset GROUP BY "column"
            UNION ALL SELECT 'class', y_true, 'prevalence', count(*), count(*)::DOUBLE / sum(count(*)) OVER () FROM eval_orders GROUP BY y_true""",
         ["value"],
     ),
@@ -487,7 +487,7 @@ sb AS (SELECT linestatus AS label, count(*)::DOUBLE / sum(count(*)) OVER () AS s
 moved AS (SELECT coalesce(sa.label, sb.label) AS label, coalesce(sb.s, 0) - coalesce(sa.s, 0) AS delta FROM sa FULL JOIN sb ON sa.label = sb.label)"""
 
 
-@query("j_class_share", sql(IT + "," + SHARE_SQL, "SELECT * FROM moved WHERE abs(delta) >= 0.1 ORDER BY abs(delta) DESC, label LIMIT 10", ["delta"]))
+@query("j_class_share", sql(IT + "," + SHARE_SQL, "SELECT * FROM moved WHERE abs(delta) >= 0.1 ORDER BY abs(delta) DESC, label", ["delta"]))
 def _(spark, d):
     return cp.class_share(*_sides(spark, d), "linestatus")
 

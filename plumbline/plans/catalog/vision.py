@@ -395,7 +395,7 @@ def _(spark, d):
 # --- concepts -------------------------------------------------------------------------------------
 
 DISCOVERY = """
-pool AS (SELECT * FROM preds WHERE (SELECT count(*) FROM preds WHERE split IN ('production', 'test')) < 50 OR split IN ('train', 'val')),
+pool AS (SELECT * FROM preds WHERE split IN ('train', 'val')),
 cat AS (SELECT id, 'false_negative' AS category, y_probability AS bad FROM pool WHERE y_true = 1 AND y_pred = 0
         UNION ALL SELECT id, 'false_positive', -y_probability FROM pool WHERE y_true = 0 AND y_pred = 1
         UNION ALL SELECT id, 'confident_error', 0 FROM pool WHERE y_true <> y_pred AND (y_probability > 0.85 OR y_probability < 0.15)

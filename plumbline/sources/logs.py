@@ -148,7 +148,15 @@ def table_lines(df: DataFrame, row: str, source: str) -> DataFrame:
 
 # --- JSON ---------------------------------------------------------------------------------------
 
-DEPTH = 15
+
+
+def _nesting(text: Column) -> Column:
+    """How deep a JSON text's brackets nest; brackets inside its strings may only add to it."""
+    step = lambda c: F.when(c.isin("{", "["), F.lit(1)).otherwise(F.lit(-1))
+    brackets = F.split(F.regexp_replace(text, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walk = lambda a, c: F.struct((a["now"] + step(c)).alias("now"), F.greatest(a["most"], a["now"] + step(c)).alias("most"))
+    return F.aggregate(F.filter(brackets, lambda c: c != ""), start, walk)["most"]
 
 
 def _children(item: Column) -> Column:
@@ -168,12 +176,14 @@ def _children(item: Column) -> Column:
     return F.when(F.startswith(kind, F.lit("OBJECT")), fields).when(F.startswith(kind, F.lit("ARRAY")), members).otherwise(own)
 
 
-def flatten_json(df: DataFrame, key: str, text: str, depth: int = DEPTH) -> DataFrame:
+def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
     """Leaves of nested JSON: key, record, path joined by ``_``, value text. Invalid JSON gives no rows.
 
     A top-level array, or the array under ``history``, is a list of records; anything else is record 0.
-    Numbers and strings are kept. Containers below ``depth`` come out with a NULL value.
+    Numbers and strings are kept. Nesting is opened one level at a time, as deep as the deepest text goes,
+    which a first job finds. An empty container gives no row.
     """
+    depth = df.agg(F.max(_nesting(F.col(text)))).first()[0] or 0
     parsed = df.select(key, F.try_parse_json(text).alias("__doc")).filter(F.col("__doc").isNotNull())
     top = F.col("__doc").try_cast("array<variant>")
     history = F.try_variant_get("__doc", "$.history", "array<variant>")
