@@ -173,7 +173,10 @@ def gap_findings(latest: DataFrame, overfit_sources: DataFrame | None = None) ->
 
 
 def combine_sources(findings: DataFrame, order: Sequence[str] = ("source",)) -> DataFrame:
-    """Findings of many sources merged by title: the first source speaks for the title, all are counted."""
+    """Findings of many sources merged by title: the first source speaks for the title, all are counted.
+
+    ``bundled_evidence`` keeps what the others say.
+    """
     first = F.struct(*order)
     return findings.groupBy("title").agg(
         F.count(F.lit(1)).alias("sources"),
@@ -184,6 +187,16 @@ def combine_sources(findings: DataFrame, order: Sequence[str] = ("source",)) ->
     )
 
 
+def bundled_evidence(findings: DataFrame) -> DataFrame:
+    """What every source says for a title, one row each: title, source, excerpt."""
+    return findings.select("title", "source", F.concat_ws(": ", "source", "evidence").alias("excerpt")).distinct()
+
+
+def labelled_metrics(metrics: DataFrame) -> DataFrame:
+    """Metrics of many sources side by side, each under a label that names its source."""
+    return metrics.select("source", "metric", F.concat_ws(" / ", "source", "metric").alias("label"), "value")
+
+
 def primary_history(history: DataFrame) -> DataFrame:
     """History of the first source that has one; others are never merged in."""
     return history.filter(F.col("source") == history.agg(F.min("source")).scalar())

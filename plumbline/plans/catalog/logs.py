@@ -106,14 +106,6 @@ def _(spark, d):
     return tr.combine_sources(_gaps(spark, d))
 
 
-@query(
-    "log_observations",
-    sql(LL, "SELECT source, line_no, 'log_line' AS kind, line AS text FROM log_lines WHERE trim(line) <> ''"),
-)
-def _(spark, d):
-    return lg.observations(fr.log_lines(spark, d))
-
-
 @query(
     "map_metric_columns",
     sql("", "SELECT o_orderkey AS epoch, o_totalprice AS train_loss, o_custkey FROM orders", ["train_loss"]),
@@ -222,6 +214,28 @@ def _(spark, d):
     return log_audit(fr.runs(spark, d))["findings"].groupBy("title").agg(F.count(F.lit(1)).alias("sources"))
 
 
+@query(
+    "log_observations",
+    sql(
+        RU + "," + HISTORY,
+        """SELECT source, line_no, 'log_line' AS kind, 'epoch=' || epoch || ' train_loss=' || train_loss || ' val_loss=' || val_loss AS text FROM runs
+           UNION ALL SELECT source, NULL, 'epoch', 'epoch ' || epoch || ': ' || string_agg(DISTINCT metric, ', ' ORDER BY metric) FROM hist GROUP BY source, epoch
+           UNION ALL SELECT source, NULL, 'finding', title FROM (SELECT source, title FROM overfit UNION ALL SELECT source, title FROM stalled UNION ALL SELECT source, title FROM unstable)""",
+    ),
+)
+def _(spark, d):
+    history = cut(_history(spark, d), "log-history")
+    return lg.observations(fr.runs(spark, d), history, tr.trends(history))
+
+
+@query(
+    "bundled_evidence",
+    sql(LL + "," + TOKENS + "," + GAPS, "SELECT DISTINCT title, source, source || ': ' || evidence AS excerpt FROM gaps"),
+)
+def _(spark, d):
+    return tr.bundled_evidence(_gaps(spark, d))
+
+
 # --- diagnosis ----------------------------------------------------------------------------------------
 
 DIAG_COLS = ("quantity", "discount", "tax", "returnflag", "linestatus")

@@ -30,7 +30,10 @@ issues AS (
   WHERE {gone('y_probability')} OR NOT coalesce({NUM.format('trim(y_probability)')} BETWEEN 0 AND 1, false))"""
 
 
-@query("ingest_eval", sql(EO + "," + RE + "," + ISSUES, """SELECT "row", "column", code, 0::BIGINT AS accepted FROM issues"""))
+MESSAGE_CASES = " ".join(f"WHEN \"column\" = '{c}' AND code = '{k}' THEN '{text}'" for (c, k), text in ev.MESSAGES.items())
+
+
+@query("ingest_eval", sql(EO + "," + RE + "," + ISSUES, f"""SELECT "row", "column", code, CASE {MESSAGE_CASES} END AS message, 0::BIGINT AS accepted FROM issues"""))
 def _(spark, d):
     rows, issues = ev.ingest(fr.raw_eval(spark, d), "row_no")
     return issues.select("*", rows.agg(F.count(F.lit(1))).scalar().alias("accepted"))
@@ -142,17 +145,16 @@ def _(spark, d):
 
 # --- sinks --------------------------------------------------------------------------------------
 
+RECORDS = ("sources", "datasets", "calls", "results", "evidence", "hypotheses", "experiments", "comparisons")
+
+
 @query(
     "write_records",
-    sql(
-        EN,
-        """SELECT 'sources' AS entity, count(*) AS "rows", 0::BIGINT AS changed FROM sources UNION ALL SELECT 'experiments', count(*), 0 FROM experiments
-           UNION ALL SELECT 'results', count(*), 0 FROM results""",
-    ),
+    sql(EN, " UNION ALL ".join(f"""SELECT '{t}' AS entity, count(*) AS "rows", 0::BIGINT AS changed, 1::BIGINT AS versions FROM {t}""" for t in RECORDS)),
 )
 def _(spark, d):
     tables = fr.entities(spark, d)
-    return sinks.round_trip({k: tables[k] for k in ("sources", "experiments", "results")}, shared_dir(spark, "records"))
+    return sinks.round_trip({k: tables[k] for k in RECORDS}, shared_dir(spark, "records"))
 
 
 @query("export_normalized", sql(ED, "SELECT y_true, y_pred, count(*) AS n, sum(y_probability) AS p FROM eval_docs GROUP BY 1, 2", ["p"]))

@@ -31,8 +31,7 @@ def _text_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times})
 
 
-# Windows the watermark has passed when the input ends; later ones stay open.
-CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+ENDS = ["window_start", "window_end"]
 
 
 def windows_sql(length: str, body: str, keys: str = "") -> str:
@@ -48,13 +47,13 @@ STAMP = "strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w
     "st_metric_floor_alert",
     sql(
         windows_sql("15 minutes", "quantile_disc(value, 0.5) AS median, count(*) AS n"),
-        f"SELECT {STAMP}, median, n FROM win WHERE {CLOSED} AND median < 10",
+        f"SELECT {STAMP}, median, n FROM win WHERE median < 10",
         ["median"],
     ),
 )
 def _(spark, d):
     alerts = mon.metric_floor_alert(_events(spark, d), "value", 10.0)
-    return _text_times(mon.run_to_table(alerts, shared_dir(spark, "floor")))
+    return _text_times(mon.run_latest(alerts, shared_dir(spark, "floor"), ENDS).filter("alert").drop("alert"))
 
 
 @query(
@@ -62,7 +61,7 @@ def _(spark, d):
     sql(
         windows_sql("30 minutes", "avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) AS n"),
         f"""SELECT {STAMP}, share, n, share - b AS shift FROM win, (SELECT avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS b FROM events)
-            WHERE {CLOSED} AND abs(share - b) > 0.1""",
+            WHERE abs(share - b) > 0.1""",
         ["share", "shift"],
     ),
 )
@@ -70,16 +69,16 @@ def _(spark, d):
     error = F.col("event_type") == "error"
     base = fr.table(spark, d, "events").agg(F.avg(error.cast("double")).alias("baseline"))
     alerts = mon.prevalence_shift_alert(_events(spark, d), error, base)
-    return _text_times(mon.run_to_table(alerts, shared_dir(spark, "prevalence")))
+    return _text_times(mon.run_latest(alerts, shared_dir(spark, "prevalence"), ENDS).filter("alert").drop("alert"))
 
 
 @query(
     "st_rate_window",
-    sql(windows_sql("1 day", "count(*) AS n", "user_id"), f'SELECT user_id, {STAMP}, n, n > 3 AS "over" FROM win WHERE {CLOSED}'),
+    sql(windows_sql("1 day", "count(*) AS n", "user_id"), f'SELECT user_id, {STAMP}, n, n > 3 AS "over" FROM win'),
 )
 def _(spark, d):
     counts = mon.rate_window(_events(spark, d), {"1 day": 3})
-    return _text_times(mon.run_to_table(counts, shared_dir(spark, "rate")))
+    return _text_times(mon.run_latest(counts, shared_dir(spark, "rate"), ["user_id", *ENDS]))
 
 
 @query(

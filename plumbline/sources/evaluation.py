@@ -114,11 +114,28 @@ def check_columns(df: DataFrame) -> None:
         raise ValueError(f"required columns are missing (names are case-sensitive): {absent}")
 
 
+# (column, code) -> what to tell the user
+MESSAGES = {
+    ("y_true", "missing_value"): "y_true is empty; rows without a class label are never dropped silently",
+    ("y_pred", "missing_value"): "y_pred is empty; rows without a class label are never dropped silently",
+    ("y_true", "label"): "y_true is neither the positive nor the negative label; check spelling and case",
+    ("y_pred", "label"): "y_pred is neither the positive nor the negative label; check spelling and case",
+    ("y_probability", "missing_value"): "y_probability is empty; give the probability of the positive class",
+    ("y_probability", "probability"): "y_probability must be a finite decimal number from 0 to 1, not a percentage or a logit",
+}
+
+
+def issue_message(column: Column, code: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for (c, k), text in MESSAGES.items() for x in (f"{c} {k}", text)])
+    return F.element_at(table, F.concat_ws(" ", column, code))
+
+
 def evaluation_issues(raw: DataFrame, row: str, positive: str = "1", negative: str = "0") -> DataFrame:
-    """Every bad required cell: row, column, code."""
+    """Every bad required cell: row, column, code, message."""
     check_labels(positive, negative)
     check_columns(raw)
-    return raw.select(F.col(row).alias("row"), F.inline(cell_issues(positive, negative)))
+    found = raw.select(F.col(row).alias("row"), F.inline(cell_issues(positive, negative)))
+    return found.select("*", issue_message(F.col("column"), F.col("code")).alias("message"))
 
 
 def typed_rows(raw: DataFrame, row: str) -> DataFrame:

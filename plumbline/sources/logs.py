@@ -123,10 +123,23 @@ def extract_metrics(lines: DataFrame) -> DataFrame:
     return metric_tokens(lines).filter(F.col("reason").isNull()).drop("reason")
 
 
-def observations(lines: DataFrame) -> DataFrame:
-    """Each non-blank line as an unverified observation with its line number."""
+def observations(lines: DataFrame, history: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """What a log reports, unverified: source, line_no, kind, text.
+
+    Each non-blank line with its number; each epoch of ``history`` (source, epoch, metric) with the metrics it reports;
+    each of ``findings`` (source, title).
+    """
     full = lines.filter(trimmed(F.col("line")) != "")
-    return full.select("source", "line_no", F.lit("log_line").alias("kind"), F.col("line").alias("text"))
+    rows = full.select("source", "line_no", F.lit("log_line").alias("kind"), F.col("line").alias("text"))
+    nowhere = F.lit(None).cast("long").alias("line_no")
+    if history is not None:
+        # the metrics of a history are a fixed list, so this array is short
+        epochs = history.groupBy("source", "epoch").agg(F.array_join(F.sort_array(F.collect_set("metric")), ", ").alias("named"))
+        text = F.concat(F.lit("epoch "), F.col("epoch").cast("string"), F.lit(": "), F.col("named"))
+        rows = rows.unionByName(epochs.select("source", nowhere, F.lit("epoch").alias("kind"), text.alias("text")))
+    if findings is not None:
+        rows = rows.unionByName(findings.select("source", nowhere, F.lit("finding").alias("kind"), F.col("title").alias("text")))
+    return rows
 
 
 def map_metric_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
