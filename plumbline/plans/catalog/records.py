@@ -145,7 +145,7 @@ def _(spark, d):
 
 # --- sinks --------------------------------------------------------------------------------------
 
-RECORDS = ("sources", "datasets", "calls", "results", "evidence", "hypotheses", "experiments", "comparisons")
+RECORDS = ("sources", "datasets", "calls", "results", "evidence", "hypotheses", "experiments", "comparisons", "record_events")
 
 
 @query(
@@ -196,18 +196,33 @@ UNION ALL SELECT 'results', r.id, 'result does not match call' FROM results r JO
 UNION ALL SELECT 'evidence', id, 'result not completed' FROM evidence WHERE result_id IN (SELECT id FROM results WHERE status <> 'completed')
 UNION ALL SELECT 'experiments', id, 'completed without outcome' FROM experiments WHERE status = 'completed' AND outcome IS NULL
 UNION ALL SELECT 'experiments', id, 'outcome without completion' FROM experiments WHERE status <> 'completed' AND outcome IS NOT NULL
-UNION ALL SELECT 'hypotheses', id, 'support without verification' FROM hypotheses WHERE status = 'supported' AND id NOT IN (SELECT hypothesis_id FROM experiments WHERE status = 'completed' AND outcome = 'supports')"""
+UNION ALL SELECT 'hypotheses', id, 'support without verification' FROM hypotheses WHERE status = 'supported' AND id NOT IN (SELECT hypothesis_id FROM experiments WHERE status = 'completed' AND outcome = 'supports')
+UNION ALL SELECT 'hypotheses', id, 'rejection without verification' FROM hypotheses WHERE status = 'rejected' AND id NOT IN (SELECT hypothesis_id FROM experiments WHERE status = 'completed' AND outcome = 'rejects')
+UNION ALL SELECT 'results', id, 'unknown dataset_id' FROM results WHERE dataset_id NOT IN (SELECT id FROM datasets)
+UNION ALL SELECT 'evidence', id, 'unknown dataset_id' FROM evidence WHERE dataset_id NOT IN (SELECT id FROM datasets)
+UNION ALL SELECT 'comparisons', id, 'unknown experiment_id' FROM comparisons WHERE experiment_id NOT IN (SELECT id FROM experiments)
+UNION ALL SELECT 'comparisons', id, 'passed without completed experiment' FROM comparisons WHERE status = 'passed' AND experiment_id NOT IN (SELECT id FROM experiments WHERE status = 'completed')
+UNION ALL SELECT 'evidence', e.id, 'unknown provenance column' FROM evidence e JOIN datasets s ON e.dataset_id = s.id WHERE e."column" IS NOT NULL AND NOT list_contains(s.columns, e."column")
+UNION ALL SELECT 'evidence', e.id, 'rows outside dataset' FROM evidence e JOIN datasets s ON e.dataset_id = s.id WHERE first_row < 1 OR first_row > last_row OR last_row > row_count
+UNION ALL SELECT 'evidence', id, 'rows without dataset' FROM evidence WHERE dataset_id IS NULL AND (first_row IS NOT NULL OR "column" IS NOT NULL)
+UNION ALL SELECT 'evidence', id, 'measurement without value' FROM evidence WHERE kind = 'measurement' AND value IS NULL
+UNION ALL SELECT 'calls', id, 'wrong investigation' FROM calls WHERE investigation <> 'investigation_1'
+UNION ALL SELECT 'calls', c.id, 'absent dataset column' FROM calls c JOIN datasets s ON c.dataset_id = s.id WHERE NOT list_contains(s.columns, c."column")
+UNION ALL SELECT 'results', r.id, 'scope differs from call' FROM results r JOIN calls c ON r.call_id = c.id WHERE r.dataset_id <> c.dataset_id
+UNION ALL SELECT 'record_events', id, 'unknown entity_id' FROM record_events WHERE entity_id NOT IN (SELECT id FROM sources UNION ALL SELECT id FROM hypotheses UNION ALL SELECT id FROM calls)
+UNION ALL SELECT 'record_events', id, 'outside the period' FROM record_events WHERE "at" NOT BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-29 00:00:00'"""
 
 
 @query("j_integrity", sql(EN, INTEGRITY))
 def _(spark, d):
-    tables = {k: v for k, v in fr.entities(spark, d).items() if k != "comparisons"}
-    return rec.integrity(tables)
+    return rec.integrity(fr.entities(spark, d), "investigation_1", ("2024-01-02 00:00:00", "2024-01-29 00:00:00"))
 
 
 EDGES = """
 edges AS (SELECT DISTINCT source_id AS "from", id AS "to", 'provides dataset' AS relationship FROM datasets UNION SELECT dataset_id, id, 'input of call' FROM calls
-  UNION SELECT call_id, id, 'produced result' FROM results UNION SELECT result_id, id, 'generated evidence' FROM evidence UNION SELECT hypothesis_id, id, 'tested by' FROM experiments)"""
+  UNION SELECT call_id, id, 'produced result' FROM results UNION SELECT result_id, id, 'generated evidence' FROM evidence UNION SELECT hypothesis_id, id, 'tested by' FROM experiments
+  UNION SELECT dataset_id, id, 'observed in' FROM evidence WHERE dataset_id IS NOT NULL UNION SELECT dataset_id, id, 'scope of result' FROM results
+  UNION SELECT experiment_id, id, 'verified by' FROM comparisons UNION SELECT entity_id, id, 'recorded by' FROM record_events)"""
 
 
 @query("j_lineage_edges", sql(EN + "," + EDGES, "SELECT * FROM edges"))

@@ -422,14 +422,17 @@ def metric_json(spark: SparkSession, d: str) -> DataFrame:
 
 ENTITIES_SQL = """
 sources AS (SELECT 'source_' || c_custkey AS id, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'user_assumption' ELSE 'uploaded_file' END AS kind FROM customer),
-datasets AS (SELECT 'dataset_' || o_orderkey AS id, CASE WHEN o_orderkey % 1000 = 7 THEN 'source_x' ELSE 'source_' END || o_custkey AS source_id FROM orders),
-calls AS (SELECT 'call_' || o_orderkey AS id, 'dataset_' || o_orderkey AS dataset_id, CASE o_orderstatus WHEN 'F' THEN 'threshold_sweep' WHEN 'O' THEN 'run_drift_tests' ELSE 'profile_dataset' END AS tool,
+datasets AS (SELECT 'dataset_' || o_orderkey AS id, CASE WHEN o_orderkey % 1000 = 7 THEN 'source_x' ELSE 'source_' END || o_custkey AS source_id, 10 + o_orderkey % 90 AS row_count,
+                    CASE WHEN o_orderkey % 250 = 8 THEN ['y_true', 'y_pred'] ELSE ['y_true', 'y_pred', 'site'] END AS columns FROM orders),
+calls AS (SELECT CASE WHEN o_orderkey % 600 = 9 THEN 'investigation_2' ELSE 'investigation_1' END AS investigation, CASE WHEN o_orderkey % 2 = 0 THEN 'site' ELSE 'y_pred' END AS "column", 'call_' || o_orderkey AS id, 'dataset_' || o_orderkey AS dataset_id, CASE o_orderstatus WHEN 'F' THEN 'threshold_sweep' WHEN 'O' THEN 'run_drift_tests' ELSE 'profile_dataset' END AS tool,
                  o_orderdate AS requested_at FROM orders),
-results AS (SELECT 'result_' || o_orderkey AS id, 'call_' || CASE WHEN o_orderkey % 500 = 3 THEN o_orderkey + 1 ELSE o_orderkey END AS call_id,
+results AS (SELECT 'dataset_' || CASE WHEN o_orderkey % 650 = 4 THEN o_orderkey + 1 ELSE o_orderkey END AS dataset_id, 'result_' || o_orderkey AS id, 'call_' || CASE WHEN o_orderkey % 500 = 3 THEN o_orderkey + 1 ELSE o_orderkey END AS call_id,
                    CASE WHEN o_orderkey % 700 = 5 THEN 'check_calibration' WHEN o_orderstatus = 'F' THEN 'threshold_sweep' WHEN o_orderstatus = 'O' THEN 'run_drift_tests' ELSE 'profile_dataset' END AS tool,
                    CASE WHEN o_orderpriority = '5-LOW' THEN 'failed' ELSE 'completed' END AS status,
                    o_orderdate + INTERVAL 1 DAY * (CASE WHEN o_orderkey % 900 = 11 THEN -1 ELSE 1 END) AS completed_at FROM orders),
-evidence AS (SELECT 'evidence_' || l_orderkey || '_' || l_linenumber AS id, 'result_' || l_orderkey AS result_id, CASE WHEN min(l_returnflag) = 'N' THEN 'assumption' ELSE 'measurement' END AS kind
+evidence AS (SELECT CASE WHEN l_orderkey % 350 <> 6 THEN 'dataset_' || l_orderkey END AS dataset_id, CASE l_linenumber % 3 WHEN 0 THEN 'site' WHEN 1 THEN 'y_true' END AS "column",
+                    l_linenumber::BIGINT AS first_row, CASE WHEN l_orderkey % 333 = 1 THEN l_linenumber - 1 WHEN l_orderkey % 444 = 2 THEN 1000 ELSE l_linenumber + l_orderkey % 5 END::BIGINT AS last_row,
+                    CASE WHEN l_orderkey % 400 <> 2 THEN min(l_quantity) END AS value, 'evidence_' || l_orderkey || '_' || l_linenumber AS id, 'result_' || l_orderkey AS result_id, CASE WHEN min(l_returnflag) = 'N' THEN 'assumption' ELSE 'measurement' END AS kind
              FROM lineitem GROUP BY l_orderkey, l_linenumber),
 hypotheses AS (SELECT 'hypothesis_' || c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'supported' WHEN 'MACHINERY' THEN 'rejected' ELSE 'proposed' END AS status,
                       CASE c_nationkey % 4 WHEN 0 THEN 'unassessed' WHEN 1 THEN 'limited' WHEN 2 THEN 'moderate' ELSE 'strong' END AS level, (c_nationkey % 3)::BIGINT AS open_questions FROM customer),
@@ -437,7 +440,8 @@ experiments AS (SELECT 'experiment_' || o_orderkey AS id, 'hypothesis_' || o_cus
                        CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 <> 0 OR o_orderkey % 800 = 1 THEN
                          CASE WHEN o_custkey % 7 < 4 THEN 'supports' WHEN o_orderpriority = '1-URGENT' THEN 'weakens' WHEN o_orderpriority = '2-HIGH' THEN 'rejects' WHEN o_orderpriority = '5-LOW' THEN 'inconclusive' ELSE 'supports' END END AS outcome
                 FROM orders),
-comparisons AS (SELECT 'comparison_' || o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN 'passed' WHEN o_totalprice > 100000 THEN 'failed' ELSE 'inconclusive' END AS status FROM orders)"""
+record_events AS (SELECT 'event_' || event_id AS id, CASE event_id % 4 WHEN 0 THEN 'source_' WHEN 1 THEN 'hypothesis_' WHEN 2 THEN 'call_' ELSE 'nothing_' END || user_id AS entity_id, ts AS at FROM events),
+comparisons AS (SELECT 'experiment_' || CASE WHEN o_orderkey % 750 = 6 THEN -1 ELSE o_orderkey END AS experiment_id, 'comparison_' || o_orderkey AS id, CASE WHEN o_totalprice > 300000 THEN 'passed' WHEN o_totalprice > 100000 THEN 'failed' ELSE 'inconclusive' END AS status FROM orders)"""
 
 
 def entities(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -454,15 +458,28 @@ def entities(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         .when(priority == "5-LOW", "inconclusive").otherwise("supports")
     )
     price = F.col("o_totalprice")
+    line_key, number = F.col("l_orderkey"), F.col("l_linenumber")
+    event, user = F.col("event_id"), F.col("user_id")
+    about = F.when(event % 4 == 0, name("source_", user)).when(event % 4 == 1, name("hypothesis_", user)).when(event % 4 == 2, name("call_", user))
     return {
+        "record_events": table(spark, d, "events").select(
+            name("event_", event).alias("id"), about.otherwise(name("nothing_", user)).alias("entity_id"), F.col("ts").cast("timestamp_ntz").alias("at")
+        ),
         "sources": customer.select(
             name("source_", F.col("c_custkey")).alias("id"), F.when(segment == "MACHINERY", "user_assumption").otherwise("uploaded_file").alias("kind")
         ),
         "datasets": orders.select(
-            name("dataset_", key).alias("id"), F.when(key % 1000 == 7, name("source_x", cust)).otherwise(name("source_", cust)).alias("source_id")
+            name("dataset_", key).alias("id"), F.when(key % 1000 == 7, name("source_x", cust)).otherwise(name("source_", cust)).alias("source_id"),
+            (key % 90 + 10).alias("row_count"),
+            F.when(key % 250 == 8, F.array(F.lit("y_true"), F.lit("y_pred"))).otherwise(F.array(F.lit("y_true"), F.lit("y_pred"), F.lit("site"))).alias("columns"),
+        ),
+        "calls": orders.select(
+            F.when(key % 600 == 9, "investigation_2").otherwise("investigation_1").alias("investigation"),
+            F.when(key % 2 == 0, "site").otherwise("y_pred").alias("column"),
+            name("call_", key).alias("id"), name("dataset_", key).alias("dataset_id"), tool.alias("tool"), day.alias("requested_at")
         ),
-        "calls": orders.select(name("call_", key).alias("id"), name("dataset_", key).alias("dataset_id"), tool.alias("tool"), day.alias("requested_at")),
         "results": orders.select(
+            name("dataset_", F.when(key % 650 == 4, key + 1).otherwise(key)).alias("dataset_id"),
             name("result_", key).alias("id"),
             name("call_", F.when(key % 500 == 3, key + 1).otherwise(key)).alias("call_id"),
             F.when(key % 700 == 5, "check_calibration").otherwise(tool).alias("tool"),
@@ -470,8 +487,13 @@ def entities(spark: SparkSession, d: str) -> dict[str, DataFrame]:
             (day + F.expr("make_dt_interval(case when o_orderkey % 900 = 11 then -1 else 1 end)")).alias("completed_at"),
         ),
         "evidence": lines.groupBy("l_orderkey", "l_linenumber")
-        .agg(F.min("l_returnflag").alias("flag"))
+        .agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("quantity"))
         .select(
+            F.when(line_key % 350 != 6, name("dataset_", line_key)).alias("dataset_id"),
+            F.when(number % 3 == 0, "site").when(number % 3 == 1, "y_true").alias("column"),
+            number.cast("long").alias("first_row"),
+            F.when(line_key % 333 == 1, number - 1).when(line_key % 444 == 2, 1000).otherwise(number + line_key % 5).cast("long").alias("last_row"),
+            F.when(line_key % 400 != 2, F.col("quantity")).alias("value"),
             F.concat(name("evidence_", F.col("l_orderkey")), name("_", F.col("l_linenumber"))).alias("id"),
             name("result_", F.col("l_orderkey")).alias("result_id"),
             F.when(F.col("flag") == "N", "assumption").otherwise("measurement").alias("kind"),
@@ -489,6 +511,7 @@ def entities(spark: SparkSession, d: str) -> dict[str, DataFrame]:
             F.when(done | (key % 800 == 1), outcome).alias("outcome"),
         ),
         "comparisons": orders.select(
+            name("experiment_", F.when(key % 750 == 6, -1).otherwise(key)).alias("experiment_id"),
             name("comparison_", key).alias("id"), F.when(price > 300000, "passed").when(price > 100000, "failed").otherwise("inconclusive").alias("status")
         ),
     }

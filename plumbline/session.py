@@ -28,8 +28,8 @@ def build_session(app: str = "plumbline", cores: str = "*", partitions: int = 8,
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+def _root(spark: SparkSession) -> str:
+    """This application's folder below the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and the master is
     local (tests, bench) a temporary folder stands in; a machine-local folder is refused elsewhere.
@@ -40,13 +40,25 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the application's shared folder."""
+    return f"{_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every stage that this application has written; no frame built so far may be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, purpose: str = "stage") -> DataFrame:
-    """Write a small, often reused intermediate to the shared folder and read it back.
+    """Write an often reused intermediate to the shared folder and read it back.
 
     Downstream plans start at that table, and a lost executor rereads it instead of recomputing.
+    ``release`` deletes all of them.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)

@@ -5,13 +5,15 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from plumbline.session import build_session  # noqa: E402
+from plumbline.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", cores="4", partitions=4)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session("tests", cores="4", partitions=4, spark__checkpoint__dir=str(shared))
     yield session
+    release(session)
     session.stop()
 
 
