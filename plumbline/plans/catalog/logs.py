@@ -128,11 +128,22 @@ leaves AS (
   SELECT event_id, 0, 'run_tags_1', 'b' FROM events WHERE event_id % 3 = 2)"""
 
 
-@query("f_json_flatten", sql(LEAVES, "SELECT event_id, record, path, CASE WHEN path IN ('val_accuracy', 'loss') THEN '' ELSE value END AS value FROM leaves"))
+NUMBERS = ("val_accuracy", "loss")
+
+
+@query(
+    "f_json_flatten",
+    sql(
+        LEAVES,
+        f"""SELECT event_id, record, path, CASE WHEN path NOT IN {NUMBERS} THEN value END AS value, CASE WHEN path IN {NUMBERS} THEN value::DOUBLE END AS number FROM leaves""",
+        ["number"],
+    ),
+)
 def _(spark, d):
-    # Number spelling differs between engines; the numeric leaves are compared as metrics below.
+    # Engines spell numbers differently: numeric leaves are compared as numbers, the others as text.
     leaves = lg.flatten_json(fr.metric_json(spark, d), "event_id", "text")
-    return leaves.withColumn("value", F.when(F.col("path").isin("val_accuracy", "loss"), "").otherwise(F.col("value")))
+    numeric = F.col("path").isin(*NUMBERS)
+    return leaves.select("event_id", "record", "path", F.when(~numeric, F.col("value")).alias("value"), F.when(numeric, F.col("value").try_cast("double")).alias("number"))
 
 
 @query(
