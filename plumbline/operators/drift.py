@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import decimal_value, is_missing, trimmed
+from ..session import cut
 from .running import count_below, running
 
 PSEUDOCOUNT = 0.5
@@ -116,63 +117,89 @@ def wasserstein1(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> Dat
     return rows.select("feature", F.col("w1").alias("w"), "n_ref", "n_comp", reason.alias("reason"))
 
 
-def _cuts(low: float, high: float, bins: int) -> list[float]:
-    """Distinct interior cuts of the reference range; an interior boundary belongs to the upper bin."""
-    cuts: list[float] = []
-    for i in range(1, bins):
-        share = i / bins
-        cut = low * (1 - share) + high * share
-        if low < cut < high and cut not in cuts[-1:]:
-            cuts.append(cut)
-    return cuts
+def _counted(datasets: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """Rows per distinct cell of every dataset: name, feature, number, cell, n. Written once; each dataset is read once."""
+    fast = {c for c in columns if _plain_number(list(datasets.values()), c)}
+    parts = [_values(df, columns, fast).select(F.lit(name).alias("name"), "feature", "number", "cell") for name, df in datasets.items()]
+    return cut(reduce(DataFrame.unionByName, parts).groupBy("name", "feature", "number", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
 
 
-def _plans(
-    datasets: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str]], columns: Sequence[str], bins: int
-) -> dict[tuple[str, str, str], dict]:
-    """First job: size, words and range of every feature in every dataset, combined per pair.
+def _plan(counts: DataFrame, pairs: Sequence[tuple[str, str]], columns: Sequence[str], bins: int) -> DataFrame:
+    """One row per pair and feature: kind, reason, sizes and the distinct interior cuts of the reference range.
 
-    At most ``datasets x columns`` rows reach the driver, both lists being the caller's own.
+    An interior boundary belongs to the upper bin. Sizes and ranges come from the counts, so nothing but the caller's
+    own lists is in the plan.
     """
-    fast = {c for c in columns if _plain_number(list(datasets.values()), c)}
-    parts = [_values(df, columns, fast).select(F.lit(name).alias("name"), "feature", "number") for name, df in datasets.items()]
-    stats = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("name", "feature")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("number").isNull()).alias("words"),
-            F.min("number").alias("low"),
-            F.max("number").alias("high"),
-        )
+    stats = counts.groupBy("name", "feature").agg(
+        F.sum("n").alias("n"),
+        F.count_if(F.col("number").isNull()).alias("words"),
+        F.min("number").alias("low"),
+        F.max("number").alias("high"),
     )
-    known = {(r["name"], r["feature"]): r for r in stats.collect()}
-    plans = {}
-    for ref, comp in pairs:
-        for feature in columns:
-            a, b = known.get((ref, feature)), known.get((comp, feature))
-            if a is None or b is None:
-                continue
-            numeric = a["words"] + b["words"] == 0
-            plan = {"kind": "numeric" if numeric else "categorical", "reason": None, "n_ref": a["n"], "n_comp": b["n"]}
-            if numeric and a["low"] == a["high"]:
-                plan["reason"] = "constant reference"
-            elif numeric:
-                plan["cuts"] = _cuts(a["low"], a["high"], bins)
-            plans[(ref, comp, feature)] = plan
-    return plans
-
-
-def _plan_frame(spark, plans, pairs, columns) -> DataFrame:
-    rows = []
-    for r, c in pairs:
-        for f in columns:
-            plan = plans.get((r, c, f), {"kind": None, "reason": "empty sample"})
-            cuts = plan.get("cuts")
-            width = None if cuts is None else len(cuts) + 1
-            rows.append((r, c, f, plan["kind"], plan["reason"], cuts, width, plan.get("n_ref"), plan.get("n_comp")))
-    schema = "ref string, comp string, feature string, kind string, reason string, cuts array<double>, width int, n_ref long, n_comp long"
-    return spark.createDataFrame(rows, schema)
+    listed = counts.sparkSession.createDataFrame(list(pairs), "ref string, comp string")
+    named = listed.select("ref", "comp", F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature"))
+    of_ref = stats.select(F.col("name").alias("ref"), "feature", F.col("n").alias("n_ref"), F.col("words").alias("words_ref"), "low", "high")
+    of_comp = stats.select(F.col("name").alias("comp"), "feature", F.col("n").alias("n_comp"), F.col("words").alias("words_comp"))
+    sized = named.join(of_ref, ["ref", "feature"], "left").join(of_comp, ["comp", "feature"], "left")
+    both = F.col("n_ref").isNotNull() & F.col("n_comp").isNotNull()
+    kind = F.when(both, F.when(F.col("words_ref") + F.col("words_comp") == 0, "numeric").otherwise("categorical"))
+    flat = (kind == "numeric") & (F.col("low") == F.col("high"))
+    share = lambda i: i / F.lit(float(bins))
+    every = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("low") * (1 - share(i)) + F.col("high") * share(i))
+    inside = F.array_distinct(F.filter(every, lambda c: (c > F.col("low")) & (c < F.col("high"))))
+    reason = F.when(~both, "empty sample").when(flat, "constant reference")
+    usable = (kind == "numeric") & ~flat
+    return cut(sized.select(*PAIR, kind.alias("kind"), reason.alias("reason"), F.when(usable, inside).alias("cuts"), "n_ref", "n_comp"), "psi-plan")
+
+
+def _psi_of(ref: Column, comp: Column, n_ref: Column, n_comp: Column, k: Column) -> Column:
+    """One bin's term; every bin has half a pseudo-count."""
+    p, q = (ref + PSEUDOCOUNT) / (n_ref + k * PSEUDOCOUNT), (comp + PSEUDOCOUNT) / (n_comp + k * PSEUDOCOUNT)
+    return (q - p) * F.ln(q / p)
+
+
+def _numeric_psi(counts: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """PSI of pairs with cuts. Each dataset is binned once, by the cuts of all references together; the bins of a pair
+    are sums of those. ``most`` bounds the cuts of a feature.
+    """
+    live = plan.filter(F.col("cuts").isNotNull()).select(*PAIR, "cuts", "n_ref", "n_comp")
+    edges = live.groupBy("feature").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("cuts")))).alias("edges"))
+    # one row per feature, with no more cuts than references x bins
+    placed = counts.filter(F.col("number").isNotNull()).join(F.broadcast(edges), "feature")
+    fine = placed.groupBy("name", "feature", count_below(F.col("edges"), most, F.col("number")).alias("at")).agg(F.sum("n").alias("n"))
+    held = fine.groupBy("name", "feature").agg(F.collect_list(F.struct("at", "n")).alias("held"))
+    side = lambda role: held.select(F.col("name").alias(role), "feature", F.col("held").alias(f"held_{role}"))
+    joined = live.join(edges, "feature").join(side("ref"), ["ref", "feature"]).join(side("comp"), ["comp", "feature"])
+    # a cut's place among the edges: values below it lie in the fine bins before that place
+    until = F.concat(F.transform("cuts", lambda c: F.array_position("edges", c)), F.array(F.lit(most + 1).cast("long")))
+    bounded = joined.select(*PAIR, "n_ref", "n_comp", "held_ref", "held_comp", until.alias("until"))
+
+    def inside(held: str, i: Column) -> Column:
+        here = lambda x: (x["at"] < F.get("until", i)) & (x["at"] >= F.coalesce(F.get("until", i - 1), F.lit(0)))
+        return F.aggregate(F.filter(held, here), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    k = F.size("until")
+    terms = F.transform(
+        F.sequence(F.lit(0), k - 1), lambda i: _psi_of(inside("held_ref", i), inside("held_comp", i), F.col("n_ref"), F.col("n_comp"), k)
+    )
+    return bounded.select(*PAIR, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias("psi"))
+
+
+def _categorical_psi(counts: DataFrame, plan: DataFrame) -> DataFrame:
+    """PSI over the union of both samples' categories."""
+    live = plan.filter(F.col("kind") == "categorical").select(*PAIR, "n_ref", "n_comp")
+    roles = F.array(*[F.struct(F.col(r).alias("name"), F.lit(r == "ref").alias("is_ref")) for r in ("ref", "comp")])
+    shares = _categories(counts).join(live.select(*PAIR, F.inline(roles)), ["name", "feature"])
+    side = lambda ref: F.sum(F.when(F.col("is_ref") == ref, F.col("n")).otherwise(0))
+    rows = shares.groupBy(*PAIR, "category").agg(side(True).alias("a"), side(False).alias("b"))
+    sized = live.join(rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("k")), list(PAIR))
+    term = _psi_of(F.col("a"), F.col("b"), F.col("n_ref"), F.col("n_comp"), F.col("k"))
+    return rows.join(sized, list(PAIR)).groupBy(*PAIR).agg(F.sum(term).alias("psi"))
+
+
+def _categories(counts: DataFrame) -> DataFrame:
+    category = F.coalesce(F.col("cell"), F.col("number").cast("string")).alias("category")
+    return counts.groupBy("name", "feature", category).agg(F.sum("n").alias("n"))
 
 
 def psi_pairs(
@@ -182,35 +209,16 @@ def psi_pairs(
 
     Numeric features: equal-width cuts over the reference range, outer bins open. Others: the union of
     categories. Every bin gets half a pseudo-count. Undefined is NULL with a reason.
-    Two passes over the data: ranges first, then one histogram of all pairs and features.
+    Each dataset is read once, into counts of its distinct cells; ranges, bins and pairs all come from those.
     """
     if not 2 <= bins <= 100:
         raise ValueError("bins must be in 2..100")
-    spark = next(iter(datasets.values())).sparkSession
-    rows = _pair_rows(datasets, pairs, columns)
-    plan = F.broadcast(_plan_frame(spark, _plans(datasets, pairs, columns, bins), pairs, columns))
-    live = plan.filter(F.col("kind").isNotNull() & F.col("reason").isNull())
-    place = count_below(F.col("cuts"), bins - 1, F.col("number")).cast("string")
-    bin_of = F.when(F.col("kind") == "numeric", place).otherwise(F.coalesce(F.col("cell"), F.col("number").cast("string")))
-    filled = (
-        rows.join(live.select(*PAIR, "kind", "cuts"), list(PAIR))
-        .groupBy(*PAIR, bin_of.alias("bin"))
-        .agg(F.count_if(F.col("is_ref")).alias("a"), F.count_if(~F.col("is_ref")).alias("b"))
-    )
-    sized = filled.join(live.select(*PAIR, "kind", "width", "n_ref", "n_comp"), list(PAIR))
-    # Bins nobody fell into still carry their pseudo-counts: (width - filled) equal terms.
-    seen = Window.partitionBy(*PAIR)
-    k = F.coalesce("width", F.col("filled"))
-    p = lambda n, size: (n + PSEUDOCOUNT) / (size + k * PSEUDOCOUNT)
-    term = lambda a, b: (p(b, F.col("n_comp")) - p(a, F.col("n_ref"))) * F.ln(p(b, F.col("n_comp")) / p(a, F.col("n_ref")))
-    counted = sized.select("*", F.count(F.lit(1)).over(seen).alias("filled"))
-    values = counted.groupBy(*PAIR).agg(
-        F.first("kind").alias("kind"),
-        F.first("filled").alias("filled"),
-        (F.sum(term(F.col("a"), F.col("b"))) + F.first((k - F.col("filled")) * term(F.lit(0), F.lit(0)))).alias("psi"),
-    )
-    out = plan.join(values.select(*PAIR, "psi"), list(PAIR), "left")
-    return out.select(*PAIR, "kind", F.when(F.col("psi").isNotNull(), F.greatest(F.lit(0.0), F.col("psi"))).alias("psi"), "reason")
+    counts = _counted(datasets, columns)
+    plan = _plan(counts, pairs, columns, bins)
+    most = len({r for r, _ in pairs}) * (bins - 1)
+    values = _numeric_psi(counts, plan, most).unionByName(_categorical_psi(counts, plan))
+    psi = F.when(F.col("psi").isNotNull(), F.greatest(F.lit(0.0), F.col("psi")))
+    return plan.join(values, list(PAIR), "left").select(*PAIR, "kind", psi.alias("psi"), "reason")
 
 
 def psi(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -219,15 +227,12 @@ def psi(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10)
 
 def psi_config(ref: DataFrame, comp: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """The cut points and categories behind ``psi``: feature, kind, cut, category."""
-    datasets, pairs = {"ref": ref, "comp": comp}, [("ref", "comp")]
-    rows = _pair_rows(datasets, pairs, columns)
-    plan = _plan_frame(ref.sparkSession, _plans(datasets, pairs, columns, bins), pairs, columns).filter(F.col("reason").isNull())
+    counts = _counted({"ref": ref, "comp": comp}, columns)
+    plan = _plan(counts, [("ref", "comp")], columns, bins).filter(F.col("reason").isNull())
     cuts = plan.select("feature", "kind", F.explode("cuts").alias("cut"), F.lit(None).cast("string").alias("category"))
     wordy = plan.filter(F.col("kind") == "categorical").select("feature")
-    words = union_categories(rows.join(F.broadcast(wordy), "feature", "left_semi"))
-    return cuts.unionByName(
-        words.select("feature", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("cut"), "category")
-    )
+    words = _categories(counts).join(wordy, "feature", "left_semi").select("feature", "category").distinct()
+    return cuts.unionByName(words.select("feature", F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("cut"), "category"))
 
 
 def union_categories(rows: DataFrame) -> DataFrame:

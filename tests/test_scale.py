@@ -106,3 +106,26 @@ def test_diagnosis_answers(spark):
     assert of(feature_available="no") == {"leakage": (3, 2, 0), "shift": (2, 1, 0)}
     assert of(same_run="no") == of()
     assert of(same_run="no", sources=("logs", "datasets")) == {"leakage": (2, 1, 1), "shift": (1, 1, 1)}
+
+
+def plain_psi(a, b, bins):
+    import math
+
+    low, high = min(a), max(a)
+    cuts = sorted({low * (1 - i / bins) + high * (i / bins) for i in range(1, bins)})
+    k = len(cuts) + 1
+    count = lambda xs, j: sum(sum(c <= x for c in cuts) == j for x in xs)
+    share = lambda xs, j: (count(xs, j) + 0.5) / (len(xs) + k / 2)
+    return sum((share(b, j) - share(a, j)) * math.log(share(b, j) / share(a, j)) for j in range(k))
+
+
+def test_psi_of_fifty_datasets(spark):
+    rng = random.Random(6)
+    values = {f"d{i}": [rng.gauss(i / 10, 1 + i / 50) for _ in range(30)] for i in range(50)}
+    frames = {k: spark.createDataFrame([(v,) for v in x], "x double").coalesce(1) for k, x in values.items()}
+    names = list(frames)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    got = {(r.ref, r.comp): r.psi for r in dr.psi_pairs(frames, pairs, ["x"], 5).collect()}
+    assert len(got) == len(pairs)
+    for a, b in pairs[::37]:
+        assert got[a, b] == pytest.approx(plain_psi(values[a], values[b], 5), abs=1e-12)
