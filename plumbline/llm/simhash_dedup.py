@@ -128,16 +128,22 @@ def _link(cell: np.ndarray, asks: np.ndarray, fp: np.ndarray) -> Iterator[pa.Rec
             x = root[x]
         return x
 
+    group = root.copy()  # every node's root as of the last step: pairs within a group need no further look
     left, right, step = [], [], 0
     while len(asker):
         other = starts[of[asker]] + step
-        near = np.bitwise_count(fp[asker] ^ fp[other]) <= RADIUS
-        for a, b in zip(node[asker[near]], node[other[near]]):
-            x, y = find(a), find(b)
+        a, b = node[asker], node[other]
+        near = np.flatnonzero((np.bitwise_count(fp[asker] ^ fp[other]) <= RADIUS) & (group[a] != group[b]))
+        for i, j in zip(a[near].tolist(), b[near].tolist()):
+            x, y = find(i), find(j)
             if x != y:
                 root[max(x, y)] = min(x, y)
-                left.append(names[a])
-                right.append(names[b])
+                left.append(names[i])
+                right.append(names[j])
+        if len(near):
+            group = root.copy()
+            while (root[group] != group).any():
+                group = root[group]
         step += 1
         asker = asker[filed[of[asker]] > step]
     if left:
