@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import clamp
 from ..functions.measures import measure, to_long
-from .running import count_below, order_statistics, value_counts
+from .running import count_below_fixed, order_statistics, value_counts
 
 
 def brier(ev: DataFrame, positive: str = "1") -> DataFrame:
@@ -35,7 +35,7 @@ def _bins(ev: DataFrame, edges: list[float], positive: str) -> DataFrame:
     table = spark.createDataFrame(
         [(i, edges[i], edges[i + 1]) for i in range(last + 1)], "bin long, lower double, upper double"
     )
-    place = count_below(F.array(*[F.lit(e) for e in edges]), len(edges), F.col("y_probability")) - F.lit(1)
+    place = count_below_fixed(edges, F.col("y_probability")) - F.lit(1)
     bin_of = F.when(F.col("y_probability").isNotNull(), F.least(place, F.lit(last)))
     # At most len(edges) rows after the map-side combine; the NULL bin holds unscored rows.
     filled = ev.groupBy(bin_of.cast("long").alias("bin")).agg(

@@ -38,6 +38,20 @@ def count_below(cuts: Column, size: int, value: Column, strict: bool = False) ->
     return F.aggregate(folds, F.lit(0), advance)
 
 
+def count_below_fixed(cuts: Sequence[float], value: Column) -> Column:
+    """How many of the ascending numbers ``cuts`` are ``<= value``; 0 for NULL.
+
+    The caller's short list as a tree of comparisons: generated code, where a fold over an array is interpreted.
+    """
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.lit(cuts[middle]) <= value, among(middle + 1, high)).otherwise(among(low, middle))
+
+    return among(0, len(cuts))
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import predict
 from ..functions.measures import measure, to_long
 from .metrics import metric_rows, rate_columns
-from .running import count_below
+from .running import count_below_fixed
 
 GRID = tuple(i / 100 for i in range(101))
 SELECTABLE = ("accuracy", "balanced_accuracy", "precision", "recall", "specificity", "f1", "minority_recall")
@@ -34,8 +34,7 @@ def threshold_sweep(ev: DataFrame, thresholds: Sequence[float] = GRID, positive:
     ordered = sorted(set(float(t) for t in thresholds))
     if not ordered or ordered[0] < 0 or ordered[-1] > 1:
         raise ValueError("give thresholds in [0, 1]")
-    cuts = F.array(*[F.lit(t) for t in ordered])
-    reached = count_below(cuts, len(ordered), F.col("y_probability"))
+    reached = count_below_fixed(ordered, F.col("y_probability"))
     buckets = ev.groupBy(reached.alias("reached")).agg(
         F.count_if(F.col("y_true") == positive).alias("pos"),
         F.count_if(F.col("y_true") != positive).alias("neg"),

@@ -65,9 +65,12 @@ def parse_csv_lines(lines: DataFrame, column: str, header: Sequence[str], keep:
     return _split_shape(parsed.select(*keep, "r.*"), names, keep)
 
 
-def read_strict_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_strict_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """A CSV file as text columns: (rows, ragged records). The header is checked on the driver (one line).
 
+    A large file is split over tasks, so a record is a line, and a file with quoted line feeds is refused. With
+    ``multi_line`` it is read, each file by one task.
+
     The parsed records are written once: Spark's reader cannot answer for the corrupt column alone, and
     pruned columns would hide ragged records.
     """
@@ -75,8 +78,10 @@ def read_strict_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     if first is None:
         raise ValueError("CSV needs a header and at least one data row")
     names = check_header(next(csv.reader(io.StringIO(first[0]))))
+    if not multi_line and not spark.read.text(path).filter(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty():
+        raise ValueError("quoted line feeds: read with multi_line=True")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     parsed = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
     return _split_shape(cut(parsed, "csv"), names, ())
 

@@ -84,9 +84,14 @@ def test_ingestion_is_atomic(spark):
 def test_csv_shape(spark, tmp_path):
     path = tmp_path / "e.csv"
     path.write_text('a,b\n1,"x, ""y""\nz"\n\n2\n3,4,5\n')
-    rows, bad = ev.read_strict_csv(spark, str(path))
+    rows, bad = ev.read_strict_csv(spark, str(path), multi_line=True)
     assert [tuple(r) for r in rows.collect()] == [("1", 'x, "y"\nz')]
     assert bad.count() == 2
+    with pytest.raises(ValueError):
+        ev.read_strict_csv(spark, str(path))
+    path.write_text('a,b\n1,"x, ""y"""\n\n2\n3,4,5\n')
+    rows, bad = ev.read_strict_csv(spark, str(path))
+    assert [tuple(r) for r in rows.collect()] == [("1", 'x, "y"')] and bad.count() == 2
     for header in (["a", ""], ["a", "a"]):
         with pytest.raises(ValueError):
             ev.check_header(header)
@@ -108,7 +113,7 @@ def test_lenient_predictions(spark):
 
 def test_round_trip_and_gate(spark):
     tables = {"t": spark.createDataFrame([("a", 1), ("b", None)], "id string, n long")}
-    assert tuple(sinks.round_trip(tables, shared_dir(spark, "test")).first()) == ("t", 2, 0)
+    assert tuple(sinks.round_trip(tables, shared_dir(spark, "test")).first()) == ("t", 2, 0, 1)
     checks = spark.createDataFrame([("after", "recall", "at_least", 0.9, "ratio"), ("after", "f1", "at_least", 0.9, "ratio")], "stage string, metric string, operator string, value double, unit string")
     seen = spark.createDataFrame([("after", "recall", "ratio", 1.0), ("after", "f1", "ratio", None)], "stage string, metric string, unit string, value double")
     checked = rec.policy_checks(checks, seen)
