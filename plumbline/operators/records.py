@@ -351,6 +351,19 @@ def incident_record(tables: Mapping[str, DataFrame], comparisons: DataFrame, che
     )
 
 
+def incident_hypotheses(hypotheses: DataFrame) -> DataFrame:
+    """The hypotheses that an incident leaves rejected or unresolved: id, fate, level."""
+    fate = F.when(F.col("status") == "rejected", "rejected").when(F.col("status") != "confirmed", "unresolved")
+    return hypotheses.select("id", fate.alias("fate"), "level").filter(F.col("fate").isNotNull())
+
+
+def audit_columns(profile: DataFrame) -> DataFrame:
+    """The audit's section on every column with missing cells: column, missing, missing_share, type; largest share first."""
+    share = F.col("missing") / (F.col("missing") + F.col("observed"))
+    rows = profile.filter(F.col("missing") > 0).select("column", "missing", share.alias("missing_share"), "type")
+    return rows.orderBy(F.col("missing_share").desc(), "column")
+
+
 def decision_audit(
     missing: DataFrame, repeated: DataFrame, dominant: DataFrame, gaps: DataFrame | None = None
 ) -> DataFrame:

@@ -465,3 +465,24 @@ def _(spark, d):
     return rec.incident_record(t, t["comparisons"], _checked(spark, d))
 
 
+
+
+@query(
+    "incident_hypotheses",
+    sql(EN, "SELECT id, CASE status WHEN 'rejected' THEN 'rejected' ELSE 'unresolved' END AS fate, level FROM hypotheses WHERE status <> 'confirmed'"),
+)
+def _(spark, d):
+    return rec.incident_hypotheses(fr.entities(spark, d)["hypotheses"])
+
+
+@query(
+    "audit_columns",
+    sql(
+        fr.CELLS_SQL,
+        f"""SELECT * FROM (SELECT 'amount' AS "column", count(*) FILTER ({gone('amount')}) AS missing, count(*) FILTER ({gone('amount')})::DOUBLE / count(*) AS missing_share,
+                             CASE WHEN count(*) FILTER (NOT {gone('amount')} AND TRY_CAST(trim(amount) AS DOUBLE) IS NULL) > 0 THEN 'categorical' ELSE 'numeric' END AS type FROM raw_cells) WHERE missing > 0""",
+        ["missing_share"],
+    ),
+)
+def _(spark, d):
+    return rec.audit_columns(q.profile_counts(q.cell_counts(fr.raw_cells(spark, d), ["amount", "code", "status"])))
