@@ -178,16 +178,16 @@ def components(pairs: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         below = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(below, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(joined.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "links")
-        twice = edges.groupBy("a").count().where("count > 1")
-        inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        if twice.isEmpty() and inner.isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
+        ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
+        # every node either has one root or is one
+        mixed = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR ups = 1 AND least = 0")
+        if mixed.isEmpty():
+            rooted = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))
+            return edges.select(F.inline(rooted)).distinct()
 
 
 def groups(prints: DataFrame) -> DataFrame:
