@@ -3,8 +3,9 @@
 Terms are the distinct words of a text (lower case) and their first 4, 5 and 6 characters, hashed to
 ``BUCKETS``. score = sigmoid(w0 + sum w[i] + sum over i < j of <v[i], v[j]>), so that two terms together may
 say more than each alone. The machine is fitted on at most ``SAMPLE`` labelled documents, those of smallest
-hashed id: their buckets are counted in Spark, the ``FEATURES`` buckets that deviate most from the base rate
-stay, and only the few places of these in each sampled document reach the driver.
+hashed id, over all buckets that ``SUPPORT`` of them hold: a term that tells nothing alone may tell with another.
+The more buckets a document has, the smaller the steps of v, and the more a bucket must deviate from the base rate
+for full steps of w; without that, the many rare buckets would learn the sample by heart.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from .common import held_out, only, small_batches
 
 BUCKETS = 1 << 20
 SAMPLE = 20_000
-FEATURES = 4096
 # Sampled documents that must hold a bucket.
 SUPPORT = 3
 PREFIXES = (4, 5, 6)
@@ -34,6 +34,8 @@ EPOCHS = 40
 BATCH = 64
 RATE = 0.2
 DECAY = 2e-4
+# Buckets a document may have on average before steps shrink; squared deviation at which a step of w is halved at most.
+CROWD, STEADY = 25, 100
 THRESHOLD = 0.7
 FOLDS, HELD_FOLD = 3, 1
 WORDS = 200_000
@@ -80,43 +82,56 @@ def _active(text: str, places: _Places) -> list[int]:
     return sorted(set().union(*map(places.__getitem__, set(_words(text.lower())))))
 
 
-def fit(rows: list[list[int]], toxic: list[int], place: dict[int, int], epochs: int = EPOCHS) -> Machine:
+def fit(rows: list[list[int]] | list[np.ndarray], toxic: list[int], place: dict[int, int], epochs: int = EPOCHS) -> Machine:
     """AdaGrad on the logistic loss; rows hold the places of each document. The order of rows decides the batches."""
     n, size = len(rows), len(place)
     share = (sum(toxic) + 0.5) / (n + 1)
     bias = math.log(share / (1 - share))
     if not size or not 0 < sum(toxic) < n:
         return Machine({}, bias, np.zeros(0), np.zeros((0, RANK)))
-    rng = np.random.default_rng(7)
-    machine = Machine(place, bias, np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
+    each = [np.asarray(r, np.int32) for r in rows]
     y = np.array(toxic, float)
-    squares_w, squares_v, squares_0 = np.full(size, 1e-3), np.full((size, RANK), 1e-3), 1e-3
+    held, bad = np.zeros(size), np.zeros(size)  # documents that hold a bucket, and toxic ones
+    for row, is_toxic in zip(each, toxic):
+        held[row] += 1
+        bad[row] += is_toxic
+    room = min(1.0, CROWD * n / max(held.sum(), 1))
+    evidence = (bad - held * share) ** 2 / (np.maximum(held, 1) * share * (1 - share)) + 1e-9
+    step = RATE * evidence / (evidence + STEADY * (1 - room))
+    rng = np.random.default_rng(7)
+    # one row for w and one for each rank of v: numpy picks from such rows several times faster than from columns
+    given = np.zeros((1 + RANK, size))
+    given[1:] = rng.normal(0, 0.05 * math.sqrt(room), (size, RANK)).T
+    squares, squares_0 = np.full((1 + RANK, size), 1e-3), 1e-3
+    steps = [step, *[RATE / 4 * room] * RANK]
+    at, marked = np.zeros(size, np.int64), np.zeros(size, bool)
+    lengths = np.array([len(r) for r in each])
     for _ in range(epochs):
         order = rng.permutation(n)
         for start in range(0, n, BATCH):
             batch = order[start : start + BATCH]
-            flat = np.array([p for i in batch for p in rows[i]], np.int64)
-            of = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
-            v = machine.v[flat]
-            sums = np.zeros((len(batch), RANK))
-            np.add.at(sums, of, v)
-            own = np.zeros(len(batch))
-            np.add.at(own, of, machine.w[flat] - 0.5 * (v * v).sum(1))
-            x = machine.bias + own + 0.5 * (sums * sums).sum(1)
+            flat = np.concatenate([each[i] for i in batch])
+            of = np.repeat(np.arange(len(batch)), lengths[batch])
+            marked[flat] = True
+            seen = np.flatnonzero(marked)
+            marked[seen] = False
+            at[seen] = np.arange(len(seen))
+            local = at.take(flat)
+            w, *v = now = [row.take(seen) for row in given]
+            own = w - 0.5 * sum(k * k for k in v)
+            sums = [np.bincount(of, k.take(local), len(batch)) for k in v]
+            x = bias + np.bincount(of, own.take(local), len(batch)) + 0.5 * sum(k * k for k in sums)
             error = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - y[batch]) / len(batch)
-            gw, gv = np.zeros(size), np.zeros((size, RANK))
-            np.add.at(gw, flat, error[of])
-            np.add.at(gv, flat, error[of, None] * (sums[of] - v))
-            seen = np.unique(flat)
-            gw[seen] += DECAY * machine.w[seen]
-            gv[seen] += DECAY * machine.v[seen]
-            squares_w[seen] += gw[seen] ** 2
-            squares_v[seen] += gv[seen] ** 2
+            gw = np.bincount(local, error.take(of), len(seen))
+            gv = [np.bincount(local, (error * k).take(of), len(seen)) - mine * gw for k, mine in zip(sums, v)]
+            for i, g in enumerate((gw, *gv)):
+                g = g + DECAY * now[i]
+                grown = squares[i].take(seen) + g * g
+                squares[i][seen] = grown
+                given[i][seen] = now[i] - (steps[i].take(seen) if i == 0 else steps[i]) * g / np.sqrt(grown)
             squares_0 += error.sum() ** 2
-            machine.w[seen] -= RATE * gw[seen] / np.sqrt(squares_w[seen])
-            machine.v[seen] -= RATE / 4 * gv[seen] / np.sqrt(squares_v[seen])
-            machine.bias -= RATE * error.sum() / math.sqrt(squares_0)
-    return machine
+            bias -= RATE * error.sum() / math.sqrt(squares_0)
+    return Machine(place, bias, given[0].copy(), given[1:].T.copy())
 
 
 def sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -135,35 +150,35 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Machine:
     def all_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({b for w in set(_words(t.lower())) for b in buckets_of(w)}) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["buckets"])
 
-    spread = texts.mapInArrow(all_buckets, "toxic int, buckets array<int>")
-    totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    if not totals.n:
-        return Machine({}, -30.0, np.zeros(0), np.zeros((0, RANK)))
-    share = (totals.bad + 0.5) / (totals.n + 1)
-    counts = spread.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
-    deviation = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    best = counts.where(F.col("n") >= SUPPORT).orderBy(deviation.desc(), "bucket").limit(FEATURES).select("bucket").collect()
-    place = {b: i for i, b in enumerate(sorted(r.bucket for r in best))}
+    spread = texts.mapInArrow(all_buckets, "buckets array<int>")
+    counts = spread.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    supported = counts.where(F.col("n") >= SUPPORT).select("bucket").collect()  # at most BUCKETS
+    place = {b: i for i, b in enumerate(sorted(r.bucket for r in supported))}
+    sent = docs.sparkSession.sparkContext.broadcast(place)
 
     def only_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places(place)
+        places = _Places(sent.value)
         for batch in batches:
-            found = [_active(t, places) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "places"])
+            found = [np.array(_active(t, places), np.int32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "places"])
 
-    rows = texts.mapInArrow(only_places, "doc_id long, toxic int, places array<int>").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.places))
-    return fit([r.places for r in rows], [r.toxic for r in rows], place)
+    rows = texts.mapInArrow(only_places, "doc_id long, toxic int, places binary").collect()
+    if not rows:
+        return Machine({}, -30.0, np.zeros(0), np.zeros((0, RANK)))
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.places)))
+    return fit([np.frombuffer(r.places, np.int32) for r in rows], [r.toxic for r in rows], place)
 
 
 def with_score(docs: DataFrame, machine: Machine, name: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and the score of every whole text; null counts as empty."""
     small_batches(docs.sparkSession)
     schema = docs.selectExpr("*", f"0D AS `{name}`").schema
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = sent.value
         places = _Places(machine.place)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()

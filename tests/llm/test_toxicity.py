@@ -63,3 +63,23 @@ def test_sample_is_bounded_and_leaves_the_held_out_fold(spark):
     labels = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
     ids = [r.doc_id for r in T.sample(labels, 100).collect()]
     assert len(ids) == 100 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
+
+
+def test_learns_terms_that_tell_only_as_a_pair_among_many_others(spark):
+    rng = random.Random(5)
+    others = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(2500)]
+
+    def text(first, second):
+        return " ".join([*rng.sample(others, 30), first, second])
+
+    # each of the four words is in half of the documents, and toxic as often as not; only their pairs tell
+    pairs = [(a, b) for a in ("frobber", "grubble") for b in ("glinter", "shaleish")]
+    learnt, chosen = 0, []
+    for i in range(3000):  # in equal parts among those that teach
+        chosen.append(pairs[learnt % 4])
+        learnt += zlib.crc32(str(i).encode()) % 3 != 1
+    docs = spark.createDataFrame([(i, text(*p)) for i, p in enumerate(chosen)], "doc_id long, text string")
+    toxic = {i: int(p in (pairs[0], pairs[3])) for i, p in enumerate(chosen)}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    held = [r for r in T.toxicity(docs, labels).collect() if r.held_out]
+    assert sum((r.score > 0.5) == bool(toxic[r.doc_id]) for r in held) > 0.95 * len(held)
