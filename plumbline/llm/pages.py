@@ -6,7 +6,7 @@ together with white space collapsed, blocks begin on a line of their own, those
 line, list items carry their bullet or number and indent what is in them, and the cells of a table are padded to
 columns. Text that isn't displayed is left out: head, scripts, styles, templates and the like, ``hidden``, ``display:
 none``, ``visibility: hidden`` unless a child is visible again, closed dialogs, and all but the summary of closed
-details.
+details. Of drawings the texts are shown, and of formulas all but annotations.
 
 Elements nested deeper than ``DEPTH`` are laid out at that depth, as browsers do; their text stays. Cells wider than
 ``WIDEST`` are not padded for, so a table takes no more than a bounded multiple of its text.
@@ -30,7 +30,7 @@ COLUMN = " | "
 
 # Elements of HTML by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist noembed noframes".split())
+UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noembed noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure fieldset hr details".split())
 PLAIN = frozenset(
     "html body div section article aside nav header footer main address form center li dt dd tr caption figcaption legend summary dialog hgroup search option optgroup".split()
@@ -56,6 +56,15 @@ ROW_GROUPS = frozenset("table thead tbody tfoot".split())
 P_WALLS = frozenset("table td th caption button object".split())
 # Everything that may stand in an open head; any other element ends it.
 IN_HEAD = frozenset("base link meta title style script noscript template basefont bgsound".split())
+# Foreign content: drawings show the text of these, formulas that of all but annotations; HTML may stand in the points.
+NOT_DRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc title".split())
+NOT_READ = frozenset("annotation annotation-xml".split())
+TOKENS = frozenset("mi mo mn ms mtext".split())
+POINTS = TOKENS | {"foreignobject"}
+# Opening tags that end a drawing or formula in which they stand.
+HTML_ONLY = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
@@ -75,12 +84,16 @@ BREAK = object()
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "shown", "visible", "pre", "parts", "number")
+    __slots__ = ("tag", "attrs", "shown", "visible", "pre", "parts", "number", "foreign", "drawn")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None):
         self.tag, self.attrs = tag, attrs
         style = attrs.get("style") or ""
-        hidden = tag in UNSEEN or "hidden" in attrs or bool(_NOT_SHOWN.search(style)) or tag == "dialog" and "open" not in attrs
+        outer = parent.foreign if parent is not None and parent.tag not in POINTS else None
+        self.foreign = tag if tag in ("svg", "math") else outer
+        self.drawn = outer != "svg" and tag != "svg" or tag == "text" or outer == "svg" and parent.drawn or tag == "foreignobject"
+        unseen = UNSEEN | NOT_DRAWN if outer == "svg" else UNSEEN | NOT_READ if outer == "math" else UNSEEN
+        hidden = tag in unseen or "hidden" in attrs or bool(_NOT_SHOWN.search(style)) or tag == "dialog" and "open" not in attrs
         if parent is not None and parent.tag == "details" and "open" not in parent.attrs:
             hidden = hidden or tag != "summary"
         self.shown = not hidden and (parent is None or parent.shown)
@@ -101,6 +114,17 @@ def flow(parts: list) -> list[str]:
     line: list[str] = []
     gap = False
 
+    rows: list[Row] = []  # in a row, of row groups outside a table
+
+    def place(block: Block) -> None:
+        nonlocal gap
+        end()
+        if block.lines:
+            if lines and (gap or block.margin):
+                lines.append("")
+            lines.extend(block.lines)
+            gap = block.margin
+
     def end() -> None:
         nonlocal gap
         text = "".join(line).rstrip(" ")
@@ -112,6 +136,12 @@ def flow(parts: list) -> list[str]:
             gap = False
 
     for part in parts:
+        if isinstance(part, Row):
+            rows.append(part)
+            continue
+        if rows and not (isinstance(part, str) and not _BLANK.sub("", part)):
+            place(Block(table_lines(rows), False))
+            rows.clear()
         if part is BREAK:
             end()
         elif isinstance(part, str):
@@ -127,12 +157,9 @@ def flow(parts: list) -> list[str]:
                 if text:
                     line.append(text)
         elif isinstance(part, Block):
-            end()
-            if part.lines:
-                if lines and (gap or part.margin):
-                    lines.append("")
-                lines.extend(part.lines)
-                gap = part.margin
+            place(part)
+    if rows:
+        place(Block(table_lines(rows), False))
     end()
     return lines
 
@@ -196,6 +223,8 @@ class Page(HTMLParser):
             return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self._close(len(self.open) - 1)
+        while tag in HTML_ONLY and self.open[-1].foreign and self.open[-1].tag not in POINTS:
+            self._close(len(self.open) - 1)
         if tag in ENDS:
             self._end(*ENDS[tag])
         if (tag in SPACED or tag in PLAIN) and tag not in ("tr", "caption", "option", "optgroup"):
@@ -205,8 +234,10 @@ class Page(HTMLParser):
         top = self.open[-1]
         if tag == "br" or tag == "hr":
             top.parts.append(BREAK if tag == "br" else Block([], True))
-        elif tag not in VOID and (len(self.open) < DEPTH or tag in UNSEEN):
-            self.open.append(Node(tag, attrs, top))
+        elif tag not in VOID and (len(self.open) < DEPTH or tag in UNSEEN or tag in ("svg", "math") or top.foreign):
+            node = Node(tag, attrs, top)
+            self._apart(node)
+            self.open.append(node)
         elif tag in SPACED or tag in PLAIN:
             top.parts.append(BREAK)
 
@@ -223,10 +254,15 @@ class Page(HTMLParser):
         if top.tag == "head" and data.strip():
             self._close(len(self.open) - 1)
             top = self.open[-1]
-        shown = top.shown and top.visible and not (top.tag == "details" and "open" not in top.attrs)
+        shown = top.shown and top.visible and top.drawn and not (top.tag == "details" and "open" not in top.attrs)
         if shown:
             top.parts.append((data,) if top.pre else data)
 
+    def _apart(self, node: Node) -> None:
+        """A drawing's texts and a formula's tokens stand apart by a space."""
+        if node.foreign == "svg" and node.tag in ("text", "foreignobject") or node.foreign == "math" and node.tag in TOKENS:
+            node.parts.append(" ")
+
     def _end(self, names: frozenset[str], wall: frozenset[str]) -> None:
         """Close the nearest open element of these names, unless a wall stands before it."""
         for i in range(len(self.open) - 1, 0, -1):
@@ -242,6 +278,7 @@ class Page(HTMLParser):
             parent = self.open[-1]
             if not node.shown:
                 continue
+            self._apart(node)
             tag = node.tag
             if tag in ("td", "th"):
                 lines = flow(node.parts)

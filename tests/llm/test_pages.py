@@ -31,6 +31,27 @@ def test_tables():
     assert page_text("<table><td>lone<p>cell</table>") == "lone\n\ncell"
 
 
+def test_rows_outside_a_table():
+    rows = "<tbody>\n<tr><td>a<td>bb</tr>\n<tr><td>ccc<td>d</tr>\n</tbody>"
+    laid = "a   | bb\nccc | d"
+    assert page_text(f"<div>{rows}</div>after") == f"{laid}\nafter"
+    assert page_text(rows) == page_text(f"<table>{rows}</table>") == laid
+    for tag in ("form", "center", "div", "b"):
+        assert page_text(f"<table><{tag}>{rows}</table>") == laid
+    assert page_text("<p>x<thead><tr><td>y") == "x\ny"
+
+
+def test_drawings_and_formulas():
+    svg = "<svg><title>no</title><desc>no</desc><metadata>no</metadata><style>no</style><defs><text>no</text></defs>no<path/><g><text>a<tspan>b</tspan></text><text>c</text></g>"
+    assert page_text(f"x{svg}<foreignObject><div>d</div></foreignObject></svg>y") == "x ab c\nd\ny"
+    assert page_text(f"{svg}<p>unclosed") == "ab c\n\nunclosed"
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math>"
+    assert page_text(f"<p>so {math} holds") == "so x = 1 2 holds"
+    assert page_text("<text>t</text><desc>u</desc>") == "tu"
+    assert page_text(f"<div hidden>{svg}</svg>{math}</div>z") == "z"
+    assert page_text("<div>" * 600 + svg + "</svg>") == "ab c"
+
+
 def test_what_is_not_displayed():
     page = """<head><title>T</title><style>p{}</style></head><body>a<script>var t="</p>"</script><div hidden>no</div><span style="display : none">no</span>
     <div style="visibility:hidden">no<b style="visibility:visible">yes</b></div><template>no</template><noscript>no</noscript><!-- no -->
