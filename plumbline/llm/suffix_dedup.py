@@ -36,9 +36,11 @@ from .common import only, small_batches, text_of
 LENGTH = 100
 GRAM = 40
 SHALLOW = 64
-CROWDED = 1_000_000
+CROWDED = 100_000
 # Text that one bucket stands for on average.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 24 << 20
+# Suffixes that a bucket sorts at a time, but for a larger group.
+AT_ONCE = 1 << 19
 # Windows of one text that are hashed at a time.
 STEP = 1 << 21
 NO_ID = (1 << 63) - 1
@@ -277,12 +279,15 @@ def _later_windows(table: pa.Table) -> pa.Table:
     left = np.flatnonzero(~sure)
     names, of, many = np.unique(key[left], return_inverse=True, return_counts=True)
     searched = (many[of] > 1) | (n[left] < 0)
-    entry, group = left[searched], of[searched]
+    by_group = np.argsort(of[searched], kind="stable")
+    entry, group = left[searched][by_group], of[searched][by_group]
     windows = np.abs(n[entry]).astype(np.int64)
-    offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    owner = np.repeat(entry, windows)
-    later = _not_first(data, begin[owner] + offset, np.repeat(group, windows), ids[owner], start[owner] + offset)
-    marks.append((doc[owner[later]], start[owner[later]] + offset[later], np.ones(len(later), np.int64)))
+    for a, b in _slices(group, windows):
+        some = entry[a:b]
+        offset = np.arange(windows[a:b].sum()) - np.repeat(np.cumsum(windows[a:b]) - windows[a:b], windows[a:b])
+        owner = np.repeat(some, windows[a:b])
+        later = _not_first(data, begin[owner] + offset, np.repeat(group[a:b], windows[a:b]), ids[owner], start[owner] + offset)
+        marks.append((doc[owner[later]], start[owner[later]] + offset[later], np.ones(len(later), np.int64)))
 
     doc, start, n = (np.concatenate(x) for x in zip(*marks))
     order = np.lexsort((start, doc))
@@ -296,6 +301,16 @@ def _later_windows(table: pa.Table) -> pa.Table:
     return _per_document(digests, doc, out, "marks")
 
 
+def _slices(group: np.ndarray, windows: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of the sorted groups with about ``AT_ONCE`` windows; no group is cut."""
+    if not len(group):
+        return
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    part = np.add.reduceat(windows, first).cumsum() // AT_ONCE
+    cuts = [*first[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])].tolist(), len(group)]
+    yield from zip(cuts[:-1], cuts[1:])
+
+
 def _not_first(data: bytes, place: np.ndarray, group: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The suffixes that equal an earlier one of their group in all of LENGTH bytes.
 
@@ -317,7 +332,11 @@ def _not_first(data: bytes, place: np.ndarray, group: np.ndarray, ids: np.ndarra
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     found = []
     at = place[active].tolist()
-    key = list(zip(ids[active].tolist(), start[active].tolist()))
+    order = np.lexsort((start[active], ids[active]))
+    fresh = np.r_[True, (np.diff(ids[active][order]) != 0) | (np.diff(start[active][order]) != 0)]
+    rank = np.empty(len(active), np.int64)
+    rank[order] = np.cumsum(fresh)
+    rank = rank.tolist()
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         trie = BlindTrie()
         for i in range(a, b):
@@ -325,8 +344,8 @@ def _not_first(data: bytes, place: np.ndarray, group: np.ndarray, ids: np.ndarra
             trie.add(data[p + SHALLOW : p + LENGTH], i)
         for same in trie.ordered():
             if len(same) > 1:
-                least = min(key[i] for i in same)
-                found.extend(i for i in same if key[i] != least)
+                least = min(rank[i] for i in same)
+                found.extend(i for i in same if rank[i] != least)
     return active[np.array(found, np.int64)]
 
 
