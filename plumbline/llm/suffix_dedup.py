@@ -208,6 +208,8 @@ def _stretches(buckets: int, crowded: frozenset[int], batches: Iterable[pa.Recor
         more: list[tuple[int, int, int, int, int, bytes]] = []
         done: list[tuple[int, int, int]] = []
         for i, (at, text, parts) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("runs"))):
+            if not text.is_valid:
+                continue
             raw = text.as_buffer().to_pybytes()
             found = np.frombuffer(b"".join(parts.as_py()), _RUN)
             for run in found[np.unique(found[["key", "start"]], return_index=True)[1]].tolist():
@@ -425,7 +427,7 @@ def remove_repeats(docs: DataFrame, kept: Column | None = None, crowded: int = C
     kept = F.col("kept") if kept is None else kept
     rows, texts = _texts(docs)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(8, -(-int(total) // BUCKET_BYTES))
+    buckets = max(64, -(-int(total) // BUCKET_BYTES))
 
     columns = "bucket int, digests binary, doc binary, key binary, start binary, n binary, many binary"
     counted = rows.select("digest", "text").mapInArrow(partial(_runs_by_bucket, buckets), columns)
@@ -434,7 +436,9 @@ def remove_repeats(docs: DataFrame, kept: Column | None = None, crowded: int = C
     hot = frozenset(np.frombuffer(b"".join(bytes(r.runs) for r in repeated.where("digest = X''").collect()), "<u8").tolist())
     wanted = repeated.where("digest <> X''").groupBy("digest").agg(F.collect_list("runs").alias("runs"))
     columns = "bucket int, digests binary, doc binary, id binary, start binary, n binary, key binary, data binary"
-    stretches = texts.join(wanted, "digest").select("id", "digest", "text", "runs").mapInArrow(partial(_stretches, buckets, hot), columns)
+    # left joins both times, so that one exchange of the texts serves both
+    held = F.when(F.col("runs").isNotNull(), F.col("text")).alias("text")
+    stretches = texts.join(wanted, "digest", "left").select("id", "digest", held, "runs").mapInArrow(partial(_stretches, buckets, hot), columns)
     later = stretches.groupBy("bucket").applyInArrow(lambda part: _later_windows(part), "digest binary, marks binary")
     marked = later.groupBy("digest").agg(F.collect_list("marks").alias("marks"))
     done = texts.join(marked, "digest", "left").select("id", "digest", "text", "marks").mapInArrow(
