@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language, licenses, packing, pages, quality, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, chat, fingerprints, language, licenses, packing, pages, quality, simhash_dedup, suffix_dedup, toxicity, whitening
 from .common import only, table
 from .registry import ORACLE, QUERIES, query
 
@@ -79,3 +79,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), F.sha2("kept", 256))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
