@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language, licenses, packing, pages, quality, simhash_dedup, suffix_dedup, toxicity, whitening
+from . import bpe, chat, collocations, fingerprints, language, licenses, packing, pages, quality, simhash_dedup, suffix_dedup, toxicity, whitening
 from .common import only, table
 from .registry import ORACLE, QUERIES, query
 
@@ -84,3 +84,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_collocations", collocations.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
