@@ -389,8 +389,9 @@ def _pieces(first: Column, length: Column) -> Column:
     return F.array_join(F.slice("path", first, length), " ")
 
 
-def phrases(docs: DataFrame, least: int = LEAST, window_range: int = RANGE) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of every phrase of 2 to LONGEST words with ``least`` occurrences that no longer one covers.
+def phrases(docs: DataFrame, least: int = LEAST, window_range: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, a, l, r, score) of every phrase of 2 to LONGEST words with ``least`` occurrences that no longer one
+    covers, and (lang, n), the words of each language.
 
     ``docs``: text and lang. A null text is empty, a null lang is UNKNOWN. Repeated rows count as often as they occur, texts
     of any length whole. An empty table gives no rows.
@@ -427,7 +428,7 @@ def phrases(docs: DataFrame, least: int = LEAST, window_range: int = RANGE) -> D
     covered = (wide("longer") * 100) >= (wide("a") * COVERED)
     kept = best.select("lang", "phrase", "best.*").join(around, ["lang", "phrase"], "left").where(~F.coalesce(covered, F.lit(False)))
     n = counted.where("words = 0").select("lang", F.col("a").alias("n"))
-    return kept.join(n, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    return kept.select("lang", "phrase", "a", "l", "r", "score"), n
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, window_range: int = RANGE) -> DataFrame:
@@ -436,21 +437,19 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, window_ran
     Order: score and occurrences descending, then the phrase's UTF-8 bytes. Each language is ranked in parts first.
     """
     order = [F.desc("score"), F.desc("a"), F.asc(F.col("phrase").cast("binary"))]
-    salted = phrases(docs, least, window_range).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    found, sizes = phrases(docs, least, window_range)
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     rank = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     ranked = rank(rank(salted, "lang", "salt").drop("rank"), "lang")
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = r"""
 WITH pieces AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS words
-  FROM (SELECT id, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS at
-        FROM (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
-                     regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--
-]') AS pieces
-              FROM documents) AS d) AS p
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents) AS p
 ), grams AS (
   SELECT lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase, count(*) AS a
   FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(words) >= k) AS g
