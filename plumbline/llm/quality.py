@@ -8,8 +8,9 @@ The thresholds come from quantile sketches: counts of rounded ratios per languag
 keeps its six leading bits. Sketches merge by adding counts, so Spark combines them before the shuffle, and a source
 with fewer than ``ENOUGH`` documents is judged by its language's sketch, a small language by that of all documents. The
 upper threshold is the third quartile plus ``FENCE`` times the quartiles' distance, the lower one (characters a word
-only) the first quartile less that, each with an allowance below which no text is judged; joined to the measured rows by
-language and source, they decide which are kept.
+only) the first quartile less that. Where most texts have the same ratio, mostly none, the quartiles coincide, and
+``LEAST_SPREAD`` stands for their distance. Joined to the measured rows by language and source, the thresholds decide
+which are kept.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
 FEWEST_WORDS, MOST_REPEATED = 20, 30
 ENOUGH = 100
-FENCE = 3
+FENCE = 4
 LEADING = 6
-# ratio -> upper threshold never below, lower threshold never above (None: no lower one)
-ALLOWANCE: dict[str, tuple[int, int | None]] = {
-    "symbols": (50, None),
-    "lines": (500, None),
-    "repeats": (300, None),
-    "letters": (1000, 250),
+# ratio -> the least distance of the quartiles that counts, and whether there is a lower threshold
+LEAST_SPREAD: dict[str, tuple[int, bool]] = {
+    "symbols": (10, False),
+    "lines": (75, False),
+    "repeats": (60, False),
+    "letters": (10, True),
 }
 
 
@@ -95,7 +96,7 @@ def _rounded(value: Column) -> Column:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, ratio, value, n): the sketch of every language and source."""
-    each = F.array(*[F.struct(F.lit(k).alias("ratio"), _rounded(F.col(k)).alias("value")) for k in ALLOWANCE])
+    each = F.array(*[F.struct(F.lit(k).alias("ratio"), _rounded(F.col(k)).alias("value")) for k in LEAST_SPREAD])
     return measured.where("n_words > 0").select("lang", "source", F.inline(each)).groupBy("lang", "source", "ratio", "value").agg(F.count("*").alias("n"))
 
 
@@ -116,13 +117,12 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r"))).join(of_all, F.col("ratio") == F.col("k"))
     used = F.when(F.col("size") >= ENOUGH, F.struct("q1", "q3", "size")).when(F.col("wider.size") >= ENOUGH, F.col("wider")).otherwise(F.col("widest"))
     limits = both.select("lang", "source", "ratio", used["q1"].alias("q1"), used["q3"].alias("q3"))
-    reach = (F.col("q3") - F.col("q1")) * FENCE
     out = []
-    for k, (most, least) in ALLOWANCE.items():
-        this = F.col("ratio") == k
-        out.append(F.max(F.when(this, F.greatest(F.col("q3") + reach, F.lit(most)))).alias(f"{k}_most"))
-        if least is not None:
-            out.append(F.max(F.when(this, F.least(F.col("q1") - reach, F.lit(least)))).alias(f"{k}_least"))
+    for k, (spread, lower) in LEAST_SPREAD.items():
+        this, reach = F.col("ratio") == k, F.greatest(F.col("q3") - F.col("q1"), F.lit(spread)) * FENCE
+        out.append(F.max(F.when(this, F.col("q3") + reach)).alias(f"{k}_most"))
+        if lower:
+            out.append(F.max(F.when(this, F.col("q1") - reach)).alias(f"{k}_least"))
     return limits.groupBy("lang", "source").agg(*out)
 
 
@@ -137,11 +137,11 @@ def quality(docs: DataFrame) -> DataFrame:
     limits = thresholds(sketches(measured)).withColumnsRenamed({"lang": "l", "source": "s"})
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     failed = (F.col("n_words") < FEWEST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    within = [F.col(k) <= F.col(f"{k}_most") for k in ALLOWANCE]
-    within += [F.col(k) >= F.col(f"{k}_least") for k, (_, least) in ALLOWANCE.items() if least is not None]
+    within = [F.col(k) <= F.col(f"{k}_most") for k in LEAST_SPREAD]
+    within += [F.col(k) >= F.col(f"{k}_least") for k, (_, lower) in LEAST_SPREAD.items() if lower]
     sound = F.coalesce(reduce(lambda a, b: a & b, within), F.lit(False))
     return measured.join(limits, same, "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & sound).alias("kept"), *ALLOWANCE
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & sound).alias("kept"), *LEAST_SPREAD
     )
 
 
@@ -202,11 +202,11 @@ WITH given AS (
   FROM quartiles AS o JOIN quartiles AS l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio
   JOIN quartiles AS a ON a.level = 1 AND a.ratio = o.ratio WHERE o.level = 3
 ), limits AS (
-  SELECT lang, source, max(greatest(q3 + 3 * (q3 - q1), 50)) FILTER (WHERE ratio = 'symbols') AS s,
-         max(greatest(q3 + 3 * (q3 - q1), 500)) FILTER (WHERE ratio = 'lines') AS l,
-         max(greatest(q3 + 3 * (q3 - q1), 300)) FILTER (WHERE ratio = 'repeats') AS r,
-         max(greatest(q3 + 3 * (q3 - q1), 1000)) FILTER (WHERE ratio = 'letters') AS c,
-         max(least(q1 - 3 * (q3 - q1), 250)) FILTER (WHERE ratio = 'letters') AS f
+  SELECT lang, source, max(q3 + 4 * greatest(q3 - q1, 10)) FILTER (WHERE ratio = 'symbols') AS s,
+         max(q3 + 4 * greatest(q3 - q1, 75)) FILTER (WHERE ratio = 'lines') AS l,
+         max(q3 + 4 * greatest(q3 - q1, 60)) FILTER (WHERE ratio = 'repeats') AS r,
+         max(q3 + 4 * greatest(q3 - q1, 10)) FILTER (WHERE ratio = 'letters') AS c,
+         max(q1 - 4 * greatest(q3 - q1, 10)) FILTER (WHERE ratio = 'letters') AS f
   FROM fences GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -52,8 +52,19 @@ def test_small_groups_are_judged_by_wider_ones(spark):
     rows = [("en", "a", "symbols", 0, 60), ("en", "b", "symbols", 64, 60), ("en", "c", "symbols", 200, 280)]
     sketch = spark.createDataFrame(rows, "lang string, source string, ratio string, value long, n long")
     by = {r.source: r.symbols_most for r in Q.thresholds(sketch).collect()}
-    # the source with enough rows has no spread; the others take English as a whole: quartiles 64 and 200
-    assert by["c"] == 200 and by["a"] == by["b"] == 200 + 3 * (200 - 64)
+    # the source with enough rows has no spread of its own; the others take English as a whole: quartiles 64 and 200
+    assert by["c"] == 200 + 4 * 10 and by["a"] == by["b"] == 200 + 4 * (200 - 64)
+
+
+def test_one_text_two_verdicts(spark):
+    prose = lambda i: " ".join(f"word{(i * 7 + k) % 97}x{i}" for k in range(40))
+    code = lambda i: " ".join(f"a{(i * 7 + k) % 97}|x{i}" + "|" * (i % 3) for k in range(40))
+    rows = [(i, prose(i), "en", "news") for i in range(150)] + [(1000 + i, code(i), "en", "code") for i in range(150)]
+    rows += [(5000, code(4), "en", "news"), (5001, code(4), "en", "code"), (5002, prose(4), "en", "news"), (5003, "|".join("wxyzv") * 5 + " ab" * 3 + code(4), "en", "code")]
+    got = {r.doc_id: r for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[5000].symbols == got[5001].symbols > 50 and not got[5000].base_failed
+    assert not got[5000].kept and got[5001].kept and got[5002].kept
+    assert all(r.kept for r in got.values() if r.doc_id < 5000)
 
 
 def test_kept_rows(spark):
