@@ -47,19 +47,21 @@ class Ids:
     """The ids that a byte-level BPE file of the tokenizers library gives, as little-endian 32-bit integers.
 
     Where every character is of a kind on which the split patterns of all libraries agree, the file's vocabulary is run
-    by tiktoken, which takes a fourth of the time; all other texts go to the tokenizers library itself. In such a
-    vocabulary a token's id is its rank among the merges, which is what tiktoken needs.
+    by tiktoken, which takes a fourth of the time; all other texts, and those in which the file's added tokens are spelled
+    out (one id each), go to the tokenizers library itself. In such a vocabulary a token's id is its rank among the merges,
+    which is what tiktoken needs.
     """
 
     def __init__(self, path: str):
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        special = sorted(t.content for t in self.exact.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         spelled = dict(zip(_byte_letters(), range(256)))
         ranks = {bytes(spelled[c] for c in t): i for t, i in self.exact.get_vocab(with_added_tokens=False).items()}
         self.fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if _UNUSUAL.search(text) or len(text) > LONG and _LONG_RUN.search(text):
+        if _UNUSUAL.search(text) or self.special.search(text) or len(text) > LONG and _LONG_RUN.search(text):
             ids = self.exact.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)

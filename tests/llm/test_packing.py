@@ -27,9 +27,7 @@ def check_bins(rows, length):
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_of_all_kinds_of_text(library):
@@ -38,13 +36,19 @@ def test_ids_of_all_kinds_of_text(library):
     kinds = ["abc ", "  \n\t'sdmtlvre", "éüßñÄŸɎ", "0123456789", "\x1c\x85\xa0<|endoftext|>#*²¼ªº×\xad", "日本語 ​😀"]
     texts = ["".join(rng.choice(rng.choice(kinds[: rng.randint(1, 6)])) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
     texts += [" " * 3000 + "x", "\n" * 120_000 + "x", "", "".join(map(chr, range(1, 0x250)))]
+    end = "<|endoftext|>"
+    texts += [end, f"a{end}b", f" a {end} b", end + end, f"x{end}{end}\n", "<|endoftext|", "<|ENDOFTEXT|>", "a <| b |>"]
+    prose = "ab cd's 12 " * 10_000
+    for run in (9_999, 10_000):  # both sides of each limit
+        texts += [prose[: 100_000 - run] + " " * run, prose[: 100_001 - run] + " " * run, prose + "\t" * run + "x"]
+    texts += ["a\u024fb", "a\u0250b"]
     for t in texts:
         assert np.frombuffer(ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_documents(spark, library):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(SMALL).select("doc_id", "text").collect()]
-    rows += [(900, None), (900, None), (None, "tie"), (901, "a b c d e f g " * 3000)]
+    rows += [(900, None), (900, None), (None, "tie"), (901, "a b c d e f g " * 3000), (902, "a<|endoftext|>b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit(5)).withColumn("bin", F.lit(5))
     got = packing.pack_documents(docs, PATH).collect()
     want = []
