@@ -20,119 +20,6 @@ WEIGHTS = {"performance": 0.10, "minority": 0.35, "calibration": 0.10, "drift":
 MINORITY_CAP, MINORITY_FLOOR = 38, 35
 
 
-def violation(rows: DataFrame, entity: str, rule: str) -> DataFrame:
-    return rows.select(F.lit(entity).alias("entity"), F.col("id"), F.lit(rule).alias("rule"))
-
-
-def orphans(child: DataFrame, column: str, parent: DataFrame, entity: str) -> DataFrame:
-    """Records whose reference names nothing.
-
-    The distinct referenced values are matched first, so a record everything points at costs one row.
-    """
-    named = child.filter(F.col(column).isNotNull())
-    unknown = named.select(column).distinct().join(parent.select(F.col("id").alias(column)), column, "left_anti")
-    return violation(named.join(unknown, column), entity, f"unknown {column}")
-
-
-def duplicate_ids(tables: Mapping[str, DataFrame]) -> DataFrame:
-    every = reduce(DataFrame.union, [df.select("id") for df in tables.values()])
-    repeated = every.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return violation(repeated, "any", "duplicate id")
-
-
-def integrity(tables: Mapping[str, DataFrame], investigation: str, period: tuple[str, str]) -> DataFrame:
-    """Violations over all record tables: entity, id, rule.
-
-    ``investigation`` is the one all calls belong to; ``period`` bounds the times of events.
-    """
-    t = tables
-    references = [
-        ("datasets", "source_id", "sources"),
-        ("calls", "dataset_id", "datasets"),
-        ("results", "dataset_id", "datasets"),
-        ("evidence", "dataset_id", "datasets"),
-        ("comparisons", "experiment_id", "experiments"),
-        ("results", "call_id", "calls"),
-        ("evidence", "result_id", "results"),
-        ("experiments", "hypothesis_id", "hypotheses"),
-    ]
-    parts = [orphans(t[c], column, t[p], c) for c, column, p in references]
-    parts.append(duplicate_ids(t))
-    answered = t["results"].groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).filter(F.col("n") > 1)
-    parts.append(violation(answered, "results", "call answered twice"))
-    calls = t["calls"].select(F.col("id").alias("call_id"), F.col("tool").alias("asked"), "requested_at")
-    paired = t["results"].join(calls, "call_id")
-    wrong = (F.col("tool") != F.col("asked")) | (F.col("completed_at") < F.col("requested_at"))
-    parts.append(violation(paired.filter(wrong), "results", "result does not match call"))
-    done = t["results"].filter(F.col("status") != "completed").select(F.col("id").alias("result_id"))
-    parts.append(violation(t["evidence"].join(done, "result_id", "left_semi"), "evidence", "result not completed"))
-    e = t["experiments"]
-    parts.append(violation(e.filter((F.col("status") == "completed") & F.col("outcome").isNull()), "experiments", "completed without outcome"))
-    parts.append(violation(e.filter((F.col("status") != "completed") & F.col("outcome").isNotNull()), "experiments", "outcome without completion"))
-    shown = e.filter((F.col("status") == "completed") & (F.col("outcome") == "supports")).select(F.col("hypothesis_id").alias("id")).distinct()
-    claimed = t["hypotheses"].filter(F.col("status") == "supported")
-    parts.append(violation(claimed.join(shown, "id", "left_anti"), "hypotheses", "support without verification"))
-    denied = e.filter((F.col("status") == "completed") & (F.col("outcome") == "rejects")).select(F.col("hypothesis_id").alias("id")).distinct()
-    parts.append(violation(t["hypotheses"].filter("status = 'rejected'").join(denied, "id", "left_anti"), "hypotheses", "rejection without verification"))
-    ended = e.filter(F.col("status") == "completed").select(F.col("id").alias("experiment_id"))
-    passed = t["comparisons"].filter(F.col("status") == "passed")
-    parts.append(violation(passed.join(ended, "experiment_id", "left_anti"), "comparisons", "passed without completed experiment"))
-    parts += _provenance_violations(t, investigation)
-    return reduce(DataFrame.unionByName, parts + _event_violations(t, period))
-
-
-def _provenance_violations(t: Mapping[str, DataFrame], investigation: str) -> list[DataFrame]:
-    """Evidence and calls against the datasets that they name."""
-    shape = t["datasets"].select(F.col("id").alias("dataset_id"), "row_count", "columns")
-    absent = lambda df: df.filter(F.col("column").isNotNull() & ~F.array_contains("columns", F.col("column")))
-    evidence = t["evidence"].join(shape, "dataset_id")
-    first, last = F.col("first_row"), F.col("last_row")
-    outside = (first < 1) | (first > last) | (last > F.col("row_count"))
-    loose = F.col("dataset_id").isNull() & (first.isNotNull() | F.col("column").isNotNull())
-    empty = (F.col("kind") == "measurement") & F.col("value").isNull()
-    asked = t["calls"].select(F.col("id").alias("call_id"), F.col("dataset_id").alias("asked_of"))
-    moved = t["results"].join(asked, "call_id").filter(~F.col("dataset_id").eqNullSafe(F.col("asked_of")))
-    return [
-        violation(absent(evidence), "evidence", "unknown provenance column"),
-        violation(evidence.filter(outside), "evidence", "rows outside dataset"),
-        violation(t["evidence"].filter(loose), "evidence", "rows without dataset"),
-        violation(t["evidence"].filter(empty), "evidence", "measurement without value"),
-        violation(t["calls"].filter(F.col("investigation") != investigation), "calls", "wrong investigation"),
-        violation(absent(t["calls"].join(shape, "dataset_id")), "calls", "absent dataset column"),
-        violation(moved, "results", "scope differs from call"),
-    ]
-
-
-def _event_violations(t: Mapping[str, DataFrame], period: tuple[str, str]) -> list[DataFrame]:
-    events = t["record_events"]
-    known = reduce(DataFrame.union, [df.select("id") for name, df in t.items() if name != "record_events"])
-    start, end = (F.lit(x).cast("timestamp_ntz") for x in period)
-    return [
-        orphans(events, "entity_id", known, "record_events"),
-        violation(events.filter(~F.col("at").between(start, end)), "record_events", "outside the period"),
-    ]
-
-
-def lineage_edges(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Edges from the nested references: from, to, relationship."""
-    links = [
-        ("datasets", "source_id", "provides dataset"),
-        ("calls", "dataset_id", "input of call"),
-        ("results", "call_id", "produced result"),
-        ("evidence", "result_id", "generated evidence"),
-        ("experiments", "hypothesis_id", "tested by"),
-        ("evidence", "dataset_id", "observed in"),
-        ("results", "dataset_id", "scope of result"),
-        ("comparisons", "experiment_id", "verified by"),
-        ("record_events", "entity_id", "recorded by"),
-    ]
-    edges = [
-        tables[c].filter(F.col(column).isNotNull()).select(F.col(column).alias("from"), F.col("id").alias("to"), F.lit(name).alias("relationship"))
-        for c, column, name in links
-    ]
-    return reduce(DataFrame.union, edges).distinct()
-
-
 def lineage_neighbors(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Records linked directly to each of ``ids``, in either direction."""
     incoming = ids.select(F.col("id").alias("to"))

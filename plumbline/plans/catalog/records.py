@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...operators import integrity as integ
 from ...operators import metrics as m
 from ...operators import quality as q
 from ...operators import records as rec
@@ -15,6 +16,7 @@ from ...sources import evaluation as ev
 from ...sources import predictions as pr
 from ...sources import sinks
 from .. import frames as fr
+from .. import investigation as inv
 from ..registry import query, sql
 from .metrics import CONF, METRICS_FROM, PAIRS
 from .quality import NUM, gone
@@ -185,62 +187,153 @@ def _(spark, d):
 
 # --- records --------------------------------------------------------------------------------------
 
-INTEGRITY = """
-SELECT 'datasets' AS entity, id, 'unknown source_id' AS rule FROM datasets WHERE source_id NOT IN (SELECT id FROM sources)
-UNION ALL SELECT 'calls', id, 'unknown dataset_id' FROM calls WHERE dataset_id NOT IN (SELECT id FROM datasets)
-UNION ALL SELECT 'results', id, 'unknown call_id' FROM results WHERE call_id NOT IN (SELECT id FROM calls)
-UNION ALL SELECT 'evidence', id, 'unknown result_id' FROM evidence WHERE result_id NOT IN (SELECT id FROM results)
-UNION ALL SELECT 'experiments', id, 'unknown hypothesis_id' FROM experiments WHERE hypothesis_id NOT IN (SELECT id FROM hypotheses)
-UNION ALL SELECT 'results', max(id), 'call answered twice' FROM results GROUP BY call_id HAVING count(*) > 1
-UNION ALL SELECT 'results', r.id, 'result does not match call' FROM results r JOIN calls c ON r.call_id = c.id WHERE r.tool <> c.tool OR r.completed_at < c.requested_at
+KINDS = " ".join(f"WHEN '{kind}' THEN '{prefix}'" for kind, prefix in integ.EVENT_PREFIXES.items())
+EVERY = " UNION ALL ".join(f"SELECT id FROM {name}" for name in inv.RECORDS)
+INTEGRITY = f"""
+WITH every AS ({EVERY}), known AS (SELECT DISTINCT id FROM every),
+scope AS (
+  SELECT DISTINCT id AS evidence_id, dataset_id FROM evidence WHERE route = 'source' AND dataset_id IS NOT NULL
+  UNION SELECT e.id, d.dataset_id FROM evidence e JOIN result_datasets d ON e.result_id = d.result_id WHERE e.route = 'tool_result'
+  UNION SELECT e.id, d.dataset_id FROM evidence e JOIN experiment_calls x ON e.experiment_id = x.experiment_id JOIN results r ON r.call_id = x.call_id JOIN result_datasets d ON d.result_id = r.id WHERE e.route = 'experiment'
+),
+asked AS (SELECT id AS call_id, dataset_id FROM calls UNION ALL SELECT id, comparison_dataset_id FROM calls WHERE comparison_dataset_id IS NOT NULL),
+held AS (
+  SELECT l.comparison_id, e.kind = 'measurement' AND e.measurements > 0 AND e.metric = c.metric AND e.unit = c.unit AND EXISTS (SELECT 1 FROM scope s WHERE s.evidence_id = e.id)
+         AND NOT EXISTS (SELECT 1 FROM scope s WHERE s.evidence_id = e.id AND s.dataset_id <> c.dataset_id) AS fits
+  FROM comparison_evidence l JOIN comparisons c ON c.id = l.comparison_id JOIN evidence e ON e.id = l.evidence_id
+)
+SELECT 'any' AS entity, id, 'duplicate id' AS rule FROM every GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'datasets', id, 'unknown source' FROM datasets WHERE source_id NOT IN (SELECT id FROM sources)
+UNION ALL SELECT 'evidence', id, 'measurement without value' FROM evidence WHERE kind = 'measurement' AND measurements = 0
+UNION ALL SELECT 'evidence', id, 'assumption without assumption source' FROM evidence WHERE kind = 'assumption' AND (route <> 'source' OR source_id NOT IN (SELECT id FROM sources WHERE kind = 'user_assumption'))
+UNION ALL SELECT 'evidence', id, 'assumption source with measurement' FROM evidence WHERE kind <> 'assumption' AND route = 'source' AND source_id IN (SELECT id FROM sources WHERE kind = 'user_assumption')
+UNION ALL SELECT 'evidence', id, 'unknown source' FROM evidence WHERE route = 'source' AND source_id NOT IN (SELECT id FROM sources)
+UNION ALL SELECT 'evidence', id, 'unknown dataset' FROM evidence WHERE dataset_id IS NOT NULL AND dataset_id NOT IN (SELECT id FROM datasets)
+UNION ALL SELECT 'evidence', e.id, 'dataset of another source' FROM evidence e JOIN datasets d ON d.id = e.dataset_id WHERE d.source_id <> e.source_id
+UNION ALL SELECT 'evidence', e.id, 'unknown provenance column' FROM evidence e JOIN datasets d ON d.id = e.dataset_id WHERE e.name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dataset_columns c WHERE c.dataset_id = d.id AND c.name = e.name)
+UNION ALL SELECT 'evidence', e.id, 'rows outside dataset' FROM evidence e LEFT JOIN datasets d ON d.id = e.dataset_id WHERE first_row < 1 OR first_row > last_row OR last_row > row_count
+UNION ALL SELECT 'evidence', id, 'rows without dataset' FROM evidence WHERE dataset_id IS NULL AND (first_row IS NOT NULL OR name IS NOT NULL)
+UNION ALL SELECT 'evidence', id, 'unknown result' FROM evidence WHERE route = 'tool_result' AND result_id NOT IN (SELECT id FROM results)
 UNION ALL SELECT 'evidence', id, 'result not completed' FROM evidence WHERE result_id IN (SELECT id FROM results WHERE status <> 'completed')
+UNION ALL SELECT 'evidence', id, 'unknown experiment' FROM evidence WHERE route = 'experiment' AND experiment_id NOT IN (SELECT id FROM experiments)
+UNION ALL SELECT 'evidence', id, 'experiment not completed' FROM evidence WHERE experiment_id IN (SELECT id FROM experiments WHERE status <> 'completed')
+UNION ALL SELECT 'evidence', id, 'result does not list it' FROM evidence e WHERE route = 'tool_result' AND NOT EXISTS (SELECT 1 FROM result_evidence l WHERE l.evidence_id = e.id AND l.result_id = e.result_id)
+UNION ALL SELECT 'evidence', id, 'experiment does not list it' FROM evidence e WHERE route = 'experiment' AND NOT EXISTS (SELECT 1 FROM experiment_evidence l WHERE l.evidence_id = e.id AND l.experiment_id = e.experiment_id)
+UNION ALL SELECT DISTINCT 'results', result_id, 'lists evidence of another record' FROM result_evidence l WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.id = l.evidence_id AND e.route = 'tool_result' AND e.result_id = l.result_id)
+UNION ALL SELECT DISTINCT 'experiments', experiment_id, 'lists evidence of another record' FROM experiment_evidence l WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.id = l.evidence_id AND e.route = 'experiment' AND e.experiment_id = l.experiment_id)
+UNION ALL SELECT 'calls', id, 'wrong investigation' FROM calls WHERE investigation_id <> 'investigation_1'
+UNION ALL SELECT 'calls', id, 'unknown dataset' FROM calls WHERE dataset_id NOT IN (SELECT id FROM datasets)
+UNION ALL SELECT 'calls', id, 'unknown comparison dataset' FROM calls WHERE comparison_dataset_id IS NOT NULL AND comparison_dataset_id NOT IN (SELECT id FROM datasets)
+UNION ALL SELECT 'calls', c.id, 'absent dataset column' FROM calls c JOIN datasets d ON d.id = c.dataset_id WHERE NOT EXISTS (SELECT 1 FROM dataset_columns x WHERE x.dataset_id = d.id AND x.name = c.name)
+UNION ALL SELECT 'calls', c.id, 'absent comparison column' FROM calls c JOIN datasets d ON d.id = c.comparison_dataset_id WHERE NOT EXISTS (SELECT 1 FROM dataset_columns x WHERE x.dataset_id = d.id AND x.name = c.name)
+UNION ALL SELECT 'calls', c.id, 'positive label differs' FROM calls c JOIN datasets d ON d.id = c.dataset_id WHERE d.positive_label <> c.positive_label
+UNION ALL SELECT 'calls', id, 'unknown hypothesis' FROM calls WHERE hypothesis_id IS NOT NULL AND hypothesis_id NOT IN (SELECT id FROM hypotheses)
+UNION ALL SELECT 'calls', id, 'costs without assumption' FROM calls WHERE cost_evidence_id IS NOT NULL AND cost_evidence_id NOT IN (SELECT id FROM evidence WHERE kind = 'assumption')
+UNION ALL SELECT 'results', id, 'unknown call' FROM results WHERE call_id NOT IN (SELECT id FROM calls)
+UNION ALL SELECT 'results', max(id), 'call answered twice' FROM results GROUP BY call_id HAVING count(*) > 1
+UNION ALL SELECT 'results', r.id, 'result does not match call' FROM results r JOIN calls c ON r.call_id = c.id WHERE r.tool <> c.tool OR r.version <> c.version OR r.completed_at < c.requested_at
+UNION ALL SELECT 'results', id, 'evidence of an unfinished result' FROM results WHERE status <> 'completed' AND id IN (SELECT result_id FROM result_evidence)
+UNION ALL SELECT 'results', r.id, 'hypothesis differs from call' FROM results r JOIN calls c ON r.call_id = c.id WHERE r.status = 'completed' AND r.tool = 'run_counterfactual_test' AND c.tool = r.tool AND r.hypothesis_id IS DISTINCT FROM c.hypothesis_id
+UNION ALL SELECT 'results', r.id, 'method differs from call' FROM results r JOIN calls c ON r.call_id = c.id WHERE r.status = 'completed' AND r.tool = 'run_drift_tests' AND c.tool = r.tool AND r.method IS DISTINCT FROM c.method
+UNION ALL SELECT 'results', r.id, 'scope differs from call' FROM results r JOIN calls c ON r.call_id = c.id
+  WHERE (SELECT list_sort(list(a.dataset_id)) FROM asked a WHERE a.call_id = c.id) IS DISTINCT FROM (SELECT list_sort(list(d.dataset_id)) FROM result_datasets d WHERE d.result_id = r.id)
+UNION ALL SELECT 'results', r.id, 'thresholds differ from call' FROM results r JOIN calls c ON r.call_id = c.id WHERE r.status = 'completed' AND r.tool = 'threshold_sweep' AND c.tool = r.tool
+  AND (SELECT list_sort(list(a.threshold)) FROM call_thresholds a WHERE a.call_id = c.id) IS DISTINCT FROM (SELECT list_sort(list(d.threshold)) FROM result_thresholds d WHERE d.result_id = r.id)
+UNION ALL SELECT 'hypotheses', id, 'assessed without evidence' FROM hypotheses WHERE status <> 'proposed' AND id NOT IN (SELECT hypothesis_id FROM hypothesis_evidence)
+UNION ALL SELECT 'hypotheses', id, 'status without its evidence' FROM hypotheses h WHERE status <> 'proposed' AND NOT EXISTS (SELECT 1 FROM hypothesis_evidence l WHERE l.hypothesis_id = h.id
+  AND l.relationship = CASE h.status WHEN 'weakened' THEN 'weakens' WHEN 'rejected' THEN 'rejects' ELSE 'supports' END)
+UNION ALL SELECT 'hypotheses', id, 'confirmed without verification' FROM hypotheses WHERE status = 'confirmed' AND id NOT IN (SELECT hypothesis_id FROM experiments WHERE status = 'completed' AND outcome = 'supports')
+UNION ALL SELECT DISTINCT 'hypotheses', hypothesis_id, 'evidence linked twice' FROM (SELECT hypothesis_id FROM hypothesis_evidence GROUP BY hypothesis_id, evidence_id HAVING count(*) > 1) AS x
+UNION ALL SELECT DISTINCT 'hypotheses', hypothesis_id, 'unknown evidence' FROM hypothesis_evidence WHERE evidence_id NOT IN (SELECT id FROM evidence)
+UNION ALL SELECT 'experiments', id, 'unknown hypothesis' FROM experiments WHERE hypothesis_id NOT IN (SELECT id FROM hypotheses)
 UNION ALL SELECT 'experiments', id, 'completed without outcome' FROM experiments WHERE status = 'completed' AND outcome IS NULL
-UNION ALL SELECT 'experiments', id, 'outcome without completion' FROM experiments WHERE status <> 'completed' AND outcome IS NOT NULL
-UNION ALL SELECT 'hypotheses', id, 'support without verification' FROM hypotheses WHERE status = 'supported' AND id NOT IN (SELECT hypothesis_id FROM experiments WHERE status = 'completed' AND outcome = 'supports')
-UNION ALL SELECT 'hypotheses', id, 'rejection without verification' FROM hypotheses WHERE status = 'rejected' AND id NOT IN (SELECT hypothesis_id FROM experiments WHERE status = 'completed' AND outcome = 'rejects')
-UNION ALL SELECT 'results', id, 'unknown dataset_id' FROM results WHERE dataset_id NOT IN (SELECT id FROM datasets)
-UNION ALL SELECT 'evidence', id, 'unknown dataset_id' FROM evidence WHERE dataset_id NOT IN (SELECT id FROM datasets)
-UNION ALL SELECT 'comparisons', id, 'unknown experiment_id' FROM comparisons WHERE experiment_id NOT IN (SELECT id FROM experiments)
-UNION ALL SELECT 'comparisons', id, 'passed without completed experiment' FROM comparisons WHERE status = 'passed' AND experiment_id NOT IN (SELECT id FROM experiments WHERE status = 'completed')
-UNION ALL SELECT 'evidence', e.id, 'unknown provenance column' FROM evidence e JOIN datasets s ON e.dataset_id = s.id WHERE e."column" IS NOT NULL AND NOT list_contains(s.columns, e."column")
-UNION ALL SELECT 'evidence', e.id, 'rows outside dataset' FROM evidence e JOIN datasets s ON e.dataset_id = s.id WHERE first_row < 1 OR first_row > last_row OR last_row > row_count
-UNION ALL SELECT 'evidence', id, 'rows without dataset' FROM evidence WHERE dataset_id IS NULL AND (first_row IS NOT NULL OR "column" IS NOT NULL)
-UNION ALL SELECT 'evidence', id, 'measurement without value' FROM evidence WHERE kind = 'measurement' AND value IS NULL
-UNION ALL SELECT 'calls', id, 'wrong investigation' FROM calls WHERE investigation <> 'investigation_1'
-UNION ALL SELECT 'calls', c.id, 'absent dataset column' FROM calls c JOIN datasets s ON c.dataset_id = s.id WHERE NOT list_contains(s.columns, c."column")
-UNION ALL SELECT 'results', r.id, 'scope differs from call' FROM results r JOIN calls c ON r.call_id = c.id WHERE r.dataset_id <> c.dataset_id
-UNION ALL SELECT 'record_events', id, 'unknown entity_id' FROM record_events WHERE entity_id NOT IN (SELECT id FROM sources UNION ALL SELECT id FROM hypotheses UNION ALL SELECT id FROM calls)
-UNION ALL SELECT 'record_events', id, 'outside the period' FROM record_events WHERE "at" NOT BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-29 00:00:00'"""
-
-
-@query("j_integrity", sql(EN, INTEGRITY))
+UNION ALL SELECT 'experiments', id, 'completed without evidence' FROM experiments WHERE status = 'completed' AND id NOT IN (SELECT experiment_id FROM experiment_evidence)
+UNION ALL SELECT 'experiments', id, 'completed without finished calls' FROM experiments e WHERE status = 'completed' AND (id NOT IN (SELECT experiment_id FROM experiment_calls)
+  OR EXISTS (SELECT 1 FROM experiment_calls l WHERE l.experiment_id = e.id AND l.call_id NOT IN (SELECT call_id FROM results WHERE status = 'completed')))
+UNION ALL SELECT 'experiments', id, 'results without completion' FROM experiments WHERE status <> 'completed' AND (outcome IS NOT NULL OR id IN (SELECT experiment_id FROM experiment_evidence))
+UNION ALL SELECT DISTINCT 'experiments', experiment_id, 'unknown call' FROM experiment_calls WHERE call_id NOT IN (SELECT id FROM calls)
+UNION ALL SELECT DISTINCT 'experiments', experiment_id, 'unknown evidence' FROM experiment_evidence WHERE evidence_id NOT IN (SELECT id FROM evidence)
+UNION ALL SELECT 'repairs', id, 'unknown hypothesis' FROM repairs WHERE hypothesis_id NOT IN (SELECT id FROM hypotheses)
+UNION ALL SELECT 'repairs', id, 'repair without evidence' FROM repairs WHERE id NOT IN (SELECT repair_id FROM repair_evidence)
+UNION ALL SELECT 'repairs', id, 'unknown dataset' FROM repairs WHERE kind = 'operating_policy' AND dataset_id NOT IN (SELECT id FROM datasets)
+UNION ALL SELECT 'repairs', id, 'costs without assumption' FROM repairs WHERE kind = 'operating_policy' AND cost_evidence_id IS NOT NULL AND cost_evidence_id NOT IN (SELECT id FROM evidence WHERE kind = 'assumption')
+UNION ALL SELECT DISTINCT 'repairs', repair_id, 'unknown evidence' FROM repair_evidence WHERE evidence_id NOT IN (SELECT id FROM evidence)
+UNION ALL SELECT 'comparisons', id, 'unknown repair' FROM comparisons WHERE repair_id NOT IN (SELECT id FROM repairs)
+UNION ALL SELECT 'comparisons', id, 'unknown dataset' FROM comparisons WHERE dataset_id NOT IN (SELECT id FROM datasets)
+UNION ALL SELECT 'comparisons', c.id, 'not the repair''s dataset, policy and criterion' FROM comparisons c JOIN repairs r ON r.id = c.repair_id
+  WHERE r.kind <> 'operating_policy' OR r.dataset_id <> c.dataset_id OR r.criterion <> c.criterion OR r.policy <> c.after_policy
+UNION ALL SELECT 'comparisons', id, 'class or cost definitions differ' FROM comparisons WHERE baseline_label IS DISTINCT FROM after_label OR baseline_costs IS DISTINCT FROM after_costs
+UNION ALL SELECT 'comparisons', id, 'costs without assumption' FROM comparisons WHERE cost_evidence_id IS NOT NULL AND cost_evidence_id NOT IN (SELECT id FROM evidence WHERE kind = 'assumption')
+UNION ALL SELECT DISTINCT 'comparisons', comparison_id, 'evidence measures something else' FROM held WHERE NOT fits
+UNION ALL SELECT DISTINCT 'comparisons', a.comparison_id, 'evidence on both sides' FROM comparison_evidence a JOIN comparison_evidence b ON a.comparison_id = b.comparison_id AND a.evidence_id = b.evidence_id AND a.side < b.side
+UNION ALL SELECT DISTINCT 'comparisons', comparison_id, 'unknown evidence' FROM comparison_evidence WHERE evidence_id NOT IN (SELECT id FROM evidence)
+UNION ALL SELECT 'record_events', id, 'unknown entity' FROM record_events WHERE entity_id NOT IN (SELECT id FROM known)
+UNION ALL SELECT 'record_events', id, 'kind and entity differ' FROM record_events WHERE NOT starts_with(entity_id, CASE kind {KINDS} END)
+UNION ALL SELECT 'record_events', id, 'outside the period' FROM record_events WHERE moment NOT BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-29 00:00:00'
+UNION ALL SELECT 'diagnoses', id, 'wrong investigation' FROM diagnoses WHERE investigation_id <> 'investigation_1'
+UNION ALL SELECT 'diagnoses', id, 'primary hypothesis not listed' FROM diagnoses d WHERE NOT EXISTS (SELECT 1 FROM diagnosis_links l WHERE l.diagnosis_id = d.id AND l.entity_id = d.primary_hypothesis_id)
+UNION ALL SELECT DISTINCT 'diagnoses', diagnosis_id, 'unknown entity' FROM diagnosis_links WHERE entity_id NOT IN (SELECT id FROM known)"""
+
+
+@query("j_integrity", sql(inv.INVESTIGATION_SQL, INTEGRITY))
 def _(spark, d):
-    return rec.integrity(fr.entities(spark, d), "investigation_1", ("2024-01-02 00:00:00", "2024-01-29 00:00:00"))
+    return integ.integrity(inv.investigation(spark, d), "investigation_1", ("2024-01-02 00:00:00", "2024-01-29 00:00:00"))
 
 
 EDGES = """
-edges AS (SELECT DISTINCT source_id AS "from", id AS "to", 'provides dataset' AS relationship FROM datasets UNION SELECT dataset_id, id, 'input of call' FROM calls
-  UNION SELECT call_id, id, 'produced result' FROM results UNION SELECT result_id, id, 'generated evidence' FROM evidence UNION SELECT hypothesis_id, id, 'tested by' FROM experiments
-  UNION SELECT dataset_id, id, 'observed in' FROM evidence WHERE dataset_id IS NOT NULL UNION SELECT dataset_id, id, 'scope of result' FROM results
-  UNION SELECT experiment_id, id, 'verified by' FROM comparisons UNION SELECT entity_id, id, 'recorded by' FROM record_events)"""
-
-
-@query("j_lineage_edges", sql(EN + "," + EDGES, "SELECT * FROM edges"))
+edges AS (SELECT source_id AS "from", id AS "to", 'provides dataset' AS relationship FROM datasets
+  UNION SELECT dataset_id, id, 'dataset of call' FROM calls UNION SELECT comparison_dataset_id, id, 'comparison dataset of call' FROM calls WHERE comparison_dataset_id IS NOT NULL
+  UNION SELECT cost_evidence_id, id, 'supplies cost assumption' FROM calls WHERE cost_evidence_id IS NOT NULL UNION SELECT call_id, id, 'produced result' FROM results
+  UNION SELECT dataset_id, result_id, 'measured dataset' FROM result_datasets UNION SELECT source_id, id, 'source of evidence' FROM evidence WHERE source_id IS NOT NULL
+  UNION SELECT dataset_id, id, 'scopes evidence' FROM evidence WHERE dataset_id IS NOT NULL UNION SELECT coalesce(result_id, experiment_id), id, 'generated evidence' FROM evidence WHERE route <> 'source'
+  UNION SELECT evidence_id, hypothesis_id, relationship FROM hypothesis_evidence UNION SELECT hypothesis_id, id, 'tested by' FROM experiments
+  UNION SELECT experiment_id, call_id, 'executes test' FROM experiment_calls UNION SELECT x.experiment_id, r.id, 'test result' FROM experiment_calls x JOIN results r USING (call_id)
+  UNION SELECT hypothesis_id, id, 'motivates repair' FROM repairs UNION SELECT evidence_id, repair_id, 'informs repair' FROM repair_evidence UNION SELECT dataset_id, id, 'repair dataset' FROM repairs
+  UNION SELECT cost_evidence_id, id, 'supplies cost assumption' FROM repairs WHERE cost_evidence_id IS NOT NULL UNION SELECT repair_id, id, 're-evaluated by' FROM comparisons
+  UNION SELECT dataset_id, id, 'comparison dataset' FROM comparisons UNION SELECT evidence_id, comparison_id, side || ' evidence' FROM comparison_evidence
+  UNION SELECT entity_id, diagnosis_id, CASE WHEN entity_id = primary_hypothesis_id THEN 'primary hypothesis' WHEN starts_with(entity_id, 'hypothesis_') THEN 'considered hypothesis' ELSE 'included in diagnosis' END
+    FROM diagnosis_links JOIN diagnoses ON diagnoses.id = diagnosis_id)"""
+
+
+@query("j_lineage_edges", sql(inv.INVESTIGATION_SQL + "," + EDGES, "SELECT * FROM edges"))
 def _(spark, d):
-    return rec.lineage_edges(fr.entities(spark, d))
+    return integ.lineage_edges(inv.investigation(spark, d))
 
 
 @query(
     "j_lineage_neighbors",
     sql(
-        EN + "," + EDGES,
+        inv.INVESTIGATION_SQL + "," + EDGES,
         """SELECT "from" AS id, "to" AS neighbor, relationship, 'out' AS direction FROM edges WHERE "from" IN (SELECT id FROM calls)
            UNION ALL SELECT "to", "from", relationship, 'in' FROM edges WHERE "to" IN (SELECT id FROM calls)""",
     ),
 )
 def _(spark, d):
-    tables = fr.entities(spark, d)
-    return rec.lineage_neighbors(rec.lineage_edges(tables), tables["calls"].select("id"))
+    tables = inv.investigation(spark, d)
+    return rec.lineage_neighbors(integ.lineage_edges(tables), tables["calls"].select("id"))
+
+
+# walks of every length, each (start, place, length) once; no shortest path is longer than the bound
+CLOSURE = """
+steps AS (SELECT DISTINCT 'out' AS direction, "from" AS place, "to" AS next FROM edges UNION SELECT 'in', "to", "from" FROM edges),
+starts AS (SELECT id FROM hypotheses WHERE CAST(substr(id, 12) AS BIGINT) % 100 = 0 UNION ALL SELECT id FROM sources WHERE kind = 'uploaded_file' AND CAST(substr(id, 8) AS BIGINT) % 100 = 0),
+walks AS (
+  SELECT s.id, d.direction, s.id AS reached, 0 AS hops FROM starts s, (VALUES ('out'), ('in')) AS d(direction)
+  UNION SELECT w.id, w.direction, t.next, w.hops + 1 FROM walks w JOIN steps t ON t.direction = w.direction AND t.place = w.reached WHERE w.hops < 24)"""
+
+
+@query(
+    "j_lineage_closure",
+    sql(
+        "RECURSIVE " + inv.INVESTIGATION_SQL + "," + EDGES + "," + CLOSURE,
+        "SELECT id, direction, reached, min(hops) AS hops, reached = id AS cyclic FROM walks WHERE hops > 0 GROUP BY id, direction, reached",
+    ),
+)
+def _(spark, d):
+    tables = inv.investigation(spark, d)
+    starting = tables["hypotheses"].select("id").unionByName(tables["sources"].where("kind = 'uploaded_file'").select("id"))
+    starts = starting.where(F.substring_index("id", "_", -1).cast("long") % 100 == 0)
+    return integ.lineage_closure(integ.lineage_edges(tables), starts)
 
 
 EV_SEQ = """
