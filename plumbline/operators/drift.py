@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import decimal_value, is_missing, trimmed
 from ..session import cut
+from . import sketches
 from .running import count_below, running
 
 PSEUDOCOUNT = 0.5
@@ -107,11 +108,25 @@ def ecdf_distances(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> D
     )
 
 
-def ks_stat(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _sketched(ref: DataFrame, comp: DataFrame, columns: Sequence[str], value: str, name: str) -> DataFrame:
+    """A distance from sketches of both samples, for columns of numbers; within the bounds that ``sketches`` states."""
+    found = sketches.distances(*[sketches.number_sketches(df, columns) for df in (ref, comp)])
+    named = ref.sparkSession.createDataFrame([(c,) for c in columns], "feature string").join(found, "feature", "left")
+    reason = F.when(F.col(value).isNull(), F.lit("empty sample"))
+    return named.select("feature", F.col(value).alias(name), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_ref", "n_comp")], reason.alias("reason"))
+
+
+def ks_stat(ref: DataFrame, comp: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """feature, d, n_ref, n_comp and reason; ``approx`` reads mergeable sketches instead of all different values."""
+    if approx:
+        return _sketched(ref, comp, columns, "ks", "d")
     return ecdf_distances(ref, comp, columns).select("feature", F.col("ks").alias("d"), "n_ref", "n_comp", "reason")
 
 
-def wasserstein1(ref: DataFrame, comp: DataFrame, columns: Sequence[str]) -> DataFrame:
+def wasserstein1(ref: DataFrame, comp: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """feature, w, n_ref, n_comp and reason; ``approx`` as in ``ks_stat``."""
+    if approx:
+        return _sketched(ref, comp, columns, "w1", "w")
     rows = ecdf_distances(ref, comp, columns)
     reason = F.when(F.col("reason").isNull() & F.col("w1").isNull(), "not finite").otherwise(F.col("reason"))
     return rows.select("feature", F.col("w1").alias("w"), "n_ref", "n_comp", reason.alias("reason"))

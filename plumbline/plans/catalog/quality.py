@@ -10,6 +10,7 @@ from ...operators import compare as cp
 from ...operators import drift as dr
 from ...operators import leakage as lk
 from ...operators import quality as q
+from ...operators import sketches as sk
 from .. import frames as fr
 from ..registry import query, sql
 
@@ -655,6 +656,68 @@ def _(spark, d):
     return dr.wasserstein1(*_sides(spark, d), FEATURES)
 
 
+# The sketch modes: the sample sizes are exact, and whether the distance keeps its bound must be true.
+NUMBERS = ["quantity", "price", "discount", "tax"]
+KEPT = "SELECT feature, any_value(n_ref) AS n_ref, any_value(n_comp) AS n_comp, true AS within FROM walk GROUP BY 1"
+
+
+def _beside_exact(spark, d, distance, value, scale):
+    ref, comp = _sides(spark, d)
+    exact = distance(ref, comp, NUMBERS).select("feature", F.col(value).alias("exact"))
+    found = distance(ref, comp, NUMBERS, approx=True).join(exact, "feature")
+    bound = 2 * (sk.rank_error() + 1 / sk.STEPS)
+    if scale:
+        ranges = sk.number_sketches(ref.select(*NUMBERS).unionByName(comp.select(*NUMBERS)), NUMBERS).select("feature", (F.col("high") - F.col("low")).alias("range"))
+        found = found.join(ranges, "feature")
+    width = F.col("range") if scale else F.lit(1.0)
+    return found.select("feature", "n_ref", "n_comp", (F.abs(F.col(value) - F.col("exact")) <= width * bound).alias("within"))
+
+
+@query("ks_stat_sketch", sql(IT + "," + DRIFT, KEPT))
+def _(spark, d):
+    return _beside_exact(spark, d, dr.ks_stat, "d", False)
+
+
+@query("wasserstein1_sketch", sql(IT + "," + DRIFT, KEPT))
+def _(spark, d):
+    return _beside_exact(spark, d, dr.wasserstein1, "w", True)
+
+
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]
+
+
+@query(
+    "distinct_sketch",
+    sql("", " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, count(DISTINCT {c}) AS exact, true AS within FROM lineitem" for c in LINE_COLUMNS)),
+)
+def _(spark, d):
+    lines = fr.table(spark, d, "lineitem")
+    found = sk.distinct_counts(sk.distinct_sketches(lines, LINE_COLUMNS, ["l_linestatus"]))  # a sketch per status, then their union
+    exact = lines.agg(*[F.count_distinct(c).alias(c) for c in LINE_COLUMNS]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("exact")) for c in LINE_COLUMNS])))
+    off = F.abs(F.col("distinct") - F.col("exact")) <= F.col("exact") * (3 * sk.hll_error()) + 1
+    return found.join(exact, "feature").select("feature", "n", "exact", off.alias("within"))
+
+
+@query(
+    "unseen_sketch",
+    sql(
+        IT,
+        """SELECT 'price' AS feature, count(DISTINCT price) AS seen, count(DISTINCT price) FILTER (price NOT IN (SELECT price FROM items WHERE split = 'train' AND price IS NOT NULL)) AS unseen,
+             true AS within FROM items WHERE split = 'production'""",
+    ),
+)
+def _(spark, d):
+    ref, comp = _sides(spark, d)
+    found = sk.unseen_estimates(sk.value_sketches(ref, ["price"]), sk.value_sketches(comp, ["price"])).select("feature", F.col("seen").alias("about"), F.col("unseen").alias("missing"))
+    there = lambda df: df.where("price IS NOT NULL").select("price").distinct()
+    both = there(comp).withColumn("here", F.lit(1)).join(there(ref).withColumn("known", F.lit(1)), "price", "full")
+    exact = both.agg(F.count("here").alias("seen"), F.count_if(F.col("known").isNull()).alias("unseen"), F.count("*").alias("all"))
+    joined = exact.select(F.lit("price").alias("feature"), "*").join(found, "feature")
+    slack = F.col("all") * (3 * sk.theta_error()) + 1
+    within = (F.abs(F.col("about") - F.col("seen")) <= slack) & (F.abs(F.col("missing") - F.col("unseen")) <= slack)
+    return joined.select("feature", "seen", "unseen", within.alias("within"))
+
+
 PSI_NUM = """
 bins AS (SELECT n.feature, is_ref, (SELECT count(*) FROM range(1, 10) t(i) WHERE z.lo * (1 - i / 10.0::DOUBLE) + z.hi * (i / 10.0::DOUBLE) <= n.v) AS bin
          FROM num n JOIN sizes z ON n.feature = z.feature),
