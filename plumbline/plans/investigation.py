@@ -18,7 +18,7 @@ BASE = {
                (SELECT l_orderkey, l_linenumber AS i, min(l_quantity) AS l_quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS l ON l_orderkey = k""",
 }
 TOOL = "CASE status WHEN 'F' THEN 'threshold_sweep' WHEN 'O' THEN 'run_drift_tests' ELSE 'run_counterfactual_test' END"
-ROUTE = "CASE WHEN i = 4 AND done THEN 'experiment' WHEN i IN (1, 2, 5, 6) AND good THEN 'tool_result' ELSE 'source' END"
+ROUTE = "CASE WHEN i = 4 AND (done OR k % 36 = 5) THEN 'experiment' WHEN i IN (1, 2, 5, 6) AND (good OR k % 34 = 5) THEN 'tool_result' ELSE 'source' END"
 SHOWN = "CASE c % 5 WHEN 1 THEN 'supports' WHEN 2 THEN 'weakens' WHEN 3 THEN 'rejects' WHEN 4 THEN 'supports' ELSE 'context' END"
 TABLES = {
     "sources": """SELECT 'source_' || c_custkey AS id, 'uploaded_file' AS kind FROM {customer}
@@ -30,10 +30,10 @@ TABLES = {
     "calls": f"""SELECT 'call_' || k AS id, CASE WHEN k % 600 = 9 THEN 'investigation_2' ELSE 'investigation_1' END AS investigation_id, {TOOL} AS tool, 1 AS version, day AS requested_at,
         CASE WHEN k % 680 = 2 THEN 'dataset_x' ELSE 'dataset_' END || k AS dataset_id,
         CASE WHEN status = 'O' THEN CASE WHEN k % 690 = 4 THEN 'dataset_x' ELSE 'dataset_' END || k END AS comparison_dataset_id, CASE WHEN k % 2 = 0 THEN 'site' ELSE 'y_pred' END AS name,
-        CASE WHEN k % 520 = 1 THEN '0' WHEN status = 'F' THEN '1' END AS positive_label, CASE WHEN status = 'P' THEN 'hypothesis_' || c END AS hypothesis_id,
+        CASE WHEN k % 520 = 1 THEN '0' WHEN status = 'F' THEN '1' END AS positive_label, CASE WHEN status = 'P' THEN CASE WHEN k % 52 = 3 THEN 'hypothesis_x' ELSE 'hypothesis_' END || c END AS hypothesis_id,
         CASE WHEN status = 'F' AND k % 6 = 0 THEN 'evidence_' || k || CASE WHEN k % 540 = 6 THEN '_1' ELSE '_7' END END AS cost_evidence_id, CASE WHEN status = 'O' THEN 'ks' END AS method FROM {{o}}""",
     "call_thresholds": """SELECT 'call_' || k AS call_id, 0.25 AS threshold FROM {o} WHERE status = 'F' UNION ALL SELECT 'call_' || k, 0.5 FROM {o} WHERE status = 'F'""",
-    "results": f"""SELECT 'result_' || k AS id, 'call_' || CASE WHEN k % 500 = 3 THEN k + 1 ELSE k END AS call_id, CASE WHEN k % 700 = 5 THEN 'check_calibration' ELSE {TOOL} END AS tool,
+    "results": f"""SELECT 'result_' || k AS id, CASE WHEN k % 950 = 7 THEN 'call_x' ELSE 'call_' END || CASE WHEN k % 500 = 3 THEN k + 1 ELSE k END AS call_id, CASE WHEN k % 700 = 5 THEN 'check_calibration' ELSE {TOOL} END AS tool,
         CASE WHEN k % 710 = 6 THEN 2 ELSE 1 END AS version, CASE WHEN good THEN 'completed' ELSE 'failed' END AS status, day + INTERVAL 1 DAY * CASE WHEN k % 900 = 11 THEN -1 ELSE 1 END AS completed_at,
         CASE WHEN status = 'P' THEN 'hypothesis_' || CASE WHEN k % 110 = 8 THEN c + 1 ELSE c END END AS hypothesis_id, CASE WHEN status = 'O' THEN CASE WHEN k % 560 = 9 THEN 'psi' ELSE 'ks' END END AS method FROM {{o}}""",
     "result_datasets": """SELECT 'result_' || k AS result_id, 'dataset_' || CASE WHEN k % 650 = 4 THEN k + 1 ELSE k END AS dataset_id FROM {o}
@@ -81,7 +81,7 @@ TABLES = {
     "diagnosis_links": """SELECT 'diagnosis_' || c_custkey AS diagnosis_id, CASE WHEN c_custkey % 350 = 0 THEN 'hypothesis_x' ELSE 'hypothesis_' END || c_custkey AS entity_id FROM {customer} WHERE c_custkey % 50 = 0
         UNION ALL SELECT 'diagnosis_' || c, CASE WHEN k % 44 = 1 THEN 'experiment_x' ELSE 'experiment_' END || k FROM {o} WHERE c % 50 = 0
         UNION ALL SELECT 'diagnosis_' || c, 'evidence_' || k || '_' || i FROM {ln} WHERE c % 50 = 0 AND i = 1""",
-    "record_events": """SELECT 'event_' || event_id AS id, CASE event_id % 4 WHEN 0 THEN 'dataset_registered' WHEN 1 THEN 'hypothesis_updated' WHEN 2 THEN 'tool_requested' ELSE 'experiment_completed' END AS kind,
+    "record_events": """SELECT 'event_' || CASE WHEN event_id % 500 = 1 THEN event_id - 1 ELSE event_id END AS id, CASE event_id % 4 WHEN 0 THEN 'dataset_registered' WHEN 1 THEN 'hypothesis_updated' WHEN 2 THEN 'tool_requested' ELSE 'experiment_completed' END AS kind,
         CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 100 = 8 THEN 'source_' ELSE 'dataset_' END WHEN 1 THEN 'hypothesis_' WHEN 2 THEN 'call_' ELSE CASE WHEN event_id % 100 = 7 THEN 'nothing_' ELSE 'experiment_' END END || user_id AS entity_id,
         ts AS moment FROM {events}""",
 }
