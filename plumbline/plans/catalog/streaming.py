@@ -56,6 +56,45 @@ def _(spark, d):
     return _text_times(mon.run_latest(alerts, shared_dir(spark, "floor"), ENDS).filter("alert").drop("alert"))
 
 
+def episodes_sql(alert: str, worst: str, length: str, windows: int) -> str:
+    """Gaps and islands over the alerting windows of ``win``."""
+    return f"""SELECT strftime(min(window_start), '%Y-%m-%d %H:%M:%S') AS episode_start, strftime(max(window_end), '%Y-%m-%d %H:%M:%S') AS episode_end, {worst} AS worst, count(*) AS windows
+      FROM (SELECT *, window_start - INTERVAL '{length}' * row_number() OVER (ORDER BY window_start) AS island FROM win, base WHERE {alert}) AS a GROUP BY island HAVING count(*) >= {windows}"""
+
+
+def _episode_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("episode_start", "episode_end")})
+
+
+@query(
+    "st_floor_episodes",
+    sql(
+        windows_sql("15 minutes", "quantile_disc(value, 0.5) AS median, count(*) AS n") + ", base AS (SELECT 1)",
+        episodes_sql("median < 10", "min(median)", "15 minutes", 3),
+        ["worst"],
+    ),
+)
+def _(spark, d):
+    windows = mon.run_latest(mon.metric_floor_alert(_events(spark, d), "value", 10.0), shared_dir(spark, "floor"), ENDS)
+    return _episode_times(mon.sustained(windows, F.min("median"), "15 minutes", "45 minutes"))
+
+
+@query(
+    "st_prevalence_episodes",
+    sql(
+        windows_sql("30 minutes", "avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS share, count(*) AS n")
+        + ", base AS (SELECT avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS b FROM events)",
+        episodes_sql("abs(share - b) > 0.1", "max(abs(share - b))", "30 minutes", 2),
+        ["worst"],
+    ),
+)
+def _(spark, d):
+    error = F.col("event_type") == "error"
+    base = fr.table(spark, d, "events").agg(F.avg(error.cast("double")).alias("baseline"))
+    windows = mon.run_latest(mon.prevalence_shift_alert(_events(spark, d), error, base), shared_dir(spark, "prevalence"), ENDS)
+    return _episode_times(mon.sustained(windows, F.max(F.abs("shift")), "30 minutes", "60 minutes"))
+
+
 @query(
     "st_prevalence_shift_alert",
     sql(

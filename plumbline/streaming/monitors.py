@@ -32,15 +32,31 @@ def _window(length: str, at: str) -> tuple[Column, list[Column]]:
     return F.window(at, length).alias("w"), [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
 
 
-def metric_floor_alert(events: DataFrame, value: str, floor: float, length: str = "15 minutes", at: str = "ts") -> DataFrame:
-    """Windows and whether their median of ``value`` lies below the floor (``alert``).
+def sustained(alerts: DataFrame, worst: Column, length: str, lasting: str, at: str = "window_start", by: Sequence[str] = ()) -> DataFrame:
+    """Episodes of alerting windows one after the other: (by...,) episode_start, episode_end, worst and windows.
+
+    ``alerts``: window_start, window_end and alert of windows of ``length``. Only episodes of ``lasting`` or more come out.
+    They are sessions whose gap is one window, a second stateful step: at rest over all windows, or on a stream of windows in
+    append mode, where an episode comes out when the watermark has passed its end; ``at`` is then the windows' own time
+    (``timed`` below), which carries that watermark.
+    """
+    session = F.session_window(at, f"{length} 1 second")
+    found = alerts.where("alert").groupBy(*by, session).agg(
+        F.min("window_start").alias("episode_start"), F.max("window_end").alias("episode_end"), worst.alias("worst"), F.count("*").alias("windows")
+    )
+    return found.where(F.col("episode_end") - F.col("episode_start") >= F.expr(f"INTERVAL '{lasting}'")).select(*by, "episode_start", "episode_end", "worst", "windows")
+
+
+def metric_floor_alert(events: DataFrame, value: str, floor: float, length: str = "15 minutes", at: str = "ts", timed: bool = False) -> DataFrame:
+    """Windows and whether their median of ``value`` lies below the floor (``alert``); ``timed`` adds the window's time ``at``.
 
     The median is a mergeable sketch: exact up to about 10,000 values a window, with a relative rank error of
     1/10,000 beyond.
     """
     window, ends = _window(length, at)
     medians = events.groupBy(window).agg(F.percentile_approx(value, 0.5, 10000).alias("median"), F.count(F.lit(1)).alias("n"))
-    return medians.select(*ends, "median", "n", (F.col("median") < floor).alias("alert"))
+    when = [F.window_time("w").alias("at")] if timed else []
+    return medians.select(*ends, "median", "n", (F.col("median") < floor).alias("alert"), *when)
 
 
 def prevalence_shift_alert(
