@@ -40,8 +40,8 @@ def sustained(alerts: DataFrame, worst: Column, length: str, lasting: str, at: s
     append mode, where an episode comes out when the watermark has passed its end; ``at`` is then the windows' own time
     (``timed`` below), which carries that watermark.
     """
-    session = F.session_window(at, f"{length} 1 second")
-    found = alerts.where("alert").groupBy(*by, session).agg(
+    session = F.session_window(at, f"{length} 1 second")  # beside a key, without which Spark refuses sessions of a stream
+    found = alerts.where("alert").groupBy("alert", *by, session).agg(
         F.min("window_start").alias("episode_start"), F.max("window_end").alias("episode_end"), worst.alias("worst"), F.count("*").alias("windows")
     )
     return found.where(F.col("episode_end") - F.col("episode_start") >= F.expr(f"INTERVAL '{lasting}'")).select(*by, "episode_start", "episode_end", "worst", "windows")
