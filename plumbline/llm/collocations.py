@@ -224,16 +224,21 @@ class CountAutomaton:
 
 
 def united(automata: list[CountAutomaton]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, windows, weights) of the union: every path of any of them, with the sum of its weights."""
+    """(words, windows, weights) of the union: every path of any of them, with the sum of its weights. Empties the list."""
     words = sorted(set().union(*[a.words for a in automata]))
     index = {w: i + 1 for i, w in enumerate(words)}
     windows, weights = [], []
-    for a in automata:
-        place = np.array([0, *[index[w] for w in a.words]], np.int64)
+    waiting = list(automata)
+    automata.clear()  # each is let go as soon as its paths are taken
+    while waiting:
+        a = waiting.pop()
+        place = np.array([0, *[index[w] for w in a.words]], np.int32)
         paths, weight = a.paths()
         windows.append(place[paths])
         weights.append(weight)
-    return words, *summed(np.concatenate(windows), np.concatenate(weights))
+    joined = np.concatenate(windows)
+    del windows[:], paths
+    return words, *summed(joined, np.concatenate(weights))
 
 
 def _before(words: list[bytes], windows: np.ndarray, cut_at: tuple[bytes, ...]) -> int:
