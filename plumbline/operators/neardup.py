@@ -2,18 +2,24 @@
 
 Two hashes within k bits agree exactly on at least m - k of m bands. Every hash is keyed by each choice
 of m - k bands, so an equi-join on those keys finds every pair; nothing is approximated. Identical
-hashes are collapsed first, keys shared by very many distinct hashes are split further by the same rule
-applied to their remaining bits, and a pair is emitted only under its first agreeing choice of bands.
+hashes are collapsed first. A key that very many distinct hashes share is split again by the same rule,
+applied to the bits in which its hashes differ, until it is small or splitting no longer pays; what is
+still crowded then is compared in blocks, one group per pair of blocks. A pair is emitted only under its
+first agreeing choice of bands on every level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import HASH_BITS
+from ..session import cut
 from .inference import with_difference
 
 AGREE = 3
@@ -46,18 +52,116 @@ def _longs(values: list[int]) -> Column:
     return F.expr("array(" + ",".join(f"{_signed(v)}L" for v in values) + ")")
 
 
-def _match(keyed: DataFrame, keys: list[str], k: int, first: Column) -> DataFrame:
-    """Self-join on key columns; ``first`` reads ``differ`` columns a.hash, b.hash and keeps one emission per pair."""
-    a, b = keyed.alias("a"), keyed.select(*keys, F.col("hash").alias("other")).alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
-    differ = F.col("a.hash").bitwiseXOR(F.col("b.other"))
-    ordered = F.col("a.hash") < F.col("b.other")
-    near = F.bit_count(differ) <= k
-    condition = same[0]
-    for extra in [*same[1:], ordered, near]:
-        condition = condition & extra
-    pairs = a.join(b, condition).select("a.*", "other", F.bit_count(differ).cast("long").alias("distance"))
-    return pairs.filter(first).select(F.col("hash").alias("hash_a"), F.col("other").alias("hash_b"), "distance")
+@dataclass(frozen=True)
+class _Meeting:
+    """Rows that meet on equal ``keys``; ``levels`` are the bands of each level, ``blocked`` adds places i and j."""
+
+    rows: DataFrame
+    keys: list[str]
+    levels: list[Column]
+    blocked: bool = False
+
+    def _sides(self, both_ways: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+        if not self.blocked:
+            return self.rows, self.rows, self.keys
+        block = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
+        rows, last = self.rows.withColumn("block", block), F.col("blocks") - 1
+        first = F.lit(0) if both_ways else F.col("block")
+        left = rows.withColumn("j", F.explode(F.sequence(first, last))).withColumnRenamed("block", "i")
+        right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), last if both_ways else F.col("block")))).withColumnRenamed("block", "j")
+        return left, right, [*self.keys, "i", "j"]
+
+    def pairs(self, k: int) -> DataFrame:
+        """Each near pair that belongs here: hash_a < hash_b, distance."""
+        left, right, keys = self._sides(both_ways=False)
+        a, b = left.alias("a"), right.alias("b")
+        differ = F.col("a.hash").bitwiseXOR(F.col("b.hash"))
+        once = F.col("a.hash") < F.col("b.hash")
+        if self.blocked:
+            once = once | (F.col("a.i") < F.col("a.j"))
+        condition = once & (F.bit_count(differ) <= k)
+        for key in keys:
+            condition = (F.col(f"a.{key}") == F.col(f"b.{key}")) & condition
+        masks = [c for c in keys if c.startswith("mask")]
+        found = a.join(b, condition).select("a.*", F.col("b.hash").alias("other"))
+        apart = F.col("hash").bitwiseXOR(F.col("other"))
+        for mask, bands in zip(masks, self.levels, strict=True):
+            found = found.filter(F.col(mask) == _first_choice(apart, bands, AGREE))
+        return found.select(
+            F.least("hash", "other").alias("hash_a"), F.greatest("hash", "other").alias("hash_b"), F.bit_count(apart).cast("long").alias("distance")
+        )
+
+    def met(self, k: int, gone: DataFrame) -> DataFrame:
+        """The asking hashes (``asks``) not in ``gone`` that lie near a filed one here; a semi join, which lists no pairs."""
+        left, right, keys = self._sides(both_ways=True)
+        a, b = left.filter("asks").join(gone, "hash", "left_anti").alias("a"), right.filter("filed").alias("b")
+        condition = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash"))) <= k
+        for key in keys:
+            condition = (F.col(f"a.{key}") == F.col(f"b.{key}")) & condition
+        return a.join(b, condition, "left_semi").select("hash")
+
+
+def _bands_of(bits: Column, count: int) -> Column:
+    """``_bands`` of the set bits of a mask, as an expression."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(HASH_BITS - 1)), lambda i: F.getbit(bits, i) == 1)
+    edge = lambda j: F.floor(F.size(places) * j / count).cast("int")
+    of = lambda j: F.slice(places, edge(j) + 1, edge(j + 1) - edge(j))
+    mask = lambda some: F.aggregate(some, F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: mask(of(j)))
+
+
+def _masks(bands: Column, count: int) -> Column:
+    """Every choice of ``AGREE`` of ``count`` bands, as masks."""
+    picks = F.expr("array(" + ",".join(f"array({','.join(map(str, pick))})" for pick in combinations(range(count), AGREE)) + ")")
+    return F.transform(picks, lambda pick: F.aggregate(pick, F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.get(bands, i))))
+
+
+def _worth_splitting(k: int) -> float:
+    """The least number of bits by which splitting beats comparing all: one choice fixes a share AGREE / (k + AGREE) of them."""
+    return (k + AGREE) / AGREE * log2(2 * comb(k + AGREE, AGREE))
+
+
+def _meetings(hashes: DataFrame, k: int, hot: int, probe: int) -> Iterator[_Meeting]:
+    """Groups of rows in which every near pair meets; ``hashes`` holds one row per hash, and asks and filed for ``met``.
+
+    Every level of crowded keys is written. A crowded key is dropped if its hashes also agree on bands that
+    come before its own choice, because all of its pairs meet there, or if nothing in it asks or nothing is filed.
+    """
+    if not 0 <= k <= HASH_BITS:
+        raise ValueError(f"k must be in 0..{HASH_BITS}")
+    count, least = k + AGREE, _worth_splitting(k)
+    if least > HASH_BITS:
+        total = hashes.count()
+        yield _Meeting(hashes.withColumn("blocks", F.lit(-(-total // hot) or 1)), [], [], blocked=True)
+        return
+    rows, keys, levels = hashes, [], []
+    bands, masks = _longs(_bands(list(range(HASH_BITS)), count)), _longs(_choices(_bands(list(range(HASH_BITS)), count), AGREE))
+    while True:
+        level = len(levels)
+        mask, key = f"mask{level}", f"key{level}"
+        keyed = rows.withColumn(mask, F.explode(masks)).withColumn(key, F.col("hash").bitwiseAND(F.col(mask)))
+        keys, levels = [*keys, mask, key], [*levels, bands]
+        seen = keyed.filter(F.pmod(F.xxhash64("hash"), F.lit(probe)) == 0)
+        crowded = cut(seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") * probe > hot).drop("seen"), "crowded")
+        if crowded.isEmpty():
+            yield _Meeting(keyed, keys, levels)
+            return
+        yield _Meeting(keyed.join(crowded, keys, "left_anti"), keys, levels)
+        busy = keyed.join(crowded, keys, "left_semi")
+        varying = F.bit_or("hash").bitwiseXOR(F.bit_and("hash")).alias("varying")
+        same_bands = [F.first(b).alias(b) for b in rows.columns if b.startswith("bands")]
+        shape = busy.groupBy(*keys).agg(varying, F.count(F.lit(1)).alias("n"), F.bool_or("asks").alias("a"), F.bool_or("filed").alias("f"), *same_bands)
+        shape = shape.filter((F.col("n") > 1) & F.col("a") & F.col("f") & (F.col(mask) == _first_choice(F.col("varying"), bands, AGREE)))
+        finer = F.when(F.bit_count("varying") >= least, _bands_of(F.col("varying"), count))
+        shape = shape.select(*keys, finer.alias(f"bands{level + 1}"), F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+        busy = cut(busy.join(shape, keys), "busy")
+        dense = F.col(f"bands{level + 1}").isNull()
+        yield _Meeting(busy.filter(dense), keys, levels, blocked=True)
+        rows = busy.filter(~dense).drop("blocks")
+        if rows.isEmpty():
+            return
+        bands = F.col(f"bands{level + 1}")
+        masks = _masks(bands, count)
 
 
 def _product(a: Column, b: Column) -> Column:
@@ -74,39 +178,31 @@ def hash_neighbors(distinct: DataFrame, k: int = 6, hot: int = HOT_KEY, probe: i
     """All pairs of different hashes within ``k`` bits: hash_a < hash_b, distance.
 
     ``distinct`` has one row per hash. Keys that more than ``hot`` hashes share (judged on every
-    ``probe``-th hash; misjudging changes cost, not results) are refined over their remaining bits.
+    ``probe``-th hash; misjudging changes cost, not results) are split further. The first levels run
+    when this is called.
+    """
+    hashes = cut(distinct.select("hash", F.lit(True).alias("asks"), F.lit(True).alias("filed")), "hashes")
+    found = None
+    for meeting in _meetings(hashes, k, hot, probe):
+        some = meeting.pairs(k)
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def near_hashes(asking: DataFrame, filed: DataFrame, k: int = 6, hot: int = HOT_KEY, probe: int = PROBE) -> DataFrame:
+    """The distinct hashes of ``asking`` that lie within ``k`` bits of one of ``filed``: hash. Null hashes match nothing.
+
+    Only existence is asked, so no pair is listed: a cascade of semi joins. Equal hashes leave first, those
+    found under a level's small keys before what is crowded is compared.
     """
-    if not 0 <= k <= 24:
-        raise ValueError("k must be in 0..24")
-    spark = distinct.sparkSession
-    bands = _bands(list(range(HASH_BITS)), k + AGREE)
-    masks = _choices(bands, AGREE)
-    differ = F.col("hash").bitwiseXOR(F.col("other"))
-    keyed = distinct.select("hash", F.posexplode(_longs(masks)).alias("choice", "mask"))
-    keyed = keyed.select("hash", "choice", "mask", F.col("hash").bitwiseAND(F.col("mask")).alias("key"))
-    seen = keyed.filter(F.pmod(F.xxhash64("hash"), F.lit(probe)) == 0)
-    crowded = seen.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * probe > hot)
-    crowded = crowded.select("choice", "key")
-    level1 = F.col("mask") == _first_choice(differ, _longs(bands), AGREE)
-    cold = _match(keyed.join(crowded, ["choice", "key"], "left_anti"), ["choice", "key"], k, level1)
-    rest_bits = [[b for b in range(HASH_BITS) if not mask >> b & 1] for mask in masks]
-    if min(len(bits) for bits in rest_bits) < k + AGREE:
-        refined_rows: list[tuple] = []
-    else:
-        refined_rows = [
-            (i, j, _signed(m2), [_signed(b) for b in bands2])
-            for i, bits in enumerate(rest_bits)
-            for bands2 in [_bands(bits, k + AGREE)]
-            for j, m2 in enumerate(_choices(bands2, AGREE))
-        ]
-    if not refined_rows:
-        return _match(keyed, ["choice", "key"], k, level1)
-    # A fixed table: choices x choices rows, 7,056 for k = 6.
-    finer = spark.createDataFrame(refined_rows, "choice int, choice2 int, mask2 bigint, bands2 array<bigint>")
-    busy = keyed.join(crowded, ["choice", "key"], "left_semi").join(F.broadcast(finer), "choice")
-    busy = busy.select("*", F.col("hash").bitwiseAND(F.col("mask2")).alias("key2"))
-    level2 = level1 & (F.col("mask2") == _first_choice(differ, F.col("bands2"), AGREE))
-    return cold.unionByName(_match(busy, ["choice", "key", "choice2", "key2"], k, level2))
+    sides = asking.select("hash", F.lit(True).alias("asks"), F.lit(False).alias("filed"))
+    sides = sides.unionByName(filed.select("hash", F.lit(False).alias("asks"), F.lit(True).alias("filed")))
+    hashes = sides.filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.bool_or("asks").alias("asks"), F.bool_or("filed").alias("filed"))
+    hashes = cut(hashes, "hashes")
+    found = hashes.filter("asks AND filed").select("hash")
+    for meeting in _meetings(hashes, k, hot, probe):
+        found = cut(found.unionByName(meeting.met(k, found).distinct()), "near")
+    return found
 
 
 def hamming_neighbors(hashes: DataFrame, k: int = 6, hot: int = HOT_KEY, probe: int = PROBE) -> DataFrame:
@@ -181,15 +277,11 @@ def order_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.col("cross").desc(), "distance", "a", "b")
 
 
-def leaked_ids(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every evaluation-side id of a cross-split pair, duplicates of the listed first id included."""
-    cross = pairs.filter("cross")
-    sides = F.array(
-        F.struct(F.col("hash_a").alias("hash"), F.col("split_a").alias("split")),
-        F.struct(F.col("hash_b").alias("hash"), F.col("split_b").alias("split")),
-    )
-    groups = cross.select(F.inline(sides)).filter(_is_eval(F.col("split"))).distinct()
-    return hashes.join(groups, ["hash", "split"], "left_semi").select("id").distinct()
+def leaked_ids(hashes: DataFrame, k: int = 6, hot: int = HOT_KEY, probe: int = PROBE) -> DataFrame:
+    """Every evaluation-side id whose hash lies within ``k`` bits of a training hash; no pair is listed."""
+    evaluated = hashes.filter(_is_eval(F.col("split")))
+    near = near_hashes(evaluated, hashes.filter(F.col("split") == "train"), k, hot, probe)
+    return evaluated.join(near, "hash", "left_semi").select("id").distinct()
 
 
 def leak_accuracy_gap(preds: DataFrame, leaked: DataFrame) -> DataFrame:

@@ -104,8 +104,7 @@ def _(spark, d):
 
 
 def _leaked(spark, d):
-    h = fr.hashes(spark, d)
-    return nd.leaked_ids(h, nd.near_dup_pairs(h, 6))
+    return nd.leaked_ids(fr.hashes(spark, d), 6)
 
 
 @query("leaked_ids", sql(HS + "," + GROUPS, "SELECT id FROM lk"))

@@ -77,7 +77,7 @@ def log_audit(lines: DataFrame) -> Report:
 def vision_audit(preds: DataFrame, hashes: DataFrame, profiles: DataFrame, labels: DataFrame, audit: DataFrame, bins: Mapping[str, int]) -> Report:
     """Duplicates, leakage, slices, discovery split, concept tests and the overall severity."""
     pairs = nd.near_dup_pairs(hashes)
-    leakage = nd.leak_accuracy_gap(preds, nd.leaked_ids(hashes, pairs))
+    leakage = nd.leak_accuracy_gap(preds, nd.leaked_ids(hashes))
     slices = im.union_dimensions(im.vision_slices(preds), im.quantile_slices(preds, profiles, bins))
     discovery = co.topk_discovery(preds)
     labelled = co.labelled_rows(co.held_out(preds, co.discovery_union(discovery)), labels)

@@ -38,9 +38,9 @@ def test_pairs_collapse_copies_and_find_leaks(spark):
     pairs = nd.near_dup_pairs(df)
     assert sum(r.pairs for r in pairs.collect()) == 10 + 5
     assert sum(r.pairs for r in pairs.filter("cross").collect()) == 6 + 3
-    assert sorted(r.id for r in nd.leaked_ids(df, pairs).collect()) == [4, 5, 6]
+    assert sorted(r.id for r in nd.leaked_ids(df).collect()) == [4, 5, 6]
     preds = spark.createDataFrame([(r[0], r[2], 1, int(r[0] != 7)) for r in rows], "id long, split string, y_true long, y_pred long")
-    gap = nd.leak_accuracy_gap(preds, nd.leaked_ids(df, pairs)).first()
+    gap = nd.leak_accuracy_gap(preds, nd.leaked_ids(df)).first()
     assert (gap.n_leaked, gap.n_clean, gap.acc_leaked, gap.acc_clean, gap.severity) == (3, 2, 1.0, 0.5, "critical")
 
 
