@@ -173,17 +173,23 @@ def _(spark, d):
 @query(
     "st_sequence_check",
     sql(
-        "seq AS (SELECT user_id, event_id, event_id - CASE WHEN event_id % 97 = 0 THEN 100000 ELSE 0 END AS num FROM events)",
-        "SELECT user_id, num AS sequence, prev AS previous FROM (SELECT *, lag(num) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM seq) WHERE num <= prev",
-        longs=["sequence", "previous"],
+        """seq AS (SELECT user_id, event_id, event_id - CASE WHEN event_id % 97 = 0 THEN 100000 ELSE 0 END AS num,
+                 ts - CASE WHEN event_id % 89 = 0 THEN INTERVAL '3 days' ELSE INTERVAL '0 days' END AS t FROM events),
+        pre AS (SELECT *, lag(num) OVER w AS prev, lag(t) OVER w AS prev_t FROM seq WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+        near AS (SELECT * FROM pre WHERE t - prev_t <= INTERVAL '2 days')""",
+        """SELECT user_id, event_id AS position, num AS sequence, prev AS previous, 'sequence' AS rule FROM near WHERE num <= prev
+           UNION ALL SELECT user_id, event_id, num, prev, 'time' FROM near WHERE t < prev_t""",
+        longs=["position", "sequence", "previous"],
     ),
 )
 def _(spark, d):
     number = F.col("event_id") - F.when(F.col("event_id") % 97 == 0, 100000).otherwise(0)
-    events = _stream(spark, d, "events").select("user_id", F.col("event_id").alias("position"), number.alias("sequence"))
+    at = F.col("ts").cast("timestamp") - F.when(F.col("event_id") % 89 == 0, F.expr("INTERVAL 3 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    events = _stream(spark, d, "events").select("user_id", F.col("event_id").alias("position"), number.alias("sequence"), at.alias("ts"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", mon.ROCKSDB)
     try:
-        return mon.run_to_table(mon.sequence_check(events, expire=False), shared_dir(spark, "sequence"))
+        late = events.withWatermark("ts", "4 days")
+        return mon.run_to_table(mon.sequence_check(late, keep_ms=2 * mon.DAY_MS), shared_dir(spark, "sequence"))
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 

@@ -6,8 +6,11 @@ table they compute the same windows at rest.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,53 +111,65 @@ def duplicate_leak_alert(incoming: DataFrame, training: DataFrame, k: int = 6) -
 
 # --- sequence state ----------------------------------------------------------------------------
 
-SEQUENCE_OUT = T.StructType([T.StructField(c, T.LongType()) for c in ("user_id", "sequence", "previous")])
+SEQUENCE_OUT = T.StructType([*[T.StructField(c, T.LongType()) for c in ("user_id", "position", "sequence", "previous")], T.StructField("rule", T.StringType())])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROWS_AT_ONCE = 10_000
 
 
 class LastSequence(StatefulProcessor):
-    """Keeps the last sequence number of each user and reports numbers that do not increase."""
+    """Keeps the last sequence number and time of each user; a timer in event time forgets them."""
 
-    def __init__(self, keep_ms: int | None) -> None:
+    def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "sequence bigint", ttlDurationMs=self.keep_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", "sequence bigint, at_ms bigint")
+
+    def _violations(self, user: int, rows: Iterator[tuple[int, int, int]]) -> Iterator[tuple]:
+        before = self.last.get() if self.last.exists() else None
+        due = None if before is None else before[1] + self.keep_ms
+        for position, sequence, at in rows:
+            if before is not None and at - before[1] <= self.keep_ms:
+                if sequence <= before[0]:
+                    yield user, position, sequence, before[0], "sequence"
+                if at < before[1]:
+                    yield user, position, sequence, before[0], "time"
+            before = (sequence, at)
+        self.last.update(before)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(before[1] + self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One batch of one user, in arrival order inside the micro-batch.
-        batch = pd.concat(list(rows)).sort_values("position")
-        numbers = batch["sequence"]
-        before = numbers.shift(1)
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        self.last.update((int(numbers.iloc[-1]),))
-        bad = numbers <= before
-        yield pd.DataFrame(
-            {"user_id": [key[0]] * int(bad.sum()), "sequence": numbers[bad].astype("int64"), "previous": before[bad].astype("int64")}
-        )
+        # Batches come in any order: each is sorted, then all are merged row by row.
+        runs = [batch[["position", "sequence", "at_ms"]].to_numpy("int64") for batch in rows]
+        runs = [run[run[:, 0].argsort(kind="stable")] for run in runs]
+        merged = heapq.merge(*(map(tuple, map(np.ndarray.tolist, run)) for run in runs))
+        found = self._violations(int(key[0]), merged)
+        while some := list(islice(found, ROWS_AT_ONCE)):
+            yield pd.DataFrame(some, columns=SEQUENCE_OUT.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({f.name: pd.Series(dtype="object" if f.name == "rule" else "int64") for f in SEQUENCE_OUT})
 
     def close(self) -> None:
         pass
 
 
-def sequence_check(events: DataFrame, expire: bool = True) -> DataFrame:
-    """Violations of strictly increasing sequence numbers per user (user_id, position, sequence).
+def sequence_check(events: DataFrame, at: str = "ts", keep_ms: int = DAY_MS) -> DataFrame:
+    """Sequence numbers that do not increase and times that run backwards, per user in recorded order.
 
-    State expires after a day. Expiry runs on processing time, which keeps a query alive for ever: turn
-    it off to run over a finite input. State of this kind lives in RocksDB: set
-    ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB`` before starting the query. A task holds
-    one user's rows of one micro-batch, so bound the batch at the source (``maxFilesPerTrigger`` and the
+    ``events``: user_id, position, sequence and the watermarked time ``at``; a row of rule ``sequence`` or ``time`` names the
+    number before it. A number more than ``keep_ms`` older than the event is forgotten: an event-time timer clears a user's
+    state once the watermark passes that moment, so expiry depends on the events alone and a finite run ends. Timers and state
+    live in RocksDB: set ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB`` before starting the query. A task holds
+    24 bytes for each row of one user in one micro-batch, so bound the batch at the source (``maxFilesPerTrigger`` and the
     like); over a table use ``records.sequence_violations``, which splits a busy user over tasks.
     """
-    processor = LastSequence(DAY_MS if expire else None)
-    return (
-        events.select("user_id", "position", "sequence")
-        .groupBy("user_id")
-        .transformWithStateInPandas(
-            processor, SEQUENCE_OUT, outputMode="append", timeMode="processingTime" if expire else "none"
-        )
-    )
+    rows = events.select("user_id", "position", "sequence", F.unix_millis(at).alias("at_ms"), at)
+    return rows.groupBy("user_id").transformWithStateInPandas(LastSequence(keep_ms), SEQUENCE_OUT, outputMode="append", timeMode="eventTime")
 
 
 # --- running a monitor to the end of its input ----------------------------------------------------
