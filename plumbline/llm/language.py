@@ -1,14 +1,15 @@
 """Language of texts by n-gram filters that answer for all languages at once.
 
 Texts are lower-cased, everything but letters becomes a space, and every ``GRAM`` code points in a row are
-hashed. A Bloom filter of ``SLOTS`` places holds one bit per language in each slot: ANDing the slots of an
+hashed. A Bloom filter, sized from the n-grams it holds, keeps one bit per language in each slot: ANDing the slots of an
 n-gram's hashes gives the bitmask of all languages that contain it. Counting each language's bits over a text
 and taking away what its share of set bits lets through by chance gives the votes; most votes win, ties go to
 the language of smaller name. The score is the winner's votes as a share of the text's n-grams.
 
 The filter is filled from about ``TRAIN`` documents per language (the ids of smallest hash), whose n-grams are
 counted in Spark. A language contains an n-gram if it has it ``SEEN`` times and at least ``SHARE`` times as
-often as the language that has it most often. The ``GRAMS`` most frequent ones are kept.
+often as the language that has it most often. Of each language the ``GRAMS`` most frequent ones are kept, however many
+languages there are.
 """
 
 from __future__ import annotations
@@ -20,20 +21,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, only, small_batches
 
 GRAM = 4
-SLOT_BITS = 21
-SLOTS = 1 << SLOT_BITS
+LEAST_SLOTS = 1 << 12
+ROOM = 16
 HASHES = 3
 TRAIN = 4000
 SEEN = 2
 SHARE = 0.2
-GRAMS = 400_000
+GRAMS = 100_000
 MIN_SCORE = 0.3
+MIN_SHARE = 0.5
+CALIBRATING = 8
 UNKNOWN = "und"
 FOLDS, HELD_FOLD = 4, 2
 WORD_BITS = 64
@@ -68,11 +71,16 @@ class Filter:
 
     @classmethod
     def build(cls, languages: list[str], fallback: int, hashes: np.ndarray, places: np.ndarray) -> Filter:
-        """From pairs of an n-gram's hash and the place of a language that contains it."""
-        slots = np.zeros((-(-max(1, len(languages)) // WORD_BITS), SLOTS), np.uint64)
-        for at in _slots_of(hashes):
+        """From pairs of an n-gram's hash and the place of a language that contains it.
+
+        At least ``ROOM`` slots for every n-gram of the language that has most, which leaves under one false positive in 150.
+        """
+        most = int(np.bincount(places).max()) if len(places) else 0
+        size = max(LEAST_SLOTS, 1 << (ROOM * most - 1).bit_length())
+        slots = np.zeros((-(-max(1, len(languages)) // WORD_BITS), size), np.uint64)
+        for at in _slots_of(hashes, size):
             np.bitwise_or.at(slots, (places // WORD_BITS, at), np.uint64(1) << (places % WORD_BITS).astype(np.uint64))
-        filled = [float(np.count_nonzero(slots[i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1))) / SLOTS for i in range(len(languages))]
+        filled = [float(np.count_nonzero(slots[i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1))) / size for i in range(len(languages))]
         return cls(languages, slots, np.array(filled) ** HASHES, fallback)
 
     def votes(self, text: str) -> tuple[np.ndarray, int]:
@@ -80,7 +88,7 @@ class Filter:
         for hashes in grams(text):
             total += len(hashes)
             for word, slots in enumerate(self.slots):
-                masks = np.bitwise_and.reduce([slots[at] for at in _slots_of(hashes)])
+                masks = np.bitwise_and.reduce([slots[at] for at in _slots_of(hashes, slots.shape[0])])
                 for bit in range(min(WORD_BITS, len(self.languages) - word * WORD_BITS)):
                     hits[word * WORD_BITS + bit] += np.count_nonzero(masks & np.uint64(1 << bit))
         return np.maximum(0, hits - self.chance * total) / np.maximum(1e-9, 1 - self.chance), total
@@ -95,21 +103,30 @@ class Filter:
         return self.languages[best], min(1.0, float(votes[best]) / total)
 
 
-def _slots_of(hashes: np.ndarray) -> list[np.ndarray]:
-    return [(hashes >> np.uint64(i * SLOT_BITS) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+def _slots_of(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places in a filter of ``size``, a power of two: two halves of the hash, combined."""
+    low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
+    return [(low + np.uint64(i) * high & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def train(docs: DataFrame, size: int = TRAIN) -> Filter:
-    small_batches(docs.sparkSession)
+def _teaching(docs: DataFrame, size: int) -> tuple[dict[str, int], DataFrame | None]:
+    """Usable documents of each language, and lang and text of about ``size`` of each (the ids of smallest hash)."""
     usable = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD_FOLD))
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
-    if not languages:
-        return Filter([], np.zeros((1, SLOTS), np.uint64), np.zeros(0), 0)
-    fallback = max(range(len(languages)), key=lambda i: (counts[languages[i]], -i))
+    if not counts:
+        return {}, None
     wide = 1 << 20
     limit = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, round(min(1.0, size / n) * wide))]), F.col("lang"))
-    chosen = usable.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(wide)) < limit).select("lang", "text")
+    return counts, usable.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(wide)) < limit).select("lang", "text")
+
+
+def train(docs: DataFrame, size: int = TRAIN) -> Filter:
+    small_batches(docs.sparkSession)
+    counts, chosen = _teaching(docs, size)
+    languages = sorted(counts)
+    if chosen is None:
+        return Filter([], np.zeros((1, LEAST_SLOTS), np.uint64), np.zeros(0), 0)
+    fallback = max(range(len(languages)), key=lambda i: (counts[languages[i]], -i))
     place = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +143,9 @@ def train(docs: DataFrame, size: int = TRAIN) -> Filter:
     size_of = F.element_at(F.array(*[F.lit(float(max(1, {r.lang: r.size for r in totals}.get(k, 1)))) for k in languages]), F.col("place") + 1)
     entry = F.struct((F.col("n") / size_of).alias("rate"), "place", "n")
     merged = each.where(F.col("n") >= SEEN).groupBy("gram").agg(F.collect_list(entry).alias("held"), F.max(F.col("n") / size_of).alias("most"))
-    rows = merged.orderBy(F.desc("most"), "gram").limit(GRAMS).select("gram", F.explode("held").alias("e"), "most")
-    kept: pd.DataFrame = rows.where(F.col("e.rate") >= SHARE * F.col("most")).select("gram", F.col("e.place").alias("place")).toPandas()
+    entries = merged.select("gram", F.explode("held").alias("e"), "most").where(F.col("e.rate") >= SHARE * F.col("most"))
+    ranked = entries.select("gram", F.col("e.place").alias("place"), F.row_number().over(Window.partitionBy("e.place").orderBy(F.desc("e.rate"), "gram")).alias("rank"))
+    kept: pd.DataFrame = ranked.where(F.col("rank") <= GRAMS).select("gram", "place").toPandas()
     return Filter.build(languages, fallback, kept["gram"].to_numpy(np.int64).view(np.uint64), kept["place"].to_numpy(np.int64))
 
 
@@ -135,7 +153,7 @@ def with_language(docs: DataFrame, known: Filter, name: str, score: str, text: s
     """All columns of ``docs``, the predicted language and its score."""
     small_batches(docs.sparkSession)
     schema = docs.selectExpr("*", f"'' AS `{name}`", f"0D AS `{score}`").schema
-    # plain arrays, 16 MB per 64 languages
+    # plain arrays, at most 16 MB per 64 languages
     sent = docs.sparkSession.sparkContext.broadcast((known.languages, known.slots, known.chance, known.fallback))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +171,36 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from rows with a lang and a text outside the held-out fold. ``und`` with score 0 goes to texts that are
     null or have no letter, and to all if there is nothing to learn from. A text none of whose n-grams any language
-    contains gets the most frequent language with score 0.
+    contains gets the most frequent language with score 0. Very long texts are read whole, in steps; repeated rows
+    stay and get the same answer.
     """
     found = with_language(only(docs, "doc_id", "text"), train(docs), "lang_pred", "score")
     return found.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_FOLD).alias("held_out"), "lang_pred", "score")
 
 
+def least_scores(docs: DataFrame, least: float = MIN_SCORE) -> dict[str, float]:
+    """The score that a text of each language needs: ``least``, or ``MIN_SHARE`` of its documents' median where that is less.
+
+    The median is taken over one in ``CALIBRATING`` teaching documents, scored by a filter of the others. A language whose
+    n-grams are spread wide (thousands of characters) scores low throughout, and keeps its documents.
+    """
+    apart = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("calibrate")), F.lit(CALIBRATING)) == 0
+    _, chosen = _teaching(docs.where(apart), TRAIN)
+    if chosen is None:
+        return {}
+    scored = with_language(chosen, train(docs.where(~apart)), "__llm_lang", "__llm_lang_score")
+    middles = scored.groupBy("lang").agg(F.percentile_approx("__llm_lang_score", 0.5).alias("middle")).collect()
+    return {r.lang: min(least, MIN_SHARE * r.middle) for r in middles}
+
+
 def keep_known(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` in a learned language, all columns: not ``und``, and a score of ``least`` or more."""
+    """The rows of ``docs`` in a learned language, all columns: not ``und``, and a score of ``least_scores`` or more.
+
+    Null, empty and letterless texts go; repeated rows get one answer, whatever their length; an empty table stays empty.
+    """
     lang, score = "__llm_lang", "__llm_lang_score"
-    found = with_language(docs, train(docs), lang, score)
-    return only(found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)), *docs.columns)
+    known = train(docs)
+    needed = least_scores(docs, least)
+    enough = F.lit(least) if not needed else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in needed.items() for x in pair]), F.col(lang)), F.lit(least))
+    found = with_language(docs, known, lang, score)
+    return only(found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= enough)), *docs.columns)

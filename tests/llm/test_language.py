@@ -13,7 +13,7 @@ def test_every_stored_gram_is_found():
     places = rng.integers(0, 70, 5000)
     f = L.Filter.build([f"l{i:02}" for i in range(70)], 0, hashes, places)
     for h, p in zip(hashes[:500], places[:500]):
-        found = [np.bitwise_and.reduce([f.slots[p // 64][at] for at in L._slots_of(np.array([h]))])[0]]
+        found = [np.bitwise_and.reduce([f.slots[p // 64][at] for at in L._slots_of(np.array([h]), f.slots.shape[1])])[0]]
         assert int(found[0]) >> int(p % 64) & 1
     assert (f.chance < 0.01).all()
 
@@ -52,3 +52,32 @@ def test_odd_rows(spark):
     assert L.identify(docs.where("false")).count() == 0
     unknown = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in L.identify(unknown).collect()} == {("und", 0.0)}
+
+
+def test_forty_languages_each_keep_their_ngrams(spark):
+    """Languages of different alphabets; one spreads its n-grams over a thousand characters."""
+    rng = np.random.default_rng(5)
+    alphabets = [[chr(0x4E00 + 1200 * i + j) for j in range(1000 if i == 0 else 12)] for i in range(16)]
+    alphabets += [[chr(0x0400 + 8 * i + j) for j in range(8)] for i in range(12)] + [[chr(0x0620 + 2 * i + j) for j in range(6)] for i in range(12)]
+    word = lambda a: "".join(rng.choice(a, rng.integers(2, 7)))
+    rows, vocabulary = [], {i: [word(a) for _ in range(60 if i else 3000)] for i, a in enumerate(alphabets)}
+    for i in range(len(alphabets)):
+        rows += [(len(rows) + j, " ".join(rng.choice(vocabulary[i], 40)), f"l{i:02}") for j in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {d: lang for d, _, lang in rows}
+    found = L.identify(docs).collect()
+    assert sum(r.lang_pred == truth[r.doc_id] for r in found) >= 0.98 * len(found)
+    kept = L.keep_known(docs).groupBy("lang").count().collect()
+    assert len(kept) == 40 and all(r["count"] >= 29 for r in kept)
+
+
+def test_the_share_of_a_language_does_not_shrink_as_others_join(spark, monkeypatch):
+    monkeypatch.setattr(L, "GRAMS", 50)
+    rng = np.random.default_rng(6)
+    words = {lang: ["".join(rng.choice(list(letters), 6)) for _ in range(40)] for lang, letters in (("a", "abcdef"), ("b", "ghijkl"), ("c", "mnopqr"))}
+    rows = [(i, " ".join(rng.choice(words[lang], 30)), lang) for i, lang in enumerate("abc" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    alone = L.train(docs.where("lang = 'a'"))
+    among = L.train(docs)
+    bits = lambda f, place: int(np.count_nonzero(f.slots[0] >> np.uint64(place) & np.uint64(1)))
+    assert bits(alone, 0) == bits(among, 0) and min(bits(among, i) for i in range(3)) > 100
