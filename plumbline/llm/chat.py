@@ -26,6 +26,7 @@ LEARNED = "assistant"
 # Fixed values, in the order in which they are put in; taken out in the opposite order.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
 OPENS = ("message", "edit", "regenerate")
+PARTS = 4
 
 
 def escape(text: Column) -> Column:
@@ -108,15 +109,35 @@ def turns_as_events(conversations: DataFrame) -> DataFrame:
     return given.select("conv_id", "turn", copy.alias("copy"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed_log(conversations: DataFrame, parts: int = PARTS) -> DataFrame:
+    """A table of whole turns as the log of a client that streams: (conv_id, turn, copy, seq, kind, role, text).
+
+    Each message opens with a draft, the first part of its text, and streams on by a delta of the part after next. An
+    answer of the assistant is then regenerated and streamed whole, in ``parts`` deltas; any other message is edited, to the
+    text's first part, and the other parts follow as deltas. Folding it gives the turns back.
+    """
+    size = F.greatest(F.ceil(F.char_length("text") / parts).cast("int"), F.lit(1))
+    part = lambda i: F.substring(F.col("text"), F.lit(i) * size + 1, size)
+    event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), F.lit(role).cast("string").alias("role") if role is None else role.alias("role"), text.alias("text"))
+    draft = [event("message", part(0), F.col("role")), event("delta", part(2))]
+    rest = [event("delta", part(i)) for i in range(1, parts)]
+    again = F.array(*draft, event("regenerate", F.lit(None).cast("string")), event("delta", part(0)), *rest)
+    edited = F.array(*draft, event("edit", part(0)), *rest)
+    turns = turns_as_events(conversations).withColumn("text", F.coalesce("text", F.lit("")))
+    events = F.when(F.col("role") == LEARNED, again).otherwise(edited)
+    rows = turns.select("conv_id", "turn", "copy", F.posexplode(events).alias("seq", "e"))
+    return rows.select("conv_id", "turn", "copy", F.col("seq").cast("long").alias("seq"), "e.kind", "e.role", "e.text")
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """What can be read back from every formatted conversation of ``conversations`` (conv_id, turn, role, text).
 
     conv_id, n_turns, turns_sha256 (role, line feed, text, line feed of each turn), loss_chars and loss_sha256 of the
-    unescaped text under the loss mask, formatted_chars. A null conv_id is a conversation of its own. An empty table
-    gives no rows.
+    unescaped text under the loss mask, formatted_chars. The turns are replayed from ``streamed_log``, with drafts, deltas,
+    edits and regenerations. A null conv_id is a conversation of its own. An empty table gives no rows.
     """
     target = ("turn", "copy")
-    made = render(fold(turns_as_events(conversations), target), target)
+    made = render(fold(streamed_log(conversations), target), target)
     back = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(

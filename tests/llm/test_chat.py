@@ -58,3 +58,15 @@ def test_against_sql(spark):
     cur = con.execute(chat.ORACLE)
     names = [c[0] for c in cur.description]
     assert sorted(repr(tuple(r[n] for n in names)) for r in got) == sorted(map(repr, cur.fetchall()))
+
+
+def test_the_derived_log_holds_every_kind_and_folds_to_the_turns(spark):
+    table = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    log = chat.streamed_log(table)
+    kinds = {(r.kind, r.role or "") for r in log.select("kind", "role").distinct().collect()}
+    assert {k for k, _ in kinds} == {"message", "delta", "edit", "regenerate"}
+    drafts = log.where("kind = 'message' AND length(text) > 0").count()
+    assert drafts == sum(bool(t) for _, _, _, t in ROWS)
+    for parts in (1, 2, 4, 7):
+        back = chat.fold(chat.streamed_log(table, parts), ("turn", "copy")).collect()
+        assert sorted(repr((r.conv_id, r.turn, r.role, r.text)) for r in back) == sorted(repr((c, t, r or "", x or "")) for c, t, r, x in ROWS)
