@@ -27,6 +27,7 @@ HEAVIEST = 16
 PART = 2047
 SEEDS = (0, 1)
 BITS = 64 * len(SEEDS)
+RADIUS, BLOCKS, EVERY, HOT_KEY = 3, 4, 100, 20_000
 LANE, WIDE = 0x0001000100010001, 0x0000FFFF0000FFFF
 SPACE = r"[\x09-\x0D\x20]+"
 
@@ -91,12 +92,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
 
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 8) -> DataFrame:
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = 8, hot: int = HOT_KEY) -> DataFrame:
     """(query, found, distance): every fingerprint of ``prints`` within ``radius`` of one of ``queries``, both distinct in ``fp``.
 
     The bits form ``blocks`` blocks, a divisor of 128 above ``radius``. Two fingerprints within the radius agree on
     some choice of blocks - radius blocks; there is one permuted table per choice, keyed by these blocks' bits. What
-    agrees on a key is verified, and a pair counts only in the first table in which it agrees.
+    agrees on a key is verified, and a pair counts only in the first table in which it agrees. Keys of more than ``hot``
+    fingerprints are dealt over several parts. Either side may be empty.
     """
     if not 0 <= radius < blocks or BITS % blocks or blocks < len(SEEDS):
         raise ValueError("blocks must divide 128 and exceed the radius")
@@ -111,13 +113,36 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 8
         keys = [F.struct(F.lit(t).alias("permuted"), F.array(*[block(F.col("fp"), i) for i in c]).alias("key")) for t, c in enumerate(choices)]
         return df.select(F.col("fp").alias(name), F.inline(F.array(*keys)))
 
-    met = keyed(prints, "found").join(keyed(queries, "query"), ["permuted", "key"])
+    filed, asked = keyed(prints, "found"), keyed(queries, "query")
+    # a key of very many fingerprints is dealt over parts, each of which sees all that ask for it
+    crowded = filed.groupBy("permuted", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    parts = crowded.select("permuted", "key", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    dealt = lambda df: df.join(parts, ["permuted", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    filed = dealt(filed).withColumn("part", F.pmod(F.xxhash64("found"), F.col("parts")).cast("int"))
+    asked = dealt(asked).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = filed.join(asked, ["permuted", "key", "part"])
     agree = [block(F.col("query"), i) == block(F.col("found"), i) for i in range(blocks)]
     first = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [agree[i] for i in c]), F.lit(t)) for t, c in enumerate(choices)])
     found = met.where((distance(F.col("query"), F.col("found")) <= radius) & (first == F.col("permuted")))
     return found.select("query", "found", distance(F.col("query"), F.col("found")).alias("distance"))
 
 
+def with_near(found: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = EVERY) -> DataFrame:
+    """All columns of ``found`` (doc_id, fingerprint as text) and n_near: how many other rows lie within ``radius`` bits.
+
+    Asked by the rows whose doc_id is divisible by ``every``, against all rows; null for the others. Equal fingerprints
+    are one entry of the tables, with their number.
+    """
+    halves = [F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(len(SEEDS))]
+    asks = F.coalesce(F.pmod("doc_id", F.lit(every)) == 0, F.lit(False))
+    rows = cut(found, "prints")
+    prints = cut(rows.select(F.array(*halves).alias("fp"), asks.alias("asks")).groupBy("fp").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asks")), "distinct")
+    pairs = near(prints.select("fp"), prints.where("asks").select("fp"), radius, blocks)
+    counts = pairs.join(prints.select(F.col("fp").alias("found"), "n"), "found").groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
+    counts = counts.select(as_text(F.col("query")).alias("fingerprint"), "n_near")
+    return rows.join(counts, "fingerprint", "left").select(*found.columns, F.when(asks, F.col("n_near")).alias("n_near"))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of ``docs`` (doc_id, text) and of its edited text.
 

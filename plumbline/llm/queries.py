@@ -18,7 +18,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 @query("op1_fingerprints")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+    return fingerprints.with_near(fingerprints.edited_fingerprints(table(spark, folder, "documents")))
 
 
 @query("op2_byte_bpe")

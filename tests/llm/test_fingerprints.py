@@ -80,6 +80,21 @@ def test_search_agrees_with_all_pairs(spark, radius, blocks):
     found = sorted((tuple(r.query), tuple(r.found), r.distance) for r in FP.near(frame, asked, radius, blocks).collect())
     want = sorted((tuple(both(q)), tuple(both(p)), (p ^ q).bit_count()) for q in prints[::3] for p in prints if (p ^ q).bit_count() <= radius)
     assert found == want
+    dealt = FP.near(frame, asked, radius, blocks, hot=2)
+    assert sorted((tuple(r.query), tuple(r.found), r.distance) for r in dealt.collect()) == want
+    assert FP.near(frame.where("false"), asked, radius, blocks).count() == FP.near(frame, asked.where("false"), radius, blocks).count() == 0
+
+
+def test_numbers_of_near_documents(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    prints = [b ^ sum(1 << x for x in rng.sample(range(128), rng.randint(0, 4))) for b in base for _ in range(30)]
+    rows = [(i * 20 if i % 7 else None if i == 0 else i, f"{p:032x}") for i, p in enumerate(prints)]
+    rows += rows[100:110]
+    got = FP.with_near(spark.createDataFrame(rows, "doc_id long, fingerprint string").withColumn("n", F.lit("x"))).collect()
+    near = lambda p: sum((int(p, 16) ^ int(q, 16)).bit_count() <= 3 for _, q in rows) - 1
+    want = [(d, p, "x", near(p) if d is not None and d % 100 == 0 else None) for d, p in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 def test_empty_table_and_a_single_row(spark):
