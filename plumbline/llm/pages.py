@@ -8,12 +8,18 @@ columns. Text that isn't displayed is left out: head, scripts, styles, templates
 none``, ``visibility: hidden`` unless a child is visible again, closed dialogs, and all but the summary of closed
 details. Of drawings the texts are shown, and of formulas all but annotations.
 
-Elements nested deeper than ``DEPTH`` are laid out at that depth, as browsers do; their text stays. Cells wider than
-``WIDEST`` are not padded for, so a table takes no more than a bounded multiple of its text.
+The lines of a cell stand below each other in its column, whatever its width; a cell over several columns widens the last
+of them if it needs to. Spans end at ``ACROSS`` columns and ``DOWN`` rows, the limits that HTML sets.
+
+Elements nested deeper than ``DEPTH`` are laid out at that depth, as browsers do; their text stays. Blanks take at most
+``PADDING`` times a table's text, or ``FREE`` characters if that is more: where they would take more (one very long cell
+above very many rows), columns are padded to the greatest width that fits, and longer cells stand out; where even the bars
+between columns would (stairs of cells that cover thousands of rows), rows show their own cells only. No text is lost.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -24,8 +30,8 @@ from pyspark.sql import DataFrame
 from .common import only, small_batches
 
 DEPTH = 512
-WIDEST = 40
-SPAN = 100
+ACROSS, DOWN = 1000, 65534
+PADDING, FREE = 16, 1 << 20
 COLUMN = " | "
 
 # Elements of HTML by their role in layout.
@@ -59,6 +65,7 @@ IN_HEAD = frozenset("base link meta title style script noscript template basefon
 # Foreign content: drawings show the text of these, formulas that of all but annotations; HTML may stand in the points.
 NOT_DRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc title".split())
 NOT_READ = frozenset("annotation annotation-xml".split())
+BUTTONS = frozenset("submit button reset".split())
 TOKENS = frozenset("mi mo mn ms mtext".split())
 POINTS = TOKENS | {"foreignobject"}
 # Opening tags that end a drawing or formula in which they stand.
@@ -166,46 +173,92 @@ def flow(parts: list) -> list[str]:
 
 def _span(attrs: dict[str, str | None], name: str) -> int:
     said = attrs.get(name) or ""
-    return min(SPAN, max(1, int(said))) if re.fullmatch(r"\d{1,9}", said) else 1
+    return min(ACROSS if name == "colspan" else DOWN, max(1, int(said))) if re.fullmatch(r"\d{1,9}", said) else 1
+
+
+def _column_widths(grid: list[dict[int, tuple[list[str], int]]]) -> dict[int, int]:
+    """Each column's widest line, then what cells over several columns need beyond them."""
+    width: dict[int, int] = {}
+    wide: dict[tuple[int, int], int] = {}
+    for placed in grid:
+        for c, (lines, across) in placed.items():
+            longest = max(map(len, lines), default=0)
+            if across == 1:
+                width[c] = max(width.get(c, 0), longest)
+            else:
+                wide[c, across] = max(wide.get((c, across), 0), longest)
+                for i in range(c, c + across):
+                    width.setdefault(i, 0)
+    for (c, across), longest in sorted(wide.items(), key=lambda x: x[0][::-1]):
+        room = sum(width[i] for i in range(c, c + across)) + len(COLUMN) * (across - 1)
+        width[c + across - 1] += max(0, longest - room)
+    return width
+
+
+def _fitting(width: dict[int, int], lines: int, text: int) -> dict[int, int]:
+    """The widths, limited to the greatest one at which ``lines`` padded lines stay within the allowance."""
+    allowed = max(FREE, PADDING * text)
+    takes = lambda most: lines * sum(min(most, w) for w in width.values())
+    low, high = 0, max(width.values(), default=0)
+    if takes(high) <= allowed:
+        return width
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if takes(middle) <= allowed else (low, middle - 1)
+    return {c: min(low, w) for c, w in width.items()}
+
+
+def _trimmed(lines: list[str]) -> list[str]:
+    """A cell's lines without trailing blanks and without empty ones around them."""
+    lines = [x.rstrip() for x in lines]
+    held = [i for i, x in enumerate(lines) if x]
+    return lines[held[0] : held[-1] + 1] if held else []
 
 
 def table_lines(rows: list[Row]) -> list[str]:
-    """Rows with their cells in columns. A table of one column is laid out as blocks."""
-    grid: list[dict[int, tuple[str, int]]] = []
-    held: dict[int, int] = {}  # column -> rows for which a cell from above still covers it
+    """Rows with their cells in columns, each as many lines high as its highest cell. A table of one column is laid out as blocks."""
+    grid: list[dict[int, tuple[list[str], int]]] = []
+    held: list[tuple[int, int, int]] = []  # from and to which column a cell from above still covers how many rows
     blocks: list[str] = []
     for row in rows:
-        placed: dict[int, tuple[str, int]] = {}
-        at = 0
+        placed: dict[int, tuple[list[str], int]] = {}
+        at = above = 0
+        down_from: list[tuple[int, int, int]] = []
         for lines, across, down in row.cells:
-            while held.get(at, 0):
-                at += 1
-            placed[at] = (" ".join(x.strip() for x in lines if x.strip()), across)
+            while above < len(held) and held[above][0] <= at:
+                at = max(at, held[above][1])
+                above += 1
+            placed[at] = (_trimmed(lines), across)
             blocks.extend(lines)
             if down > 1:
-                for c in range(at, at + across):
-                    held[c] = down
+                down_from.append((at, at + across, down))
             at += across
-        held = {c: n - 1 for c, n in held.items() if n > 1}
+        held = sorted((start, end, n - 1) for start, end, n in [*held, *down_from] if n > 1)
         grid.append(placed)
     if all(set(p) <= {0} and all(s == 1 for _, s in p.values()) for p in grid):
         return blocks
-    width: dict[int, int] = {}
-    for placed in grid:
-        for c, (text, across) in placed.items():
-            if across == 1 and len(text) <= WIDEST:
-                width[c] = max(width.get(c, 0), len(text))
+    # columns at which no cell begins or ends take no room
+    edges = sorted({x for placed in grid for c, (_, across) in placed.items() for x in (c, c + across)})
+    column = {x: i for i, x in enumerate(edges)}
+    grid = [{column[c]: (lines, column[c + across] - column[c]) for c, (lines, across) in placed.items()} for placed in grid]
+    heights = [max((len(lines) for lines, _ in placed.values()), default=0) for placed in grid]
+    text = sum(len(x) for placed in grid for lines, _ in placed.values() for x in lines)
+    width = _fitting(_column_widths(grid), sum(heights), text)
+    ends = [max((c + s for c, (_, s) in placed.items()), default=0) for placed in grid]
+    if len(COLUMN) * sum(map(operator.mul, ends, heights)) > max(FREE, PADDING * text):
+        # stairs of cells that cover very many rows: each row's own cells, not in columns
+        grid, width = [dict(enumerate((lines, 1) for lines, _ in placed.values())) for placed in grid], {}
+        ends = list(map(len, grid))
     out = []
-    for placed in grid:
-        cells = []
-        last = max((c + s for c, (_, s) in placed.items()), default=0)
-        c = 0
-        while c < last:
-            text, across = placed.get(c, ("", 1))
-            room = sum(width.get(i, 0) for i in range(c, c + across)) + len(COLUMN) * (across - 1)
-            cells.append(text.ljust(room))
-            c += across
-        if any(x.strip() for x in cells):
+    for placed, height, last in zip(grid, heights, ends):
+        for line in range(height):
+            cells = []
+            c = 0
+            while c < last:
+                lines, across = placed.get(c, ((), 1))
+                room = sum(width.get(i, 0) for i in range(c, c + across)) + len(COLUMN) * (across - 1)
+                cells.append((lines[line] if line < len(lines) else "").ljust(room))
+                c += across
             out.append(COLUMN.join(cells).rstrip())
     return out
 
@@ -234,6 +287,8 @@ class Page(HTMLParser):
         top = self.open[-1]
         if tag == "br" or tag == "hr":
             top.parts.append(BREAK if tag == "br" else Block([], True))
+        elif tag == "input":
+            self._button(attrs)
         elif tag not in VOID and (len(self.open) < DEPTH or tag in UNSEEN or tag in ("svg", "math") or top.foreign):
             node = Node(tag, attrs, top)
             self._apart(node)
@@ -258,6 +313,13 @@ class Page(HTMLParser):
         if shown:
             top.parts.append((data,) if top.pre else data)
 
+    def _button(self, attrs: dict[str, str | None]) -> None:
+        """Buttons show their value."""
+        if (attrs.get("type") or "").lower() in BUTTONS:
+            node = Node("input", attrs, self.open[-1])
+            if node.shown and node.visible and node.drawn:
+                self.handle_data(f" {attrs.get('value') or ''} ")
+
     def _apart(self, node: Node) -> None:
         """A drawing's texts and a formula's tokens stand apart by a space."""
         if node.foreign == "svg" and node.tag in ("text", "foreignobject") or node.foreign == "math" and node.tag in TOKENS:

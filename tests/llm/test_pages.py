@@ -31,6 +31,37 @@ def test_tables():
     assert page_text("<table><td>lone<p>cell</table>") == "lone\n\ncell"
 
 
+def test_lines_of_cells_stay_apart():
+    assert page_text("<table><tr><td><pre>a\nbcd</pre><td>z<tr><td>e<td><ul><li>f<li>g<ol><li>h</ol></ul>i") == "a   | z\nbcd |\ne   | - f\n    | - g\n    |   1. h\n    |\n    | i"
+    assert page_text("<table><tr><td><p>a<p>b<td>c<br>d") == "a | c\n  | d\nb |"
+    assert page_text("<table><tr><td><table><tr><td>a<td>b<tr><td>c<td>d</table><td>x") == "a | b | x\nc | d |"
+
+
+def test_columns_of_any_width():
+    long = " ".join(["word"] * 100)
+    assert page_text(f"<table><tr><td>{long}<td>x<tr><td>a<td>y<tr><td>{'b' * 600}<td>z").split("\n") == [f"{long:600} | x", f"{'a':600} | y", f"{'b' * 600} | z"]
+    assert page_text(f"<table><tr><td colspan=2>{long}<td>x<tr><td>a<td>b<td>c").split("\n") == [f"{long} | x", f"a | {'b':{len(long) - 4}} | c"]
+    wide = page_text("<table><tr><td colspan=300>s<td>end<tr>" + "".join(f"<td>{i}" for i in range(300)) + "<td>last").split("\n")
+    assert wide[0].index("end") == wide[1].index("last") and wide[0].startswith("s ") and len(wide) == 2
+    assert page_text("<table><tr><td colspan=99999999>s<td>e") == "s | e" and page_text("<table><tr><td rowspan=70000>s<td>e<tr><td>f") == "s | e\n  | f"
+
+
+def test_blanks_are_bounded_and_no_text_is_lost():
+    rows = "".join(f"<tr><td>r{i}<td>{i}" for i in range(20_000))
+    long = "word " * 20_000
+    laid = page_text(f"<table><tr><td>{long}<td>x{rows}</table>")
+    assert len(laid) < 40 * (len(long) + len(rows)) and laid.split("\n")[0] == f"{long.strip()} | x"
+    assert re.findall(r"\w+", laid) == re.findall(r"\w+", long) + ["x"] + [w for i in range(20_000) for w in (f"r{i}", str(i))]
+
+
+    stairs = page_text("<table>" + "".join(f"<tr><td rowspan=60000>a{i}<td>b{i}" for i in range(3000)))
+    assert stairs.split("\n") == [f"a{i} | b{i}" for i in range(3000)]
+
+
+def test_buttons_show_their_value():
+    assert page_text('a<input type="SUBMIT" value="Go"><input type=button value=Stop hidden><input value=no><input type=reset>b') == "a Go b"
+
+
 def test_rows_outside_a_table():
     rows = "<tbody>\n<tr><td>a<td>bb</tr>\n<tr><td>ccc<td>d</tr>\n</tbody>"
     laid = "a   | bb\nccc | d"
