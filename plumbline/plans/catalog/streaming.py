@@ -142,7 +142,14 @@ def _(spark, d):
     base = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("id"), average_hash(F.col("embedding")).alias("hash"))
     flipped = F.col("hash").bitwiseXOR(F.expr("shiftleft(1L, cast(id % 9 as int)) - 1"))
     incoming = base.filter(F.col("id") % 5 == 0).select((F.col("id") + 1000000).alias("id"), flipped.alias("hash"))
-    return mon.run_to_table(mon.duplicate_leak_alert(incoming, training), shared_dir(spark, "leak"))
+    folder = shared_dir(spark, "leak")
+    name = f"training_keys_{folder.rsplit('-', 1)[-1]}"
+    even = F.pmod("hash", F.lit(2)) == 0
+    for part in (training.where(even), training):  # written, then extended
+        mon.index_training(part, name, f"{folder}/keys", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    alerts = mon.run_to_table(mon.duplicate_leak_alert(incoming, name), folder)
+    spark.sql(f"DROP TABLE {name}")
+    return alerts
 
 
 @query(

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.bits import HASH_BITS
 from ..operators.neardup import AGREE, _bands, _choices, _longs
+from ..session import cut
 from ..sources.evaluation import ingest_rowwise
 
 DAY_MS = 24 * 60 * 60 * 1000
@@ -90,21 +91,41 @@ def rate_window(events: DataFrame, limits: dict[str, int], user: str = "user_id"
     return counts.select(user, *ends, "n", (F.col("n") > allowed).alias("over"))
 
 
-def duplicate_leak_alert(incoming: DataFrame, training: DataFrame, k: int = 6) -> DataFrame:
+def _keyed(df: DataFrame, hash_: str, k: int) -> DataFrame:
+    """One row per choice of bands: choice and key, the hash's bits in them."""
+    masks = _longs(_choices(_bands(list(range(HASH_BITS)), k + AGREE), AGREE))
+    return df.select("*", F.posexplode(masks).alias("choice", "mask")).withColumn("key", F.col(hash_).bitwiseAND(F.col("mask")))
+
+
+def index_training(training: DataFrame, name: str, folder: str, k: int = 6, buckets: int = 64) -> None:
+    """Add the band keys of ``training`` (hash) to the table ``name``, whose files lie in ``folder``; the first call makes it.
+
+    The table is bucketed by key, so a join need not move it. Hashes that it already holds are left out; a null hash
+    has no keys. Choose ``buckets`` for the size the table will have.
+    """
+    spark = training.sparkSession
+    new = training.where(F.col("hash").isNotNull()).select(F.col("hash").alias("train_hash")).distinct()
+    if spark.catalog.tableExists(name):
+        held = spark.table(name).where("choice = 0").select("train_hash")
+        new = cut(new.join(held, "train_hash", "left_anti"), "new-hashes")  # read before the table is written
+    rows = _keyed(new, "train_hash", k).select("train_hash", "choice", "key").repartition(buckets, "choice", "key")
+    rows.write.bucketBy(buckets, "choice", "key").sortBy("choice", "key").option("path", folder).mode("append").saveAsTable(name)
+
+
+def duplicate_leak_alert(incoming: DataFrame, training: DataFrame | str, k: int = 6) -> DataFrame:
     """Incoming hashes within ``k`` bits of a training hash: id, train_hash, distance.
 
     A stream-static join on band keys, checked exactly. Each pair comes out under its first agreeing
-    choice of bands, so no state is kept. ``training`` should be a table of distinct hashes.
+    choice of bands, so no state is kept. ``training`` is the name of a table of ``index_training`` (same ``k``), of which only
+    the incoming side moves in each micro-batch, or a frame of hashes, which is keyed anew in every one.
     """
-    bands = _bands(list(range(HASH_BITS)), k + AGREE)
-    masks = _longs(_choices(bands, AGREE))
-    keyed = lambda df: df.select("*", F.posexplode(masks).alias("choice", "mask"))
-    known = keyed(training.select(F.col("hash").alias("train_hash")).distinct())
-    known = known.select("train_hash", "choice", F.col("train_hash").bitwiseAND(F.col("mask")).alias("key"))
-    seen = keyed(incoming).withColumn("key", F.col("hash").bitwiseAND(F.col("mask")))
+    if isinstance(training, str):
+        known = incoming.sparkSession.table(training).hint("merge")
+    else:
+        known = _keyed(training.select(F.col("hash").alias("train_hash")).distinct(), "train_hash", k).select("train_hash", "choice", "key")
     differ = F.col("hash").bitwiseXOR(F.col("train_hash"))
-    near = seen.join(known, ["choice", "key"]).filter(F.bit_count(differ) <= k)
-    agreeing = F.filter(_longs(bands), lambda band: differ.bitwiseAND(band) == 0)
+    near = _keyed(incoming, "hash", k).join(known, ["choice", "key"]).filter(F.bit_count(differ) <= k)
+    agreeing = F.filter(_longs(_bands(list(range(HASH_BITS)), k + AGREE)), lambda band: differ.bitwiseAND(band) == 0)
     first = F.aggregate(F.slice(agreeing, 1, AGREE), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
     return near.filter(first == F.col("mask")).select("id", "train_hash", F.bit_count(differ).cast("long").alias("distance"))
 
