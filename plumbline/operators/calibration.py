@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import clamp
 from ..functions.measures import measure, to_long
 from .running import count_below_fixed, order_statistics, value_counts
+from .sketches import number_sketches, quantile_cuts
 
 
 def brier(ev: DataFrame, positive: str = "1") -> DataFrame:
@@ -61,14 +62,18 @@ def calibration_equal_width(ev: DataFrame, bins: int = 10, positive: str = "1")
     return _bins(ev, [i / bins for i in range(bins + 1)], positive)
 
 
-def calibration_equal_frequency(ev: DataFrame, bins: int = 10, positive: str = "1") -> DataFrame:
+def calibration_equal_frequency(ev: DataFrame, bins: int = 10, positive: str = "1", approx: bool = False) -> DataFrame:
     """Cuts halfway between the order statistics ceil(n i / k) and its successor.
 
     Equal scores never split, so fewer bins than asked for may result. The cuts (at most ``bins - 1``
-    numbers) are found by a first job; the bins themselves stay lazy.
+    numbers) are found by a first job; the bins themselves stay lazy. ``approx`` takes the quantiles of a mergeable
+    sketch as cuts (within ``sketches.rank_error`` of their ranks) and shuffles no score for them.
     """
     if not 2 <= bins <= 100:
         raise ValueError("bins must be in 2..100")
+    if approx:
+        about = quantile_cuts(number_sketches(ev, ["y_probability"]), bins).first()
+        return _bins(ev, [0.0, *[c for c in (about.cuts if about else []) if 0 < c < 1], 1.0], positive)
     counts = value_counts(ev.filter(F.col("y_probability").isNotNull()), "y_probability")
     size = F.col("all_upto").cast("double")
     wanted = [F.ceil(size * i / bins).cast("long") for i in range(1, bins)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import bin_label
 from ..functions.stats import wilson
+from . import sketches
 from .running import count_below, order_statistics
 
 SUPPORT = 10
@@ -95,10 +96,18 @@ def quantile_cuts(profiles: DataFrame, bins: Mapping[str, int], minimum: int = S
     return cuts
 
 
-def quantile_slices(preds: DataFrame, profiles: DataFrame, bins: Mapping[str, int] | None = None, minimum: int = SUPPORT) -> DataFrame:
-    """Slices over exact quantile bins of profile features, grouped by bin index and labelled after."""
+def sketched_cuts(profiles: DataFrame, bins: Mapping[str, int], minimum: int = SUPPORT) -> dict[str, list[float]]:
+    """``quantile_cuts`` read off one mergeable sketch per feature, within ``sketches.rank_error`` of their ranks."""
+    found = {r.feature: r for r in sketches.quantile_levels(sketches.number_sketches(profiles, list(bins)), bins).collect()}
+    return {f: list(found[f].cuts) for f in bins if f in found and found[f].n >= 2 * minimum}
+
+
+def quantile_slices(
+    preds: DataFrame, profiles: DataFrame, bins: Mapping[str, int] | None = None, minimum: int = SUPPORT, approx: bool = False
+) -> DataFrame:
+    """Slices over quantile bins of profile features, grouped by bin index and labelled after; ``approx`` takes the cuts of sketches."""
     present = {f: k for f, k in (bins or FEATURE_BINS).items() if f in profiles.columns}
-    cuts = quantile_cuts(profiles, present, minimum)
+    cuts = (sketched_cuts if approx else quantile_cuts)(profiles, present, minimum)
     if not cuts:
         raise ValueError(f"no feature has {2 * minimum} finite values")
     wrong, minority = _flags()

@@ -10,7 +10,7 @@ or sites without reading any row again, and no value is shuffled to build one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +56,16 @@ def quantile_cuts(sketches: DataFrame, parts: int) -> DataFrame:
     return sketches.withColumn("cuts", F.array_distinct(F.kll_sketch_get_quantile_double("sketch", ranks)))
 
 
+def quantile_levels(sketches: DataFrame, parts: Mapping[str, int]) -> DataFrame:
+    """feature, n and ``cuts``: the quantiles i / parts of every feature, repeats included, each with its own number of parts."""
+    cuts = None
+    for feature, k in parts.items():
+        of = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / k) for i in range(1, k)]))
+        mine = F.col("feature") == feature
+        cuts = F.when(mine, of) if cuts is None else cuts.when(mine, of)
+    return sketches.select("feature", "n", cuts.alias("cuts"))
+
+
 def distances(ref: DataFrame, comp: DataFrame, steps: int = STEPS) -> DataFrame:
     """feature, n_ref, n_comp, ks and w1 from two tables of sketches.
 

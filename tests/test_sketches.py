@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+from plumbline.operators import calibration as cal
 from plumbline.operators import drift as dr
+from plumbline.operators import impact as im
 from plumbline.operators import sketches as sk
 from pyspark.sql import functions as F
 
@@ -76,3 +78,32 @@ def test_merging_does_not_depend_on_the_parts(spark):
     whole, parts = sk.number_sketches(rows, ["x"]), sk.merged_numbers(sk.number_sketches(rows, ["x"], ["g"]))
     r = sk.distances(whole, parts).first()
     assert r.n_ref == r.n_comp == 5000 and r.ks <= 2 * (sk.rank_error() + 1 / sk.STEPS)
+
+
+def test_equal_frequency_bins_from_sketches(spark):
+    rng = random.Random(12)
+    scores = [rng.random() ** 3 for _ in range(40_000)] + [0.25] * 6000 + [0.0, 1.0]
+    ev = spark.createDataFrame([(i, str(i % 2), "0", p) for i, p in enumerate(scores)], "row_id long, y_true string, y_pred string, y_probability double").repartition(6)
+    exact, about = (cal.calibration_equal_frequency(ev, 10, approx=a).collect() for a in (False, True))
+    assert sum(r.n for r in exact) == sum(r.n for r in about) == len(scores)
+    known = sorted(scores)
+    slack = sk.rank_error() * len(known) + 1
+    for i, r in enumerate(sorted(about, key=lambda r: r.lower)[1:], 1):
+        below, upto = (np.searchsorted(known, r.lower, side) for side in ("left", "right"))
+        assert any(below - slack <= len(known) * j / 10 <= upto + slack for j in range(1, 10))
+    assert cal.calibration_equal_frequency(ev.where("false"), 10, approx=True).count() == 1
+
+
+def test_quantile_slices_from_sketches(spark):
+    rng = random.Random(13)
+    n = 20_000
+    preds = spark.createDataFrame([(i, i % 2, int(rng.random() < 0.3)) for i in range(n)], "id long, y_true long, y_pred long")
+    profiles = spark.createDataFrame([(i, rng.gauss(0, 1), float(i % 3), None if i else 1.0) for i in range(n)], "id long, sharpness double, noise double, colorfulness double")
+    bins = {"sharpness": 5, "noise": 4, "colorfulness": 5}
+    exact, about = im.quantile_cuts(profiles, bins), im.sketched_cuts(profiles, bins)
+    assert set(exact) == set(about) == {"sharpness", "noise"} and [len(about[f]) for f in ("sharpness", "noise")] == [4, 3]
+    values = np.sort([r[0] for r in profiles.select("sharpness").collect()])
+    assert np.abs(np.searchsorted(values, about["sharpness"], "right") / n - np.arange(1, 5) / 5).max() <= sk.rank_error() + 1 / n
+    assert set(about["noise"]) <= {0.0, 1.0, 2.0}
+    rows = im.quantile_slices(preds, profiles, bins, approx=True).collect()
+    assert sum(r.n for r in rows if r.dimension == "feature:sharpness") == n
