@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Machine:
 
     spread = texts.mapInArrow(all_buckets, "buckets array<int>")
     counts = spread.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    supported = counts.where(F.col("n") >= SUPPORT).select("bucket").collect()  # at most BUCKETS
-    place = {b: i for i, b in enumerate(sorted(r.bucket for r in supported))}
+    supported = counts.where(F.col("n") >= SUPPORT).select("bucket").toArrow()["bucket"].to_numpy()  # at most BUCKETS
+    place = {b: i for i, b in enumerate(np.sort(supported).tolist())}
     sent = docs.sparkSession.sparkContext.broadcast(place)
 
     def only_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Machine:
             found = [np.array(_active(t, places), np.int32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "places"])
 
-    rows = texts.mapInArrow(only_places, "doc_id long, toxic int, places binary").collect()
-    if not rows:
+    # columns, not rows of Python objects: the driver holds each sampled text's places once
+    rows = texts.mapInArrow(only_places, "doc_id long, toxic int, places binary").toArrow()
+    if not rows.num_rows:
         return Machine({}, -30.0, np.zeros(0), np.zeros((0, RANK)))
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.places)))
-    return fit([np.frombuffer(r.places, np.int32) for r in rows], [r.toxic for r in rows], place)
+    ids, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_pylist()
+    places = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["places"]]
+    by_id = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
+    order = [i for _, same in groupby(by_id, key=ids.__getitem__) for i in sorted(same, key=lambda i: places[i].tobytes())]
+    return fit([places[i] for i in order], [toxic[i] for i in order], place)
 
 
 def with_score(docs: DataFrame, machine: Machine, name: str, text: str = "text") -> DataFrame:
