@@ -57,3 +57,18 @@ def test_many_hashes_share_forty_bits(spark):
     got = {(r.hash_a, r.hash_b) for r in nd.hash_neighbors(df, 1).collect()}
     there = set(hashes)
     assert got == {(h, h ^ 1 << b) for h in hashes for b in range(24) if h < h ^ 1 << b and h ^ 1 << b in there}
+
+
+def test_keyed_rows_are_never_broadcast(spark):
+    """A small file of hashes explodes into 84 keys each, which Spark's estimate does not see."""
+    df = nd.cut(spark.range(3000).selectExpr("xxhash64(id) hash", "id % 2 = 0 asks", "id % 2 = 1 filed"))
+    gone = spark.createDataFrame([], "hash long")
+    for meeting in nd._meetings(df, 6, 100, 1):
+        for found in (meeting.pairs(6), meeting.met(6, gone)):
+            depth = None
+            for line in found._jdf.queryExecution().executedPlan().toString().splitlines():
+                at = len(line) - len(line.lstrip(" :+-"))
+                depth = None if depth is not None and at <= depth else depth
+                if "BroadcastExchange" in line:
+                    depth = at
+                assert depth is None or "Generate explode" not in line
