@@ -120,11 +120,11 @@ def duplicate_leak_alert(incoming: DataFrame, training: DataFrame | str, k: int
     the incoming side moves in each micro-batch, or a frame of hashes, which is keyed anew in every one.
     """
     if isinstance(training, str):
-        known = incoming.sparkSession.table(training).hint("merge")
+        known = incoming.sparkSession.table(training)
     else:
         known = _keyed(training.select(F.col("hash").alias("train_hash")).distinct(), "train_hash", k).select("train_hash", "choice", "key")
     differ = F.col("hash").bitwiseXOR(F.col("train_hash"))
-    near = _keyed(incoming, "hash", k).join(known, ["choice", "key"]).filter(F.bit_count(differ) <= k)
+    near = _keyed(incoming, "hash", k).join(known.hint("merge"), ["choice", "key"]).filter(F.bit_count(differ) <= k)
     agreeing = F.filter(_longs(_bands(list(range(HASH_BITS)), k + AGREE)), lambda band: differ.bitwiseAND(band) == 0)
     first = F.aggregate(F.slice(agreeing, 1, AGREE), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
     return near.filter(first == F.col("mask")).select("id", "train_hash", F.bit_count(differ).cast("long").alias("distance"))

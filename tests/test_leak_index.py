@@ -2,6 +2,7 @@
 
 import random
 
+from plumbline.plans.catalog import streaming
 from plumbline.streaming import monitors as mon
 
 
@@ -21,3 +22,14 @@ def test_index_is_extended_and_not_moved(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     spark.sql("DROP TABLE leak_keys")
+
+
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    """A table written by Spark is a folder whose parts have names of their own."""
+    rows = spark.range(40).selectExpr("id", "id * 3 AS x")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    rows.toPandas().to_parquet(f"{tmp_path}/one.parquet", index=False)
+    rows.limit(1).write.parquet(f"{tmp_path}/other.parquet")
+    for name in ("many", "one"):
+        read = mon.run_to_table(streaming._stream(spark, str(tmp_path), name), f"{tmp_path}/{name}-run")
+        assert sorted(tuple(r) for r in read.collect()) == [(i, 3 * i) for i in range(40)]
