@@ -6,8 +6,8 @@ n-gram's hashes gives the bitmask of all languages that contain it. Counting eac
 and taking away what its share of set bits lets through by chance gives the votes; most votes win, ties go to
 the language of smaller name. The score is the winner's votes as a share of the text's n-grams.
 
-The filter is filled from about ``TRAIN`` documents per language (the ids of smallest hash), whose n-grams are
-counted in Spark. A language contains an n-gram if it has it ``SEEN`` times and at least ``SHARE`` times as
+The filter is filled from all documents with a language outside the held-out fold, whose n-grams are counted in
+Spark. A language contains an n-gram if it has it ``SEEN`` times and at least ``SHARE`` times as
 often as the language that has it most often. Of each language the ``GRAMS`` most frequent ones are kept, however many
 languages there are.
 """
@@ -24,23 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import held_out, only, small_batches
 
 GRAM = 4
 LEAST_SLOTS = 1 << 12
 ROOM = 16
 HASHES = 3
-TRAIN = 4000
 SEEN = 2
 SHARE = 0.2
 GRAMS = 100_000
 MIN_SCORE = 0.3
 MIN_SHARE = 0.5
-CALIBRATING = 8
 UNKNOWN = "und"
 FOLDS, HELD_FOLD = 4, 2
 WORD_BITS = 64
 CHARS_AT_ONCE = 1 << 20
+COUNTS_AT_ONCE = 1 << 20
 
 _other = re.compile(r"[\W\d_]+")
 
@@ -109,44 +109,83 @@ def _slots_of(hashes: np.ndarray, size: int) -> list[np.ndarray]:
     return [(low + np.uint64(i) * high & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def _teaching(docs: DataFrame, size: int) -> tuple[dict[str, int], DataFrame | None]:
-    """Usable documents of each language, and lang and text of about ``size`` of each (the ids of smallest hash)."""
+def _teaching(docs: DataFrame) -> DataFrame:
+    """lang, text and half (0 or 1, by the id's hash) of every document to learn from."""
+    half = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("calibrate")), F.lit(2)).cast("int")
     usable = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD_FOLD))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}, None
-    wide = 1 << 20
-    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, round(min(1.0, size / n) * wide))]), F.col("lang"))
-    return counts, usable.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(wide)) < limit).select("lang", "text")
+    return usable.select("lang", "text", half.alias("half"))
 
 
-def train(docs: DataFrame, size: int = TRAIN) -> Filter:
-    small_batches(docs.sparkSession)
-    counts, chosen = _teaching(docs, size)
-    languages = sorted(counts)
-    if chosen is None:
-        return Filter([], np.zeros((1, LEAST_SLOTS), np.uint64), np.zeros(0), 0)
-    fallback = max(range(len(languages)), key=lambda i: (counts[languages[i]], -i))
-    place = {k: i for i, k in enumerate(languages)}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            for lang, texts in frame.groupby("lang")["text"]:
-                found = [h for t in texts for h in grams(t)]
-                if found:
-                    h, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), place[lang], np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["place", "gram", "n"])
-
-    each = chosen.mapInArrow(count, "place int, gram long, n long").groupBy("gram", "place").agg(F.sum("n").alias("n"))
-    totals = chosen.groupBy("lang").agg(F.sum(F.length("text")).alias("size")).collect()
-    size_of = F.element_at(F.array(*[F.lit(float(max(1, {r.lang: r.size for r in totals}.get(k, 1)))) for k in languages]), F.col("place") + 1)
-    entry = F.struct((F.col("n") / size_of).alias("rate"), "place", "n")
-    merged = each.where(F.col("n") >= SEEN).groupBy("gram").agg(F.collect_list(entry).alias("held"), F.max(F.col("n") / size_of).alias("most"))
-    entries = merged.select("gram", F.explode("held").alias("e"), "most").where(F.col("e.rate") >= SHARE * F.col("most"))
-    ranked = entries.select("gram", F.col("e.place").alias("place"), F.row_number().over(Window.partitionBy("e.place").orderBy(F.desc("e.rate"), "gram")).alias("rank"))
-    kept: pd.DataFrame = ranked.where(F.col("rank") <= GRAMS).select("gram", "place").toPandas()
-    return Filter.build(languages, fallback, kept["gram"].to_numpy(np.int64).view(np.uint64), kept["place"].to_numpy(np.int64))
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and their summed counts."""
+    hashes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = hashes.argsort(kind="stable")
+    hashes = hashes[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[first], np.add.reduceat(n[order], first)
+
+
+@dataclass
+class Counts:
+    """Everything a filter is made from: documents and code points of each (lang, half), n-gram counts of each (place, half)."""
+
+    sizes: dict[tuple[str, int], tuple[int, int]]
+    grams: DataFrame
+
+    @classmethod
+    def of(cls, teaching: DataFrame) -> Counts:
+        small_batches(teaching.sparkSession)
+        found = teaching.groupBy("lang", "half").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()
+        sizes = {(r.lang, r.half): (r.n, r.size) for r in found}
+        place = {k: i for i, k in enumerate(sorted({lang for lang, _ in sizes}))}
+
+        def rows(held: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+            for (at, half), parts in held.items():
+                h, n = _summed(parts)
+                same = [pa.array(np.full(len(h), x, np.int32)) for x in (at, half)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(h.view(np.int64)), pa.array(n)], names=["place", "half", "gram", "n"])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], list] = {}
+            size = 0
+            for batch in batches:
+                for (lang, half), texts in batch.to_pandas().groupby(["lang", "half"])["text"]:
+                    found = [h for t in texts for h in grams(t)]
+                    if found:
+                        some = np.unique(np.concatenate(found), return_counts=True)
+                        held.setdefault((place[lang], int(half)), []).append(some)
+                        size += len(some[0])
+                if size >= COUNTS_AT_ONCE:
+                    held = {k: [_summed(parts)] for k, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size >= COUNTS_AT_ONCE // 2:
+                        yield from rows(held)
+                        held, size = {}, 0
+            yield from rows(held)
+
+        each = teaching.mapInArrow(count, "place int, half int, gram long, n long")
+        return cls(sizes, cut(each.groupBy("gram", "place", "half").agg(F.sum("n").alias("n")), "gram-counts"))
+
+    def filter(self, half: int | None = None) -> Filter:
+        """Of all documents, or of those in one half."""
+        languages = sorted({lang for lang, _ in self.sizes})
+        if not languages:
+            return Filter([], np.zeros((1, LEAST_SLOTS), np.uint64), np.zeros(0), 0)
+        halves = [h for h in (0, 1) if half in (None, h)]
+        total = [tuple(sum(self.sizes.get((k, h), (0, 0))[i] for h in halves) for i in (0, 1)) for k in languages]
+        fallback = max(range(len(languages)), key=lambda i: (total[i][0], -i))
+        each = self.grams.where(F.col("half").isin(halves)).groupBy("gram", "place").agg(F.sum("n").alias("n"))
+        size_of = F.element_at(F.array(*[F.lit(float(max(1, size))) for _, size in total]), F.col("place") + 1)
+        entry = F.struct((F.col("n") / size_of).alias("rate"), "place", "n")
+        merged = each.where(F.col("n") >= SEEN).groupBy("gram").agg(F.collect_list(entry).alias("held"), F.max(F.col("n") / size_of).alias("most"))
+        entries = merged.select("gram", F.explode("held").alias("e"), "most").where(F.col("e.rate") >= SHARE * F.col("most"))
+        ranked = entries.select("gram", F.col("e.place").alias("place"), F.row_number().over(Window.partitionBy("e.place").orderBy(F.desc("e.rate"), "gram")).alias("rank"))
+        kept: pd.DataFrame = ranked.where(F.col("rank") <= GRAMS).select("gram", "place").toPandas()
+        return Filter.build(languages, fallback, kept["gram"].to_numpy(np.int64).view(np.uint64), kept["place"].to_numpy(np.int64))
+
+
+def train(docs: DataFrame) -> Filter:
+    return Counts.of(_teaching(docs)).filter()
 
 
 def with_language(docs: DataFrame, known: Filter, name: str, score: str, text: str = "text") -> DataFrame:
@@ -178,17 +217,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_FOLD).alias("held_out"), "lang_pred", "score")
 
 
-def least_scores(docs: DataFrame, least: float = MIN_SCORE) -> dict[str, float]:
+def least_scores(teaching: DataFrame, counts: Counts, least: float = MIN_SCORE) -> dict[str, float]:
     """The score that a text of each language needs: ``least``, or ``MIN_SHARE`` of its documents' median where that is less.
 
-    The median is taken over one in ``CALIBRATING`` teaching documents, scored by a filter of the others. A language whose
-    n-grams are spread wide (thousands of characters) scores low throughout, and keeps its documents.
+    The median is taken over all teaching documents; each half is scored by the filter of the other one. Documents whose
+    language the other half lacks are left out. A language whose n-grams are spread wide (thousands of characters) scores
+    low throughout, and keeps its documents.
     """
-    apart = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("calibrate")), F.lit(CALIBRATING)) == 0
-    _, chosen = _teaching(docs.where(apart), TRAIN)
-    if chosen is None:
+    scored = None
+    for half in (0, 1):
+        known = sorted(lang for lang, other in counts.sizes if other == 1 - half)
+        if known:
+            some = with_language(teaching.where((F.col("half") == half) & F.col("lang").isin(known)), counts.filter(1 - half), "__llm_lang", "__llm_lang_score")
+            scored = some if scored is None else scored.unionByName(some)
+    if scored is None:
         return {}
-    scored = with_language(chosen, train(docs.where(~apart)), "__llm_lang", "__llm_lang_score")
     middles = scored.groupBy("lang").agg(F.percentile_approx("__llm_lang_score", 0.5).alias("middle")).collect()
     return {r.lang: min(least, MIN_SHARE * r.middle) for r in middles}
 
@@ -199,8 +242,10 @@ def keep_known(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     Null, empty and letterless texts go; repeated rows get one answer, whatever their length; an empty table stays empty.
     """
     lang, score = "__llm_lang", "__llm_lang_score"
-    known = train(docs)
-    needed = least_scores(docs, least)
+    teaching = _teaching(docs)
+    counts = Counts.of(teaching)
+    known = counts.filter()
+    needed = least_scores(teaching, counts, least)
     enough = F.lit(least) if not needed else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in needed.items() for x in pair]), F.col(lang)), F.lit(least))
     found = with_language(docs, known, lang, score)
     return only(found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= enough)), *docs.columns)

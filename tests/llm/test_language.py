@@ -81,3 +81,23 @@ def test_the_share_of_a_language_does_not_shrink_as_others_join(spark, monkeypat
     among = L.train(docs)
     bits = lambda f, place: int(np.count_nonzero(f.slots[0] >> np.uint64(place) & np.uint64(1)))
     assert bits(alone, 0) == bits(among, 0) and min(bits(among, i) for i in range(3)) > 100
+
+
+def test_counts_and_thresholds_come_from_every_document(spark, monkeypatch):
+    """6,000 documents of one language: each has a word of its own, twice; no count or median leaves one out."""
+    rows = [(i, f"the cat sat {w} {w}", "en") for i in range(6000) for w in ["".join(chr(97 + i // 26**j % 26) for j in range(4))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    monkeypatch.setattr(L, "COUNTS_AT_ONCE", 500)
+    counts = L.Counts.of(L._teaching(docs))
+    want = np.unique(np.concatenate([h for _, t, _ in learned for h in L.grams(t)]), return_counts=True)
+    got = {r.gram: r.n for r in counts.grams.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    assert got == dict(zip(want[0].view(np.int64).tolist(), want[1].tolist()))
+    own = np.array([next(L.grams(t.split()[-1]))[2] for _, t, _ in learned])
+    slots = L.train(docs).slots[0]
+    assert np.bitwise_and.reduce([slots[at] for at in L._slots_of(own, len(slots))]).all()
+    seen = []
+    plain = L.with_language
+    monkeypatch.setattr(L, "with_language", lambda frame, *rest: (seen.append(frame.count()), plain(frame, *rest))[1])
+    L.least_scores(L._teaching(docs), counts)
+    assert len(seen) == 2 and sum(seen) == len(learned)
