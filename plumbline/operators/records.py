@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .running import running
 
 # Confidence levels in order, gated metrics, and the weights of the reliability score.
@@ -21,16 +22,17 @@ MINORITY_CAP, MINORITY_FLOOR = 38, 35
 
 
 def lineage_neighbors(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records linked directly to each of ``ids``, in either direction."""
-    incoming = ids.select(F.col("id").alias("to"))
-    outgoing = ids.select(F.col("id").alias("from"))
-    out = edges.join(outgoing, "from", "left_semi").select(
-        F.col("from").alias("id"), F.col("to").alias("neighbor"), "relationship", F.lit("out").alias("direction")
-    )
-    into = edges.join(incoming, "to", "left_semi").select(
-        F.col("to").alias("id"), F.col("from").alias("neighbor"), "relationship", F.lit("in").alias("direction")
-    )
-    return out.unionByName(into)
+    """Records linked directly to each of ``ids``, in either direction.
+
+    Edges outside the range of the ids, which for ids of one prefix are those of other kinds, leave before anything moves;
+    the rest is written once, since Spark would push a join into every branch that ``edges`` unites.
+    """
+    ends = ids.agg(F.min("id").alias("first"), F.max("id").alias("last")).first()
+    between = lambda c: F.col(c).between(F.lit(ends["first"]), F.lit(ends["last"]))
+    near = cut(edges.where(between("from") | between("to")), "near-edges")
+    out = near.where(between("from")).select(F.col("from").alias("id"), F.col("to").alias("neighbor"), "relationship", F.lit("out").alias("direction"))
+    into = near.where(between("to")).select(F.col("to").alias("id"), F.col("from").alias("neighbor"), "relationship", F.lit("in").alias("direction"))
+    return out.unionByName(into).join(ids.select("id").hint("merge"), "id", "left_semi")
 
 
 def sequence_violations(events: DataFrame, by: Sequence[str], sequence: str = "sequence", at: str = "at", order: str = "position") -> DataFrame:

@@ -139,3 +139,21 @@ def test_closure_ends_in_cycles_and_passes_hubs(spark):
     near = integ.lineage_closure(frame, starts, most=1)
     assert sorted((r.id, r.direction, r.reached) for r in near.collect()) == sorted(w[:3] for w in want if w[3] == 1)
     assert integ.lineage_closure(frame, starts.where(F.lit(False))).count() == 0
+
+
+def test_neighbors_join_once_however_many_tables_the_edges_unite(spark):
+    """A join pushed into every united branch would move the ids, and each branch's edges, once a branch."""
+    from functools import reduce
+
+    from plumbline.operators.records import lineage_neighbors
+
+    some = [spark.range(20).selectExpr(f"'{kind}_' || id AS `from`", f"'call_' || (id + {i}) AS `to`", f"'r{i}' AS relationship") for i, kind in enumerate("abcdcall")]
+    edges = reduce(lambda a, b: a.unionByName(b), some).distinct()
+    ids = spark.range(5).selectExpr("'call_' || id AS id")
+    found = lineage_neighbors(edges, ids)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 2
+    rows = [tuple(r) for r in edges.collect()]
+    known = {f"call_{i}" for i in range(5)}
+    want = [(a, b, r, "out") for a, b, r in rows if a in known] + [(b, a, r, "in") for a, b, r in rows if b in known]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and lineage_neighbors(edges, ids.where("false")).count() == 0
