@@ -46,10 +46,10 @@ def aliases() -> dict[str, str]:
 
 
 def normalise(line: Column) -> Column:
-    """Tracker, bracket and Keras spellings to ``split_metric``."""
-    line = F.regexp_replace(line, BRACKETED, "$1_$2")
-    line = F.regexp_replace(line, SEPARATED, "$1_$2")
-    return F.regexp_replace(line, BARE, "train_$1:")
+    """Tracker, bracket and Keras spellings to ``split_metric``; lines without the sign that a spelling needs skip its pattern."""
+    plain = F.when(F.contains(line, F.lit("[")), F.regexp_replace(line, BRACKETED, "$1_$2")).otherwise(line)
+    plain = F.regexp_replace(plain, SEPARATED, "$1_$2")
+    return F.when(F.contains(line, F.lit(":")), F.regexp_replace(plain, BARE, "train_$1:")).otherwise(plain)
 
 
 def epoch_of(line: Column) -> Column:
@@ -80,39 +80,34 @@ def is_rate(label: Column) -> Column:
     return label.rlike(RATE)
 
 
-def metric_reason(label: Column, value: Column, percent: Column) -> Column:
-    """Why a value cannot be used: NULL for a valid one. ``value`` is already scaled."""
+def metric_reason(label: Column, rate: Column, value: Column, percent: Column) -> Column:
+    """Why a value cannot be used: NULL for a valid one. ``value`` is already scaled; ``rate`` is ``is_rate`` of the label."""
     r2 = F.endswith(label, F.lit("R2"))
     return (
         F.when(~F.coalesce(F.abs(value) < float("inf"), F.lit(False)), "not finite")
         .when((value < 0) & ~r2, "negative")
         .when(r2 & (value > 1), "above one")
-        .when(is_rate(label) & (value > 1), "rate above one")
-        .when(~is_rate(label) & percent, "percent of an unbounded metric")
+        .when(rate & (value > 1), "rate above one")
+        .when(~rate & percent, "percent of an unbounded metric")
     )
 
 
 def metric_tokens(lines: DataFrame) -> DataFrame:
-    """Every recognised metric token: source, line_no, position, epoch, metric, value, reason."""
+    """Every recognised metric token: source, line_no, position, epoch, metric, value, reason.
+
+    The parts of all tokens are taken from the line, one pass a part, and whether a label is a rate is looked up: as
+    patterns on every token they would be matched again wherever a later expression names them.
+    """
     spark = lines.sparkSession
-    table = spark.createDataFrame(list(aliases().items()), "key string, metric string")
-    clean = normalise(F.col("line"))
-    found = lines.select(
-        "source",
-        "line_no",
-        epoch_of(F.col("line")).alias("epoch"),
-        F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)).alias("tokens"),
-    )
-    rows = found.select("source", "line_no", "epoch", F.posexplode("tokens").alias("position", "t"))
-    part = lambda i: F.regexp_extract("t", TOKEN, i)
-    keyed = rows.select(
-        "source", "line_no", "epoch", "position", F.lower(part(1)).alias("key"), part(2).alias("text"), (part(3) == "%").alias("percent")
-    )
+    table = spark.createDataFrame(list(aliases().items()), "key string, metric string").withColumn("rate", is_rate(F.col("metric")))
+    clean = lines.select("source", "line_no", epoch_of(F.col("line")).alias("epoch"), normalise(F.col("line")).alias("clean"))
+    parts = [F.regexp_extract_all("clean", F.lit(TOKEN), F.lit(i)).alias(name) for i, name in enumerate(("key", "text", "sign"), 1)]
+    rows = clean.select("source", "line_no", "epoch", F.posexplode(F.arrays_zip(*parts)).alias("position", "t"))
+    keyed = rows.select("source", "line_no", "epoch", "position", F.lower("t.key").alias("key"), F.col("t.text").alias("text"), (F.col("t.sign") == "%").alias("percent"))
     named = keyed.join(F.broadcast(table), "key")
-    raw = F.col("text").try_cast("double")
-    value = scaled_percent(raw, F.col("percent"), is_rate(F.col("metric")))
-    valued = named.select("source", "line_no", F.col("position").cast("long").alias("position"), "epoch", "metric", "percent", value.alias("value"))
-    reason = metric_reason(F.col("metric"), F.col("value"), F.col("percent"))
+    value = scaled_percent(F.col("text").try_cast("double"), F.col("percent"), F.col("rate"))
+    valued = named.select("source", "line_no", F.col("position").cast("long").alias("position"), "epoch", "metric", "rate", "percent", value.alias("value"))
+    reason = metric_reason(F.col("metric"), F.col("rate"), F.col("value"), F.col("percent"))
     return valued.select(
         "source", "line_no", "position", "epoch", "metric", F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason")
     )
