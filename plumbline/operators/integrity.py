@@ -31,6 +31,7 @@ EVENT_PREFIXES = {
     "investigation_failed": "investigation_",
 }
 NEEDED = {"supported": "supports", "weakened": "weakens", "rejected": "rejects", "confirmed": "supports"}
+BROADCAST_KEYS = 2_000_000  # 16 MB of hashes
 RECORDS = ("sources", "datasets", "calls", "results", "evidence", "hypotheses", "experiments", "repairs", "comparisons", "diagnoses", "record_events")
 
 
@@ -289,8 +290,8 @@ def integrity(t: Tables, investigation: str, period: tuple[str, str]) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def lineage_edges(t: Tables) -> DataFrame:
-    """Edges from all references, each once: from, to, relationship."""
+def lineage_links(t: Tables) -> DataFrame:
+    """Edges from all references, repeats included, in one pass without a shuffle but for two joins: from, to, relationship."""
     nested = [
         ("datasets", "source_id", "provides dataset"),
         ("calls", "dataset_id", "dataset of call"),
@@ -322,29 +323,48 @@ def lineage_edges(t: Tables) -> DataFrame:
     whose = t["diagnoses"].select(F.col("id").alias("diagnosis_id"), "primary_hypothesis_id")
     role = F.when(F.col("entity_id") == F.col("primary_hypothesis_id"), "primary hypothesis").when(F.col("entity_id").startswith("hypothesis_"), "considered hypothesis").otherwise("included in diagnosis")
     edges.append(t["diagnosis_links"].join(whose, "diagnosis_id").select(F.col("entity_id").alias("from"), F.col("diagnosis_id").alias("to"), role.alias("relationship")))
-    return reduce(DataFrame.unionByName, edges).distinct()
+    return reduce(DataFrame.unionByName, edges)
+
+
+def lineage_edges(t: Tables) -> DataFrame:
+    """Edges from all references, each once: from, to, relationship."""
+    return lineage_links(t).distinct()
+
+
+def _leaving(steps: DataFrame, frontier: DataFrame, broadcast_keys: int) -> DataFrame:
+    """The steps that may leave the frontier, by the hash of their place: steps stay where they are, only hashes are sent.
+
+    A hash that two places share lets a step too many through, which the join on the places themselves drops. A frontier of
+    more than ``broadcast_keys`` places sends none.
+    """
+    keys = cut(frontier.select(F.xxhash64("direction", "at").alias("key")).distinct(), "keys")
+    if keys.count() > broadcast_keys:
+        return steps
+    return steps.join(F.broadcast(keys), "key", "left_semi")
 
 
-def lineage_closure(edges: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+def lineage_closure(edges: DataFrame, ids: DataFrame, most: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Everything that each of ``ids`` (id) reaches along the edges ('out') and against them ('in').
 
     (id, direction, reached, hops, cyclic): ``hops`` is the length of a shortest path; a record that comes back to itself is
     reached after its shortest cycle and marked ``cyclic``. Rounds go on from what the round before found first, until
     nothing is new (or after ``most`` hops), so a cycle ends them. Every round is written; a record that many edges leave
-    is joined once a start and round, and its neighbours are spread by their own ids.
+    is joined once a start and round, and its neighbours are spread by their own ids. Edges may repeat: they are written once,
+    in both directions, and a round moves only those that leave its frontier.
     """
-    out = edges.select(F.lit("out").alias("direction"), F.col("from").alias("at"), F.col("to").alias("next"))
-    into = edges.select(F.lit("in").alias("direction"), F.col("to").alias("at"), F.col("from").alias("next"))
-    steps = cut(out.unionByName(into).distinct(), "steps")
+    way = lambda name, at, to: F.struct(F.lit(name).alias("direction"), F.col(at).alias("at"), F.col(to).alias("next"))
+    both = edges.select(F.inline(F.array(way("out", "from", "to"), way("in", "to", "from"))))
+    steps = cut(both.withColumn("key", F.xxhash64("direction", "at")), "steps")
     starts = ids.select("id").distinct().select("id", F.explode(F.array(F.lit("out"), F.lit("in"))).alias("direction"), F.col("id").alias("at"))
-    frontier, hops = starts, 0
+    frontier, hops = cut(starts, "frontier"), 0
     found: list[DataFrame] = []
     while most is None or hops < most:
         hops += 1
-        reached = frontier.join(steps, ["direction", "at"]).select("id", "direction", F.col("next").alias("at")).distinct()
+        leaving = _leaving(steps, frontier, broadcast_keys).drop("key")
+        reached = leaving.join(frontier.hint("merge"), ["direction", "at"]).select("id", "direction", F.col("next").alias("at")).distinct()
         if found:
             seen = reduce(DataFrame.unionByName, found).select("id", "direction", "at")
-            reached = reached.join(seen, ["id", "direction", "at"], "left_anti")
+            reached = reached.join(seen.hint("merge"), ["id", "direction", "at"], "left_anti")
         frontier = cut(reached, "frontier")
         if frontier.isEmpty():
             break

@@ -333,7 +333,7 @@ def _(spark, d):
     tables = inv.investigation(spark, d)
     starting = tables["hypotheses"].select("id").unionByName(tables["sources"].where("kind = 'uploaded_file'").select("id"))
     starts = starting.where(F.substring_index("id", "_", -1).cast("long") % 100 == 0)
-    return integ.lineage_closure(integ.lineage_edges(tables), starts)
+    return integ.lineage_closure(integ.lineage_links(tables), starts)
 
 
 EV_SEQ = """

@@ -157,3 +157,22 @@ def test_neighbors_join_once_however_many_tables_the_edges_unite(spark):
     known = {f"call_{i}" for i in range(5)}
     want = [(a, b, r, "out") for a, b, r in rows if a in known] + [(b, a, r, "in") for a, b, r in rows if b in known]
     assert sorted(tuple(r) for r in found.collect()) == sorted(want) and lineage_neighbors(edges, ids.where("false")).count() == 0
+
+
+def test_closure_moves_only_steps_that_leave_the_frontier(spark, monkeypatch):
+    """A round used to join, and at size to shuffle, every step of both directions."""
+    edges = spark.range(2000).selectExpr("'n' || id AS `from`", "'n' || (id + 2000) AS `to`", "'r' AS relationship")
+    starts = spark.createDataFrame([("n7",)], "id string")
+    seen = []
+    plain = integ._leaving
+
+    def counted(*given):
+        found = plain(*given)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(integ, "_leaving", counted)
+    got = {(r.direction, r.reached, r.hops) for r in integ.lineage_closure(edges, starts).collect()}
+    assert got == {("out", "n2007", 1)} and seen == [1, 0]
+    none_sent = integ.lineage_closure(edges, starts, broadcast_keys=0)
+    assert {(r.direction, r.reached, r.hops) for r in none_sent.collect()} == got and seen[2:] == [4000, 4000]
