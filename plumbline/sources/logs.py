@@ -53,8 +53,9 @@ def normalise(line: Column) -> Column:
 
 
 def epoch_of(line: Column) -> Column:
+    """The epoch that a line names; lines without the word skip the pattern and the cast of nothing."""
     number = F.regexp_extract(line, EPOCH, 1).try_cast("bigint")
-    return F.when(number <= LARGEST_EPOCH, number)
+    return F.when(F.contains(F.lower(line), F.lit("epoch")) & (number <= LARGEST_EPOCH), number)
 
 
 def join_headers(lines: DataFrame) -> DataFrame:
@@ -167,21 +168,19 @@ def _nesting(text: Column) -> Column:
     return F.aggregate(F.filter(brackets, lambda c: c != ""), start, walk)["most"]
 
 
+def _item(path: Column, node: Column) -> Column:
+    """A node with its path and kind. The kind is found once: a scalar keeps it while deeper levels are opened."""
+    kind = F.substring_index(F.schema_of_variant(node), "<", 1)
+    return F.struct(path.alias("path"), node.alias("node"), kind.alias("kind"))
+
+
 def _children(item: Column) -> Column:
     """An object's or array's members one level down; a scalar is its own only member."""
     node, path = item["node"], item["path"]
-    kind = F.schema_of_variant(node)
     join = lambda key: F.when(path == "", key).otherwise(F.concat_ws("_", path, key))
-    fields = F.transform(
-        F.map_entries(node.try_cast("map<string,variant>")),
-        lambda e: F.struct(join(e.key).alias("path"), e.value.alias("node")),
-    )
-    members = F.transform(
-        node.try_cast("array<variant>"),
-        lambda v, i: F.struct(join(i.cast("string")).alias("path"), v.alias("node")),
-    )
-    own = F.array(F.struct(path.alias("path"), node.alias("node")))
-    return F.when(F.startswith(kind, F.lit("OBJECT")), fields).when(F.startswith(kind, F.lit("ARRAY")), members).otherwise(own)
+    fields = F.transform(F.map_entries(node.try_cast("map<string,variant>")), lambda e: _item(join(e.key), e.value))
+    members = F.transform(node.try_cast("array<variant>"), lambda v, i: _item(join(i.cast("string")), v))
+    return F.when(item["kind"] == "OBJECT", fields).when(item["kind"] == "ARRAY", members).otherwise(F.array(item))
 
 
 def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -202,15 +201,13 @@ def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
         .otherwise(F.array(F.col("__doc")))
     )
     rows = parsed.select(key, F.posexplode(records).alias("__at", "__node"))
-    root = F.array(F.struct(F.lit("").alias("path"), F.col("__node").alias("node")))
+    root = F.array(_item(F.lit(""), F.col("__node")))
     items = rows.select(key, F.col("__at").cast("long").alias("record"), root.alias("__items"))
     for _ in range(depth):
         items = items.select(key, "record", F.flatten(F.transform("__items", _children)).alias("__items"))
     leaves = items.select(key, "record", F.inline("__items"))
-    kind = F.schema_of_variant("node")
-    inner = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-    kept = leaves.filter(~kind.isin("VOID", "BOOLEAN"))
-    return kept.select(key, "record", "path", F.when(~inner, F.try_variant_get("node", "$", "string")).alias("value"))
+    kept = leaves.filter(~F.col("kind").isin("VOID", "BOOLEAN"))
+    return kept.select(key, "record", "path", F.when(~F.col("kind").isin("OBJECT", "ARRAY"), F.try_variant_get("node", "$", "string")).alias("value"))
 
 
 def json_lines(leaves: DataFrame, key: str) -> DataFrame:

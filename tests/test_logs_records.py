@@ -174,3 +174,16 @@ def test_tokens_are_taken_apart_once(spark):
     }
     plan = found.filter("reason IS NULL")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("RLIKE(metric") <= 1 and "regexp_extract(t#" not in plan  # once, on the table of labels
+
+
+def test_kinds_of_json_nodes_are_found_once_and_lines_without_an_epoch_skip_its_pattern(spark):
+    """The schema of every leaf used to be derived again for each test of its kind, and nothing cast to a number per line."""
+    docs = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":"x"},true,null,{}]}}'), (2, '[{"v":2},3]')], "k int, text string")
+    leaves = lg.flatten_json(docs, "k", "text")
+    assert "schema_of_variant" not in leaves._jdf.queryExecution().optimizedPlan().toString().split("inline(")[0]
+    got = sorted(tuple(r) for r in leaves.collect())
+    assert got == [(1, 0, "a_b_0", "1"), (1, 0, "a_b_1_c", "x"), (2, 0, "v", "2"), (2, 1, "", "3")]
+    lines = spark.createDataFrame([("EPOCH 3 loss=1",), ("loss=7",), ("epochs 4",), ("x Epoch: 5/9",)], "line string")
+    epochs = lines.select(lg.epoch_of(F.col("line")).alias("e"))
+    assert [r.e for r in epochs.collect()] == [3, None, None, 5]
+    assert "contains(lower(line" in epochs._jdf.queryExecution().optimizedPlan().toString().lower()
