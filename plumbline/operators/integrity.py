@@ -1,8 +1,8 @@
 """Integrity of linked records, the edges between them, and everything that one record reaches.
 
 Record tables have an ``id``; nested lists are link tables, one row per link. A rule marks the records that break it. Rules
-that look at the same parent share its join: every record becomes one wide row with an array of broken rules. All references
-of all tables are looked up in one join.
+that look at the same parent share its join, which moves only the records that name one. All references of all tables are
+looked up in one join, all column names in another. Lookups join on hashes of ids (``names``).
 """
 
 from __future__ import annotations
@@ -42,13 +42,28 @@ def named(mapping: Mapping[str, str], key: Column) -> Column:
 def broken(rows: DataFrame, entity: str, rules: Mapping[str, Column]) -> DataFrame:
     """(entity, id, rule) of every rule that holds for a row; null counts as false."""
     marks = F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in rules.items()]))
-    return rows.select(F.lit(entity).alias("entity"), "id", F.explode(marks).alias("rule"))
+    return rows.where(reduce(Column.__or__, rules.values())).select(F.lit(entity).alias("entity"), "id", F.explode(marks).alias("rule"))
+
+
+def names(ref: Column, known: Column, spread: Column | None = None) -> Column:
+    """The join condition that two strings are equal, with their hash as its only key.
+
+    Ids share their first bytes, so that sorting them compares whole strings; one long key is sorted by its bits. That the
+    strings are equal is checked on the rows that meet, in a form that the planner takes for no second key. Null references
+    match nothing; ``spread`` deals them out where an outer join keeps them.
+    """
+    key = ref if spread is None else F.coalesce(ref, spread)
+    return (F.xxhash64(key) == F.xxhash64(known)) & _equal(ref, known)
+
+
+def _equal(a: Column, b: Column) -> Column:
+    return a.startswith(b) & b.startswith(a)
 
 
 def beside(rows: DataFrame, column: str, parent: DataFrame, prefix: str, *columns: str) -> DataFrame:
     """``rows`` with the parent that ``column`` names: its id as <prefix>_id (null if there is none) and the columns asked for."""
     found = parent.select(F.col("id").alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
-    return rows.join(found, F.col(column) == F.col(f"{prefix}_id"), "left")
+    return rows.join(found, names(F.col(column), F.col(f"{prefix}_id"), F.col("id")), "left")
 
 
 def listed(rows: DataFrame, links: DataFrame, by: str, mark: str) -> DataFrame:
@@ -98,20 +113,38 @@ def unknown_references(t: Tables) -> DataFrame:
     """Records whose references name nothing: all references at once against the ids of all tables."""
     t = dict(t, policies=t["repairs"].where("kind = 'operating_policy'"))
     rows = [
-        t[child].select(F.col(column).alias("ref"), F.lit(parent).alias("of"), F.lit(entity).alias("entity"), F.col(own).alias("id"), F.lit(rule).alias("rule"))
-        for child, own, column, parent, entity, rule in REFERENCES
+        t[child].select(F.col(column).alias("ref"), F.lit(place).alias("of"), F.col(own).alias("id"), F.lit(i).alias("what"))
+        for i, (child, own, column, parent, _, _) in enumerate(REFERENCES)
+        for place in [-1 if parent == "any" else RECORDS.index(parent)]
     ]
     asked = reduce(DataFrame.unionByName, rows).where("ref IS NOT NULL")
-    known = reduce(DataFrame.unionByName, [t[name].select(F.col("id").alias("known"), F.lit(name).alias("kind")) for name in RECORDS])
-    named_by = (F.col("ref") == F.col("known")) & ((F.col("of") == F.col("kind")) | (F.col("of") == "any"))
-    return asked.join(known, named_by, "left_anti").select("entity", "id", "rule").distinct()
+    known = reduce(DataFrame.unionByName, [t[name].select(F.col("id").alias("known"), F.lit(i).alias("kind")) for i, name in enumerate(RECORDS)])
+    named_by = names(F.col("ref"), F.col("known")) & ((F.col("of") == F.col("kind")) | (F.col("of") == -1))
+    unknown = asked.join(known, named_by, "left_anti")
+    texts = F.array(*[F.struct(F.lit(entity).alias("entity"), F.lit(rule).alias("rule")) for _, _, _, _, entity, rule in REFERENCES])
+    return unknown.select("id", F.get(texts, F.col("what")).alias("text")).select("text.entity", "id", "text.rule").distinct()
 
 
 def costs_without_assumption(t: Tables) -> DataFrame:
     t = dict(t, repairs=t["repairs"].where("kind = 'operating_policy'"))
     rows = reduce(DataFrame.unionByName, [t[name].select("id", F.lit(name).alias("entity"), F.col("cost_evidence_id").alias("ref")) for name in COSTED])
-    assumed = t["evidence"].where("kind = 'assumption'").select(F.col("id").alias("ref")).distinct()
-    return rows.where("ref IS NOT NULL").join(assumed, "ref", "left_anti").select("entity", "id", F.lit("costs without assumption").alias("rule"))
+    assumed = t["evidence"].where("kind = 'assumption'").select(F.col("id").alias("known"))
+    unfounded = rows.where("ref IS NOT NULL").join(assumed, names(F.col("ref"), F.col("known")), "left_anti")
+    return unfounded.select("entity", "id", F.lit("costs without assumption").alias("rule"))
+
+
+def unknown_columns(t: Tables) -> DataFrame:
+    """Records that name a column which their (known) dataset does not have: all at once against the columns of all datasets."""
+    asked = (
+        ("evidence", "dataset_id", "unknown provenance column"),
+        ("calls", "dataset_id", "absent dataset column"),
+        ("calls", "comparison_dataset_id", "absent comparison column"),
+    )
+    rows = [t[entity].select(F.lit(entity).alias("entity"), "id", F.lit(rule).alias("rule"), F.col(of).alias("of"), F.col("name").alias("asked")) for entity, of, rule in asked]
+    rows = reduce(DataFrame.unionByName, rows).where("of IS NOT NULL AND asked IS NOT NULL")
+    has = (F.xxhash64("of", "asked") == F.xxhash64("dataset_id", "name")) & _equal(F.col("of"), F.col("dataset_id")) & _equal(F.col("asked"), F.col("name"))
+    absent = rows.join(t["dataset_columns"].select("dataset_id", "name"), has, "left_anti")
+    return absent.join(t["datasets"].select(F.col("id").alias("known")), names(F.col("of"), F.col("known"))).select("entity", "id", "rule")
 
 
 def one_sided_evidence(t: Tables) -> DataFrame:
@@ -128,13 +161,12 @@ def one_sided_evidence(t: Tables) -> DataFrame:
     ).distinct()
 
 
-def scopes(t: Tables) -> DataFrame:
-    """(evidence_id, dataset_id): the datasets that evidence rests on, by the route of its provenance.
+def scopes(t: Tables, e: DataFrame) -> DataFrame:
+    """(evidence_id, dataset_id): the datasets that the evidence ``e`` rests on, by the route of its provenance.
 
     From a source: the dataset it names. From a result: the result's datasets. From an experiment: those of all results of
     its calls. Evidence without any has no row.
     """
-    e = t["evidence"]
     direct = e.where("route = 'source' AND dataset_id IS NOT NULL").select(F.col("id").alias("evidence_id"), "dataset_id")
     of_result = e.where("route = 'tool_result'").select(F.col("id").alias("evidence_id"), "result_id").join(t["result_datasets"], "result_id")
     answered = t["results"].select(F.col("id").alias("result_id"), "call_id").join(t["result_datasets"], "result_id").select("call_id", "dataset_id")
@@ -142,46 +174,49 @@ def scopes(t: Tables) -> DataFrame:
     return direct.unionByName(of_result.select("evidence_id", "dataset_id")).unionByName(tried.select("evidence_id", "dataset_id")).distinct()
 
 
-def _evidence(t: Tables, datasets: DataFrame) -> DataFrame:
-    e = beside(t["evidence"], "source_id", t["sources"], "source_of", "kind")
-    e = beside(e, "dataset_id", datasets, "scope", "source_id", "row_count", "columns")
-    e = beside(e, "result_id", t["results"], "result_of", "status")
-    e = beside(e, "experiment_id", t["experiments"], "experiment_of", "status")
+def _evidence(t: Tables) -> list[DataFrame]:
     source, first, last = F.col("route") == "source", F.col("first_row"), F.col("last_row")
-    assumed = F.coalesce(F.col("source_of_kind") == "user_assumption", F.lit(False))
-    rules = {
+    e, assumption, maybe = t["evidence"], F.col("kind") == "assumption", F.coalesce(F.col("route") == "source", F.lit(True))
+    own = {
         "measurement without value": (F.col("kind") == "measurement") & (F.col("measurements") == 0),
-        "assumption without assumption source": (F.col("kind") == "assumption") & ~(source & assumed),
-        "assumption source with measurement": source & assumed & (F.col("kind") != "assumption"),
+        "assumption without assumption source": assumption & ~(maybe & F.col("source_id").isNotNull()),
+        "rows outside dataset": F.col("dataset_id").isNull() & ((first < 1) | (first > last)),
+        "rows without dataset": F.col("dataset_id").isNull() & (first.isNotNull() | F.col("name").isNotNull()),
+    }
+    scoped = beside(e.where("dataset_id IS NOT NULL").select("id", "dataset_id", "source_id", "first_row", "last_row"), "dataset_id", t["datasets"], "scope", "source_id", "row_count")
+    of_dataset = {
         "dataset of another source": F.col("scope_source_id") != F.col("source_id"),
-        "unknown provenance column": F.col("scope_id").isNotNull() & F.col("name").isNotNull() & ~F.array_contains("scope_columns", F.col("name")),
         "rows outside dataset": (first < 1) | (first > last) | (last > F.col("scope_row_count")),
-        "rows without dataset": F.col("dataset_id").isNull() & (first.isNotNull() | F.col("name").isNotNull()),
-        "result not completed": F.col("result_of_status") != "completed",
-        "experiment not completed": F.col("experiment_of_status") != "completed",
     }
-    return broken(e, "evidence", rules)
+    ids = lambda name, kept: t[name].where(kept).select(F.col("id").alias("known"))
+    named_by = lambda column: names(F.col(column), F.col("known"))
+    sourced = lambda kept: e.where(kept & F.col("source_id").isNotNull()).select("id", "source_id")
+    assumed = ids("sources", "kind = 'user_assumption'")
+    parts = [
+        _mark(sourced(maybe & assumption).join(assumed, named_by("source_id"), "left_anti"), "evidence", "assumption without assumption source"),
+        _mark(sourced(source & ~assumption).join(assumed, named_by("source_id"), "left_semi"), "evidence", "assumption source with measurement"),
+    ]
+    for kind in ("result", "experiment"):
+        unfinished = e.where(F.col(f"{kind}_id").isNotNull()).select("id", f"{kind}_id").join(ids(f"{kind}s", "status <> 'completed'"), named_by(f"{kind}_id"), "left_semi")
+        parts.append(_mark(unfinished, "evidence", f"{kind} not completed"))
+    return [broken(e, "evidence", own), broken(scoped, "evidence", of_dataset), *parts]
 
 
-def _calls(t: Tables, datasets: DataFrame, investigation: str) -> DataFrame:
-    c = beside(t["calls"], "dataset_id", datasets, "input", "positive_label", "columns")
-    c = beside(c, "comparison_dataset_id", datasets, "other", "columns")
-    rules = {
-        "wrong investigation": F.col("investigation_id") != investigation,
-        "absent dataset column": F.col("input_id").isNotNull() & ~F.array_contains("input_columns", F.col("name")),
-        "absent comparison column": F.col("other_id").isNotNull() & ~F.array_contains("other_columns", F.col("name")),
-        "positive label differs": F.col("positive_label") != F.col("input_positive_label"),
-    }
-    return broken(c, "calls", rules)
+def _calls(t: Tables, investigation: str) -> list[DataFrame]:
+    asked = t["calls"].where("positive_label IS NOT NULL").select("id", "dataset_id", "positive_label")
+    return [
+        broken(t["calls"], "calls", {"wrong investigation": F.col("investigation_id") != investigation}),
+        broken(beside(asked, "dataset_id", t["datasets"], "input", "positive_label"), "calls", {"positive label differs": F.col("positive_label") != F.col("input_positive_label")}),
+    ]
 
 
 def _results(t: Tables) -> list[DataFrame]:
-    r = beside(t["results"], "call_id", t["calls"], "asked", "tool", "version", "requested_at", "hypothesis_id", "method", "dataset_id", "comparison_dataset_id")
     many = lambda name, value, by: t[name].groupBy(F.col(by).alias("of")).agg(F.sort_array(F.collect_list(value)).alias(name))
-    r = r.join(many("result_datasets", "dataset_id", "result_id"), F.col("id") == F.col("of"), "left").drop("of")
-    r = r.join(many("result_thresholds", "threshold", "result_id"), F.col("id") == F.col("of"), "left").drop("of")
-    r = r.join(many("call_thresholds", "threshold", "call_id"), F.col("call_id") == F.col("of"), "left").drop("of")
+    with_many = lambda rows, *of: rows.join(many(*of), F.col("id") == F.col("of"), "left").drop("of")
+    calls = with_many(t["calls"], "call_thresholds", "threshold", "call_id")
+    r = with_many(with_many(t["results"], "result_datasets", "dataset_id", "result_id"), "result_thresholds", "threshold", "result_id")
     r = listed(r, t["result_evidence"], "result_id", "held")
+    r = beside(r, "call_id", calls, "asked", "tool", "version", "requested_at", "hypothesis_id", "method", "dataset_id", "comparison_dataset_id", "call_thresholds")
     finished = F.col("status") == "completed"
     same = lambda tool: finished & (F.col("tool") == tool) & (F.col("asked_tool") == tool)
     wanted = F.sort_array(F.array_compact(F.array("asked_dataset_id", "asked_comparison_dataset_id")))
@@ -192,20 +227,23 @@ def _results(t: Tables) -> list[DataFrame]:
         "hypothesis differs from call": same("run_counterfactual_test") & ~F.col("hypothesis_id").eqNullSafe(F.col("asked_hypothesis_id")),
         "method differs from call": same("run_drift_tests") & ~F.col("method").eqNullSafe(F.col("asked_method")),
         "scope differs from call": F.col("asked_id").isNotNull() & (none("result_datasets") != wanted),
-        "thresholds differ from call": same("threshold_sweep") & (none("result_thresholds") != none("call_thresholds")),
+        "thresholds differ from call": same("threshold_sweep") & (none("result_thresholds") != none("asked_call_thresholds")),
     }
-    twice = t["results"].groupBy("call_id").agg(F.count("*").alias("n"), F.max("id").alias("id")).where("n > 1")
+    repeated = t["results"].groupBy(F.col("call_id").alias("of")).count().where("count > 1")
+    twice = t["results"].select("id", "call_id").join(repeated, F.equal_null("call_id", "of")).groupBy("call_id").agg(F.max("id").alias("id"))
     return [broken(r, "results", rules), _mark(twice, "results", "call answered twice")]
 
 
 def _hypotheses(t: Tables) -> list[DataFrame]:
     links = t["hypothesis_evidence"]
-    shown = links.groupBy(F.col("hypothesis_id").alias("id")).agg(F.collect_set("relationship").alias("shown"), F.count("*").alias("n"))
+    kinds = sorted(set(NEEDED.values()))
+    shown = links.groupBy(F.col("hypothesis_id").alias("id")).agg(*[F.count_if(F.col("relationship") == kind).alias(kind) for kind in kinds], F.count("*").alias("n"))
     verified = t["experiments"].where("status = 'completed' AND outcome = 'supports'").select(F.col("hypothesis_id").alias("id")).distinct().withColumn("verified", F.lit(True))
     h = t["hypotheses"].join(shown, "id", "left").join(verified, "id", "left")
+    lacking = reduce(Column.__or__, [(named(NEEDED, F.col("status")) == kind) & (F.coalesce(kind, F.lit(0)) == 0) for kind in kinds])
     rules = {
         "assessed without evidence": (F.col("status") != "proposed") & F.col("n").isNull(),
-        "status without its evidence": named(NEEDED, F.col("status")).isNotNull() & ~F.coalesce(F.array_contains("shown", named(NEEDED, F.col("status"))), F.lit(False)),
+        "status without its evidence": lacking,
         "confirmed without verification": (F.col("status") == "confirmed") & F.col("verified").isNull(),
     }
     twice = links.groupBy("hypothesis_id", "evidence_id").count().where("count > 1").select("hypothesis_id").distinct()
@@ -241,8 +279,10 @@ def _comparisons(t: Tables) -> list[DataFrame]:
     }
     # relational division: every dataset that a piece of evidence rests on must be the comparison's, and there must be one
     wanted = t["comparisons"].select(F.col("id").alias("comparison_id"), F.col("dataset_id").alias("wanted"), F.col("metric").alias("wanted_metric"), F.col("unit").alias("wanted_unit"))
-    e = t["evidence"].select(F.col("id").alias("evidence_id"), "kind", "metric", "unit", "measurements")
-    held = links.join(wanted, "comparison_id").join(e, "evidence_id").join(scopes(t), "evidence_id", "left")
+    route = ("route", "dataset_id", "result_id", "experiment_id")
+    e = t["evidence"].select(F.col("id").alias("found"), "kind", "metric", "unit", "measurements", *route)
+    held = cut(links.join(wanted, "comparison_id").join(e, names(F.col("evidence_id"), F.col("found"))).drop("found"), "held")
+    held = held.drop(*route).join(scopes(t, held.select(F.col("evidence_id").alias("id"), *route).distinct()), "evidence_id", "left")
     measures = (F.col("kind") == "measurement") & (F.col("measurements") > 0) & (F.col("metric") == F.col("wanted_metric")) & (F.col("unit") == F.col("wanted_unit"))
     fits = measures & F.coalesce(F.col("dataset_id") == F.col("wanted"), F.lit(False))
     both = links.groupBy("comparison_id", "evidence_id").agg(F.count_distinct("side").alias("sides")).where("sides > 1")
@@ -259,8 +299,6 @@ def integrity(t: Tables, investigation: str, period: tuple[str, str]) -> DataFra
     ``investigation`` is the one that all records belong to; ``period`` bounds the times of events.
     """
     every = reduce(DataFrame.unionByName, [t[name].select("id") for name in RECORDS])
-    columns = t["dataset_columns"].groupBy(F.col("dataset_id").alias("id")).agg(F.collect_set("name").alias("columns"))
-    datasets = t["datasets"].join(columns, "id", "left").withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))
     start, end = (F.lit(x).cast("timestamp_ntz") for x in period)
     of_events = {
         "kind and entity differ": ~F.col("entity_id").startswith(named(EVENT_PREFIXES, F.col("kind"))),
@@ -277,8 +315,9 @@ def integrity(t: Tables, investigation: str, period: tuple[str, str]) -> DataFra
         unknown_references(t),
         costs_without_assumption(t),
         one_sided_evidence(t),
-        _evidence(t, datasets),
-        _calls(t, datasets, investigation),
+        unknown_columns(t),
+        *_evidence(t),
+        *_calls(t, investigation),
         *_results(t),
         *_hypotheses(t),
         _experiments(t),

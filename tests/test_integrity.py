@@ -176,3 +176,25 @@ def test_closure_moves_only_steps_that_leave_the_frontier(spark, monkeypatch):
     assert got == {("out", "n2007", 1)} and seen == [1, 0]
     none_sent = integ.lineage_closure(edges, starts, broadcast_keys=0)
     assert {(r.direction, r.reached, r.hops) for r in none_sent.collect()} == got and seen[2:] == [4000, 4000]
+
+
+def test_lookups_sort_one_long(spark):
+    """Ids sort slowly, since they share their first bytes; null references are spread, not sent to one task."""
+    t = records(spark, evidence=[(f"evidence_{i}", "measurement", "source", "source_1", "dataset_1" if i % 9 == 0 else None, None, None, None, None, None, 1, "recall", "ratio") for i in range(900)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        beside = integ.beside(t["evidence"], "dataset_id", t["datasets"], "scope", "row_count")
+        for found in (integ.unknown_references(t), integ.unknown_columns(t), integ.costs_without_assumption(t), beside):
+            joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+            assert joins and all(line.split("SortMergeJoin ")[1].startswith("[xxhash64(") and line.count("xxhash64(") == 2 for line in joins)
+        assert beside.where("scope_row_count = 50").count() == 100 and beside.count() == 900
+        keys = beside.select(F.xxhash64(F.coalesce("dataset_id", "id")).alias("key")).groupBy("key").count()
+        assert keys.agg(F.max("count")).first()[0] == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_equal_hashes_are_not_equal_ids(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", "ab"), ("ab", "a"), (None, "a"), ("", "a")], "ref string, known string")
+    assert [tuple(r) for r in rows.where(integ._equal(F.col("ref"), F.col("known"))).collect()] == [("a", "a")]
