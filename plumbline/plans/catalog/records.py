@@ -313,26 +313,27 @@ def _(spark, d):
     return rec.lineage_neighbors(integ.lineage_edges(tables), tables["calls"].select("id"))
 
 
-# walks of every length, each (start, place, length) once; no shortest path is longer than the bound
+# what each start reaches, by its shortest walk; a start itself counts as reached when a walk comes back to it
 CLOSURE = """
 steps AS (SELECT DISTINCT 'out' AS direction, "from" AS place, "to" AS next FROM edges UNION SELECT 'in', "to", "from" FROM edges),
-starts AS (SELECT id FROM hypotheses WHERE CAST(substr(id, 12) AS BIGINT) % 100 = 0 UNION ALL SELECT id FROM sources WHERE kind = 'uploaded_file' AND CAST(substr(id, 8) AS BIGINT) % 100 = 0),
-walks AS (
-  SELECT s.id, d.direction, s.id AS reached, 0 AS hops FROM starts s, (VALUES ('out'), ('in')) AS d(direction)
-  UNION SELECT w.id, w.direction, t.next, w.hops + 1 FROM walks w JOIN steps t ON t.direction = w.direction AND t.place = w.reached WHERE w.hops < 24)"""
+starts AS (SELECT id FROM hypotheses UNION ALL SELECT id FROM sources),
+walks(id, direction, reached, started, hops) USING KEY (id, direction, reached, started) AS (
+  SELECT s.id, d.direction, s.id, true, 0 FROM starts s, (VALUES ('out'), ('in')) AS d(direction)
+  UNION SELECT w.id, w.direction, t.next, false, min(w.hops + 1) FROM walks w JOIN steps t ON t.direction = w.direction AND t.place = w.reached
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walks k WHERE k.id = w.id AND k.direction = w.direction AND k.reached IS NOT DISTINCT FROM t.next AND NOT k.started)
+  GROUP BY w.id, w.direction, t.next)"""
 
 
 @query(
     "j_lineage_closure",
     sql(
         "RECURSIVE " + inv.INVESTIGATION_SQL + "," + EDGES + "," + CLOSURE,
-        "SELECT id, direction, reached, min(hops) AS hops, reached = id AS cyclic FROM walks WHERE hops > 0 GROUP BY id, direction, reached",
+        "SELECT id, direction, reached, hops, reached = id AS cyclic FROM walks WHERE NOT started",
     ),
 )
 def _(spark, d):
     tables = inv.investigation(spark, d)
-    starting = tables["hypotheses"].select("id").unionByName(tables["sources"].where("kind = 'uploaded_file'").select("id"))
-    starts = starting.where(F.substring_index("id", "_", -1).cast("long") % 100 == 0)
+    starts = tables["hypotheses"].select("id").unionByName(tables["sources"].select("id"))
     return integ.lineage_closure(integ.lineage_links(tables), starts)
 
 

@@ -198,3 +198,41 @@ def test_lookups_sort_one_long(spark):
 def test_equal_hashes_are_not_equal_ids(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "ab"), ("ab", "a"), (None, "a"), ("", "a")], "ref string, known string")
     assert [tuple(r) for r in rows.where(integ._equal(F.col("ref"), F.col("known"))).collect()] == [("a", "a")]
+
+
+def test_closure_starts_from_every_hypothesis_and_source(spark, tmp_path):
+    """Only ids divisible by 100 used to start, and of the sources only uploaded files."""
+    import datetime as dt
+
+    import duckdb
+    from plumbline.plans.catalog import ORACLE, QUERIES
+
+    day = dt.datetime(2024, 1, 5)
+    rows = {
+        "customer": ([(1,), (2,), (3,)], "c_custkey long"),
+        "orders": ([(10, 1, "F", day, 5.0, "1-URGENT"), (11, 1, "O", day, 5.0, "5-LOW"), (21, 2, "P", day, 5.0, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_totalprice double, o_orderpriority string"),
+        "lineitem": ([(k, i, 1.0) for k in (10, 11, 21) for i in range(1, 8)], "l_orderkey long, l_linenumber int, l_quantity double"),
+        "events": ([(4, day, 1)], "event_id long, ts timestamp_ntz, user_id long"),
+    }
+    con = duckdb.connect()
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["j_lineage_closure"](spark, str(tmp_path)).select("id", "direction", "reached", "hops", "cyclic").collect()]
+    assert {r[0] for r in got} == {f"{kind}_{c}" for kind in ("hypothesis", "source", "assumption") for c in (1, 2)}
+    assert ("source_1", "out", "dataset_10", 1, False) in got and ("assumption_2", "out", "evidence_21_7", 1, False) in got
+    assert sorted(got) == sorted(con.execute(f"SELECT id, direction, reached, hops, cyclic FROM ({ORACLE['j_lineage_closure']})").fetchall())
+
+
+def test_closure_has_no_longest_walk_in_sql_either(spark):
+    """The SQL used to end walks after 24 steps."""
+    import duckdb
+    from plumbline.plans.catalog.records import CLOSURE
+
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(26)] + [("n26", "n24"), ("n7", "n0"), ("s", "s")]
+    tables = (("edges(\"from\", \"to\")", edges), ("hypotheses(id)", [("n0",), ("s",)]), ("sources(id)", [("n26",), ("nowhere",)]))
+    given = ", ".join(f"{name} AS (VALUES {', '.join('(' + ', '.join(repr(x) for x in row) + ')' for row in rows)})" for name, rows in tables)
+    want = duckdb.sql(f"WITH RECURSIVE {given}, {CLOSURE} SELECT id, direction, reached, hops, reached = id FROM walks WHERE NOT started").fetchall()
+    frame = spark.createDataFrame(edges, "from string, to string")
+    got = [tuple(r) for r in integ.lineage_closure(frame, spark.createDataFrame(tables[1][1] + tables[2][1], "id string")).collect()]
+    assert sorted(got) == sorted(want) and ("n0", "out", "n26", 26, False) in got and ("n26", "in", "n0", 26, False) in got
