@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, shared_dir
 
 Tables = Mapping[str, DataFrame]
 
@@ -370,16 +370,29 @@ def lineage_edges(t: Tables) -> DataFrame:
     return lineage_links(t).distinct()
 
 
-def _leaving(steps: DataFrame, frontier: DataFrame, broadcast_keys: int) -> DataFrame:
-    """The steps that may leave the frontier, by the hash of their place: steps stay where they are, only hashes are sent.
+def _among(rows: DataFrame, key: Column, asked: DataFrame, size: int, broadcast_keys: int) -> DataFrame:
+    """The rows whose hash ``key`` is among the ``size`` rows ``asked`` (key): rows stay where they are, only hashes are sent.
 
-    A hash that two places share lets a step too many through, which the join on the places themselves drops. A frontier of
-    more than ``broadcast_keys`` places sends none.
+    Other rows with the same hash come through too, which the join that follows drops. More than ``broadcast_keys`` hashes
+    are not sent, and all rows stay in.
     """
-    keys = cut(frontier.select(F.xxhash64("direction", "at").alias("key")).distinct(), "keys")
-    if keys.count() > broadcast_keys:
-        return steps
-    return steps.join(F.broadcast(keys), "key", "left_semi")
+    keys = asked.distinct()
+    if size > broadcast_keys and keys.count() > broadcast_keys:
+        return rows
+    return rows.join(F.broadcast(keys), key == F.col("key"), "left_semi")
+
+
+def _leaving(steps: DataFrame, frontier: DataFrame, size: int, broadcast_keys: int) -> DataFrame:
+    """The steps that may leave the frontier of ``size`` rows, by the hash of their place."""
+    return _among(steps, F.xxhash64("way", "place"), frontier.select(F.xxhash64("direction", "at").alias("key")), size, broadcast_keys)
+
+
+def _fresh(reached: DataFrame, seen: DataFrame, few: bool, broadcast_keys: int) -> DataFrame:
+    """``reached`` without what is ``seen``; if ``few`` left, only what is reached again is moved of it."""
+    if few:
+        reached = cut(reached, "again")
+        seen = _among(seen, F.col("mark"), reached.select(F.col("mark").alias("key")), reached.count(), broadcast_keys)
+    return reached.join(seen.hint("merge"), ["mark", "id", "direction", "at"], "left_anti")
 
 
 def lineage_closure(edges: DataFrame, ids: DataFrame, most: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -389,26 +402,31 @@ def lineage_closure(edges: DataFrame, ids: DataFrame, most: int | None = None, b
     reached after its shortest cycle and marked ``cyclic``. Rounds go on from what the round before found first, until
     nothing is new (or after ``most`` hops), so a cycle ends them. Every round is written; a record that many edges leave
     is joined once a start and round, and its neighbours are spread by their own ids. Edges may repeat: they are written once,
-    in both directions, and a round moves only those that leave its frontier.
+    in both directions, and a round moves only those that leave its frontier and only those finds that it may repeat. Joins
+    compare hashes before ids, which share their first bytes. Edges without an end lead to null, once a start.
     """
-    way = lambda name, at, to: F.struct(F.lit(name).alias("direction"), F.col(at).alias("at"), F.col(to).alias("next"))
-    both = edges.select(F.inline(F.array(way("out", "from", "to"), way("in", "to", "from"))))
-    steps = cut(both.withColumn("key", F.xxhash64("direction", "at")), "steps")
-    starts = ids.select("id").distinct().select("id", F.explode(F.array(F.lit("out"), F.lit("in"))).alias("direction"), F.col("id").alias("at"))
-    frontier, hops = cut(starts, "frontier"), 0
-    found: list[DataFrame] = []
-    while most is None or hops < most:
+    spark = edges.sparkSession
+    way = lambda name, at, to: F.struct(F.lit(name).alias("way"), F.col(at).alias("place"), F.col(to).alias("next"))
+    steps = cut(edges.select(F.inline(F.array(way("out", "from", "to"), way("in", "to", "from")))).where("place IS NOT NULL"), "steps")
+    starts = ids.select("id").where("id IS NOT NULL").distinct()
+    frontier = cut(starts.select("id", F.explode(F.array(F.lit("out"), F.lit("in"))).alias("direction"), F.col("id").alias("at")), "frontier")
+    marked = lambda rows: rows.withColumn("mark", F.xxhash64("id", "direction", "at"))
+    leaves = (F.xxhash64("way", "place") == F.xxhash64("direction", "at")) & _equal(F.col("way"), F.col("direction")) & _equal(F.col("place"), F.col("at"))
+    folder, columns, hops = shared_dir(spark, "reached"), "id string, direction string, at string", 0
+    size = frontier.count()
+    while size and (most is None or hops < most):
+        met = _leaving(steps, frontier, size, broadcast_keys).join(frontier.hint("merge"), leaves)
+        reached = marked(met.select("id", "direction", F.col("next").alias("at"))).distinct()
+        if hops:
+            seen = spark.read.schema(columns).parquet(*[f"{folder}/hops={i + 1}" for i in range(hops)])
+            reached = _fresh(reached, marked(seen), size <= broadcast_keys, broadcast_keys)
         hops += 1
-        leaving = _leaving(steps, frontier, broadcast_keys).drop("key")
-        reached = leaving.join(frontier.hint("merge"), ["direction", "at"]).select("id", "direction", F.col("next").alias("at")).distinct()
-        if found:
-            seen = reduce(DataFrame.unionByName, found).select("id", "direction", "at")
-            reached = reached.join(seen.hint("merge"), ["id", "direction", "at"], "left_anti")
-        frontier = cut(reached, "frontier")
-        if frontier.isEmpty():
-            break
-        found.append(frontier.withColumn("hops", F.lit(hops)))
-    if not found:
-        return starts.where("false").select("id", "direction", F.col("at").alias("reached"), F.lit(0).alias("hops"), F.lit(False).alias("cyclic"))
-    rows = reduce(DataFrame.unionByName, found)
+        reached.drop("mark").write.parquet(f"{folder}/hops={hops}")
+        frontier = spark.read.schema(columns).parquet(f"{folder}/hops={hops}").where("at IS NOT NULL")
+        size = frontier.count()
+    if not hops:
+        return starts.where("false").select("id", F.lit("out").alias("direction"), F.col("id").alias("reached"), F.lit(0).alias("hops"), F.lit(False).alias("cyclic"))
+    found = spark.read.schema(f"{columns}, hops int").parquet(folder)
+    nowhere = found.where("at IS NULL").groupBy("id", "direction", "at").agg(F.min("hops").alias("hops"))
+    rows = found.where("at IS NOT NULL").unionByName(nowhere)
     return rows.select("id", "direction", F.col("at").alias("reached"), "hops", (F.col("at") == F.col("id")).alias("cyclic"))

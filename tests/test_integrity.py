@@ -236,3 +236,22 @@ def test_closure_has_no_longest_walk_in_sql_either(spark):
     frame = spark.createDataFrame(edges, "from string, to string")
     got = [tuple(r) for r in integ.lineage_closure(frame, spark.createDataFrame(tables[1][1] + tables[2][1], "id string")).collect()]
     assert sorted(got) == sorted(want) and ("n0", "out", "n26", 26, False) in got and ("n26", "in", "n0", 26, False) in got
+
+
+def test_closure_reaches_a_missing_end_once(spark):
+    """An edge without an end was found again in every round that came back to its start."""
+    frame = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", None), (None, "b"), (None, None)], "from string, to string")
+    starts = spark.createDataFrame([("a",), (None,)], "id string")
+    got = {(r.direction, r.reached, r.hops, r.cyclic) for r in integ.lineage_closure(frame, starts).collect()}
+    assert got == {("out", "b", 1, False), ("out", "a", 2, True), ("out", None, 1, None), ("in", "b", 1, False), ("in", "a", 2, True), ("in", None, 2, None)}
+    assert integ.lineage_closure(frame, starts).count() == len(got)
+
+
+def test_closure_is_the_same_whether_hashes_are_sent_or_rows_move(spark):
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)]
+    frame, ids = spark.createDataFrame(edges, "from string, to string"), [f"n{i}" for i in range(12)]
+    starts = spark.createDataFrame([(i,) for i in ids], "id string")
+    want = sorted((i, d, x, n, x == i) for i in ids for d in ("in", "out") for x, n in plain_closure(edges, i, d == "out").items())
+    for sent in (0, 30, 1000):
+        assert sorted(tuple(r) for r in integ.lineage_closure(frame, starts, broadcast_keys=sent).select("id", "direction", "reached", "hops", "cyclic").collect()) == want
